@@ -136,7 +136,7 @@ def attribute(points: DataFrame, evals: DataFrame, scopes: DataFrame, *, ts: str
         "session_key", F.lit(1).alias("rank"), (F.lit(sign) * F.col("t_in")).alias("p1"),
         (F.lit(sign) * F.col("ret_ord")).alias("p2"), F.col("t_in").alias("lo"),
         F.col("t_out").alias("hi"), F.col("enter_ord"), F.col("enter_seq"),
-        F.element_at("stack", -1).alias("call_id") if not latest_eval
+        F.try_element_at("stack", F.lit(-1)).alias("call_id") if not latest_eval
         else F.lit(None).cast("bigint").alias("call_id"),
         (F.size("stack") == 0).alias("empty_stack"), "top_frame",
         F.lit(None).cast("string").alias("qualname"))
@@ -183,7 +183,7 @@ def scope_totals(attributed: DataFrame, evals: DataFrame, calls: DataFrame) -> D
     per_buffer = attributed.groupBy("session_key", "node_id").agg(
         F.sum("gpu_ns").alias("gpu_ns_self"), F.count(F.lit(1)).alias("cb_count"))
     known = calls.select("session_key", F.col("call_id").alias("node_id"), F.lit(True).alias("_known")).distinct()
-    per_eval = (evals.withColumn("node_id", F.element_at("stack", -1))
+    per_eval = (evals.withColumn("node_id", F.try_element_at("stack", F.lit(-1)))
                 .join(known, ["session_key", "node_id"], "left")
                 .groupBy("session_key", F.when(F.col("_known"), F.col("node_id"))
                          .otherwise(UNSCOPED_ID).alias("node_id"))

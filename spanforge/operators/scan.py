@@ -17,7 +17,7 @@ CHUNK_ROWS = 1 << 20
 
 def chunk_of(order_column: str = "event_ord", rows: int = CHUNK_ROWS) -> Column:
     """Chunk number of a row whose order column is a position in its log."""
-    return F.floor(F.col(order_column) / F.lit(rows)).cast("long")
+    return F.call_function("div", F.col(order_column), F.lit(rows))
 
 
 def _window_agg(fn: str, value: Column) -> Column:

@@ -21,37 +21,40 @@ REFINE = 4096
 
 
 def _cell(ts: Column, cell: int) -> Column:
-    return F.floor(ts / F.lit(cell)).cast("long") if cell > 1 else ts.cast("long")
+    if cell <= 1:
+        return ts.cast("bigint")
+    return F.call_function("div", ts - F.pmod(ts, F.lit(cell)), F.lit(cell))
 
 
-def _tagged(level: int):
-    return lambda node: F.struct(F.lit(level).alias("level"), node.alias("node"))
+def _tree_nodes(a: Column, b: Column, levels: int) -> Column:
+    """Array of (level, node) whose cells tile the half-open cell range [a, b).
 
+    At each level the whole nodes are [ceil(a / 16^l), floor(b / 16^l)); those
+    covered by whole nodes of the next level are left to it.
+    """
+    up = 1 << RADIX_BITS
 
-def _tree_nodes(a: Column, b: Column, levels: int) -> Column:
-    """Array of (level, node) whose cells tile the half-open cell range [a, b)."""
-    width = 1 << RADIX_BITS
-
-    def seq(lo, hi):
-        # sequence() runs backwards when hi < lo, hence the guard
-        return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
-
-    parts = []
-    lo, hi = a, b
-    active = a < b
-    for level in range(levels + 1):
-        up_lo = F.floor((lo + F.lit(width - 1)) / F.lit(width)).cast("long")
-        up_hi = F.floor(hi / F.lit(width)).cast("long")
-        coarser = (up_lo < up_hi) if level < levels else F.lit(False)
-        here = F.when(
-            coarser,
-            F.concat(seq(lo, up_lo * width - 1), seq(up_hi * width, hi - 1)),
-        ).otherwise(seq(lo, hi - 1))
-        here = F.when(active, here).otherwise(F.array().cast("array<bigint>"))
-        parts.append(F.transform(here, _tagged(level)))
-        active = active & coarser
-        lo, hi = up_lo, up_hi
-    return F.concat(*parts)
+    def lo(level):
+        return -F.call_function("shiftright", -a, (level * RADIX_BITS).cast("int"))
+
+    def hi(level):
+        return F.call_function("shiftright", b, (level * RADIX_BITS).cast("int"))
+
+    def seq(first, last):
+        # sequence() runs backwards when last < first, hence the guard
+        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+
+    def at(level):
+        first, last = lo(level), hi(level)
+        up_first, up_last = lo(level + 1), hi(level + 1)
+        coarser = (up_first < up_last) & (level < levels)
+        nodes = F.when(coarser, F.concat(seq(first, up_first * up - 1), seq(up_last * up, last - 1))
+                       ).otherwise(seq(first, last - 1))
+        return F.transform(nodes, lambda n: F.struct(level.alias("level"), n.alias("node")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)),
+                                 lambda lv: F.when(lo(lv) < hi(lv), at(lv))
+                                 .otherwise(F.array().cast("array<struct<level:int,node:bigint>>"))))
 
 
 def _ancestors(cell: Column, levels: int) -> Column:
@@ -60,9 +63,16 @@ def _ancestors(cell: Column, levels: int) -> Column:
                      for lv in range(levels + 1)])
 
 
-def _hot_cells(edges: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    return (edges.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-            .where(F.col("_n") > limit).select(*keys, "_cell", F.lit(True).alias("_hot")))
+def _hot_cells(rows: DataFrame, keys: list[str], limit: int | None) -> DataFrame | None:
+    """Cells holding more than ``limit`` rows, or None when there are none.
+
+    This runs one aggregate (map-side combined, at most one row comes back) so
+    that the refining branch exists only where a cell needs it.
+    """
+    if limit is None:
+        return None
+    hot = rows.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    return None if hot.isEmpty() else hot.select(*keys, "_cell")
 
 
 def _candidates(points, spans, keys, cell, levels):
@@ -87,32 +97,39 @@ def _stab(instants, spans, keys, cell, levels, hot_edges):
     """Winning span of each distinct (keys, _ts)."""
     points = instants.withColumn("_cell", _cell(F.col("_ts"), cell))
     edges, covers = _candidates(points, spans, keys, cell, levels)
+    hot = _hot_cells(edges, keys, hot_edges) if cell > 1 else None
+    found = covers
     refined = None
-    if hot_edges is not None and cell > 1:
-        hot = (_hot_cells(edges, keys, hot_edges)
-               .union(_hot_cells(points, keys, hot_edges * 64)).distinct())
+    if hot is not None:
+        outer = f"_outer{len(keys)}"
         hot_points = points.join(hot, keys + ["_cell"], "left_semi")
-        hot_spans = (edges.join(hot, keys + ["_cell"], "left_semi")
-                     .withColumns({"_hi": F.least("_hi", (F.col("_cell") + 1) * cell - 1),
-                                   "_lo": F.greatest("_lo", F.col("_cell") * cell)}))
+        hot_spans = _clip(edges.join(hot, keys + ["_cell"], "left_semi"), cell)
         refined = _stab(
-            hot_points.withColumnRenamed("_cell", "_outer"),
-            hot_spans.withColumnRenamed("_cell", "_outer").select(
-                *keys, "_outer", "_prio", "_lo", "_hi", "_win"),
-            keys + ["_outer"], max(1, cell // REFINE), 3, None,
-        ).drop("_outer")
+            hot_points.withColumnRenamed("_cell", outer),
+            hot_spans.withColumnRenamed("_cell", outer).select(
+                *keys, outer, "_prio", "_lo", "_hi", "_win"),
+            keys + [outer], max(1, cell // REFINE), 3, hot_edges,
+        ).drop(outer)
         edges = edges.join(hot, keys + ["_cell"], "left_anti")
-    hits = (points.join(edges.unionByName(covers), keys + ["_cell"])
+    found = edges.unionByName(found)
+    # grouped by instant, not by cell: a cell with very many points can then be
+    # split by the adaptive skew join, and the result is already placed for the
+    # join back to the points
+    hits = (points.join(found, keys + ["_cell"])
             .where(F.col("_ts").between(F.col("_lo"), F.col("_hi")))
-            .groupBy(*keys, "_cell", "_ts")
-            .agg(F.max_by(F.struct("_prio", "_win"), "_prio").alias("_b"))
-            .drop("_cell"))
+            .groupBy(*keys, "_ts").agg(F.max_by(F.struct("_prio", "_win"), "_prio").alias("_b")))
     if refined is not None:
         hits = (hits.unionByName(refined).groupBy(*keys, "_ts")
                 .agg(F.max_by("_b", F.col("_b._prio")).alias("_b")))
     return hits
 
 
+def _clip(edges: DataFrame, cell: int) -> DataFrame:
+    """Cut edge intervals to the cell they are listed under."""
+    return edges.withColumns({"_hi": F.least("_hi", (F.col("_cell") + 1) * cell - 1),
+                              "_lo": F.greatest("_lo", F.col("_cell") * cell)})
+
+
 def stab_join(
     points: DataFrame,
     windows: DataFrame,
@@ -197,25 +214,22 @@ def _interval_parts(slim, pts, by, on_key, names, aggs, merge, cell, levels, aft
              .select(*on_key, F.col("_n.level").alias("level"), F.col("_n.node").alias("node"))
              .join(tree, by + ["level", "node"]).select(*on_key, *names))
     out = [whole]
-    if hot_rows is not None and cell > 1:
-        hot = _hot_cells(pts, by, hot_rows)
-        hot_edges = (edges.join(hot, by + ["_cell"], "left_semi")
-                     .withColumns({"_hi": F.least("_hi", (F.col("_cell") + 1) * cell - 1),
-                                   "_lo": F.greatest("_lo", F.col("_cell") * cell)}))
+    hot = _hot_cells(pts, by, hot_rows) if cell > 1 else None
+    if hot is not None:
+        hot_edges = _clip(edges.join(hot, by + ["_cell"], "left_semi"), cell)
         hot_pts = pts.join(hot, by + ["_cell"], "left_semi")
+        outer = f"_outer{len(by)}"
         finer = _interval_parts(
-            hot_edges.withColumnRenamed("_cell", "_outer"),
-            hot_pts.withColumnRenamed("_cell", "_outer"),
-            by + ["_outer"], on_key + ["_outer"], names, aggs, merge,
-            max(1, cell // REFINE), 3, after, None)
+            hot_edges.withColumnRenamed("_cell", outer),
+            hot_pts.withColumnRenamed("_cell", outer),
+            by + [outer], on_key + [outer], names, aggs, merge,
+            max(1, cell // REFINE), 3, after, hot_rows)
         out.append(finer.select(*on_key, *names))
         edges = edges.join(hot, by + ["_cell"], "left_anti")
     inside = F.col("_ts").between(F.col("_lo"), F.col("_hi"))
     if after:
         inside = inside & (F.col("_at") > F.col("_after"))
-    out.append(edges.join(pts, by + ["_cell"]).where(inside)
-               .groupBy(*on_key, "_cell").agg(*[merge[aggs[n][0]](n).alias(n) for n in names])
-               .select(*on_key, *names))
+    out.append(edges.join(pts, by + ["_cell"]).where(inside).select(*on_key, *names))
     return reduce(DataFrame.unionByName, out)
 
 

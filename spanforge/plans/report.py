@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -11,6 +11,7 @@ from spanforge.functions.text import decimal_gb
 from spanforge.operators import diff, gpu, memory, pairing, reports, sequences, tree
 from spanforge.plans import rules as R
 from spanforge.schema import FINDING_COLUMNS
+from spanforge.session_conf import cut_lineage
 
 KILL_POS, CRASH_POS, PRESUMED_POS = -2, -1, 1000
 SIGINT, SIGTERM = 2, 15
@@ -140,7 +141,8 @@ class Breakdown:
         self.calls = pairing.scope_calls(events, chunk=chunk)
         self.scopes = pairing.scope_windows(events, calls=self.calls)
         self.evals = pairing.eval_windows(events, grace_ns=grace_ns, chunk=chunk)
-        self.cbs = gpu.cb_events(events, chunk=chunk)
+        # feeds the clamp, the buffers and the diagnostics
+        self.cbs = cut_lineage(gpu.cb_events(events, chunk=chunk))
         self.ops_events = gpu.clamped_ops(self.cbs, chunk=chunk)
         self.buffers = gpu.command_buffers(events, cbs=self.cbs, ops=self.ops_events)
         self.attributed = gpu.attributed_buffers(
@@ -150,9 +152,10 @@ class Breakdown:
         self.ops = gpu.node_ops(self.attributed)
         self.chunk = chunk
 
-    @property
+    @cached_property
     def tree(self) -> DataFrame:
-        return tree.breakdown_tree(self.totals)
+        # the recursion reads the totals once per level, so they are written first
+        return cut_lineage(tree.breakdown_tree(cut_lineage(self.totals)))
 
     def diagnostics(self) -> DataFrame:
         return gpu.diagnostics(self.events, self.attributed, self.ops_events, chunk=self.chunk)

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from spanforge.queries import generic  # noqa: F401
+from spanforge.queries import generic, profile  # noqa: F401
 from spanforge.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

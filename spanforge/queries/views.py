@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spanforge.operators.scan import chunk_of, with_running
 from spanforge.schema import EVENT
+from spanforge.session_conf import cut_lineage
 
 EPOCH_US = 1_704_067_200_000_000  # 2024-01-01
 HOUR_NS = 3_600_000_000_000
@@ -73,8 +74,21 @@ _SOURCE_SQL = """CASE WHEN kind LIKE 'Metal%' THEN 'MetalHook' WHEN kind='Mark'
   WHEN kind='ProcFootprint' THEN 'Proc' ELSE 'PythonSidecar' END"""
 
 
+_INGESTED: dict[tuple[str, str], DataFrame] = {}
+
+
 def trace_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed event log with one row per row of the events table."""
+    """Typed event log with one row per row of the events table.
+
+    Ingested once per application into the shared folder, as a recorded log is.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INGESTED:
+        _INGESTED[key] = cut_lineage(_trace_rows(spark, sf_dir))
+    return _INGESTED[key]
+
+
+def _trace_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = ev(spark, sf_dir).withColumn("kind", _kind(F.col("typ"), F.col("k")))
     # the id of the latest scope enter, for returns and eval stacks; of the one
     # before it, for parents

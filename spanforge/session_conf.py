@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,19 +16,39 @@ def local_session(cpus: int = 8, name: str = "spanforge") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("SPANFORGE_DRIVER_MEMORY", "8g"))
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """Folder for cut lineage: the one the session names.
+
+    Only a local session without one gets a folder of its own.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if spark.sparkContext.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="spanforge-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+        return folder
+    return None
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder the session names and read it back.
+    """Write ``df`` as a table in the shared folder and read it back.
 
-    Used where one intermediate feeds many branches.  Without a configured
-    folder the plan is left as it is, so nothing lands on a machine-local disk.
+    Used where one intermediate feeds many branches or a recursion.  A table
+    rather than a row checkpoint keeps column pruning, filter pushdown and true
+    size statistics for the joins after it.  It survives lost executors.  On a
+    cluster without a shared folder the plan is left as it is.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+    folder = shared_folder(spark)
+    if folder is None:
         return df
-    return df.checkpoint(eager=True)
+    path = f"{folder}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
