@@ -159,7 +159,7 @@ def over_budget_windows(events: DataFrame, *, threshold: float = 0.9, gap_ns: in
     """
     chunk = chunk_of() if chunk is None else chunk
     samples = events.where((F.col("kind") == "MetalDeviceMemSample") & (F.col("recommended_max_bytes") != 0))
-    ratio = F.col("allocated_bytes").cast("double") / F.col("recommended_max_bytes")
+    ratio = F.try_divide(F.col("allocated_bytes").cast("double"), F.col("recommended_max_bytes"))
     peak = F.max_by(F.struct(
         F.col("allocated_bytes").alias("peak_bytes"), F.col("ts_mono_ns").alias("peak_ts_mono_ns"),
         F.col("seq").alias("peak_seq"), "recommended_max_bytes", "event_ord"),

@@ -208,7 +208,7 @@ def cache_growth(ctx: RuleContext, ratio: float = 1.25, floor: int = 1_000_000_0
         F.max_by(F.struct("cache_bytes", "seq", "ts_mono_ns"), F.struct("cache_bytes", -F.col("event_ord"))).alias("c"),
         F.max("active_bytes").alias("active"))
     cache, active = F.col("c.cache_bytes"), F.col("active")
-    grown = peaks.where((cache >= floor) & (active > 0)).where(cache.cast("double") / active >= ratio)
+    grown = peaks.where((cache >= floor) & (active > 0)).where(F.try_divide(cache.cast("double"), active) >= ratio)
     return finding(
         grown, severity="Warning", category="ContributingFactor",
         title=F.lit("Allocator cache exceeds the memory in use"),
@@ -323,7 +323,8 @@ def lazy_gap(ctx: RuleContext, threshold_pct: int = 50) -> DataFrame:
         F.sum(F.when(F.col("e").isNotNull(), F.col("ns")).otherwise(0)).alias("gap_gpu_ns"),
         F.sum("ns").alias("total_gpu_ns"), F.count("e").alias("lazy_eval_count"), F.min("first").alias("first"))
     modules = ctx.kind("ModuleEntered").groupBy("session_key").agg(F.count(F.lit(1)).alias("module_call_count"))
-    pct = F.call_function("div", F.col("gap_gpu_ns").cast("decimal(38,0)") * 100, F.col("total_gpu_ns").cast("decimal(38,0)"))
+    share = F.col("gap_gpu_ns").cast("decimal(28,0)") * 100 / F.nullif(F.col("total_gpu_ns").cast("decimal(28,0)"), F.lit(0))
+    pct = F.coalesce(F.floor(share), F.lit(0)).cast("bigint")
     return (per.where(F.col("first").isNotNull()).join(modules, "session_key", "left")
             .select("session_key", "gap_gpu_ns", "total_gpu_ns", "lazy_eval_count",
                     F.coalesce("module_call_count", F.lit(0).cast("bigint")).alias("module_call_count"),
