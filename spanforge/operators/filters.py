@@ -99,7 +99,7 @@ def union_sources(*frames: DataFrame) -> DataFrame:
 
 def number_events(events: DataFrame, order: list[str]) -> DataFrame:
     """Give rows of an unnumbered log their 1-based position per session."""
-    cut = F.floor(F.col(order[0]) / F.lit(1 << 36)).cast("long")
+    cut = F.call_function("div", F.col(order[0]), F.lit(1 << 36))
     return with_position(events, ["session_key"], order, "event_ord", chunk=cut)
 
 

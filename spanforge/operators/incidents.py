@@ -11,7 +11,7 @@ DEFAULT_BAND_NS = 200_000_000
 
 
 def _neighbour_cells(ts: Column, width: int) -> Column:
-    c = F.floor(ts / F.lit(width)).cast("long")
+    c = F.call_function("div", ts, F.lit(width))
     return F.array(c - 1, c, c + 1)
 
 
@@ -33,7 +33,7 @@ def _in_band(events, focal, window_ns):
                  F.col("source").alias("_fsrc"))
          .withColumn("_cell", F.explode(_neighbour_cells(F.col("_fts"), window_ns))))
     rows = events.select("session_key", "event_ord", "seq", "ts_mono_ns", "source", "kind", "error_code",
-                         F.floor(F.col("ts_mono_ns") / F.lit(window_ns)).cast("long").alias("_cell"))
+                         F.call_function("div", F.col("ts_mono_ns"), F.lit(window_ns)).alias("_cell"))
     near = rows.join(f, ["session_key", "_cell"]).where(
         F.col("ts_mono_ns").between(F.col("_fts") - window_ns, F.col("_fts") + window_ns)
         & (F.col("seq") != F.col("focal_seq")) & (F.col("source") != F.col("_fsrc")))
@@ -69,6 +69,6 @@ def trailing_window(events: DataFrame, triggers: DataFrame, *, window_ns: int =
     """
     inc = triggers.select("incident_key", "incident_label", "incident_ts").withColumn(
         "_cell", F.explode(_neighbour_cells(F.col("incident_ts"), window_ns)))
-    rows = events.withColumn("_cell", F.floor(F.col("ts_wall_ns") / F.lit(window_ns)).cast("long"))
+    rows = events.withColumn("_cell", F.call_function("div", F.col("ts_wall_ns"), F.lit(window_ns)))
     return rows.join(inc, "_cell").where(
         F.col("ts_wall_ns").between(F.col("incident_ts") - window_ns, F.col("incident_ts"))).drop("_cell")

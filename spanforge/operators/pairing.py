@@ -204,7 +204,7 @@ def close_orphans(sessions: DataFrame, events: DataFrame) -> DataFrame:
     """End sessions that were never finalised at their last event; idempotent."""
     last = events.groupBy("session_key").agg(F.max("ts_wall_ns").alias("_last"))
     orphan = F.col("ended_rfc3339").isNull() & ~F.col("session_key").startswith(POST_MORTEM_PREFIX)
-    ended = F.date_format(F.timestamp_micros(F.floor(F.col("_last") / 1000).cast("long")),
+    ended = F.date_format(F.timestamp_micros(F.call_function("div", F.col("_last"), F.lit(1000))),
                           "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     return (sessions.join(last, "session_key", "left")
             .withColumns({"end_reason": F.when(orphan & F.col("_last").isNotNull(), "recovered-after-crash")

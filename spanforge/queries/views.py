@@ -317,7 +317,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = e.groupBy("session_key").agg(
         F.min("ts_wall_ns").alias("_a"), F.max("ts_wall_ns").alias("_z"), F.min("session_id").alias("session_id"))
     u = F.substring("session_key", 2, 10).cast("bigint")
-    stamp = lambda c: F.date_format(F.timestamp_micros(F.floor(F.col(c) / 1000).cast("bigint")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    stamp = lambda c: F.date_format(F.timestamp_micros(F.call_function("div", F.col(c), F.lit(1000))), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     return ends.select(
         F.when(u % 11 == 0, F.concat(F.lit("post-mortem-"), "session_key")).otherwise(F.col("session_key")).alias("session_key"),
         "session_id", stamp("_a").alias("started_rfc3339"),
