@@ -28,9 +28,9 @@ def correlations(events: DataFrame, focal: DataFrame, *, window_ns: int = DEFAUL
 
 
 def _in_band(events, focal, window_ns):
-    f = (events.join(focal, (events["session_key"] == focal["session_key"]) & (events["seq"] == focal["focal_seq"]))
-         .select(events["session_key"], F.col("focal_seq"), F.col("ts_mono_ns").alias("_fts"),
-                 F.col("source").alias("_fsrc"))
+    f = (events.select("session_key", F.col("seq").alias("focal_seq"), F.col("ts_mono_ns").alias("_fts"),
+                       F.col("source").alias("_fsrc"))
+         .join(focal.select("session_key", "focal_seq"), ["session_key", "focal_seq"])
          .withColumn("_cell", F.explode(_neighbour_cells(F.col("_fts"), window_ns))))
     rows = events.select("session_key", "event_ord", "seq", "ts_mono_ns", "source", "kind", "error_code",
                          F.call_function("div", F.col("ts_mono_ns"), F.lit(window_ns)).alias("_cell"))

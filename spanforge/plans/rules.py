@@ -166,7 +166,7 @@ def eval_timing(ctx: RuleContext, adjacent: int = 5, slow_n: int = 5) -> DataFra
     kind = F.col("kind")
     recs = sequences.entered_by_last_seen(
         ctx.events, keys=["session_key"], order="event_ord", ident="call_id", begin=kind == "MlxEvalEntered",
-        end=kind == "MlxEvalReturned", value=F.col("ts_mono_ns"), chunk=ctx.chunk or chunk_of())
+        end=kind == "MlxEvalReturned", value=F.col("ts_mono_ns"), chunk=chunk_of() if ctx.chunk is None else ctx.chunk)
     mode = F.when(F.col("was_async"), "async").otherwise("sync")
     near = sequences.last_before(recs, ctx.first_failure, keys=["session_key"], ts="ts_mono_ns", anchor="fail_ts",
                                  order="event_ord", n=adjacent)

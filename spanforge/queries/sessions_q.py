@@ -10,7 +10,7 @@ from spanforge.plans import report, rules
 from spanforge.queries import profile
 from spanforge.queries.profile import CELL, GAP
 from spanforge.queries.registry import query
-from spanforge.queries.views import (BUFFERS, GRACE_NS, HOUR_NS, SESSIONS, TL, WINDOWS, ev, sessions, table,
+from spanforge.queries.views import (ATTRIB, BUFFERS, GRACE_NS, HOUR_NS, SESSIONS, TL, WINDOWS, ev, sessions, table,
                                      trace_log, with_sql)
 from spanforge.sinks import files, trace
 
@@ -47,7 +47,8 @@ def a8_raw_json(spark, sf):
    UNION ALL SELECT 'i', 1, NULL FROM tl WHERE kind='Mark'
    UNION ALL SELECT 'i', 4, NULL FROM tl WHERE kind='ModelUnload'
    UNION ALL SELECT 'X', 4, (ts-greatest(0, ts-load_ns))/1000.0 FROM tl WHERE kind='ModelLoad'
-   UNION ALL SELECT 'C', 0, NULL FROM tl WHERE kind IN ('MetalDeviceMemSample', 'ModelLoad')) GROUP BY 1, 2"""))
+   UNION ALL SELECT 'C', 0, NULL FROM tl WHERE kind IN ('MetalDeviceMemSample', 'ModelLoad', 'ThermalState')
+   UNION ALL SELECT 'C', 0, NULL FROM tl, (VALUES (1), (2)) WHERE kind='VmSample') GROUP BY 1, 2"""))
 def a9_trace_rows(spark, sf):
     rows = trace.trace_rows(trace_log(spark, sf))
     return rows.groupBy("ph", F.col("pid").cast("bigint").alias("pid")).agg(
@@ -138,7 +139,7 @@ def b10_notice_search(spark, sf):
 
 @query("b11_notability", with_sql(TL, """
   SELECT session_key, count(*) AS notable FROM tl WHERE (kind='MetalCbCompleted' AND coalesce(error_code, 0)<>0)
-    OR kind IN ('Mark','ModelLoad','ModelUnload','ProcFootprint') GROUP BY 1"""))
+    OR kind IN ('Mark','ModelLoad','ModelUnload','ProcFootprint','MetalHookSkipped','MetalHookDropped') GROUP BY 1"""))
 def b11_notability(spark, sf):
     return trace_log(spark, sf).where(filters.is_notable()).groupBy("session_key").agg(F.count(F.lit(1)).alias("notable"))
 
@@ -154,7 +155,10 @@ def b13_session_view_summary(spark, sf):
     return S.session_view(sessions(spark, sf), trace_log(spark, sf), "summary").select("session_key", "kind", "event_count")
 
 
-@query("b14_notice_feed", with_sql(TL, "SELECT session_key, event_ord, ts AS ts_mono_ns, 'mark' AS label, label AS summary FROM tl WHERE kind='Mark'"))
+@query("b14_notice_feed", with_sql(TL, """
+  SELECT session_key, event_ord, ts AS ts_mono_ns, 'mark' AS label, label AS summary FROM tl WHERE kind='Mark'
+  UNION ALL SELECT session_key, event_ord, ts, 'metal-hook', 'skipped: ' || CASE k WHEN 10 THEN 'stage sampling disabled' WHEN 40 THEN 'dispatch sampling disabled' ELSE 'ring decode error' END
+  FROM tl WHERE kind='MetalHookSkipped'"""))
 def b14_notice_feed(spark, sf):
     return rendering.notice_feed(trace_log(spark, sf))
 
@@ -195,7 +199,7 @@ _ATT = """ al AS (SELECT event_ord AS at_ord, ts AS at_ns, CASE WHEN kind='Mark'
 
 
 def _attachments(spark, sf):
-    e = ev(spark, sf).withColumn("kind", F.when((F.col("typ") == "signup") & (F.col("k") % 5 == 0), "attach")
+    e = ev(spark, sf).withColumn("kind", F.when((F.col("typ") == "signup") & (F.col("k") % 10 == 5), "attach")
                                  .when((F.col("typ") == "signup") & (F.col("k") % 5 == 2), "detach")).where("kind IS NOT NULL")
     log = e.select(F.col("event_ord").alias("at_ord"), (F.col("t") * 1000).alias("at_ns"), F.col("kind").alias("action"),
                    (F.col("k") % 5).alias("pid"), F.concat(F.lit("sess"), F.col("event_ord").cast("string")).alias("session_key"),
@@ -285,7 +289,7 @@ def d9_trailing_window(spark, sf):
 
 _BAND = TL + f""", fo AS (SELECT session_key, seq, ts, source FROM tl WHERE kind='MetalCbCompleted' AND error_code IS NOT NULL),
    bd AS (SELECT f.session_key, f.seq AS focal_seq, e.event_ord, e.kind, row_number() OVER (PARTITION BY f.session_key, f.seq ORDER BY
-      NOT ((e.kind='MetalCbCompleted' AND coalesce(e.error_code, 0)<>0) OR e.kind IN ('Mark','ModelLoad','ModelUnload','ProcFootprint')), abs(e.ts-f.ts), e.event_ord) AS rank
+      NOT ((e.kind='MetalCbCompleted' AND coalesce(e.error_code, 0)<>0) OR e.kind IN ('Mark','ModelLoad','ModelUnload','ProcFootprint','MetalHookSkipped','MetalHookDropped')), abs(e.ts-f.ts), e.event_ord) AS rank
     FROM fo f JOIN tl e ON e.session_key=f.session_key AND e.source<>f.source AND e.seq<>f.seq AND e.ts BETWEEN f.ts-{2 * DAY} AND f.ts+{2 * DAY})"""
 
 
@@ -362,18 +366,34 @@ _rule("mlx_cache_growth", with_sql(TL, """SELECT session_key, 'mlx_cache_growth'
 _rule("memory_pressure", with_sql(profile._OVER, """SELECT session_key, 'memory_pressure' AS rule, 0 AS finding_pos, CASE WHEN r>1.0 THEN 'Critical' ELSE 'Warning' END AS severity, 'ContributingFactor' AS category,
   CASE WHEN r>1.0 THEN 'Device memory over its budget (' ELSE 'Device memory near its budget (' END || CAST(round(r*100) AS BIGINT) || '%) in scope ' || sc AS title, po AS ev_seq
   FROM (SELECT session_key, max(peak_bytes::DOUBLE/500000000) AS r, arg_max(peak_scope, (peak_bytes, island)) AS sc, arg_max(peak_ord, (peak_bytes, island)) AS po FROM ov GROUP BY 1)"""))
-_rule("system_pressure")
+_rule("system_pressure", with_sql(TL, """SELECT session_key, 'system_pressure' AS rule, event_ord*4096 AS finding_pos, 'Warning' AS severity, 'SystemPressure' AS category,
+  'spindump using ' || printf('%.1f', (cents/1000.0)::FLOAT::DOUBLE) || '% CPU' AS title, seq AS ev_seq FROM tl WHERE kind='ProcTop' AND (cents/1000.0)::FLOAT>=5.0"""))
 _rule("duplicate-model-load", with_sql(TL + """, r AS (SELECT *, lag(kind) OVER (PARTITION BY session_key, path ORDER BY event_ord) AS pk FROM tl WHERE kind IN ('ModelLoad','ModelUnload'))""", """
   SELECT session_key, 'duplicate-model-load' AS rule, event_ord AS finding_pos, 'Warning' AS severity, 'ContributingFactor' AS category,
    'Model ' || substr(path, 4) || ' loaded again without an unload (' || printf('%.1f', size_bytes/1048576.0) || ' MB)' AS title, seq AS ev_seq FROM r WHERE kind='ModelLoad' AND pk='ModelLoad'"""))
-_rule("hook_degradation")
-_rule("lazy_eval_attribution")
-_rule("sidecar_absent")
-
-
-@query("j15_attribution_notices")
+_rule("hook_degradation", with_sql(TL, """SELECT session_key, 'hook_degradation' AS rule, p AS finding_pos, 'Warning' AS severity, 'ContributingFactor' AS category, title, ev_seq FROM (
+  SELECT session_key, 0 AS p, 'Op timing degraded: stage sampling disabled ' || count(*) || ' time(s)' AS title, min(seq) AS ev_seq FROM tl WHERE kind='MetalHookSkipped' AND k=10 GROUP BY 1
+  UNION ALL SELECT session_key, 1, 'Op timing degraded: dispatch sampling disabled ' || count(*) || ' time(s)', min(seq) FROM tl WHERE kind='MetalHookSkipped' AND k=40 GROUP BY 1
+  UNION ALL SELECT session_key, 2, 'Capture ring corruption: ' || count(*) || ' corrupt frame report(s)', min(seq) FROM tl WHERE kind='MetalHookSkipped' AND k=70 GROUP BY 1
+  UNION ALL SELECT session_key, 3, 'Capture ring overflow: ' || sum(k) || ' event(s) dropped', min(seq) FROM tl WHERE kind='MetalHookDropped' GROUP BY 1)"""))
+_LAZY = ATTRIB + """,
+   lz AS (SELECT session_key, CASE WHEN gpu_ns>0 AND eval_ord IS NOT NULL AND eval_leaf IS NULL THEN eval_ord END AS e, gpu_ns FROM att),
+   lg AS (SELECT session_key, CAST(sum(CASE WHEN e IS NOT NULL THEN gpu_ns ELSE 0 END)*100 // sum(gpu_ns) AS BIGINT) AS pct, min(e) AS fs FROM lz GROUP BY 1
+     HAVING min(e) IS NOT NULL AND sum(CASE WHEN e IS NOT NULL THEN gpu_ns ELSE 0 END)*100 // sum(gpu_ns) >= 50)"""
+_rule("lazy_eval_attribution", with_sql(_LAZY, """SELECT session_key, 'lazy_eval_attribution' AS rule, 0 AS finding_pos, 'Warning' AS severity, 'ContributingFactor' AS category,
+  'Attribution gap: ' || pct || '% of GPU time outside scopes' AS title, fs AS ev_seq FROM lg"""))
+_SIDE = """ si AS (SELECT session_key, count(*) AS n, count(*) FILTER (WHERE kind='MetalCbCompleted') AS cbs, min(seq) FILTER (WHERE kind='MetalCbCompleted') AS fs
+   FROM tl GROUP BY 1 HAVING count(*) FILTER (WHERE kind IN ('ModuleEntered','MlxEvalEntered','PythonSidecarHello'))=0)"""
+_rule("sidecar_absent", with_sql(TL + "," + _SIDE, """SELECT session_key, 'sidecar_absent' AS rule, 0 AS finding_pos, 'Info' AS severity, 'ContributingFactor' AS category,
+  CASE WHEN cbs=0 THEN 'No instrumented GPU workload in this session' ELSE 'Runtime agent never attached: GPU time cannot be attributed to scopes' END AS title, fs AS ev_seq FROM si"""))
+
+
+@query("j15_attribution_notices", with_sql(_LAZY + "," + _SIDE, """
+  SELECT t.session_key, count(*) FILTER (WHERE kind='MetalHookSkipped' AND k IN (10, 40)) AS sampling_disable_episodes,
+    CASE WHEN any_value(lg.pct) IS NOT NULL THEN 'LazyEval' WHEN max(si.cbs)>0 THEN 'SidecarAbsent' END AS gap_kind
+  FROM tl t LEFT JOIN lg ON lg.session_key=t.session_key LEFT JOIN si ON si.session_key=t.session_key GROUP BY 1"""))
 def j15_attribution_notices(spark, sf):
-    return rules.attribution_notices(profile._ctx(spark, sf))
+    return rules.attribution_notices(profile._ctx(spark, sf)).select("session_key", "sampling_disable_episodes", "gap_kind")
 
 
 @query("e17_sampling_episodes", "SELECT lang AS session_key, count(*) FILTER (WHERE contains(text, 'the') OR contains(text, 'der')) AS episodes FROM documents GROUP BY 1")

@@ -40,38 +40,46 @@ EV = f"""ev AS (
   FROM events)"""
 
 
-def _kind(typ, k):
+def _kind(typ, k, user):
+    # one session in ten has no runtime agent, every other of those no GPU either
     return (
-        F.when((typ == "click") & (k % 2 == 0), "ModuleEntered").when(typ == "click", "MlxEvalEntered")
+        F.when((user % 10 == 9) & (typ == "click"), "VmSample").when((user % 10 == 9) & (typ == "view"), "ThermalState")
+        .when((user % 20 == 19) & (typ == "error"), "VmSample")
+        .when((typ == "click") & (k % 2 == 0), "ModuleEntered").when(typ == "click", "MlxEvalEntered")
         .when((typ == "view") & (k % 2 == 0), "ModuleReturned").when(typ == "view", "MlxEvalReturned")
         .when((typ == "purchase") & (k % 3 == 0), "MetalCbCommitted")
         .when((typ == "purchase") & (k % 3 == 1), "MetalCbScheduled").when(typ == "purchase", "MetalCbOps")
         .when((typ == "error") & (k % 2 == 0), "MetalCbCompleted")
         .when((typ == "error") & (k % 6 == 5), "MlxMemoryPoll").when(typ == "error", "MetalDeviceMemSample")
-        .when(k % 5 == 0, "Mark").when(k % 5 == 1, "ModelLoad").when(k % 5 == 2, "ModelUnload")
+        .when(k % 10 == 5, "Mark").when(k % 30 == 0, "ProcTop").when(k % 30 == 10, "MetalHookSkipped")
+        .when(k % 5 == 0, "MetalHookDropped").when(k % 5 == 1, "ModelLoad").when(k % 5 == 2, "ModelUnload")
         .when((k % 5 == 3) & (k % 10 == 3), "MetalHeapAlloc").when(k % 5 == 3, "MetalHeapFree")
         .otherwise("ProcFootprint"))
 
 
 _KIND_SQL = """CASE
+  WHEN session_key%10=9 AND typ='click' THEN 'VmSample' WHEN session_key%10=9 AND typ='view' THEN 'ThermalState'
+  WHEN session_key%20=19 AND typ='error' THEN 'VmSample'
   WHEN typ='click' AND k%2=0 THEN 'ModuleEntered' WHEN typ='click' THEN 'MlxEvalEntered'
   WHEN typ='view' AND k%2=0 THEN 'ModuleReturned' WHEN typ='view' THEN 'MlxEvalReturned'
   WHEN typ='purchase' AND k%3=0 THEN 'MetalCbCommitted' WHEN typ='purchase' AND k%3=1 THEN 'MetalCbScheduled'
   WHEN typ='purchase' THEN 'MetalCbOps'
   WHEN typ='error' AND k%2=0 THEN 'MetalCbCompleted' WHEN typ='error' AND k%6=5 THEN 'MlxMemoryPoll'
   WHEN typ='error' THEN 'MetalDeviceMemSample'
-  WHEN k%5=0 THEN 'Mark' WHEN k%5=1 THEN 'ModelLoad' WHEN k%5=2 THEN 'ModelUnload'
+  WHEN k%10=5 THEN 'Mark' WHEN k%30=0 THEN 'ProcTop' WHEN k%30=10 THEN 'MetalHookSkipped' WHEN k%5=0 THEN 'MetalHookDropped'
+  WHEN k%5=1 THEN 'ModelLoad' WHEN k%5=2 THEN 'ModelUnload'
   WHEN k%5=3 AND k%10=3 THEN 'MetalHeapAlloc' WHEN k%5=3 THEN 'MetalHeapFree'
   ELSE 'ProcFootprint' END"""
 
 
 def _source(kind):
     return (F.when(kind.startswith("Metal"), "MetalHook").when(kind == "Mark", "Mark")
-            .when(kind == "ProcFootprint", "Proc").otherwise("PythonSidecar"))
+            .when(kind.isin("ProcFootprint", "ProcTop"), "Proc").when(kind == "VmSample", "Vm")
+            .when(kind == "ThermalState", "Thermal").otherwise("PythonSidecar"))
 
 
 _SOURCE_SQL = """CASE WHEN kind LIKE 'Metal%' THEN 'MetalHook' WHEN kind='Mark' THEN 'Mark'
-  WHEN kind='ProcFootprint' THEN 'Proc' ELSE 'PythonSidecar' END"""
+  WHEN kind IN ('ProcFootprint','ProcTop') THEN 'Proc' WHEN kind='VmSample' THEN 'Vm' WHEN kind='ThermalState' THEN 'Thermal' ELSE 'PythonSidecar' END"""
 
 
 _INGESTED: dict[tuple[str, str], DataFrame] = {}
@@ -89,7 +97,7 @@ def trace_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _trace_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = ev(spark, sf_dir).withColumn("kind", _kind(F.col("typ"), F.col("k")))
+    e = ev(spark, sf_dir).withColumn("kind", _kind(F.col("typ"), F.col("k"), F.col("session_key")))
     # the id of the latest scope enter, for returns and eval stacks; of the one
     # before it, for parents
     e = with_running(e, ["session_key"], ["event_ord"], {
@@ -97,7 +105,7 @@ def _trace_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         chunk=chunk_of(), before=True)
     k, kind, cents = F.col("k"), F.col("kind"), F.col("cents")
     is_kind = lambda *names: kind.isin(*names)
-    lane = F.floor(k / 6).cast("bigint") % 3
+    lane = F.call_function("div", k, F.lit(6)) % 3
     sized = lambda c: c.cast("bigint")
     stack = F.when((k % 4 == 1) | F.col("_open").isNull(), F.array().cast("array<bigint>")).otherwise(F.array("_open"))
     frames = F.when(k % 3 == 0, F.array(F.struct(
@@ -142,11 +150,20 @@ def _trace_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ops": F.when(is_kind("MetalCbOps"), ops),
         "allocated_bytes": F.when(is_kind("MetalDeviceMemSample"), cents * 100_000),
         "recommended_max_bytes": F.when(is_kind("MetalDeviceMemSample"), F.lit(500_000_000).cast("bigint")),
-        "active_bytes": F.when(is_kind("MlxMemoryPoll"), cents * 100_000),
+        "active_bytes": F.when(is_kind("MlxMemoryPoll"), cents * 100_000).when(is_kind("VmSample"), cents * 20),
+        "wired_bytes": F.when(is_kind("VmSample"), cents * 10), "compressed_bytes": F.when(is_kind("VmSample"), k),
+        "swap_used_bytes": F.when(is_kind("VmSample"), F.lit(0).cast("bigint")),
+        "page_outs_per_sec": F.when(is_kind("VmSample"), cents / 100), "level": F.when(is_kind("ThermalState"), k % 4),
+        "top": F.when(is_kind("ProcTop"), F.array(
+            F.struct(F.lit(1).cast("bigint").alias("pid"), F.lit("spindump").alias("name"), (cents / 1000).cast("float").alias("cpu_pct")),
+            F.struct(F.lit(2).cast("bigint").alias("pid"), F.lit("python").alias("name"), F.lit(90.0).cast("float").alias("cpu_pct")))),
+        "reason": F.when(is_kind("MetalHookSkipped"), F.when(k == 10, "stage sampling disabled").when(
+            k == 40, "dispatch sampling disabled").otherwise("ring decode error")),
+        "dropped_count": F.when(is_kind("MetalHookDropped"), k),
         "peak_bytes": F.when(is_kind("MlxMemoryPoll"), cents * 150_000),
         "cache_bytes": F.when(is_kind("MlxMemoryPoll"), (cents * 37 % 20011) * 200_000),
-        "heap_id": F.when(is_kind("MetalHeapAlloc", "MetalHeapFree"), F.floor(k / 10).cast("bigint") % 4),
-        "path": F.when(is_kind("ModelLoad", "ModelUnload"), F.concat(F.lit("/m/f"), (F.floor(k / 5).cast("bigint") % 3).cast("string"), F.lit(".bin"))),
+        "heap_id": F.when(is_kind("MetalHeapAlloc", "MetalHeapFree"), F.call_function("div", k, F.lit(10)) % 4),
+        "path": F.when(is_kind("ModelLoad", "ModelUnload"), F.concat(F.lit("/m/f"), (F.call_function("div", k, F.lit(5)) % 3).cast("string"), F.lit(".bin"))),
         "size_bytes": F.when(is_kind("ModelLoad", "MetalHeapAlloc"), cents),
         "t_start_ns": F.when(is_kind("ModelLoad"), F.lit(1000).cast("bigint")),
         "t_end_ns": F.when(is_kind("ModelLoad"), sized(1000 + cents * 1_000_000)),
