@@ -7,12 +7,25 @@ from pyspark.sql import Column, functions as F
 NAME_MAX_BYTES = 200
 
 
+def _in_units(b: Column, unit: int, digits: int) -> Column:
+    """b / unit as text, rounded half to even in whole-number arithmetic."""
+    div = lambda x, y: F.call_function("div", x, F.lit(y))
+    scale = 10**digits
+    rest = (b * scale) % unit
+    whole = div(b * scale, unit)
+    up = (rest > unit // 2) | ((rest == unit // 2) & (whole % 2 == 1))
+    n = whole + up.cast("int")
+    if digits == 0:
+        return n.cast("string")
+    return F.concat(div(n, scale).cast("string"), F.lit("."), F.lpad((n % scale).cast("string"), digits, "0"))
+
+
 def binary_bytes(b: Column) -> Column:
     kib, mib, gib = 1024, 1024**2, 1024**3
-    return (F.when(b >= gib, F.format_string("%.2f GiB", b / gib))
-            .when(b >= mib, F.format_string("%.1f MiB", b / mib))
-            .when(b >= kib, F.format_string("%.0f KiB", b / kib))
-            .otherwise(F.format_string("%d B", b)))
+    return (F.when(b >= gib, F.concat(_in_units(b, gib, 2), F.lit(" GiB")))
+            .when(b >= mib, F.concat(_in_units(b, mib, 1), F.lit(" MiB")))
+            .when(b >= kib, F.concat(_in_units(b, kib, 0), F.lit(" KiB")))
+            .otherwise(F.concat(b.cast("string"), F.lit(" B"))))
 
 
 def decimal_gb(b: Column) -> Column:

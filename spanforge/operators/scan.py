@@ -93,7 +93,8 @@ def with_running(
     outer = Window.partitionBy(*keys).orderBy("_chunk")
     carries = totals.select(
         *parts,
-        *[_window_agg(fn, F.col(f"_t_{n}")).over(frame(outer, fn, carry=True)).alias(f"_c_{n}")
+        *[_window_agg("sum" if fn == "count" else fn, F.col(f"_t_{n}"))
+          .over(frame(outer, fn, carry=True)).alias(f"_c_{n}")
           for n, (fn, _) in aggs.items()])
     joined = local.join(carries, parts, "left")
     return joined.select(

@@ -9,7 +9,7 @@ from spanforge.operators.scan import chunk_of
 from spanforge.plans import report, rules
 from spanforge.queries import profile
 from spanforge.queries.profile import CELL, GAP
-from spanforge.queries.registry import query
+from spanforge.queries.registry import ORACLES, query
 from spanforge.queries.views import (ATTRIB, BUFFERS, GRACE_NS, HOUR_NS, SESSIONS, TL, WINDOWS, ev, sessions, table,
                                      trace_log, with_sql)
 from spanforge.sinks import files, trace
@@ -404,7 +404,10 @@ def e17_sampling_episodes(spark, sf):
         F.col("lang").alias("session_key"), F.lit("MetalHookSkipped").alias("kind"), F.concat(F.lit("x "), marks).alias("reason")))
 
 
-@query("k1_findings_per_session")
+_ALL_FINDINGS = " UNION ALL ".join(f"(SELECT session_key, rule, severity FROM ({ORACLES['j_' + n.replace('-', '_')]}))" for n in rules.RULES)
+
+
+@query("k1_findings_per_session", f"SELECT session_key, rule, severity, count(*) AS n FROM ({_ALL_FINDINGS}) GROUP BY 1, 2, 3")
 def k1_findings_per_session(spark, sf):
     e = trace_log(spark, sf)
     found = report.analyze(e, grace_ns=GRACE_NS, cell=CELL, band_ns=GAP, gap_ns=GAP, chunk=chunk_of())
@@ -482,7 +485,7 @@ def m8_queue_state(spark, sf):
 
 @query("m9_latest_values", with_sql(TL, """
   SELECT session_key, count(*) AS events_total, arg_max(cache_bytes, event_ord) FILTER (WHERE kind='MlxMemoryPoll') AS cache_bytes,
-   list_sort(list(DISTINCT stream) FILTER (WHERE stream IS NOT NULL)) AS streams_seen, max(ts) AS last_ts_mono_ns FROM tl GROUP BY 1"""))
+   coalesce(list_sort(list(DISTINCT stream) FILTER (WHERE stream IS NOT NULL)), []) AS streams_seen, max(ts) AS last_ts_mono_ns FROM tl GROUP BY 1"""))
 def m9_latest_values(spark, sf):
     return live.latest_values(trace_log(spark, sf)).select(
         "session_key", "events_total", F.col("mlx_memory.cache_bytes").alias("cache_bytes"), "streams_seen", "last_ts_mono_ns")
