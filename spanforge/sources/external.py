@@ -22,8 +22,8 @@ _BODY = """pid bigint, procName string,
 
 def read_report_files(spark: SparkSession, path: str, *, pattern: str = "*.ips") -> DataFrame:
     """Report files as (path, mtime_ns, text)."""
-    return (spark.read.option("wholetext", "true").option("pathGlobFilter", pattern)
-            .option("recursiveFileLookup", "true").text(path)
+    return (spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+            .text(path, wholetext=True)
             .select(F.col("_metadata.file_path").alias("path"),
                     (F.unix_micros("_metadata.file_modification_time") * 1000).alias("mtime_ns"),
                     F.col("value").alias("text")))

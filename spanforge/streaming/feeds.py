@@ -54,15 +54,22 @@ def latest_values(events: DataFrame) -> DataFrame:
     return live.latest_values(events)
 
 
-def incident_slices(events: DataFrame, *, window: str = "60 seconds", delay: str = "10 seconds") -> DataFrame:
-    """Each incident with the events of the window before it, as an interval join."""
-    triggers = filters.union_sources(events).withColumn("incident_label", filters.incident_label()).where(
+def incident_slices(events: DataFrame, *, seconds: int = 60, delay: str = "10 seconds") -> DataFrame:
+    """Each incident with the events of the window before it, as an interval join.
+
+    Both sides carry the number of the window-wide cell their time falls into;
+    an incident looks into its own cell and the one before.
+    """
+    cell = lambda c: F.call_function("div", F.unix_micros(c), F.lit(seconds * 1_000_000))
+    triggers = events.withColumn("incident_label", filters.incident_label()).where(
         F.col("incident_label").isNotNull()).select(
         F.concat_ws("-", "session_key", F.col("event_ord").cast("string")).alias("incident_key"), "incident_label",
         F.col("event_time").alias("incident_time")).withWatermark("incident_time", delay)
-    rows = events.withWatermark("event_time", delay)
-    return rows.join(triggers, F.expr(
-        f"event_time BETWEEN incident_time - INTERVAL {window} AND incident_time"), "inner")
+    own = cell(F.col("incident_time"))
+    triggers = triggers.withColumn("_cell", F.explode(F.array(own - 1, own)))
+    rows = events.withWatermark("event_time", delay).withColumn("_cell", cell(F.col("event_time")))
+    inside = F.expr(f"event_time BETWEEN incident_time - INTERVAL {seconds} SECONDS AND incident_time")
+    return rows.join(triggers, (rows["_cell"] == triggers["_cell"]) & inside, "inner").drop("_cell")
 
 
 def new_reports(reports: DataFrame, *, own_process: str, delay: str = "1 hour") -> DataFrame:
