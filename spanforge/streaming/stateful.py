@@ -33,7 +33,7 @@ class _Gaps(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.top = handle.getValueState("max_seq", "seq bigint")
 
-    def handleInputRows(self, key, rows, timers):
+    def handleInputRows(self, key, rows, timerValues):
         top = self.top.get()[0] if self.top.exists() else None
         out = []
         for r in _rows(rows):
@@ -70,7 +70,7 @@ class _Clamp(StatefulProcessor):
         state.removeKey((key,))
         return value
 
-    def handleInputRows(self, key, rows, timers):
+    def handleInputRows(self, key, rows, timerValues):
         out = []
         for r in _rows(rows):
             cb, ts = int(r.cb_id), int(r.ts_mono_ns)
@@ -122,7 +122,7 @@ class _Overdue(StatefulProcessor):
             self.handle.deleteTimer(self.commit.get()[1] + self.limit_ms)
             self.commit.clear()
 
-    def handleInputRows(self, key, rows, timers):
+    def handleInputRows(self, key, rows, timerValues):
         for r in _rows(rows):
             self._drop_timer()
             if r.kind == "MetalCbCommitted":
@@ -131,7 +131,7 @@ class _Overdue(StatefulProcessor):
                 self.handle.registerTimer(ms + self.limit_ms)
         yield pd.DataFrame([], columns=["session_key", "cb_id", "queue_id", "commit_ord"])
 
-    def handleExpiredTimer(self, key, timers, expired):
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         out = []
         if self.commit.exists():
             got = self.commit.get()
@@ -145,9 +145,11 @@ class _Overdue(StatefulProcessor):
 
 def open_too_long(events: DataFrame, *, limit_ns: int = 5 * NS_PER_SEC, delay: str = "1 second") -> DataFrame:
     """Buffers still open ``limit_ns`` after their commit, once each."""
-    rows = (events.where(F.col("kind").isin("MetalCbCommitted", "MetalCbCompleted"))
-            .select("session_key", "cb_id", "queue_id", "event_ord", "kind", "ts_wall_ns", "event_time")
-            .withWatermark("event_time", delay))
+    # the filter names the event time so that it stays above the watermark: every
+    # event moves the clock, not only commits and completions
+    wanted = F.when(F.col("event_time").isNotNull(), F.col("kind").isin("MetalCbCommitted", "MetalCbCompleted"))
+    rows = events.withWatermark("event_time", delay).where(wanted).select(
+        "session_key", "cb_id", "queue_id", "event_ord", "kind", "ts_wall_ns", "event_time")
     return rows.groupBy("session_key", "cb_id").transformWithStateInPandas(
         _Overdue(limit_ns // 1_000_000), "session_key string, cb_id bigint, queue_id bigint, commit_ord bigint",
         "Append", "EventTime")
@@ -158,7 +160,7 @@ class _Queue(StatefulProcessor):
         self.flying = handle.getMapState("flying", "cb bigint", "ts bigint")
         self.last = handle.getValueState("last", "depth bigint, status bigint, error bigint")
 
-    def handleInputRows(self, key, rows, timers):
+    def handleInputRows(self, key, rows, timerValues):
         depth, status, error = self.last.get() if self.last.exists() else (0, None, None)
         seen = None
         for r in _rows(rows):
@@ -201,7 +203,7 @@ class _Recent(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.items = handle.getListState("items", "ord bigint, ts bigint, text string")
 
-    def handleInputRows(self, key, rows, timers):
+    def handleInputRows(self, key, rows, timerValues):
         items = list(self.items.get()) if self.items.exists() else []
         items += [(int(r.event_ord), int(r.ts_mono_ns), r.text) for r in _rows(rows)]
         items = items[-self.n:]
