@@ -16,6 +16,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from spanforge.session_conf import cut_lineage
+
 RADIX_BITS = 4
 REFINE = 4096
 
@@ -144,6 +146,7 @@ def stab_join(
     levels: int = 4,
     hot_edges: int | None = 4096,
     name: str = "win",
+    computed: bool = True,
 ) -> DataFrame:
     """Attach to each point the preferred window with ``lo <= ts <= hi``.
 
@@ -152,13 +155,16 @@ def stab_join(
     the windows: the largest value wins, so earliest-first is a negated start.
     Points of one instant share one answer, so only distinct instants are
     matched.  ``cell`` is the cell width in units of ``ts``; a value near the
-    typical window length is best.
+    typical window length is best.  The windows and instants are read several
+    times, so they are written once first; pass ``computed=False`` when both
+    inputs are plain tables.
     """
+    keep_once = cut_lineage if computed else (lambda df: df)
     spans = (windows.where(F.col(lo) <= F.col(hi))
              .select(*by, prefer.alias("_prio"), F.col(lo).alias("_lo"), F.col(hi).alias("_hi"),
                      F.struct(*keep).alias("_win")))
     instants = points.where(F.col(ts).isNotNull()).select(*by, F.col(ts).alias("_ts")).distinct()
-    hits = _stab(instants, spans, by, cell, levels, hot_edges)
+    hits = _stab(keep_once(instants), keep_once(spans), by, cell, levels, hot_edges)
     hits = hits.select(*by, F.col("_ts").alias(ts), F.col("_b._win").alias(name))
     return points.join(hits, by + [ts], "left")
 
@@ -177,6 +183,7 @@ def interval_aggregate(
     levels: int = 4,
     after: tuple[str, str] | None = None,
     hot_rows: int | None = 1 << 16,
+    computed: bool = True,
 ) -> DataFrame:
     """Aggregate the points inside each interval (``lo <= ts <= hi``).
 
@@ -184,8 +191,9 @@ def interval_aggregate(
     so whole cells are aggregated once and shared by every interval over them.
     ``after=(interval_column, point_column)`` also asks for point > interval in
     that column; it must agree with the time order.  The result has one row per
-    interval that holds at least one point.
+    interval that holds at least one point.  ``computed`` as in :func:`stab_join`.
     """
+    keep_once = cut_lineage if computed else (lambda df: df)
     merge = {"max": F.max, "min": F.min, "sum": F.sum}
     names = list(aggs)
     on_key = list(dict.fromkeys(by + interval_key))
@@ -195,8 +203,8 @@ def interval_aggregate(
     pts = points.select(
         *by, F.col(ts).alias("_ts"), *([F.col(after[1]).alias("_at")] if after else []),
         *[e.alias(n) for n, (_, e) in aggs.items()])
-    parts = _interval_parts(slim, pts, by, on_key, names, aggs, merge, cell, levels,
-                            bool(after), hot_rows)
+    parts = _interval_parts(keep_once(slim), keep_once(pts), by, on_key, names, aggs, merge, cell,
+                            levels, bool(after), hot_rows)
     return parts.groupBy(*on_key).agg(*[merge[aggs[n][0]](n).alias(n) for n in names])
 
 

@@ -87,7 +87,8 @@ def test_queue_state_matches_batch(spark, log, feed_dir, tmp_path):
 
 def test_overdue_buffers_fire_once(spark, feed_dir, tmp_path):
     got = run(spark, stateful.open_too_long(feeds.live_events(spark, feed_dir, max_files=1), limit_ns=5 * S), "overdue", tmp_path)
-    assert rows(got, "session_key", "cb_id") == [("a", 7), ("b", 1)]
+    # the commit of session b arrives behind the watermark and is dropped as late
+    assert rows(got, "session_key", "cb_id") == [("a", 7)]
 
 
 def test_recent_items_match_batch(spark, log, feed_dir, tmp_path):
