@@ -9,6 +9,7 @@ from spanforge.operators import pairing
 from spanforge.operators.scan import chunk_of, with_running
 from spanforge.operators.stab import stab_join
 from spanforge.schema import NS_PER_SEC
+from spanforge.session_conf import cut_lineage
 
 UNSCOPED = "<unscoped>"
 UNSCOPED_ID = -1
@@ -283,7 +284,7 @@ def dispatch_origins(events: DataFrame, *, grace_ns: int = pairing.ASYNC_GRACE_N
     frame, else the innermost scope as ``scope:<name>``; ops in neither drop.
     """
     if ops is None:
-        ops = clamped_ops(cb_events(events, chunk=chunk), chunk=chunk)
+        ops = cut_lineage(clamped_ops(cb_events(events, chunk=chunk), chunk=chunk))
     evals = pairing.eval_windows(events, grace_ns=grace_ns, chunk=chunk).where(F.col("top_frame").isNotNull())
     scopes = pairing.scope_windows(events)
     hit = attribute(ops, evals, scopes, ts="ts_mono_ns", grace_ns=grace_ns, cell=cell, latest_eval=True)

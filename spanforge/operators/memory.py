@@ -9,6 +9,7 @@ from spanforge.operators.scan import chunk_of, with_running
 from spanforge.operators.sequences import islands
 from spanforge.operators.stab import interval_aggregate
 from spanforge.schema import NS_PER_SEC
+from spanforge.session_conf import cut_lineage
 
 _DEFAULT_CELL = NS_PER_SEC
 
@@ -144,10 +145,9 @@ def open_scope_at(events: DataFrame, points: DataFrame, *, cell: int = _DEFAULT_
 
     scopes = pairing.scope_windows(events) if scopes is None else scopes
     spans = scopes.select("session_key", "enter_ord", "qualname",
-                          (F.coalesce("ret_ord", F.lit(1 << 62)) - 1).alias("ret_ord"))
+                          F.coalesce(F.col("ret_ord") - 1, F.col("end_ord")).alias("ret_ord"))
     return stab_join(points, spans, by=["session_key"], ts="event_ord", lo="enter_ord", hi="ret_ord",
-                     prefer=F.col("enter_ord"), keep=["qualname"], cell=4096, levels=13,
-                     name="scope")
+                     prefer=F.col("enter_ord"), keep=["qualname"], cell=4096, name="scope")
 
 
 def over_budget_windows(events: DataFrame, *, threshold: float = 0.9, gap_ns: int = 5 * NS_PER_SEC,
@@ -168,7 +168,7 @@ def over_budget_windows(events: DataFrame, *, threshold: float = 0.9, gap_ns: in
                     keep=ratio >= threshold, gap=gap_ns, chunk=chunk,
                     aggs=[F.min("ts_mono_ns").alias("start_ts_mono_ns"),
                           F.max("ts_mono_ns").alias("end_ts_mono_ns"), peak.alias("p")])
-    spans = spans.select("session_key", "island", "start_ts_mono_ns", "end_ts_mono_ns", "p.*")
+    spans = cut_lineage(spans.select("session_key", "island", "start_ts_mono_ns", "end_ts_mono_ns", "p.*"))
     with_scope = open_scope_at(events, spans, scopes=scopes)
     return with_scope.withColumns({
         "peak_scope": F.coalesce("scope.qualname", F.lit("<unscoped>")),

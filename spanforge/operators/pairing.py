@@ -59,9 +59,9 @@ def eval_windows(events: DataFrame, *, grace_ns: int = ASYNC_GRACE_NS,
 
 
 def session_end(events: DataFrame) -> DataFrame:
-    """Time of the last event of each session, in log order."""
+    """Time and position of the last event of each session, in log order."""
     return events.groupBy("session_key").agg(
-        F.max_by("ts_mono_ns", "event_ord").alias("end_ts"))
+        F.max_by("ts_mono_ns", "event_ord").alias("end_ts"), F.max("event_ord").alias("end_ord"))
 
 
 def scope_calls(events: DataFrame, *, chunk: Column | None = None) -> DataFrame:

@@ -144,7 +144,7 @@ class Breakdown:
         # feeds the clamp, the buffers and the diagnostics
         self.cbs = cut_lineage(gpu.cb_events(events, chunk=chunk))
         self.ops_events = gpu.clamped_ops(self.cbs, chunk=chunk)
-        self.buffers = gpu.command_buffers(events, cbs=self.cbs, ops=self.ops_events)
+        self.buffers = cut_lineage(gpu.command_buffers(events, cbs=self.cbs, ops=self.ops_events))
         self.attributed = gpu.attributed_buffers(
             events, grace_ns=grace_ns, cell=cell, calls=self.calls, evals=self.evals, buffers=self.buffers,
             scopes=self.scopes)

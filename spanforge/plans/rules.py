@@ -17,6 +17,7 @@ from spanforge.functions.text import basename, decimal_gb
 from spanforge.operators import gpu, memory, pairing, sequences
 from spanforge.operators.scan import chunk_of
 from spanforge.schema import FINDING_COLUMNS, NS_PER_SEC
+from spanforge.session_conf import cut_lineage
 
 RULES: dict[str, Callable[["RuleContext"], DataFrame]] = {}
 
@@ -78,7 +79,7 @@ class RuleContext:
 
     @cached_property
     def buffers(self) -> DataFrame:
-        return gpu.command_buffers(self.events, chunk=self.chunk)
+        return cut_lineage(gpu.command_buffers(self.events, chunk=self.chunk))
 
 
 def evidence(seq: Column, ts: Column, text: Column) -> Column:
