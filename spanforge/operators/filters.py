@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from spanforge.operators.scan import with_position
+from spanforge.operators.scan import chunk_of, with_position
 from spanforge.schema import CB_HISTORY_KINDS, ROUTINE_KINDS, SOURCES
 
 
@@ -29,13 +29,17 @@ def filter_events(events: DataFrame, **conditions) -> DataFrame:
     return events.where(event_filter(**conditions))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows with their position among their session's rows, for pages of any depth."""
+    return with_position(rows, ["session_key"], ["event_ord"], "row", chunk=chunk_of())
+
+
 def query_events(events: DataFrame, *, limit: int = 1000, **conditions) -> DataFrame:
     """First ``limit`` matching events per session with matched, total and truncated."""
     cond = event_filter(**conditions)
     counts = events.groupBy("session_key").agg(
         F.count(F.lit(1)).alias("total"), F.count_if(cond).alias("matched"))
-    w = Window.partitionBy("session_key").orderBy("event_ord")
-    page = events.where(cond).withColumn("row", F.row_number().over(w)).where(F.col("row") <= limit)
+    page = _numbered(events.where(cond)).where(F.col("row") <= limit)
     return page.join(counts, "session_key").withColumn("truncated", F.col("matched") > limit)
 
 
@@ -47,10 +51,7 @@ def cb_history(events: DataFrame, *, queue_id: int | None = None, offset: int =
         rows = rows.where(F.col("queue_id") == queue_id)
     total = events.groupBy("session_key").agg(F.count(F.lit(1)).alias("total"))
     matched = rows.groupBy("session_key").agg(F.count(F.lit(1)).alias("matched"))
-    w = Window.partitionBy("session_key").orderBy("event_ord")
-    # the upper bound is pushed below the shuffle as a per-session limit
-    page = (rows.withColumn("row", F.row_number().over(w)).where(F.col("row") <= offset + limit)
-            .where(F.col("row") > offset))
+    page = _numbered(rows).where(F.col("row").between(offset + 1, offset + limit))
     return (page.join(matched, "session_key").join(total, "session_key")
             .withColumn("truncated", F.col("matched") > offset + limit))
 

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from spanforge.operators.pairing import POST_MORTEM_PREFIX
+from spanforge.operators.scan import chunk_of, with_position, with_running
+
+# Spark's default spark.sql.optimizer.windowGroupLimitThreshold
+GROUP_LIMIT = 1000
 
 
 def resolve_refs(sessions: DataFrame, refs: list[str]) -> DataFrame:
@@ -100,8 +104,6 @@ def route_events(events: DataFrame, attachments: DataFrame, *, ambient_key: str,
     'latest attach or detach' over the merged log, so no event meets more than
     its own key's latest state.
     """
-    from spanforge.operators.scan import chunk_of, with_running
-
     att = attachments
     log = att.select(F.col("attach_ord").alias("_o"), F.lit(True).alias("_on"), "pid", "scope_token",
                      F.col("session_key").alias("_sess"), "attach_ord").unionByName(
@@ -140,6 +142,16 @@ def route_events(events: DataFrame, attachments: DataFrame, *, ambient_key: str,
 
 
 def recent(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
-    """The last ``n`` rows of each group."""
+    """The last ``n`` rows of each group, ranked latest first.
+
+    Up to Spark's group-limit threshold older rows drop before the shuffle; a
+    larger ``n`` first finds each group's cut-off from positions counted in
+    chunks, so that only ``n`` rows of a group ever meet.
+    """
+    if n > GROUP_LIMIT:
+        chunk = chunk_of(order)
+        total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
+        df = (with_position(df, keys, [order], "_pos", chunk=chunk).join(total, keys)
+              .where(F.col("_pos") > F.col("_total") - n).drop("_pos", "_total"))
     w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)

@@ -117,11 +117,11 @@ def prune(tree: DataFrame, *, max_depth: int | None = None, min_ns: int = 0,
     if min_ns > 0:
         out = _keep_if_all_ancestors(out, out.where(F.col("gpu_ns_subtree") < min_ns), keys, node)
     if top_n is not None:
-        # rank siblings: a fixed number per parent stays, the rest is dropped
         w = Window.partitionBy(*keys, F.coalesce(F.col(parent).cast("string"), F.lit("<root>"))).orderBy(
             F.col("gpu_ns_subtree").desc(), F.col(node))
-        ranked = out.withColumn("_r", F.row_number().over(w))
-        out = _keep_if_all_ancestors(out, ranked.where(F.col("_r") > top_n), keys, node)
+        # the kept ones are ranked under a group limit; the dropped ones are the rest
+        kept = out.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top_n)
+        out = _keep_if_all_ancestors(out, out.join(kept.select(*keys, node), keys + [node], "left_anti"), keys, node)
     return out
 
 

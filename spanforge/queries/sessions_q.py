@@ -76,7 +76,7 @@ def a10_change_feed(spark, sf):
    FROM tl WHERE lower(kind)='mlxevalentered' AND ts>={LO}) f JOIN (SELECT session_key, count(*) AS total FROM tl GROUP BY 1) t USING (session_key) WHERE rn<=3"""))
 def b3_query_events(spark, sf):
     return filters.query_events(trace_log(spark, sf), limit=3, kind="mlxevalENTERED", from_ts=LO).select(
-        "session_key", "event_ord", F.col("row").cast("bigint").alias("row"), "matched", "total", "truncated")
+        "session_key", "event_ord", "row", "matched", "total", "truncated")
 
 
 @query("b4_cb_history", with_sql(TL, """
@@ -85,7 +85,7 @@ def b3_query_events(spark, sf):
    FROM tl WHERE kind IN ('MetalCbCommitted','MetalCbScheduled','MetalCbCompleted','MetalHeapAlloc','MetalHeapFree') AND queue_id=0) WHERE rn BETWEEN 3 AND 7"""))
 def b4_cb_history(spark, sf):
     return filters.cb_history(trace_log(spark, sf), queue_id=0, offset=2, limit=5).select(
-        "session_key", "event_ord", F.col("row").cast("bigint").alias("row"), "matched", "truncated")
+        "session_key", "event_ord", "row", "matched", "truncated")
 
 
 @query("b5_resolve_refs", with_sql(SESSIONS, """
