@@ -7,7 +7,9 @@ Time is cut into cells.  An interval contributes
 Covers of one tree node are reduced to the single winner (stab join) or points
 of one node to one partial aggregate (interval aggregate) before they meet, so
 long intervals never fan out over every cell they span.  Cells with too many
-edges are cut again into finer cells, so a burst does not end in one task.
+edges (or, for aggregates, points) are cut again into finer cells, so a burst
+does not end in one task and no row is compared with more than a fixed number
+of others.
 """
 
 from __future__ import annotations
@@ -182,7 +184,7 @@ def interval_aggregate(
     cell: int,
     levels: int = 4,
     after: tuple[str, str] | None = None,
-    hot_rows: int | None = 1 << 16,
+    hot_rows: int | None = 4096,
     computed: bool = True,
 ) -> DataFrame:
     """Aggregate the points inside each interval (``lo <= ts <= hi``).

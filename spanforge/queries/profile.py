@@ -367,7 +367,41 @@ def a11_folded_stacks(spark, sf):
     return tree.folded_stacks(_breakdown(spark, sf).tree)
 
 
-@query("l8_breakdown_trace")
+@query("l8_breakdown_trace", with_sql(TREE + """,
+   d AS (SELECT *, greatest(1, gpu_ns_subtree//1000) AS dur FROM nodes),
+   o AS (SELECT *, coalesce(sum(dur) OVER (PARTITION BY session_key, coalesce(parent_call_id, -99) ORDER BY gpu_ns_subtree DESC, node_id
+       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM d),
+   st AS (SELECT n.session_key, n.node_id, any_value(n.qualname) AS qualname, any_value(n.depth) AS depth, any_value(n.dur) AS dur, sum(a.off) AS ts
+       FROM (SELECT *, unnest(path) AS anc FROM d) n JOIN o a ON a.session_key=n.session_key AND a.node_id=n.anc GROUP BY 1, 2),
+   oo AS (SELECT *, greatest(1, gpu_ns//1000) AS dur, coalesce(sum(greatest(1, gpu_ns//1000)) OVER (PARTITION BY session_key, node_id ORDER BY gpu_ns DESC, name
+       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM nopk)""", """
+  SELECT session_key, qualname AS name, CAST(ts AS BIGINT) AS ts, CAST(dur AS BIGINT) AS dur, CAST(depth AS BIGINT) AS tid FROM st
+  UNION ALL SELECT oo.session_key, oo.name, CAST(st.ts+oo.off AS BIGINT), CAST(oo.dur AS BIGINT), CAST(st.depth+1 AS BIGINT) FROM oo JOIN st ON st.session_key=oo.session_key AND st.node_id=oo.node_id"""))
 def l8_breakdown_trace(spark, sf):
     b = _breakdown(spark, sf)
-    return tree.breakdown_trace(b.tree, b.reachable_ops())
+    return tree.breakdown_trace(b.tree, b.reachable_ops()).select(
+        "session_key", "name", "ts", "dur", F.col("tid").cast("bigint").alias("tid"))
+
+
+@query("k5_breakdown_response", with_sql(TREE + ", keep AS (SELECT * FROM nodes WHERE depth<1 AND gpu_ns_subtree>=1)", """
+  SELECT o.session_key, o.node_id, o.key AS name, o.gpu_ns, o.rank FROM (SELECT *, row_number() OVER (PARTITION BY session_key, node_id ORDER BY gpu_ns DESC, key) AS rank FROM (
+    SELECT session_key, node_id, coalesce(op_kind, symbol, name) AS key, CAST(sum(gpu_ns) AS BIGINT) AS gpu_ns FROM nopk GROUP BY 1, 2, 3)) o
+  JOIN keep k ON k.session_key=o.session_key AND k.node_id=o.node_id WHERE o.rank<=2"""))
+def k5_breakdown_response(spark, sf):
+    _, ops = _breakdown(spark, sf).response(max_depth=1, min_ns=1, group_by="kind", top_ops=2)
+    return ops.select("session_key", "node_id", "name", "gpu_ns", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("k6_memory_notes", with_sql(TL, """
+  SELECT session_key, max(CASE WHEN kind='MetalCbCompleted' THEN 1 ELSE 0 END) AS has_gpu FROM tl GROUP BY 1
+  HAVING count(*) FILTER (WHERE kind IN ('ModuleEntered','MlxEvalEntered'))=0"""))
+def k6_memory_notes(spark, sf):
+    notes = report.memory_response(trace_log(spark, sf), cell=CELL, grace_ns=GRACE_NS)["notes"]
+    return notes.select("session_key", F.when(F.col("note").contains("captured"), 1).otherwise(0).alias("has_gpu"))
+
+
+@query("d14_scopes_only_in_b", with_sql(_SCOPEMAP, """
+  SELECT pair_id, qualname, gpu_ns FROM pr JOIN smap r ON r.session_key=pr.sb WHERE NOT EXISTS (SELECT 1 FROM smap x WHERE x.session_key=pr.sa AND x.qualname=r.qualname)"""))
+def d14_scopes_only_in_b(spark, sf):
+    b = _breakdown(spark, sf)
+    return diff.diff_scopes(session_pairs(b.events), b.tree)["only_in_b"]

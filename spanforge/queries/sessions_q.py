@@ -419,6 +419,35 @@ def k2_root_cause(spark, sf):
     return report.root_cause(report.analyze(trace_log(spark, sf), names=["metal_error"]))
 
 
+@query("k4_external_findings", with_sql(_REPORTS + """,
+   cr AS (SELECT session_key, path FROM (SELECT b.session_key, r.path, row_number() OVER (PARTITION BY b.session_key ORDER BY r.dir_rank, r.mtime_ns DESC, r.path) AS rn
+     FROM bnd b JOIN rep r ON r.pid=b.kind_pid AND r.mtime_ns BETWEEN b.start_ns AND coalesce(b.end_ns, 9e18::BIGINT)+120000000000 WHERE b.exit_code IS NULL OR b.exit_code<>0) WHERE rn=1),
+   fp AS (SELECT session_key, arg_min(phys, event_ord) AS a, arg_max(phys, event_ord) AS z FROM tl WHERE kind='ProcFootprint' AND is_root GROUP BY 1),
+   rcs AS (SELECT session_key FROM tl WHERE kind='MetalCbCompleted' AND error_code=1 UNION SELECT session_key FROM cr)""", """
+  SELECT session_key, 'crash_report' AS rule, 'Critical' AS severity FROM cr
+  UNION ALL SELECT s.session_key, 'presumed_memory_death', 'Warning' FROM sess s JOIN fp USING (session_key) WHERE s.kind='Scoped' AND fp.a<>0 AND fp.z>=fp.a*2.0
+    AND (s.exit_code=-1 OR (s.exit_code IS NULL AND s.ended_rfc3339 IS NOT NULL)) AND s.session_key NOT IN (SELECT session_key FROM rcs)"""))
+def k4_external_findings(spark, sf):
+    e = trace_log(spark, sf)
+    s = sessions(spark, sf).withColumns({"term_signal": F.lit(None).cast("int"), "kind_argv": F.lit(None).cast("array<string>")})
+    crashes = _reports(spark, sf).withColumns({"signal": F.lit("SIGABRT"), "summary": F.lit("gpu"), "exception_codes": F.array(F.lit("c"))})
+    kills = e.where(F.lit(False)).select("path", F.col("ts_wall_ns").alias("mtime_ns"), "killed_pid", "killed_name", "footprint_bytes", "lifetime_max_bytes", "reason")
+    found = report.session_summary(s, e, crashes, kills, names=["metal_error"])
+    return found.where(F.col("rule") != "metal_error").select("session_key", "rule", "severity")
+
+
+@query("k3_report_sections", with_sql(TL + """,
+   r AS (SELECT *, lag(kind) OVER (PARTITION BY session_key, path ORDER BY event_ord) AS pk FROM tl WHERE kind IN ('ModelLoad','ModelUnload')),
+   f AS (SELECT session_key, 2 AS section, 2 AS n FROM r WHERE kind='ModelLoad' AND pk='ModelLoad'
+     UNION ALL SELECT session_key, 2, 1 FROM tl WHERE kind='MetalCbCompleted' AND error_code=2
+     UNION ALL SELECT session_key, 1, 1 FROM tl WHERE kind='MetalCbCompleted' AND error_code=1 GROUP BY 1)""", """
+  SELECT session_key, section, CAST(sum(n)+1 AS BIGINT) AS lines FROM f GROUP BY 1, 2 UNION ALL SELECT DISTINCT session_key, 0, 2 FROM tl"""))
+def k3_report_sections(spark, sf):
+    e = trace_log(spark, sf)
+    lines = report.report_lines(report.analyze(e, names=["metal_error", "duplicate-model-load"]), e)
+    return lines.groupBy("session_key", F.col("section").cast("bigint").alias("section")).agg(F.count(F.lit(1)).alias("lines"))
+
+
 @query("k3_report_lines")
 def k3_report_lines(spark, sf):
     e = trace_log(spark, sf)
@@ -505,9 +534,17 @@ def m11_state_as_of(spark, sf):
         "session_key", "events_total", F.col("mlx_memory.active_bytes").alias("active_bytes"), "last_ts_mono_ns")
 
 
-@query("a14_snapshot")
+@query("a14_snapshot", with_sql(TL + f""", px AS (SELECT t.* FROM tl t JOIN (SELECT session_key, min(ts) AS t0 FROM tl GROUP BY 1) z USING (session_key) WHERE t.ts-z.t0<={10 * DAY}),
+   n AS (SELECT session_key, event_ord, CASE kind WHEN 'MlxEvalEntered' THEN 1 ELSE -1 END AS d, row_number() OVER (PARTITION BY session_key ORDER BY event_ord) AS i
+     FROM px WHERE kind IN ('MlxEvalEntered','MlxEvalReturned')),
+   walk AS (SELECT session_key, i, greatest(0, d) AS depth FROM n WHERE i=1
+     UNION ALL SELECT n.session_key, n.i, greatest(0, w.depth+n.d) FROM walk w JOIN n ON n.session_key=w.session_key AND n.i=w.i+1)""", """
+  SELECT p.session_key, count(*) AS events_total, coalesce(any_value(q.n), 0) AS queues, any_value(w.depth)::BIGINT AS mlx_eval_depth FROM px p
+  LEFT JOIN (SELECT session_key, count(DISTINCT queue_id) AS n FROM px WHERE kind IN ('MetalCbCommitted','MetalCbCompleted') GROUP BY 1) q USING (session_key)
+  LEFT JOIN (SELECT session_key, arg_max(depth, i) AS depth FROM walk GROUP BY 1) w USING (session_key) GROUP BY 1"""))
 def a14_snapshot(spark, sf):
-    return live.snapshot(trace_log(spark, sf), 10 * DAY)
+    s = live.snapshot(trace_log(spark, sf), 10 * DAY)
+    return s.select("session_key", "events_total", F.coalesce(F.size("metal_queues"), F.lit(0)).cast("bigint").alias("queues"), "mlx_eval_depth")
 
 
 @query("a13_first_report", """SELECT lang AS session_key, arg_min('/r/' || doc_id, '/r/' || doc_id) AS crash_report_path, octet_length(encode(arg_min(text, '/r/' || doc_id))) AS size_bytes FROM documents GROUP BY 1""")

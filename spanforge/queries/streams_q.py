@@ -67,3 +67,30 @@ def m13_new_reports(spark, sf):
     reports = done.select(F.concat(F.lit("i"), F.call_function("div", F.col("seq"), F.lit(3)).cast("string")).alias("incident_id"),
                           F.lit(None).cast("string").alias("path"), F.lit("x").alias("proc_name"), "event_time")
     return _drain(spark, feeds.new_reports(reports, own_process="self", delay="30 days"), "append").select("report_key")
+
+
+@query("m4_rate_stream", with_sql(TL, "SELECT session_key, wall//1000000000 AS second, count(*) AS events FROM tl GROUP BY 1, 2"))
+def m4_rate_stream(spark, sf):
+    return _drain(spark, feeds.events_per_second(_stream(spark, sf)), "complete")
+
+
+@query("m9_latest_stream", with_sql(TL, """
+  SELECT session_key, count(*) AS events_total, max(ts) AS last_ts_mono_ns FROM tl GROUP BY 1"""))
+def m9_latest_stream(spark, sf):
+    rows = feeds.latest_values(_stream(spark, sf)).select("session_key", "events_total", "last_ts_mono_ns")
+    return _drain(spark, rows, "update")
+
+
+@query("m10_recent_stream", with_sql(TL, """
+  SELECT session_key, event_ord, label AS text FROM (SELECT *, row_number() OVER (PARTITION BY session_key ORDER BY event_ord DESC) AS r FROM tl WHERE kind='Mark') WHERE r<=2"""))
+def m10_recent_stream(spark, sf):
+    marks = _stream(spark, sf).where(F.col("kind") == "Mark").withColumn("text", F.col("label"))
+    return _drain(spark, stateful.recent_items(marks, 2), "update").select("session_key", "event_ord", "text")
+
+
+@query("m12_incident_slices", with_sql(TL, """
+  SELECT i.session_key || '-' || i.event_ord AS incident_key, e.event_ord FROM tl i JOIN tl e ON e.wall//1000 BETWEEN i.wall//1000-3600000000 AND i.wall//1000
+  WHERE i.kind='MetalCbCompleted' AND i.error_code IS NOT NULL"""))
+def m12_incident_slices(spark, sf):
+    rows = feeds.incident_slices(_stream(spark, sf), seconds=3600, delay="1 hour")
+    return _drain(spark, rows.select("incident_key", "event_ord"), "append")
