@@ -54,7 +54,8 @@ def cb_events(events: DataFrame, *, chunk: Column | None = None) -> DataFrame:
     completed = kind == "MetalCbCompleted"
     paired = completed & F.coalesce(F.col("_commit.kind") == "MetalCbCommitted", F.lit(False))
     sched_ts = F.when(completed & (F.col("_sched.kind") == "MetalCbScheduled"), F.col("_sched.ts_mono_ns"))
-    return rows.select(
+    # the clamp, the buffers and the diagnostics all read this, so it is written once
+    return cut_lineage(rows.select(
         "session_key", "event_ord", "ts_mono_ns", "kind", "cb_id", "queue_id", "in_flight_ns",
         "status", "error_code", "error_domain", "ops",
         paired.alias("paired"),
@@ -64,7 +65,7 @@ def cb_events(events: DataFrame, *, chunk: Column | None = None) -> DataFrame:
         F.when(paired, F.col("_commit.label")).alias("commit_label"),
         sched_ts.alias("sched_ts"),
         F.when(sched_ts.isNotNull(), F.greatest(F.lit(0), F.col("ts_mono_ns") - F.greatest(
-            sched_ts, F.coalesce("queue_prev_done", F.lit(0))))).alias("window_ns"))
+            sched_ts, F.coalesce("queue_prev_done", F.lit(0))))).alias("window_ns")))
 
 
 def clamped_ops(cbs: DataFrame, *, chunk: Column | None = None) -> DataFrame:
