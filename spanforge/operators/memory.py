@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from spanforge.operators import pairing
 from spanforge.operators.scan import chunk_of, with_running
 from spanforge.operators.sequences import islands
-from spanforge.operators.stab import interval_aggregate
+from spanforge.operators.stab import interval_aggregate, stab_join
 from spanforge.schema import NS_PER_SEC
 from spanforge.session_conf import cut_lineage
 
@@ -134,15 +134,12 @@ def memory_timeline(events: DataFrame, *, bucket_seconds: int = 10,
           ("active_bytes", "cache_bytes", "device_alloc_bytes", "recommended_max_bytes")])
 
 
-def open_scope_at(events: DataFrame, points: DataFrame, *, cell: int = _DEFAULT_CELL,
-                  scopes: DataFrame | None = None) -> DataFrame:
+def open_scope_at(events: DataFrame, points: DataFrame, *, scopes: DataFrame | None = None) -> DataFrame:
     """Innermost scope still open (no tail) at each point, by log position.
 
     Positions, not times, decide: a scope is open from its enter up to the row
     of its return.
     """
-    from spanforge.operators.stab import stab_join
-
     scopes = pairing.scope_windows(events) if scopes is None else scopes
     spans = scopes.select("session_key", "enter_ord", "qualname",
                           F.coalesce(F.col("ret_ord") - 1, F.col("end_ord")).alias("ret_ord"))

@@ -112,7 +112,7 @@ def entered_by_last_seen(df: DataFrame, *, keys: list[str], order: str, ident: s
         name, F.when(F.col("_l.id") == F.col(ident), F.col("_l.v"))).drop("_b", "_l")
 
 
-def nearest_rank(df: DataFrame, *, keys: list[str], value: str, tiebreak: str,
+def nearest_rank(df: DataFrame, *, keys: list[str], value: str,
                  probs: dict[str, float]) -> DataFrame:
     """Nearest-rank percentiles: the value at position round((n-1)*p), half away from zero.
 
@@ -120,7 +120,8 @@ def nearest_rank(df: DataFrame, *, keys: list[str], value: str, tiebreak: str,
     distinct value; positions come from a running count over those.
     """
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    bucket = F.floor(F.coalesce(F.log2(F.col(value).cast("double") + 1.0), F.lit(0.0)) * 64).cast("long")
+    size = F.floor(F.log2(F.abs(F.col(value).cast("double")) + 1.0) * 64).cast("long")
+    bucket = F.when(F.col(value) < 0, -size).otherwise(size)
     runs = with_running(counts, keys, [value], {"_hi": ("sum", F.col("_n"))}, chunk=bucket)
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"), F.max(value).alias("max_value"))
     runs = runs.join(totals, keys)

@@ -181,7 +181,7 @@ def eval_timing(ctx: RuleContext, adjacent: int = 5, slow_n: int = 5) -> DataFra
                            F.format_string("returned %.2fs before the failure", back(F.col("ts_mono_ns")))),
         ev=evidence(F.col("seq"), F.col("ts_mono_ns"), F.format_string("return of eval call_id=%d", "call_id")))
 
-    ranks = sequences.nearest_rank(recs, keys=["session_key"], value="duration_ns", tiebreak="event_ord",
+    ranks = sequences.nearest_rank(recs, keys=["session_key"], value="duration_ns",
                                    probs={"p50": 0.5, "p95": 0.95})
     slow = sequences.slowest(recs, keys=["session_key"], metric="duration_ns", order="event_ord", n=slow_n)
     lines = slow.groupBy("session_key").agg(

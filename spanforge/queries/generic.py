@@ -295,7 +295,7 @@ def f15_ema(spark, sf):
   SELECT session_key, max(CASE WHEN i=floor((n-1)*0.5+0.5) THEN cents END) AS p50, max(CASE WHEN i=floor((n-1)*0.95::DOUBLE+0.5) THEN cents END) AS p95,
     max(cents) AS max_value, max(n) AS n FROM r GROUP BY 1"""))
 def e18_nearest_rank(spark, sf):
-    return sequences.nearest_rank(ev(spark, sf).where(_typ("view")), keys=["session_key"], value="cents", tiebreak="event_ord",
+    return sequences.nearest_rank(ev(spark, sf).where(_typ("view")), keys=["session_key"], value="cents",
                                   probs={"p50": 0.5, "p95": 0.95})
 
 

@@ -106,7 +106,6 @@ def _trace_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, kind, cents = F.col("k"), F.col("kind"), F.col("cents")
     is_kind = lambda *names: kind.isin(*names)
     lane = F.call_function("div", k, F.lit(6)) % 3
-    sized = lambda c: c.cast("bigint")
     stack = F.when((k % 4 == 1) | F.col("_open").isNull(), F.array().cast("array<bigint>")).otherwise(F.array("_open"))
     frames = F.when(k % 3 == 0, F.array(F.struct(
         F.concat(F.lit("/src/f"), (k % 4).cast("string"), F.lit(".py")).alias("filename"), k.alias("lineno"),
@@ -166,7 +165,7 @@ def _trace_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "path": F.when(is_kind("ModelLoad", "ModelUnload"), F.concat(F.lit("/m/f"), (F.call_function("div", k, F.lit(5)) % 3).cast("string"), F.lit(".bin"))),
         "size_bytes": F.when(is_kind("ModelLoad", "MetalHeapAlloc"), cents),
         "t_start_ns": F.when(is_kind("ModelLoad"), F.lit(1000).cast("bigint")),
-        "t_end_ns": F.when(is_kind("ModelLoad"), sized(1000 + cents * 1_000_000)),
+        "t_end_ns": F.when(is_kind("ModelLoad"), 1000 + cents * 1_000_000),
         "t_ns": F.when(is_kind("ModelUnload"), t_ns),
         "proc_pid": F.when(is_kind("ProcFootprint"), k % 3),
         "name": F.when(is_kind("ProcFootprint"), F.concat(F.lit("proc"), (k % 2).cast("string"))),

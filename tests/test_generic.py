@@ -141,5 +141,7 @@ def test_ema_folds_blocks(spark):
 
 def test_nearest_rank_rounds_half_up(spark):
     df = spark.createDataFrame([("s", i, v) for i, v in enumerate([10, 20, 30, 40])], "k string, ord bigint, v bigint")
-    r = sequences.nearest_rank(df, keys=["k"], value="v", tiebreak="ord", probs={"p50": 0.5, "p95": 0.95}).first()
+    r = sequences.nearest_rank(df, keys=["k"], value="v", probs={"p50": 0.5, "p95": 0.95}).first()
     assert (r["p50"], r["p95"], r["max_value"]) == (30, 40, 40)
+    neg = spark.createDataFrame([("s", v) for v in (-900, -5, -4, 0, 7)], "k string, v bigint")
+    assert sequences.nearest_rank(neg, keys=["k"], value="v", probs={"p50": 0.5}).first()["p50"] == -4
