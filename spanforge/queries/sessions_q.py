@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from spanforge.operators import diff, filters, incidents, live, pairing, rendering, reports, sequences, sessions as S
@@ -12,7 +14,9 @@ from spanforge.queries.profile import CELL, GAP
 from spanforge.queries.registry import ORACLES, query
 from spanforge.queries.views import (ATTRIB, BUFFERS, GRACE_NS, HOUR_NS, SESSIONS, TL, WINDOWS, ev, sessions, table,
                                      trace_log, with_sql)
+from spanforge.session_conf import shared_folder
 from spanforge.sinks import files, trace
+from spanforge.sources.events import read_event_json
 
 DAY = 24 * HOUR_NS
 LO, HI = 5 * DAY, 20 * DAY
@@ -23,6 +27,31 @@ def a1_session_catalog(spark, sf):
     return sessions(spark, sf).drop("session_id")
 
 
+@query("a2_ndjson_round_trip", with_sql(TL, """
+  SELECT t.session_key, t.kind, count(*) AS n, CAST(sum(t.seq) AS BIGINT) AS seqs, CAST(coalesce(sum(o.g), 0) AS BIGINT) AS op_ns FROM tl t
+  LEFT JOIN (SELECT event_ord, sum(gpu_ns) AS g FROM tl_ops GROUP BY 1) o USING (event_ord) GROUP BY 1, 2"""))
+def a2_ndjson_round_trip(spark, sf):
+    """The log written as NDJSON, one folder per session, and read back."""
+    path = f"{shared_folder(spark)}/ndjson-{uuid.uuid4().hex}"
+    files.write_raw_json(trace_log(spark, sf), path)
+    back = read_event_json(spark, path)
+    op_ns = F.coalesce(F.aggregate("ops", F.lit(0).cast("bigint"), lambda a, o: a + o["gpu_ns"]), F.lit(0))
+    return back.groupBy("session_key", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seqs"), F.sum(op_ns).alias("op_ns"))
+
+
+@query("a12_post_mortem_slices", with_sql(TL, f"""
+  SELECT 'metal-error-' || i.error_code AS incident_label, count(DISTINCT i.event_ord) AS slices, count(*) AS events
+  FROM tl i JOIN tl e ON e.wall BETWEEN i.wall-{HOUR_NS} AND i.wall WHERE i.kind='MetalCbCompleted' AND i.error_code IS NOT NULL GROUP BY 1"""))
+def a12_post_mortem_slices(spark, sf):
+    """Trailing windows of all incidents, one folder each, read back from disk."""
+    e = trace_log(spark, sf)
+    path = f"{shared_folder(spark)}/post-mortem-{uuid.uuid4().hex}"
+    files.write_post_mortems(incidents.trailing_window(e, incidents.incidents(e), window_ns=HOUR_NS), path)
+    back = spark.read.parquet(path)
+    label = F.regexp_extract("slice", "post-mortem-(metal-error-[0-9]+)-", 1)
+    return back.groupBy(label.alias("incident_label")).agg(F.count_distinct("slice").alias("slices"), F.count(F.lit(1)).alias("events"))
+
+
 @query("a3_pruned_scan", with_sql(TL, f"SELECT session_key, event_ord, kind FROM tl WHERE source='MetalHook' AND ts BETWEEN {LO} AND {HI}"))
 def a3_pruned_scan(spark, sf):
     return filters.filter_events(trace_log(spark, sf), source="MetalHook", from_ts=LO, to_ts=HI).select("session_key", "event_ord", "kind")
