@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spanforge.llm.common import documents
 from spanforge.llm.exact_dedup import exact_duplicates
+from spanforge.llm.packing import pack
+from spanforge.llm.sharding import shard_by_bytes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +31,16 @@ ORACLES["op6_exact_dedup"] = """
   SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
          doc_id = max(doc_id) OVER g AS kept, text_sha256
   FROM d WINDOW g AS (PARTITION BY text_sha256)"""
+
+
+@query
+def op2_best_fit_packing(spark, sf_dir):
+    return pack(documents(spark, sf_dir)).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op8_sampled_splitters(spark, sf_dir):
+    return shard_by_bytes(documents(spark, sf_dir)).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
