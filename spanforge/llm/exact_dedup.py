@@ -32,6 +32,7 @@ from spanforge.llm.common import bytes_of, cut_lineage, drop_rows, id_and_text,
 BITS = 48
 #: Bits of the filter that is sent to all tasks before the texts of suspects are read again (1 MiB).
 FILTER_BITS = 1 << 23
+SALTS = 32
 
 _STAGE = ("row long, doc_id long, text_sha256 string, fp long, sender int, owner int, codes binary, repeats binary")
 
@@ -144,7 +145,9 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     mine = rows.join(suspected, ["sender", "fp"], "left_semi")
     stays = (mine.groupBy("fp", "text_sha256").agg(F.max(F.struct("doc_id", "row")).alias("best"))
              .join(groups, ["fp", "text_sha256"]))
-    joined = rows.join(stays, ["fp", "text_sha256"], "left")
+    # the rows of a hot group are dealt over several tasks, each with its own copy of the group's line
+    salted = stays.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = rows.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted, ["fp", "text_sha256", "salt"], "left")
     return joined.select(
         "row", "doc_id",
         F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from spanforge.llm import secrets
 from spanforge.llm.common import documents
 from spanforge.llm.exact_dedup import exact_duplicates
 from spanforge.llm.packing import pack
@@ -44,3 +45,13 @@ def op8_sampled_splitters(spark, sf_dir):
     return shard_by_bytes(documents(spark, sf_dir)).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op1_markov_secrets(spark, sf_dir):
+    found = F.col("secrets")
+    base = F.filter(found, lambda s: s["kind"] < secrets.RANDOM)
+    return secrets.find_secrets(documents(spark, sf_dir)).select(
+        "doc_id", *(secrets.count_of(found, k).alias(f"n_{name}") for k, name in enumerate(secrets.BASE)),
+        F.sha2(secrets.spans_text(base, secrets.KINDS), 256).alias("base_sha256"),
+        secrets.spans_text(found, secrets.KINDS).alias("spans"), secrets.count_of(found, secrets.RANDOM).alias("n_random"))
