@@ -14,36 +14,81 @@ def public_vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Bytes that never join a piece that ends in a letter or an ASCII digit before them.
+TAIL = b".,;:!?|#$%&*\"()[]{}"
+
+
 class WordIds:
-    """Ids of whole texts for a tokenizer that drops white space and never merges across it.
+    """Ids of whole texts for a tokenizer with word ends that drops white space.
 
-    A text is then the sequence of its space-free chunks, and the ids of a chunk
-    can be kept.  ``limit`` chunks are kept at most; after that the store starts anew,
-    which changes no result.  Chunks are cut at the six ASCII white-space bytes only.
+    Such a tokenizer never merges across white space, so a text is the sequence of its
+    space-free chunks, and the ids of a chunk can be kept.  ``limit`` chunks are kept at
+    most; after that the store starts anew, which changes no result.  Chunks are cut at
+    the six ASCII white-space bytes only.  Unknown words of letters are encoded many at a
+    time: each is one piece, and the ids of a piece end with one that carries the word end.
     """
 
-    def __init__(self, path: str, *, literal_specials: bool = False, limit: int = 300_000):
+    def __init__(self, path: str, *, literal_specials: bool = False, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = literal_specials
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
         self.limit = limit
 
-    def learn(self, chunks: set[bytes]) -> None:
-        new = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(new) > self.limit:
-            self.known = {}
-            new = list(chunks)
-        for at in range(0, len(new), 20_000):
-            some = new[at:at + 20_000]
+    def _encode_each(self, chunks: list[bytes]) -> None:
+        for at in range(0, len(chunks), 20_000):
+            some = chunks[at:at + 20_000]
             for chunk, got in zip(some, self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)):
                 self.known[chunk] = np.array(got.ids, dtype="<u4").tobytes()
 
+    def _encode_words(self, words: list[bytes]) -> None:
+        """Words of letters, each one piece for the tokenizer."""
+        for at in range(0, len(words), 5_000):
+            some = words[at:at + 5_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(some):
+                self._encode_each(some)
+                continue
+            data, start = ids.tobytes(), 0
+            for word, end in zip(some, (4 * cuts).tolist()):
+                self.known[word] = data[start:end]
+                start = end
+
+    def learn(self, chunks: set[bytes]) -> None:
+        known = self.known
+        new = [c for c in chunks if c not in known]
+        if len(known) + len(new) > self.limit:
+            self.known = known = {}
+            new = list(chunks)
+        whole, parts = set(), []
+        for c in new:
+            core = c.rstrip(TAIL)
+            if len(core) < len(c) and core and (core[-1:].isalnum() or core.decode().lower()[-1].isalpha()):
+                parts.append((c, core, c[len(core):]))
+                whole.add(core)
+                whole.add(c[len(core):])
+            else:
+                whole.add(c)
+        words, others = [], []
+        for c in whole:
+            if c not in known:
+                s = c.decode()
+                (words if s.isalpha() and s.lower().isalpha() else others).append(c)
+        self._encode_words(words)
+        self._encode_each(others)
+        for c, core, tail in parts:
+            known[c] = known[core] + known[tail]
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.split() for t in texts]
+        # the tokenizer lower-cases anyway, but knows its special tokens by their case
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         self.learn(set().union(*split))
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
