@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from spanforge.llm import secrets
 from spanforge.llm.common import documents
 from spanforge.llm.exact_dedup import exact_duplicates
+from spanforge.llm.jaccard import similar_components
 from spanforge.llm.packing import pack
 from spanforge.llm.sharding import shard_by_bytes
 
@@ -55,3 +56,8 @@ def op1_markov_secrets(spark, sf_dir):
         "doc_id", *(secrets.count_of(found, k).alias(f"n_{name}") for k, name in enumerate(secrets.BASE)),
         F.sha2(secrets.spans_text(base, secrets.KINDS), 256).alias("base_sha256"),
         secrets.spans_text(found, secrets.KINDS).alias("spans"), secrets.count_of(found, secrets.RANDOM).alias("n_random"))
+
+
+@query
+def op3_count_vector_join(spark, sf_dir):
+    return similar_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
