@@ -11,6 +11,7 @@ from spanforge.llm.common import documents
 from spanforge.llm.exact_dedup import exact_duplicates
 from spanforge.llm.jaccard import similar_components
 from spanforge.llm.packing import pack
+from spanforge.llm.quality import quality_scores
 from spanforge.llm.sharding import shard_by_bytes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +62,9 @@ def op1_markov_secrets(spark, sf_dir):
 @query
 def op3_count_vector_join(spark, sf_dir):
     return similar_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op10_random_indexing_quality(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_scores(documents(spark, sf_dir), labels).select("doc_id", "held_out", "score", "predicted")
