@@ -25,7 +25,9 @@ from spanforge.llm.common import cut_lineage, id_and_text
 
 #: Patterns whose matches count, each with the shortest match (for assign: of its second group).
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-BASE = {"assign": (ASSIGN, 6), "access": (r"AKIA[A-Z0-9]+", 20), "hex": (r"[0-9a-f]+", 24)}
+#: A run that is long enough starts and ends where the longest run does, so the least length is part of
+#: the last two patterns; of assign a short match takes up text and so may not be skipped.
+BASE = {"assign": (ASSIGN, 6), "access": (r"AKIA[A-Z0-9]{16,}", 20), "hex": (r"[0-9a-f]{24,}", 24)}
 KINDS = [*BASE, "random"]
 RANDOM = len(BASE)
 #: Runs that the models score; shorter ones carry too little evidence.
@@ -94,7 +96,7 @@ def labelled_samples(docs: DataFrame, matches: DataFrame, *, sample_docs: int =
     """
     n = docs.count()
     rest = F.col("text")
-    for pattern in (ASSIGN, r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"):
+    for pattern, _ in BASE.values():
         rest = F.regexp_replace(rest, pattern, " ")
     words = (docs.sample(min(1.0, sample_docs / max(n, 1)), seed)
              .select(F.explode(F.regexp_extract_all(rest, F.lit(WORD), F.lit(0))).alias("token")).where(F.col("token").rlike("[A-Za-z]")))
