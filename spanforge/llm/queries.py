@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spanforge.llm import secrets
 from spanforge.llm.common import documents
+from spanforge.llm.decontaminate import leaks
 from spanforge.llm.exact_dedup import exact_duplicates
 from spanforge.llm.jaccard import similar_components
 from spanforge.llm.packing import pack
@@ -68,3 +69,9 @@ def op3_count_vector_join(spark, sf_dir):
 def op10_random_indexing_quality(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_scores(documents(spark, sf_dir), labels).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op4_latent_decontamination(spark, sf_dir):
+    found = leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "item_id", F.round("common", 6).alias("common"), F.round("answer", 6).alias("answer"), "word_start", "word_end")
