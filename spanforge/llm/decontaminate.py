@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spanforge.llm.common import added, bytes_of, cut_lineage, drop_rows, id_and_text, in_chunks, named, numbered, row_base, slices
 
-VOCABULARY, RANK, OVERSAMPLE, CHUNKS = 1 << 16, 64, 16, 32
-WINDOW, STRIDE, PASSAGE_STRIDE = 32, 8, 16
-BLOCK_ITEMS = 20_000
-SHARE, LEAK, PARAPHRASE, ANSWER = 0.35, 0.8, 0.6, 0.8
+VOCABULARY, RANK, OVERSAMPLE, CHUNKS = 1 << 16, 640, 32, 32
+#: A window is short, so that a leak of an item fills it, and moves by less than a passage may shift.
+WINDOW, STRIDE, PASSAGE_STRIDE = 16, 4, 16
+#: Passages in a block, about.  Passages have little in common, so a space of RANK holds no more of them well.
+BLOCK_PASSAGES = 512
+SHARE, LEAK, PARAPHRASE, ANSWER = 0.6, 0.8, 0.6, 0.8
 _WORDS = re.compile(rb"[^\x00-/:-@\[-`{-~]+")
 _FOUND = "row long, doc_id long, item_id long, cosine double, common double, answer double, word_start int, word_end int"
 
@@ -42,7 +45,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """32-bit hashes of all words of all texts, and how many each text has."""
     words = [_WORDS.findall(t.lower()) for t in texts]
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    return np.fromiter((zlib.crc32(w) for ws in words for w in ws), dtype=np.int64, count=int(sizes.sum())), sizes
+    return np.fromiter(map(zlib.crc32, chain.from_iterable(words)), dtype=np.int64, count=int(sizes.sum())), sizes
 
 
 def _frequencies(batches):
@@ -83,30 +86,35 @@ def _multiply(basis, idf):
     """A task's part of A'AX for its TF-IDF passages A."""
 
     def run(batches):
-        x, weight, out = basis.value, idf.value, None
+        (known, x), weight, out = basis.value, idf.value, None
         for batch in slices(batches):
             for rows in _passage_rows(bytes_of(batch.column(0))):
                 if out is None:
-                    out = np.zeros(x.shape, dtype=np.float64)
-                w = weight[rows]
-                np.add.at(out, rows, w[:, None] * (w @ x[rows])[None, :])
+                    out = np.zeros(x.shape, dtype=np.float32)
+                w, at = weight[rows].astype(np.float32), np.searchsorted(known, rows)
+                np.add.at(out, at, w[:, None] * (w @ x[at])[None, :])
         if out is not None:
             yield in_chunks(out, CHUNKS)
 
     return run
 
 
-def latent_basis(items: DataFrame, idf: np.ndarray, *, rank: int = RANK, oversample: int = OVERSAMPLE, rounds: int = 2, seed: int = 9) -> np.ndarray:
-    """Orthonormal columns that span the leading right singular vectors of the items' passages."""
+def latent_basis(items: DataFrame, known: np.ndarray, idf: np.ndarray, *, rank: int = RANK, oversample: int = OVERSAMPLE,
+                 rounds: int = 2, seed: int = 9) -> np.ndarray:
+    """Orthonormal columns that span the leading right singular vectors of the items' passages.
+
+    The rows are the hashed words ``known`` that the items have, so its size is the block's.
+    """
     sc = items.sparkSession.sparkContext
-    weights = sc.broadcast(idf)
-    basis = np.random.default_rng(seed).normal(size=(VOCABULARY, rank + oversample)).astype(np.float32)
+    weights, size = sc.broadcast(idf), -(-max(1, len(known)) // CHUNKS) * CHUNKS
+    basis = np.random.default_rng(seed).normal(size=(size, rank + oversample)).astype(np.float32)
     for _ in range(rounds):
-        total = added(items.select("text").mapInArrow(_multiply(sc.broadcast(basis), weights), "task int, chunk int, data binary"), "<f8")
+        total = added(items.select("text").mapInArrow(_multiply(sc.broadcast((known, basis)), weights), "task int, chunk int, data binary"), "<f4")
         if not len(total):
-            return basis[:, :0]
-        basis = np.linalg.svd(total.reshape(VOCABULARY, -1), full_matrices=False)[0].astype(np.float32)
-    return basis[:, :rank]
+            return basis[:len(known), :0]
+        left, values, _ = np.linalg.svd(total.reshape(size, -1), full_matrices=False)
+        basis = (left * (values > values[0] * 1e-5)).astype(np.float32)
+    return basis[:len(known), :rank]
 
 
 def common_words(masks: dict[int, int], n: int, words: list[int]) -> int:
@@ -131,23 +139,25 @@ def _masks(words: list[int]) -> dict[int, int]:
 class Items:
     """The query set of one block: words for the comparison, projected passages for the search."""
 
-    def __init__(self, ids: list, texts: list[bytes], idf: np.ndarray, basis: np.ndarray):
+    def __init__(self, ids: list, texts: list[bytes], known: np.ndarray, idf: np.ndarray, basis: np.ndarray):
         hashes, sizes = word_hashes(texts)
         ends = np.cumsum(sizes)
-        self.ids = ids
+        self.ids, self.idf = ids, idf
         self.words = [hashes[e - n:e].tolist() for n, e in zip(sizes.tolist(), ends.tolist())]
         self.owner = np.array([i for i, n in enumerate(sizes.tolist()) for _ in passages_of(n)], dtype=np.int64)
         rows = _passage_rows(texts)
-        self.idf, self.known = idf, np.zeros(VOCABULARY, dtype=bool)
-        self.known[hashes & (VOCABULARY - 1)] = True
-        self.weighted = np.vstack([basis * idf[:, None].astype(np.float32), np.zeros((1, basis.shape[1]), np.float32)])
-        self.weighted[:-1][~self.known] = 0
-        projected = np.array([self.weighted[r].sum(axis=0) for r in rows], dtype=np.float32).reshape(len(rows), -1)
+        #: place of a word in the latent space; words that no item has share a row of zeros
+        self.place = np.full(VOCABULARY, len(known), dtype=np.int64)
+        self.place[known] = np.arange(len(known))
+        weighted = np.vstack([basis * idf[known][:, None].astype(np.float32), np.zeros((1, basis.shape[1]), np.float32)])
+        projected = np.array([weighted[self.place[r]].sum(axis=0) for r in rows], dtype=np.float32).reshape(len(rows), -1)
         norms = np.array([np.sqrt((idf[r] ** 2).sum()) for r in rows])
-        own = (projected ** 2).sum(axis=1) / np.maximum(norms, 1e-9)
-        self.passages = projected / np.maximum(norms, 1e-9)[:, None]
-        self.least = SHARE * own / np.maximum(norms, 1e-9)
-        self.reach = float((SHARE ** 2 * own / np.maximum(norms, 1e-9)).min()) if len(rows) else 2.0
+        own = (projected ** 2).sum(axis=1) / np.maximum(norms, 1e-9) ** 2  # the cosine of a passage with itself
+        # a window's latent vector is a sum over its words, and so is its product with each passage
+        self.products = weighted @ (projected / np.maximum(norms, 1e-9)[:, None]).T
+        self.least = SHARE * own
+        # by Cauchy-Schwarz a window's share of known weight bounds its cosine with any passage
+        self.reach = float((SHARE ** 2 * own).min()) if len(rows) else 2.0
 
     def answer(self, i: int) -> list[int]:
         return self.words[i][-max(3, len(self.words[i]) // 4):]
@@ -162,7 +172,8 @@ def _search(items):
             hashes, sizes = word_hashes(bytes_of(batch.column(1)))
             rows = hashes & (VOCABULARY - 1)
             square = q.idf[rows] ** 2
-            known = q.known[rows]
+            place = q.place[rows]
+            known = place < len(q.products) - 1
             total = np.concatenate([[0.0], np.cumsum(square)])
             inside = np.concatenate([[0.0], np.cumsum(square * known)])
             ends = np.cumsum(sizes)
@@ -175,13 +186,12 @@ def _search(items):
             norm2 = total[stop] - total[start]
             near = np.flatnonzero(inside[stop] - inside[start] >= q.reach * norm2 * 0.999)
             found: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
-            for at in range(0, len(near), 1000):
-                some = near[at:at + 1000]
+            for at in range(0, len(near), 500):
+                some = near[at:at + 500]
                 cells = start[some][:, None] + np.arange(WINDOW)
                 cells = np.where(cells < stop[some][:, None], cells, -1)
-                own = np.where((cells >= 0) & known[cells], rows[cells], VOCABULARY)
-                x = q.weighted[own].sum(axis=1) / np.sqrt(np.maximum(norm2[some], 1e-9))[:, None]
-                cosine = x @ q.passages.T
+                own = np.where(cells >= 0, place[cells], len(q.products) - 1)
+                cosine = q.products[own].sum(axis=1) / np.sqrt(np.maximum(norm2[some], 1e-9)).astype(np.float32)[:, None]
                 for w, p in zip(*np.nonzero(cosine >= q.least)):
                     k = some[w]
                     found.setdefault((int(doc[k]), int(q.owner[p])), []).append((int(start[k]), int(stop[k]), float(cosine[w, p])))
@@ -214,7 +224,7 @@ def _search(items):
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None,
-          item_col: str = "item_id", item_text_col: str = "text", block_items: int = BLOCK_ITEMS) -> DataFrame:
+          item_col: str = "item_id", item_text_col: str = "text", block_passages: int = BLOCK_PASSAGES) -> DataFrame:
     """One row per document and item it holds: row, doc_id, item_id, cosine, common, answer, word_start, word_end.
 
     ``common`` is the share of the item's words in the longest common subsequence, over
@@ -223,14 +233,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     spark: SparkSession = docs.sparkSession
     docs = id_and_text(docs, id_col, text_col, row_col)
     items = cut_lineage(benchmark.select(named(item_col).cast("long").alias("item_id"), named(item_text_col).cast("string").alias("text")))
-    blocks = -(-items.count() // block_items)
+    count = items.agg(F.sum(F.octet_length("text") / (6 * PASSAGE_STRIDE) + 1)).first()[0] or 0  # a word has about six bytes
+    blocks = -(-int(count) // block_passages)
     idf = idf_weights(docs) if blocks else None
     out = None
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        basis = latent_basis(block, idf)
         got = [(r.item_id, (r.text or "").encode()) for r in block.collect()]
-        q = spark.sparkContext.broadcast(Items([i for i, _ in got], [t for _, t in got], idf, basis))
+        known = np.unique(word_hashes([t for _, t in got])[0] & (VOCABULARY - 1))
+        basis = latent_basis(block, known, idf)
+        q = spark.sparkContext.broadcast(Items([i for i, _ in got], [t for _, t in got], known, idf, basis))
         found = docs.mapInArrow(_search(q), _FOUND)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], _FOUND) if out is None else out

@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -48,7 +49,7 @@ def _word_rows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[list[by
     """The row of each word of all texts, and how many words each text has."""
     words = [_WORDS.findall(t) for t in texts]
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    rows = np.fromiter((zlib.crc32(w) for ws in words for w in ws), dtype=np.int64, count=int(sizes.sum())) & (ROWS - 1)
+    rows = np.fromiter(map(zlib.crc32, chain.from_iterable(words)), dtype=np.int64, count=int(sizes.sum())) & (ROWS - 1)
     return rows, sizes, words
 
 

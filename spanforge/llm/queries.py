@@ -11,9 +11,11 @@ from spanforge.llm.common import documents
 from spanforge.llm.decontaminate import leaks
 from spanforge.llm.exact_dedup import exact_duplicates
 from spanforge.llm.jaccard import similar_components
+from spanforge.llm.line_dedup import dedup_lines
 from spanforge.llm.packing import pack
 from spanforge.llm.quality import quality_scores
 from spanforge.llm.sharding import shard_by_bytes
+from spanforge.llm.token_files import document_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +77,15 @@ def op10_random_indexing_quality(spark, sf_dir):
 def op4_latent_decontamination(spark, sf_dir):
     found = leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", "item_id", F.round("common", 6).alias("common"), F.round("answer", 6).alias("answer"), "word_start", "word_end")
+
+
+@query
+def op5_separator_scan(spark, sf_dir):
+    return document_token_counts(spark, documents(spark, sf_dir))
+
+
+@query
+def op7_line_windows(spark, sf_dir):
+    return dedup_lines(documents(spark, sf_dir)).select(
+        "doc_id", "n_lines", F.size("removed").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))

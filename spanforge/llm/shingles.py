@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import xxhash
 
@@ -44,7 +46,7 @@ class Shingler:
         split = [t.lower().split() for t in texts]
         sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
         get = self.hashes.__getitem__
-        words = np.fromiter((get(w) for ws in split for w in ws), dtype=np.uint64, count=int(sizes.sum()))
+        words = np.fromiter(map(get, chain.from_iterable(split)), dtype=np.uint64, count=int(sizes.sum()))
         rolled = words.copy()
         n = max(0, len(words) - self.width + 1)
         if n:
