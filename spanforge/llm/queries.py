@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spanforge.llm import secrets
+from spanforge.llm import pii, secrets
 from spanforge.llm.common import documents
 from spanforge.llm.decontaminate import leaks
 from spanforge.llm.exact_dedup import exact_duplicates
@@ -89,3 +89,13 @@ def op7_line_windows(spark, sf_dir):
     return dedup_lines(documents(spark, sf_dir)).select(
         "doc_id", "n_lines", F.size("removed").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+
+
+@query
+def op9_disclosure_sanitiser(spark, sf_dir):
+    found = F.col("found")
+    base = F.filter(found, lambda s: s["kind"] < pii.TERM)
+    return pii.find_personal_data(documents(spark, sf_dir)).select(
+        "doc_id", *(secrets.count_of(found, k).alias(f"n_{name}") for k, name in enumerate(pii.BASE)),
+        F.sha2(secrets.spans_text(base, pii.KINDS), 256).alias("base_sha256"),
+        secrets.spans_text(found, pii.KINDS).alias("spans"), secrets.count_of(found, pii.TERM).alias("n_term"))
