@@ -7,14 +7,39 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from spanforge.llm.common import documents, shared_path
+from spanforge.llm.decontaminate import drop_leaks
 from spanforge.llm.exact_dedup import drop_exact_duplicates
+from spanforge.llm.jaccard import drop_similar
+from spanforge.llm.packing import pack
+from spanforge.llm.quality import drop_low_quality
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return drop_low_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the largest id stays."""
     return drop_exact_duplicates(docs)
 
 
-STAGES = [("exact_dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the one with the smallest id stays."""
+    return drop_similar(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of all pieces in training sequences."""
+    return pack(docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("decontamination", decontaminate), ("packing", packing)]
 
 #: No SQL states the trained stages; tests compare the stages with brute force.
 ORACLE_SQL = None
