@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from spanforge.llm.common import cut_lineage
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", salts: int = 32) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
     """A join to a side whose keys are unique; the rows of one key are dealt over several tasks."""
     own = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -14,9 +14,9 @@ without loss:
 1. A frequency sketch of a fixed size counts all shingles of all texts.  It orders the
    shingles: rare ones first, then by hash.  Two sets that are similar enough share one
    of the first floor((1 - t) n) + 1 in this order.
-2. Rare shingles are shared by fewer documents than the sketch's limit, so their pairs
-   are listed, and kept if the bound over count vectors allows the pair.  Documents that
-   share a frequent one are tied in a star.  The components of both are the parts.
+2. A rare shingle is shared by no more documents than the sketch's limit; an R-tree over
+   each such list ties the members that the bound allows.  Documents that share a
+   frequent one are tied in a star.  The components of both are the parts.
 3. In each part the members are compared with a pivot, the member whose shingles are the
    most common: near copies of one text are tied by it in linear work.
 4. Members that the pivot does not tie are searched in R-trees over tiles of the part of a
@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from spanforge.llm.common import bytes_of, cut_lineage, drop_rows, id_and_text, numbered, partitions, row_base, slices
 from spanforge.llm.components import Forest, components, salted_join
-from spanforge.llm.shingles import Shingler
+from spanforge.llm.shingles import Shingler, mix
 
 SKETCH_BITS = 21
 CHUNKS = 32
@@ -144,42 +144,33 @@ def _points(sketch, percent: int, groups: int):
 
 # --- parts ----------------------------------------------------------------------------
 
-def _pairs(percent: int):
-    """Pairs of members of each run of equal shingles that could be similar by their sizes."""
-
-    def pairs_of(ids, n, starts, ends):
-        a, b = [], []
-        two = ends - starts == 2
-        i = starts[two]
-        a.append(i), b.append(i + 1)
-        for s, e in zip(starts[~two].tolist(), ends[~two].tolist()):
-            x, y = np.triu_indices(e - s, 1)
-            a.append(s + x), b.append(s + y)
-        a, b = np.concatenate(a), np.concatenate(b)
-        near = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
-        a, b = ids[a[near]], ids[b[near]]
-        return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+def _lists():
+    """The members of each run of equal shingles, under a key that equal lists of members share."""
+
+    def members_of(ids, starts, ends):
+        sizes = ends - starts
+        at = np.repeat(starts, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        own = ids[at]
+        key = np.add.reduceat(mix(own.astype(np.uint64)), np.cumsum(sizes) - sizes)
+        both = np.unique(np.stack([np.repeat(key.view(np.int64), sizes), own], 1), axis=0)
+        return pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["list", "rep"])
 
     def run(batches):
         left = None
         for batch in batches:
-            h, ids, n = (batch.column(i).to_numpy() for i in range(3))
-            n = n.astype(np.int64)
+            h, ids = (batch.column(i).to_numpy() for i in range(2))
             if left is not None:
-                h, ids, n = (np.concatenate([p, q]) for p, q in zip(left, (h, ids, n)))
+                h, ids = (np.concatenate([p, q]) for p, q in zip(left, (h, ids)))
             if not len(h):
                 continue
             cuts = np.flatnonzero(np.diff(h)) + 1
             starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(h)]])
-            left = h[starts[-1]:], ids[starts[-1]:], n[starts[-1]:]  # the last run may go on
-            starts, ends = starts[:-1], ends[:-1]
-            many = ends - starts > 1
+            left = h[starts[-1]:], ids[starts[-1]:]  # the last run may go on
+            many = (ends - starts > 1)[:-1]
             if many.any():
-                got = pairs_of(ids, n, starts[many], ends[many])
-                yield pa.record_batch([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+                yield members_of(ids, starts[:-1][many], ends[:-1][many])
         if left is not None and len(left[0]) > 1:
-            got = pairs_of(left[1], left[2], np.array([0]), np.array([len(left[0])]))
-            yield pa.record_batch([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+            yield members_of(left[1], np.array([0]), np.array([len(left[0])]))
 
     return run
 
@@ -188,21 +179,44 @@ def _vector(data: bytes, groups: int) -> np.ndarray:
     return np.frombuffer(data, np.uint16 if len(data) == 2 * groups else np.uint32)
 
 
-def _bounded(percent: int, groups: int):
-    """Pairs whose summed coordinate minima reach the overlap they need."""
+def _near(percent: int, groups: int):
+    """Of each list, sorted together, edges that span the components of what the bound allows."""
+
+    def edges_of(ids, n, vectors):
+        v = np.stack([_vector(x, groups) for x in vectors]).astype(np.int32)
+        tree, forest, out = RTree(v, n), Forest(), []
+        for i in range(len(ids)):
+            for j in tree.search(v[i], int(n[i]), percent).tolist():
+                if i != j and forest.union(i, j):
+                    out.append((ids[i], ids[j]))
+        return out
 
     def run(batches):
+        left = None
         for batch in batches:
-            a, b = (batch.column(i).to_numpy() for i in range(2))
-            va, vb = batch.column(4).to_pylist(), batch.column(5).to_pylist()
-            bound = np.array([np.minimum(_vector(x, groups), _vector(y, groups)).sum(dtype=np.int64) for x, y in zip(va, vb)], dtype=np.int64)
-            both = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
-            keep = (100 + percent) * bound >= percent * both
-            yield pa.record_batch([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+            key, ids, n = (batch.column(i).to_numpy() for i in range(3))
+            rows = (key, ids, n.astype(np.int64), np.array([*batch.column(3).to_pylist(), None], dtype=object)[:-1])
+            if left is not None:
+                rows = tuple(np.concatenate([p, q]) for p, q in zip(left, rows))
+            key, ids, n, vectors = rows
+            if not len(key):
+                continue
+            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist()]
+            out = []
+            for s, e in zip(cuts, cuts[1:]):
+                out += edges_of(ids[s:e], n[s:e], vectors[s:e])
+            left = tuple(x[cuts[-1]:] for x in rows)
+            yield _edge_batch(out)
+        if left is not None:
+            yield _edge_batch(edges_of(*left[1:]))
 
     return run
 
 
+def _edge_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([p[k] for p in pairs], pa.int64()) for k in range(2)], names=["a", "b"])
+
+
 def _sets(wanted):
     """(set_id, shingles) of the texts whose set is in the filter, each set once a task."""
 
@@ -326,11 +340,10 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     reps = points.where("n > 0").groupBy("set_id").agg(F.min("row").alias("row"))
     own = cut_lineage(points.drop("doc_id").join(reps.select("row"), "row").withColumnRenamed("row", "rep"))
 
-    rare = own.select(F.explode("rare").alias("h"), "rep", "n").repartition("h").sortWithinPartitions("h", "rep")
-    pairs = rare.mapInArrow(_pairs(percent), "a long, b long").distinct()
-    size = lambda side: own.select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("vector").alias(f"v_{side}"))
-    near = (pairs.join(size("a"), "a").join(size("b"), "b").select("a", "b", "n_a", "n_b", "v_a", "v_b")
-            .mapInArrow(_bounded(percent, groups), "a long, b long"))
+    rare = own.select(F.explode("rare").alias("h"), "rep").repartition("h").sortWithinPartitions("h", "rep")
+    lists = rare.mapInArrow(_lists(), "list long, rep long").distinct()
+    near = (lists.join(own.select("rep", "n", "vector"), "rep").select("list", "rep", "n", "vector").repartition("list")
+            .sortWithinPartitions("list", "rep").mapInArrow(_near(percent, groups), "a long, b long"))
     frequent = own.select(F.explode("frequent").alias("h"), "rep")
     star = salted_join(frequent, frequent.groupBy("h").agg(F.min("rep").alias("b")), ["h"]).select(F.col("rep").alias("a"), "b")
     parts = components(near.unionByName(star)).withColumnsRenamed({"node": "rep", "label": "part"})

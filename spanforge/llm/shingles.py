@@ -25,7 +25,7 @@ class _WordHash(dict):
         return h
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
+def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
@@ -53,7 +53,7 @@ class Shingler:
             rolled = words[:n].copy()
             for k in range(1, self.width):
                 rolled = rolled * _K + words[k:k + n]
-            rolled = _mix(rolled)
+            rolled = mix(rolled)
         out, at = [], 0
         for size in sizes.tolist():
             if size >= self.width:
@@ -63,7 +63,7 @@ class Shingler:
                 with np.errstate(over="ignore"):
                     for w in words[at:at + size]:
                         h = h * _K + w
-                out.append(_mix(np.array([h], dtype=np.uint64)))
+                out.append(mix(np.array([h], dtype=np.uint64)))
             else:
                 out.append(np.zeros(0, dtype=np.uint64))
             at += size
