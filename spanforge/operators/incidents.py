@@ -57,18 +57,21 @@ def incidents(events: DataFrame) -> DataFrame:
     return events.withColumn("incident_label", incident_label()).where(
         F.col("incident_label").isNotNull()).select(
         F.concat_ws("-", "session_key", F.col("event_ord").cast("string")).alias("incident_key"),
-        "session_key", "event_ord", "incident_label", F.col("ts_wall_ns").alias("incident_ts"))
+        "session_key", *(["host"] if "host" in events.columns else []), "event_ord", "incident_label",
+        F.col("ts_wall_ns").alias("incident_ts"))
 
 
 def trailing_window(events: DataFrame, triggers: DataFrame, *, window_ns: int = 60 * NS_PER_SEC,
                     order: str = "event_ord") -> DataFrame:
-    """For each incident, every event of any session in the time window up to it.
+    """For each incident, every event of any session of its host in the time window up to it.
 
-    Wall time decides, because monotonic clocks of different sessions do not
-    compare.
+    A recorder serves one host: where both sides have a column host, it is part of
+    the key.  Wall time decides, because monotonic clocks of different sessions do
+    not compare.
     """
-    inc = triggers.select("incident_key", "incident_label", "incident_ts").withColumn(
-        "_cell", F.explode(_neighbour_cells(F.col("incident_ts"), window_ns)))
+    host = ["host"] if "host" in events.columns and "host" in triggers.columns else []
+    own = F.call_function("div", F.col("incident_ts"), F.lit(window_ns))
+    inc = triggers.select(*host, "incident_key", "incident_label", "incident_ts").withColumn("_cell", F.explode(F.array(own - 1, own)))
     rows = events.withColumn("_cell", F.call_function("div", F.col("ts_wall_ns"), F.lit(window_ns)))
-    return rows.join(inc, "_cell").where(
+    return rows.join(inc, [*host, "_cell"]).where(
         F.col("ts_wall_ns").between(F.col("incident_ts") - window_ns, F.col("incident_ts"))).drop("_cell")

@@ -8,32 +8,39 @@ from spanforge.functions.text import basename, names_compatible, rfc3339_ns
 from spanforge.schema import NS_PER_SEC
 
 REPORT_GRACE_NS = 120 * NS_PER_SEC
+MAX_NS = (1 << 63) - 1
 
 
-def session_bounds(sessions: DataFrame, events: DataFrame) -> DataFrame:
+def session_bounds(sessions: DataFrame, events: DataFrame, *, now_ns: int | None = None) -> DataFrame:
     """Scoped sessions with their wall-clock window.
 
     A session that never ended is bounded by its last event plus the grace; one
-    without events has no bound and ends now.
+    without events ends at ``now_ns``, or has no end when none is given.
     """
     last = events.groupBy("session_key").agg(F.max("ts_wall_ns").alias("_last"))
-    now = F.unix_micros(F.current_timestamp()) * 1000
+    now = F.lit(MAX_NS - REPORT_GRACE_NS if now_ns is None else now_ns).cast("bigint")
     scoped = sessions.where((F.col("kind") == "Scoped") & rfc3339_ns(F.col("started_rfc3339")).isNotNull())
     return scoped.join(last, "session_key", "left").select(
-        "session_key", "exit_code", "term_signal", "ended_rfc3339", "kind_pid", "kind_argv",
+        "session_key", *(["host"] if "host" in scoped.columns else []), "exit_code", "term_signal", "ended_rfc3339", "kind_pid", "kind_argv",
         rfc3339_ns(F.col("started_rfc3339")).alias("start_ns"),
         F.coalesce(rfc3339_ns(F.col("ended_rfc3339")), F.col("_last") + REPORT_GRACE_NS, now).alias("end_ns"))
 
 
+def _host_keys(*frames: DataFrame) -> list[str]:
+    """Pids and wall clocks are a host's own: where all sides name it, it is part of the key."""
+    return ["host"] if all("host" in f.columns for f in frames) else []
+
+
 def crash_matches(bounds: DataFrame, reports: DataFrame, *, grace_ns: int = REPORT_GRACE_NS) -> DataFrame:
     """Crash report of each session that did not exit cleanly.
 
-    ``reports`` has dir_rank, path, mtime_ns, crashed_pid, ....  The first
-    directory with a hit wins, then the newest report in it.
+    ``reports`` has dir_rank, path, mtime_ns, crashed_pid, ... and, for more than
+    one host, host.  The first directory with a hit wins, then the newest report in it.
     """
+    host = _host_keys(bounds, reports)
     cand = bounds.where(F.col("exit_code").isNull() | (F.col("exit_code") != 0)).select(
-        "session_key", "start_ns", "end_ns", F.col("kind_pid").alias("crashed_pid"))
-    hit = cand.join(reports, "crashed_pid").where(
+        "session_key", *host, "start_ns", "end_ns", F.col("kind_pid").alias("crashed_pid"))
+    hit = cand.join(reports, [*host, "crashed_pid"]).where(
         F.col("mtime_ns").between(F.col("start_ns"), F.col("end_ns") + grace_ns))
     w = Window.partitionBy("session_key").orderBy("dir_rank", F.col("mtime_ns").desc(), "path")
     return hit.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r", "start_ns", "end_ns")
@@ -56,8 +63,9 @@ def kill_matches(bounds: DataFrame, known: DataFrame, reports: DataFrame, *,
     """
     names = known.where((F.col("name") != "") & F.col("name").isNotNull()).select("session_key", "name").distinct()
     pids = known.select("session_key", F.col("pid").alias("killed_pid")).distinct()
-    hit = (bounds.select("session_key", "start_ns", "end_ns").join(pids, "session_key")
-           .join(reports, "killed_pid")
+    host = _host_keys(bounds, reports)
+    hit = (bounds.select("session_key", *host, "start_ns", "end_ns").join(pids, "session_key")
+           .join(reports, [*host, "killed_pid"])
            .where(F.col("mtime_ns").between(F.col("start_ns"), F.col("end_ns") + grace_ns)))
     checked = hit.join(names, "session_key", "left")
     ok = (F.max(F.coalesce(names_compatible(F.col("name"), F.col("killed_name")), F.lit(False)))

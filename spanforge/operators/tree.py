@@ -6,48 +6,51 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spanforge.operators.gpu import UNSCOPED_ID
 from spanforge.operators.scan import CHUNK_ROWS, with_running
+from spanforge.session_conf import cut_lineage
 
-MAX_DEPTH = 100
 
+def _to_roots(state: DataFrame, keys: list[str], with_path: bool) -> DataFrame:
+    """Follow ``_up`` (null at a root) from every ``_id`` to its root, by pointer doubling.
 
-def linked_tree(nodes: DataFrame, *, keys: list[str], node: str, parent: str, order: str,
-                max_depth: int = MAX_DEPTH) -> DataFrame:
+    Each round every open node takes over its ancestor's pointer, distance and path,
+    so a tree of depth d needs log2(d) rounds of one join, whatever d is.  ``_dead``
+    marks nodes whose way up ends at an unknown node.  A round that closes no node
+    shows that what is still open runs in a circle; those nodes are left out.
+    The driver reads one number a round.
+    """
+    state = cut_lineage(state.withColumns({
+        "depth": F.lit(0), **({"path": F.array("_id")} if with_path else {})}))
+    still = open_ = state.where(F.col("_up").isNotNull()).count()
+    while open_:
+        above = state.select(*keys, F.col("_id").alias("_up"), F.col("_up").alias("_next"), F.col("_dead").alias("_lost"),
+                             F.col("depth").alias("_far"), *([F.col("path").alias("_above")] if with_path else []), F.lit(True).alias("_hit"))
+        step = state.join(above, keys + ["_up"], "left")
+        moved = F.col("_up").isNotNull()
+        lost = F.coalesce("_lost", moved & F.col("_hit").isNull())
+        # a pointer spans one level more than the distance to where the ancestor's own pointer starts
+        step = step.select(*keys, "_id", F.col("_next").alias("_up"), (F.col("_dead") | lost).alias("_dead"),
+                           F.when(F.col("_hit"), F.col("depth") + F.col("_far") + 1).otherwise(F.col("depth")).alias("depth"),
+                           *([F.when(F.col("_hit"), F.concat("_above", "path")).otherwise(F.col("path")).alias("path")] if with_path else []))
+        state = cut_lineage(step.withColumn("_up", F.when(~F.col("_dead"), F.col("_up"))))
+        still, open_ = open_, state.where(F.col("_up").isNotNull()).count()
+        if open_ == still:
+            break
+    return state.where(F.col("_up").isNull() & ~F.col("_dead"))
+
+
+def linked_tree(nodes: DataFrame, *, keys: list[str], node: str, parent: str, order: str, with_path: bool = True) -> DataFrame:
     """Nodes reachable from a root with their depth and ancestor path (ids, root first).
 
     A child hangs on its parent only if the parent was entered earlier; a child
-    of an unknown or later parent leaves the result with its subtree.  The order
-    check also makes cycles impossible.  One recursive query, one join per level.
+    of an unknown or later parent leaves the result with its subtree.  Trees may be of
+    any depth; without paths a node takes the same room at any depth.
     """
-    spark = nodes.sparkSession
-    flat = nodes.select(*keys, F.col(node).alias("_id"), F.col(parent).alias("_parent"),
-                        F.col(order).alias("_ord"))
-    ks = ", ".join(f"c.`{k}`" for k in keys)
-    on = " AND ".join(f"c.`{k}` = t.`{k}`" for k in keys)
-    names = ", ".join(f"`{k}`" for k in keys)
-    with _unlimited_recursion(spark):
-        tree = spark.sql(
-            f"""WITH RECURSIVE tree({names}, _id, _ord, depth, path) MAX RECURSION LEVEL {max_depth} AS (
-                  SELECT {names}, _id, _ord, 0, array(_id) FROM {{flat}} WHERE _parent IS NULL
-                  UNION ALL
-                  SELECT {ks}, c._id, c._ord, t.depth + 1, concat(t.path, array(c._id))
-                  FROM {{flat}} c JOIN tree t ON {on} AND c._parent = t._id AND c._ord > t._ord)
-                SELECT * FROM tree""", flat=flat)
-    return tree.withColumnRenamed("_id", node).drop("_ord")
-
-
-class _unlimited_recursion:
-    """Lift Spark's default cap on the rows a recursive query may produce."""
-
-    KEY = "spark.sql.cteRecursionRowLimit"
-
-    def __init__(self, spark):
-        self.spark = spark
-
-    def __enter__(self):
-        self.spark.conf.set(self.KEY, "-1")
-
-    def __exit__(self, *exc):
-        return False
+    flat = nodes.select(*keys, F.col(node).alias("_id"), F.col(parent).alias("_parent"), F.col(order).alias("_ord"))
+    over = flat.select(*keys, F.col("_id").alias("_parent"), F.col("_ord").alias("_before"))
+    linked = flat.join(over, keys + ["_parent"], "left")
+    early = F.coalesce(F.col("_before") < F.col("_ord"), F.lit(False))
+    state = linked.select(*keys, "_id", F.when(early, F.col("_parent")).alias("_up"), (F.col("_parent").isNotNull() & ~early).alias("_dead"))
+    return _to_roots(state, keys, with_path).drop("_up", "_dead").withColumnRenamed("_id", node)
 
 
 def rollup(tree: DataFrame, values: DataFrame, *, keys: list[str], node: str, value: str,
@@ -61,7 +64,7 @@ def rollup(tree: DataFrame, values: DataFrame, *, keys: list[str], node: str, va
         F.sum(value).alias(out))
 
 
-def breakdown_tree(totals: DataFrame, *, max_depth: int = MAX_DEPTH) -> DataFrame:
+def breakdown_tree(totals: DataFrame) -> DataFrame:
     """Scope totals as a tree: depth, path of ids and names, subtree GPU time.
 
     ``<unscoped>`` is a leaf under the root; the grand total is the sum of the
@@ -70,7 +73,7 @@ def breakdown_tree(totals: DataFrame, *, max_depth: int = MAX_DEPTH) -> DataFram
     keys = ["session_key"]
     calls = totals.where(F.col("node_id") != UNSCOPED_ID)
     tree = linked_tree(calls, keys=keys, node="node_id", parent="parent_call_id",
-                       order="enter_ord", max_depth=max_depth)
+                       order="enter_ord")
     sums = rollup(tree, calls, keys=keys, node="node_id", value="gpu_ns_self", out="gpu_ns_subtree")
     linked = calls.join(tree, keys + ["node_id"]).join(sums, keys + ["node_id"])
     unscoped = totals.where(F.col("node_id") == UNSCOPED_ID).withColumns({
@@ -153,29 +156,14 @@ def tree_table(tree: DataFrame, *, top: int = 20, max_depth: int = 3) -> DataFra
     return shown.join(counts, "session_key").withColumn("pct", pct)
 
 
-def descendants(snapshots: DataFrame, *, keys: list[str], root: Column, pid: str = "pid",
-                ppid: str = "ppid", max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Each snapshot's root process and all its descendants, root first.
+def descendants(snapshots: DataFrame, *, keys: list[str], root: Column, pid: str = "pid", ppid: str = "ppid") -> DataFrame:
+    """Each snapshot's root process and all its descendants, with depth and path, root first.
 
-    A process already on the path is not followed again, so a parent cycle ends.
-    A process has one parent, so no process can be reached twice otherwise.
+    Processes whose parents run in a circle, or end elsewhere, are none.
     """
-    spark = snapshots.sparkSession
-    flat = snapshots.select(*keys, F.col(pid).alias("_pid"), F.col(ppid).alias("_ppid"),
-                            root.alias("_root"))
-    names = ", ".join(f"`{k}`" for k in keys)
-    ks = ", ".join(f"c.`{k}`" for k in keys)
-    on = " AND ".join(f"c.`{k}` = t.`{k}`" for k in keys)
-    with _unlimited_recursion(spark):
-        out = spark.sql(
-            f"""WITH RECURSIVE tree({names}, _pid, depth, path) MAX RECURSION LEVEL {max_depth} AS (
-                  SELECT {names}, _pid, 0, array(_pid) FROM {{flat}} WHERE _pid = _root
-                  UNION ALL
-                  SELECT {ks}, c._pid, t.depth + 1, concat(t.path, array(c._pid))
-                  FROM {{flat}} c JOIN tree t ON {on} AND c._ppid = t._pid
-                       AND NOT array_contains(t.path, c._pid))
-                SELECT * FROM tree""", flat=flat)
-    return out.withColumnRenamed("_pid", pid)
+    flat = snapshots.select(*keys, F.col(pid).alias("_id"), F.when(F.col(pid) != root, F.col(ppid)).alias("_up"),
+                            (F.col(pid).isNull() | (F.col(pid) != root) & F.col(ppid).isNull()).alias("_dead"))
+    return _to_roots(flat, keys, True).drop("_up", "_dead").withColumnRenamed("_id", pid)
 
 
 def breakdown_trace(tree: DataFrame, ops: DataFrame) -> DataFrame:

@@ -22,6 +22,8 @@ from spanforge.session_conf import cut_lineage
 RULES: dict[str, Callable[["RuleContext"], DataFrame]] = {}
 
 # Process names (parts) that aggravate crashes when busy.
+# an operating system has fewer process ids than this, so a table has fewer rows
+TABLE_ROWS = 1 << 22
 PRESSURE_NAMES = ("ReportCrash", "diagnosticservicesd", "crashanalyticsd", "spindump", "syslogd")
 
 
@@ -256,7 +258,7 @@ def system_pressure(ctx: RuleContext, cpu: float = 5.0) -> DataFrame:
     rows = ctx.kind("ProcTop").select("session_key", "event_ord", "seq", "ts_mono_ns", F.posexplode("top").alias("i", "p"))
     rows = rows.where((F.col("p.cpu_pct") >= F.lit(cpu).cast("float")) & F.col("p.name").rlike("|".join(PRESSURE_NAMES)))
     return finding(
-        rows, severity="Warning", category="SystemPressure", pos=F.col("event_ord") * 4096 + F.col("i"),
+        rows, severity="Warning", category="SystemPressure", pos=F.col("event_ord") * TABLE_ROWS + F.col("i"),
         title=F.format_string("%s using %.1f%% CPU", F.col("p.name"), F.col("p.cpu_pct")),
         ev=evidence(F.col("seq"), F.col("ts_mono_ns"), F.concat(F.lit("process sample at "), F.col("ts_mono_ns").cast("string"))))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from spanforge.functions import labels, text
 from spanforge.operators import diff, filters, gpu, reports, sessions as S, tree
@@ -181,10 +181,10 @@ def i15_typed_fields(spark, sf):
 
 @query("d8_compatible_names", """SELECT s_suppkey, c_custkey, least(strlen(a), strlen(b))>0 AND left(a, least(length(a), length(b)))=left(b, least(length(a), length(b))) AS ok FROM (
   SELECT s.s_suppkey, c.c_custkey, CASE WHEN s_suppkey%5=0 THEN '' ELSE left(s_name, 1+s_suppkey%9) END AS a, 'Supplier' || (c_custkey%3) AS b
-  FROM supplier s JOIN customer c ON c.c_nationkey=s.s_nationkey)""")
+  FROM supplier s JOIN customer c ON s.s_suppkey=c.c_custkey//15)""")
 def d8_compatible_names(spark, sf):
     s, c = table(spark, sf, "supplier"), table(spark, sf, "customer")
-    j = s.join(c, s["s_nationkey"] == c["c_nationkey"])
+    j = c.withColumn("s_suppkey", F.call_function("div", "c_custkey", F.lit(15))).join(s, "s_suppkey")
     a = F.when(F.col("s_suppkey") % 5 == 0, "").otherwise(F.left("s_name", (F.col("s_suppkey") % 9 + 1).cast("int")))
     return j.select("s_suppkey", "c_custkey", text.names_compatible(a, F.concat(F.lit("Supplier"), (F.col("c_custkey") % 3).cast("string"))).alias("ok"))
 
@@ -268,12 +268,23 @@ def d11_linked_tree(spark, sf):
 
 
 @query("e2_subtree_rollup", """SELECT 'n' || c_nationkey AS node, CAST(sum(CAST(round(o_totalprice*100) AS BIGINT)) AS BIGINT) AS cents FROM orders JOIN customer ON c_custkey=o_custkey GROUP BY 1
-  UNION ALL SELECT 'r' || n_regionkey, CAST(sum(CAST(round(o_totalprice*100) AS BIGINT)) AS BIGINT) FROM orders JOIN customer ON c_custkey=o_custkey JOIN nation ON n_nationkey=c_nationkey GROUP BY 1""")
+  UNION ALL SELECT 'r' || n_regionkey, CAST(sum(CAST(round(o_totalprice*100) AS BIGINT)) AS BIGINT) FROM orders JOIN customer ON c_custkey=o_custkey JOIN nation ON n_nationkey=c_nationkey GROUP BY 1
+  UNION ALL SELECT 'c' || c_custkey, CAST(sum(CAST(round(o_totalprice*100) AS BIGINT)) AS BIGINT) FROM orders JOIN customer ON c_custkey=o_custkey GROUP BY 1
+  UNION ALL SELECT 'o' || o_orderkey, CAST(round(o_totalprice*100) AS BIGINT) FROM orders JOIN customer ON c_custkey=o_custkey""")
 def e2_subtree_rollup(spark, sf):
     e = _edges(spark, sf)
     t = tree.linked_tree(e, keys=["tree"], node="node", parent="parent", order="ord")
     sums = tree.rollup(t, e.withColumnRenamed("cents", "own"), keys=["tree"], node="node", value="own", out="cents")
-    return sums.where(F.col("node").rlike("^[rn]") & (F.col("cents") > 0)).select("node", "cents")
+    return sums.where(F.col("cents") > 0).select("node", "cents")
+
+
+@query("d11_deep_chain", with_sql(EV, "SELECT session_key, event_ord AS node, row_number() OVER (PARTITION BY session_key, k%20 ORDER BY event_ord)-1 AS depth FROM ev"))
+def d11_deep_chain(spark, sf):
+    """Events that each hang on the one before of their kind: as deep as the log is long."""
+    before = Window.partitionBy("session_key", F.col("k") % 20).orderBy("event_ord")
+    e = ev(spark, sf).withColumn("parent", F.lag("event_ord").over(before))
+    t = tree.linked_tree(e, keys=["session_key"], node="event_ord", parent="parent", order="event_ord", with_path=False)
+    return t.select("session_key", F.col("event_ord").alias("node"), F.col("depth").cast("bigint").alias("depth"))
 
 
 @query("d15_process_descendants", with_sql(EV + """, p AS (SELECT session_key, row_number() OVER (PARTITION BY session_key ORDER BY event_ord) AS pid FROM ev),

@@ -395,7 +395,7 @@ _rule("mlx_cache_growth", with_sql(TL, """SELECT session_key, 'mlx_cache_growth'
 _rule("memory_pressure", with_sql(profile._OVER, """SELECT session_key, 'memory_pressure' AS rule, 0 AS finding_pos, CASE WHEN r>1.0 THEN 'Critical' ELSE 'Warning' END AS severity, 'ContributingFactor' AS category,
   CASE WHEN r>1.0 THEN 'Device memory over its budget (' ELSE 'Device memory near its budget (' END || CAST(round(r*100) AS BIGINT) || '%) in scope ' || sc AS title, po AS ev_seq
   FROM (SELECT session_key, max(peak_bytes::DOUBLE/500000000) AS r, arg_max(peak_scope, (peak_bytes, island)) AS sc, arg_max(peak_ord, (peak_bytes, island)) AS po FROM ov GROUP BY 1)"""))
-_rule("system_pressure", with_sql(TL, """SELECT session_key, 'system_pressure' AS rule, event_ord*4096 AS finding_pos, 'Warning' AS severity, 'SystemPressure' AS category,
+_rule("system_pressure", with_sql(TL, """SELECT session_key, 'system_pressure' AS rule, event_ord*4194304 AS finding_pos, 'Warning' AS severity, 'SystemPressure' AS category,
   'spindump using ' || printf('%.1f', (cents/1000.0)::FLOAT::DOUBLE) || '% CPU' AS title, seq AS ev_seq FROM tl WHERE kind='ProcTop' AND (cents/1000.0)::FLOAT>=5.0"""))
 _rule("duplicate-model-load", with_sql(TL + """, r AS (SELECT *, lag(kind) OVER (PARTITION BY session_key, path ORDER BY event_ord) AS pk FROM tl WHERE kind IN ('ModelLoad','ModelUnload'))""", """
   SELECT session_key, 'duplicate-model-load' AS rule, event_ord AS finding_pos, 'Warning' AS severity, 'ContributingFactor' AS category,

@@ -22,10 +22,10 @@ def local_session(cpus: int = 8, name: str = "spanforge") -> SparkSession:
     )
 
 
-def shared_folder(spark: SparkSession) -> str | None:
+def shared_folder(spark: SparkSession) -> str:
     """Folder for cut lineage: the one the session names.
 
-    Only a local session without one gets a folder of its own.
+    Only a local session without one gets a folder of its own; a cluster must name one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
@@ -34,7 +34,7 @@ def shared_folder(spark: SparkSession) -> str | None:
         folder = tempfile.mkdtemp(prefix="spanforge-")
         spark.conf.set("spark.checkpoint.dir", folder)
         return folder
-    return None
+    raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -42,13 +42,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     Used where one intermediate feeds many branches or a recursion.  A table
     rather than a row checkpoint keeps column pruning, filter pushdown and true
-    size statistics for the joins after it.  It survives lost executors.  On a
-    cluster without a shared folder the plan is left as it is.
+    size statistics for the joins after it.  It survives lost executors.
     """
     spark = df.sparkSession
     folder = shared_folder(spark)
-    if folder is None:
-        return df
     path = f"{folder}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
