@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from spanforge.functions.labels import op_kind
@@ -103,7 +101,3 @@ def degraded_banner(pairs: DataFrame, episodes: DataFrame) -> DataFrame:
     lines = [F.when(F.col(x) > 0, F.format_string(f"{x.upper()}: sampling disabled %d time(s)", F.col(x))) for x in ("a", "b")]
     return both.where((F.col("a") > 0) | (F.col("b") > 0)).select(
         "pair_id", F.concat_ws("\n", F.lit("op-level numbers partial"), *lines).alias("banner"))
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames)

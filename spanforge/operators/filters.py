@@ -96,11 +96,3 @@ def union_sources(*frames: DataFrame) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out
-
-
-def number_events(events: DataFrame, order: list[str]) -> DataFrame:
-    """Give rows of an unnumbered log their 1-based position per session."""
-    cut = F.call_function("div", F.col(order[0]), F.lit(1 << 36))
-    return with_position(events, ["session_key"], order, "event_ord", chunk=cut)
-
-

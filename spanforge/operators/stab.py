@@ -241,10 +241,3 @@ def _interval_parts(slim, pts, by, on_key, names, aggs, merge, cell, levels, aft
         inside = inside & (F.col("_at") > F.col("_after"))
     out.append(edges.join(pts, by + ["_cell"]).where(inside).select(*on_key, *names))
     return reduce(DataFrame.unionByName, out)
-
-
-def cell_width(windows: DataFrame, lo: str, hi: str, default: int) -> int:
-    """Cell width near the median window length (one small aggregate)."""
-    row = windows.agg(F.percentile_approx(F.col(hi) - F.col(lo), 0.5).alias("m")).first()
-    median = row["m"] if row and row["m"] else default
-    return max(1, int(median))

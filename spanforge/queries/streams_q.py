@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from spanforge.queries.registry import ORACLES, query
 from spanforge.queries.views import TL, trace_log, with_sql
@@ -12,50 +12,60 @@ from spanforge.session_conf import shared_folder
 from spanforge.streaming import feeds, stateful
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ingested log's files as a stream."""
-    log = trace_log(spark, sf_dir)
-    folder = log.inputFiles()[0].rsplit("/", 1)[0]
-    return spark.readStream.schema(log.schema).parquet(folder).withColumn("event_time", feeds.wall_time())
+BATCHES = 3
+
 
+def _drain(spark: SparkSession, sf_dir: str, build, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """What ``build`` makes of the log as a stream that arrives in several parts, in order of time.
 
-def _drain(spark: SparkSession, df: DataFrame, mode: str) -> DataFrame:
-    """Run the stream over all files there are and return what it wrote."""
+    Each part is processed before the next one is there, with the state that the
+    checkpoint carries.  Of the rows that an update replaces, known by ``keys``, the
+    newest stay.
+    """
     stateful.use_state_store(spark)
     out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    log = trace_log(spark, sf_dir)
+    low, high = log.agg(F.min("ts_wall_ns"), F.max("ts_wall_ns")).first()
+    part = F.least(F.lit(BATCHES - 1), F.floor((F.col("ts_wall_ns") - (low or 0)) / max(1, ((high or 0) - (low or 0)) / BATCHES)))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.parquet(f"{out}/rows/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
 
-    q = (df.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/checkpoint")
-         .foreachBatch(write).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{out}/rows").select(*df.columns)
+    for n in range(BATCHES):
+        log.where(part == n).write.mode("append").parquet(f"{out}/log")
+        feed = spark.readStream.schema(log.schema).parquet(f"{out}/log").withColumn("event_time", feeds.wall_time())
+        df = build(feed)
+        (df.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/checkpoint")
+         .foreachBatch(write).trigger(availableNow=True).start().awaitTermination())
+    rows = spark.read.schema(df.schema.add("batch", "long")).parquet(f"{out}/rows")
+    if keys:
+        newest = F.max("batch").over(Window.partitionBy(*keys))
+        rows = rows.withColumn("_newest", newest).where(F.col("batch") == F.col("_newest"))
+    return rows.select(*[c for c in df.columns if c != "batch"])
 
 
 @query("m1_live_feed", with_sql(TL, "SELECT session_key, event_ord, kind FROM tl WHERE source='Mark'"))
 def m1_live_feed(spark, sf):
-    rows = _stream(spark, sf).where(F.col("source") == "Mark").select("session_key", "event_ord", "kind")
-    return _drain(spark, rows, "append")
+    return _drain(spark, sf, lambda log: log.where(F.col("source") == "Mark").select("session_key", "event_ord", "kind"), "append")
 
 
 @query("m3_sequence_gaps", with_sql(TL + """,
    g AS (SELECT session_key, event_ord, seq, max(seq) OVER (PARTITION BY session_key ORDER BY event_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM tl)""",
                                     "SELECT session_key, event_ord, m+1 AS expected, seq AS got FROM g WHERE seq>m+1"))
 def m3_sequence_gaps(spark, sf):
-    return _drain(spark, stateful.sequence_gaps(_stream(spark, sf)), "append")
+    return _drain(spark, sf, stateful.sequence_gaps, "append")
 
 
 @query("m6_op_scales", ORACLES["f2_serialization_clamp"].replace(
     "SELECT event_ord, window_ns, round(scale, 6) AS scale, (SELECT CAST(sum(ns) AS BIGINT) FROM cops c WHERE c.event_ord=oe.event_ord) AS gpu_ns FROM oe",
     "SELECT event_ord, round(scale, 6) AS scale FROM oe"))
 def m6_op_scales(spark, sf):
-    return _drain(spark, stateful.op_scales(_stream(spark, sf)), "append").select("event_ord", F.round("scale", 6).alias("scale"))
+    return _drain(spark, sf, stateful.op_scales, "append").select("event_ord", F.round("scale", 6).alias("scale"))
 
 
 @query("m8_queue_stream", ORACLES["m8_queue_state"])
 def m8_queue_stream(spark, sf):
-    out = _drain(spark, stateful.queue_state(_stream(spark, sf)), "update")
+    out = _drain(spark, sf, stateful.queue_state, "update")
     cols = [c for c in out.columns if c not in ("session_key", "queue_id", "event_ord")]
     return out.groupBy("session_key", "queue_id").agg(F.max_by(F.struct(*cols), "event_ord").alias("s")).select(
         "session_key", "queue_id", "s.*")
@@ -63,34 +73,34 @@ def m8_queue_stream(spark, sf):
 
 @query("m13_new_reports", with_sql(TL, "SELECT DISTINCT 'i' || (seq//3) AS report_key FROM tl WHERE kind='MetalCbCompleted'"))
 def m13_new_reports(spark, sf):
-    done = _stream(spark, sf).where(F.col("kind") == "MetalCbCompleted")
-    reports = done.select(F.concat(F.lit("i"), F.call_function("div", F.col("seq"), F.lit(3)).cast("string")).alias("incident_id"),
-                          F.lit(None).cast("string").alias("path"), F.lit("x").alias("proc_name"), "event_time")
-    return _drain(spark, feeds.new_reports(reports, own_process="self", delay="30 days"), "append").select("report_key")
+    key = F.concat(F.lit("i"), F.call_function("div", F.col("seq"), F.lit(3)).cast("string"))
+    report = lambda log: log.where(F.col("kind") == "MetalCbCompleted").select(
+        key.alias("incident_id"), F.lit(None).cast("string").alias("path"), F.lit("x").alias("proc_name"), "event_time")
+    return _drain(spark, sf, lambda log: feeds.new_reports(report(log), own_process="self", delay="30 days"), "append").select("report_key")
 
 
 @query("m4_rate_stream", with_sql(TL, "SELECT session_key, wall//1000000000 AS second, count(*) AS events FROM tl GROUP BY 1, 2"))
 def m4_rate_stream(spark, sf):
-    return _drain(spark, feeds.events_per_second(_stream(spark, sf)), "complete")
+    return _drain(spark, sf, feeds.events_per_second, "update", ["session_key", "second"])
 
 
 @query("m9_latest_stream", with_sql(TL, """
   SELECT session_key, count(*) AS events_total, max(ts) AS last_ts_mono_ns FROM tl GROUP BY 1"""))
 def m9_latest_stream(spark, sf):
-    rows = feeds.latest_values(_stream(spark, sf)).select("session_key", "events_total", "last_ts_mono_ns")
-    return _drain(spark, rows, "update")
+    latest = lambda log: feeds.latest_values(log).select("session_key", "events_total", "last_ts_mono_ns")
+    return _drain(spark, sf, latest, "update", ["session_key"])
 
 
 @query("m10_recent_stream", with_sql(TL, """
   SELECT session_key, event_ord, label AS text FROM (SELECT *, row_number() OVER (PARTITION BY session_key ORDER BY event_ord DESC) AS r FROM tl WHERE kind='Mark') WHERE r<=2"""))
 def m10_recent_stream(spark, sf):
-    marks = _stream(spark, sf).where(F.col("kind") == "Mark").withColumn("text", F.col("label"))
-    return _drain(spark, stateful.recent_items(marks, 2), "update").select("session_key", "event_ord", "text")
+    recent = lambda log: stateful.recent_items(log.where(F.col("kind") == "Mark").withColumn("text", F.col("label")), 2)
+    return _drain(spark, sf, recent, "update", ["session_key"]).select("session_key", "event_ord", "text")
 
 
 @query("m12_incident_slices", with_sql(TL, """
   SELECT i.session_key || '-' || i.event_ord AS incident_key, e.event_ord FROM tl i JOIN tl e ON e.wall//1000 BETWEEN i.wall//1000-3600000000 AND i.wall//1000
   WHERE i.kind='MetalCbCompleted' AND i.error_code IS NOT NULL"""))
 def m12_incident_slices(spark, sf):
-    rows = feeds.incident_slices(_stream(spark, sf), seconds=3600, delay="1 hour")
-    return _drain(spark, rows.select("incident_key", "event_ord"), "append")
+    slices = lambda log: feeds.incident_slices(log, seconds=3600, delay="1 hour").select("incident_key", "event_ord")
+    return _drain(spark, sf, slices, "append")

@@ -21,13 +21,12 @@ def wall_time(ns: str = "ts_wall_ns") -> Column:
 def live_events(spark: SparkSession, path: str, *, session_key: str | None = None,
                 max_files: int | None = None) -> DataFrame:
     """Event feed from a growing folder of NDJSON files, one folder per session."""
-    reader = (spark.readStream.schema(event_source.EVENT_JSON).option("mode", "DROPMALFORMED")
-              .option("recursiveFileLookup", "true"))
+    reader = spark.readStream.option("recursiveFileLookup", "true")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    raw = reader.json(path)
-    events = event_source._flatten(raw, F.coalesce("session_key", event_source.directory_name()),
-                                   F.coalesce("event_ord", "seq"))
+    lines = reader.text(path).select("value", event_source.directory_name().alias("_dir"))
+    raw = event_source.parsed_lines(lines).where(F.col("reason").isNull())
+    events = event_source._flatten(raw, F.coalesce("session_key", "_dir"), F.coalesce("event_ord", F.col("seq").cast("bigint")))
     if session_key is not None:
         events = events.where(F.col("session_key") == session_key)
     return events.withColumn("event_time", wall_time())

@@ -54,6 +54,23 @@ def test_dump_and_cut_tail(spark, tmp_path):
     assert [(r["session_key"], r["event_ord"], r["label"]) for r in dump] == [("s2", 0, "a"), ("s2", 1, "b")]
 
 
+def test_positions_ids_and_quarantine(spark, tmp_path):
+    d = tmp_path / "post-mortem-x"
+    d.mkdir()
+    line = lambda sid, seq, payload: json.dumps({"ts_mono_ns": seq, "ts_wall_ns": seq, "session_id": sid, "source": "MetalHook", "pid": 1, "seq": seq, "payload": payload})
+    big = (1 << 63) + 7
+    a = [line("a", n, {"kind": "MetalHeapFree", "heap_id": big + n}) for n in range(3)]
+    b = [line("b", n, {"kind": "MetalHeapFree", "heap_id": n}) for n in range(3)]
+    (d / "e1.jsonl").write_text("\n".join([a[0], b[0], "{broken}", a[1]]) + "\n")
+    (d / "e2.jsonl").write_text("\n".join([b[1], line("a", 9, {"kind": "MetalHeapAlloc", "heap_id": 1, "size_bytes": big}), a[2], b[2]]) + "\n" + '{"ts_mo')
+    good, bad = src.read_event_log(spark, str(tmp_path))
+    rows = good.orderBy("event_ord").collect()
+    assert [(r.session_id, r.seq, r.event_ord) for r in rows] == [("a", 0, 0), ("b", 0, 1), ("a", 1, 3), ("b", 1, 4), ("a", 2, 6), ("b", 2, 7)]
+    assert [r.heap_id % (1 << 64) for r in rows if r.session_id == "a"] == [big, big + 1, big + 2]
+    assert good.count() == good.select("heap_id").count() == 6 and src.repeated_positions(good).isEmpty()
+    assert sorted((r.event_ord, r.reason) for r in bad.collect()) == [(2, "damaged"), (5, "quantity above 2^63-1"), (8, "cut tail")]
+
+
 def test_pruned_scan_equals_filter(spark, log, tmp_path):
     p = str(tmp_path / "log")
     src.write_events(log, p)
