@@ -98,6 +98,6 @@ def degraded_banner(pairs: DataFrame, episodes: DataFrame) -> DataFrame:
     """Pairs with partial op numbers and a notice naming the side and its episodes."""
     a, b = pair_sides(pairs, episodes)
     both = a.withColumnRenamed("episodes", "a").join(b.withColumnRenamed("episodes", "b"), "pair_id")
-    lines = [F.when(F.col(x) > 0, F.format_string(f"{x.upper()}: sampling disabled %d time(s)", F.col(x))) for x in ("a", "b")]
+    lines = [F.when(F.col(x) > 0, F.format_string(f"{x.upper()}: sampling was off %d time(s)", F.col(x))) for x in ("a", "b")]
     return both.where((F.col("a") > 0) | (F.col("b") > 0)).select(
-        "pair_id", F.concat_ws("\n", F.lit("op-level numbers partial"), *lines).alias("banner"))
+        "pair_id", F.concat_ws("\n", F.lit("figures per op are incomplete"), *lines).alias("banner"))

@@ -48,9 +48,9 @@ def delta_summary(events: DataFrame, cursor: int, *, live: bool = False, clamp:
                                            F.count_if(kind == "MetalCbCompleted").alias("new_cbs"))
     zero = F.lit(0).cast("bigint")
     n = F.coalesce("new_events", zero)
-    note = (F.when(F.lit(cursor) > F.col("cursor"), "cursor ahead of log (clamped)")
-            .when(n == 0, "no new events" if live else "session finalized; no new events")
-            .when(F.lit(not live), "session finalized"))
+    note = (F.when(F.lit(cursor) > F.col("cursor"), "cursor lies past the end and was set back")
+            .when(n == 0, "nothing new" if live else "nothing new, the session is closed")
+            .when(F.lit(not live), "the session is closed"))
     totals = whole.join(new, "session_key", "left").join(gpu_total, "session_key", "left").select(
         "session_key", "cursor", F.least(F.lit(cursor).cast("bigint"), F.col("cursor")).alias("prev_cursor"),
         n.alias("new_events"), "elapsed_ns", F.coalesce("new_cbs", zero).alias("new_cbs"),

@@ -43,7 +43,7 @@ def crash_findings(matches: DataFrame) -> DataFrame:
     summary = F.when(F.col("summary") != "", F.col("summary"))
     return _placed(R.finding(
         matches, severity="Critical", category="RootCause",
-        title=F.concat(F.lit("Recorded process crashed"),
+        title=F.concat(F.lit("Crash report found for the recorded process"),
                        F.coalesce(F.concat(F.lit(" ("), F.col("signal"), F.lit(")")), F.lit(""))),
         detail=F.concat_ws("; ", summary, codes, F.concat(F.lit("report "), F.col("path")))), CRASH_POS, "crash_report")
 
@@ -52,7 +52,7 @@ def kill_findings(matches: DataFrame) -> DataFrame:
     gb = lambda c: F.format_string("%.2f GB", decimal_gb(F.col(c)))
     return _placed(R.finding(
         matches, severity="Critical", category="RootCause",
-        title=F.lit("The kernel killed the recorded process under memory pressure"),
+        title=F.lit("Kill report: the system ended the recorded process to reclaim memory"),
         detail=F.concat_ws("; ", F.format_string("pid %d (%s)", "killed_pid", "killed_name"),
                            F.concat(F.lit("footprint "), gb("footprint_bytes")),
                            F.concat(F.lit("lifetime maximum "), gb("lifetime_max_bytes")),
@@ -77,9 +77,9 @@ def presumed_memory_deaths(bounds: DataFrame, events: DataFrame, findings: DataF
     gb = lambda c: F.format_string("%.2f GB", decimal_gb(F.col(c)))
     return _placed(R.finding(
         j, severity="Warning", category="ContributingFactor",
-        title=F.lit("Memory footprint was rising and the session ended abnormally"),
+        title=F.lit("Session broke off while its memory use was climbing"),
         detail=F.concat(F.lit("Footprint went from "), gb("first_value"), F.lit(" to "), gb("last_value"),
-                        F.lit("; no kill report matches. A presumption, not a verdict.")),
+                        F.lit("; without a matching kill report this is only likely.")),
         ev=F.concat(R.evidence(F.col("a.seq"), F.col("a.ts_mono_ns"), F.concat(F.lit("first "), gb("first_value"))),
                     R.evidence(F.col("z.seq"), F.col("z.ts_mono_ns"), F.concat(F.lit("last "), gb("last_value"))))),
         PRESUMED_POS, "presumed_memory_death")

@@ -158,9 +158,9 @@ def queue_pressure(ctx: RuleContext, depth_limit: int = 32, in_flight_limit: int
             "cb_id=%d was in flight %dms", F.col("s.cb_id"), _div(slow, 1_000_000)))).otherwise(no_evidence()))
     return finding(
         peak.where(deep | late), severity="Warning", category="ContributingFactor",
-        title=F.format_string("Queue pressure: peak depth %d, longest in flight %dms", depth, _div(slow, 1_000_000)),
-        detail=F.lit(f"Depth of {depth_limit} or more, or {in_flight_limit // NS_PER_SEC}s or more in flight. "
-                     "Synchronise between phases or lower the batch concurrency."), ev=ev)
+        title=F.format_string("Command queue backed up: depth %d and longest wait %dms", depth, _div(slow, 1_000_000)),
+        detail=F.lit(f"Reported from {depth_limit} waiting buffers, or {in_flight_limit // NS_PER_SEC}s of waiting, on. "
+                     "Submit less at once, or wait for the queue between phases."), ev=ev)
 
 
 @rule("mlx_timing")
@@ -303,11 +303,11 @@ def capture_degradation(ctx: RuleContext) -> DataFrame:
             ev=why(f"{side}_first", "first occurrence")))
     out.append(finding(
         per.where(F.col("bad") > 0), severity="Warning", category="ContributingFactor", pos=F.lit(2),
-        title=F.format_string("Capture ring corruption: %d corrupt frame report(s)", "bad"),
-        detail=F.lit("Corrupt frames were skipped; some events are lost."), ev=why("bad_first", "first occurrence")))
+        title=F.format_string("Damaged frames in the capture ring: %d report(s)", "bad"),
+        detail=F.lit("What those frames held is missing from the log."), ev=why("bad_first", "first occurrence")))
     out.append(finding(
         per.where(F.col("lost_first").isNotNull()), severity="Warning", category="ContributingFactor", pos=F.lit(3),
-        title=F.format_string("Capture ring overflow: %d event(s) dropped", "lost"),
+        title=F.format_string("Capture ring full: %d event(s) dropped", "lost"),
         detail=F.lit("The ring filled faster than it was drained."), ev=why("lost_first", "first drop")))
     result = out[0]
     for f in out[1:]:
@@ -381,10 +381,10 @@ def nothing_advice() -> Column:
 def sidecar_absent(ctx: RuleContext) -> DataFrame:
     per = instrumentation(ctx).where(~F.col("has_sidecar"))
     nothing = finding(per.where(F.col("cb_count") == 0), severity="Info", category="ContributingFactor",
-                      title=F.lit("No instrumented GPU workload in this session"), detail=nothing_advice())
+                      title=F.lit("This session ran no GPU work that was instrumented"), detail=nothing_advice())
     absent = finding(
         per.where(F.col("cb_count") > 0), severity="Info", category="ContributingFactor",
-        title=F.lit("Runtime agent never attached: GPU time cannot be attributed to scopes"), detail=absent_advice(),
+        title=F.lit("No runtime agent was attached, so GPU time has no scopes"), detail=absent_advice(),
         ev=evidence(F.col("first.seq"), F.col("first.ts_mono_ns"), F.format_string(
             "first of %d completed buffer(s) without agent events", "cb_count")))
     return nothing.unionByName(absent)
@@ -401,6 +401,6 @@ def attribution_notices(ctx: RuleContext) -> DataFrame:
             .select("session_key", F.col("episodes").alias("sampling_disable_episodes"),
                     F.coalesce("lazy", "absent").alias("attribution_gap"),
                     F.when(F.col("lazy").isNotNull(), "LazyEval").when(F.col("absent").isNotNull(), "SidecarAbsent").alias("gap_kind"),
-                    F.when(F.col("episodes") > 0, F.format_string("op-level numbers partial: sampling disabled %d time(s)", "episodes")).alias("degraded")))
+                    F.when(F.col("episodes") > 0, F.format_string("figures per op are incomplete: sampling disabled %d time(s)", "episodes")).alias("degraded")))
 
 

@@ -379,7 +379,7 @@ _rule("queue_pressure",
     arg_max(event_ord, (queue_depth, -event_ord)) FILTER (WHERE queue_depth IS NOT NULL) AS ds, arg_max(event_ord, (in_flight_ns, -event_ord)) FILTER (WHERE in_flight_ns IS NOT NULL) AS ss
     FROM tl WHERE kind IN ('MetalCbCommitted','MetalCbCompleted') AND session_key NOT IN (SELECT session_key FROM ff) GROUP BY 1)""", """
   SELECT session_key, 'queue_pressure' AS rule, 0 AS finding_pos, 'Warning' AS severity, 'ContributingFactor' AS category,
-   'Queue pressure: peak depth ' || d || ', longest in flight ' || s//1000000 || 'ms' AS title, CASE WHEN d>=32 THEN ds ELSE ss END AS ev_seq FROM q WHERE d>=32 OR s>=1000000000"""))
+   'Command queue backed up: depth ' || d || ' and longest wait ' || s//1000000 || 'ms' AS title, CASE WHEN d>=32 THEN ds ELSE ss END AS ev_seq FROM q WHERE d>=32 OR s>=1000000000"""))
 _rule("mlx_timing", with_sql(_FF + """,
    rt AS (SELECT *, row_number() OVER (PARTITION BY session_key ORDER BY duration_ns) - 1 AS i, count(*) OVER (PARTITION BY session_key) AS n,
       row_number() OVER (PARTITION BY session_key ORDER BY duration_ns DESC, event_ord DESC) AS sl FROM tl WHERE kind='MlxEvalReturned'),
@@ -403,8 +403,8 @@ _rule("duplicate-model-load", with_sql(TL + """, r AS (SELECT *, lag(kind) OVER
 _rule("hook_degradation", with_sql(TL, """SELECT session_key, 'hook_degradation' AS rule, p AS finding_pos, 'Warning' AS severity, 'ContributingFactor' AS category, title, ev_seq FROM (
   SELECT session_key, 0 AS p, 'Op timing degraded: stage sampling disabled ' || count(*) || ' time(s)' AS title, min(seq) AS ev_seq FROM tl WHERE kind='MetalHookSkipped' AND k=10 GROUP BY 1
   UNION ALL SELECT session_key, 1, 'Op timing degraded: dispatch sampling disabled ' || count(*) || ' time(s)', min(seq) FROM tl WHERE kind='MetalHookSkipped' AND k=40 GROUP BY 1
-  UNION ALL SELECT session_key, 2, 'Capture ring corruption: ' || count(*) || ' corrupt frame report(s)', min(seq) FROM tl WHERE kind='MetalHookSkipped' AND k=70 GROUP BY 1
-  UNION ALL SELECT session_key, 3, 'Capture ring overflow: ' || sum(k) || ' event(s) dropped', min(seq) FROM tl WHERE kind='MetalHookDropped' GROUP BY 1)"""))
+  UNION ALL SELECT session_key, 2, 'Damaged frames in the capture ring: ' || count(*) || ' report(s)', min(seq) FROM tl WHERE kind='MetalHookSkipped' AND k=70 GROUP BY 1
+  UNION ALL SELECT session_key, 3, 'Capture ring full: ' || sum(k) || ' event(s) dropped', min(seq) FROM tl WHERE kind='MetalHookDropped' GROUP BY 1)"""))
 _LAZY = ATTRIB + """,
    lz AS (SELECT session_key, CASE WHEN gpu_ns>0 AND eval_ord IS NOT NULL AND eval_leaf IS NULL THEN eval_ord END AS e, gpu_ns FROM att),
    lg AS (SELECT session_key, CAST(sum(CASE WHEN e IS NOT NULL THEN gpu_ns ELSE 0 END)*100 // sum(gpu_ns) AS BIGINT) AS pct, min(e) AS fs FROM lz GROUP BY 1
@@ -414,7 +414,7 @@ _rule("lazy_eval_attribution", with_sql(_LAZY, """SELECT session_key, 'lazy_eval
 _SIDE = """ si AS (SELECT session_key, count(*) AS n, count(*) FILTER (WHERE kind='MetalCbCompleted') AS cbs, min(seq) FILTER (WHERE kind='MetalCbCompleted') AS fs
    FROM tl GROUP BY 1 HAVING count(*) FILTER (WHERE kind IN ('ModuleEntered','MlxEvalEntered','PythonSidecarHello'))=0)"""
 _rule("sidecar_absent", with_sql(TL + "," + _SIDE, """SELECT session_key, 'sidecar_absent' AS rule, 0 AS finding_pos, 'Info' AS severity, 'ContributingFactor' AS category,
-  CASE WHEN cbs=0 THEN 'No instrumented GPU workload in this session' ELSE 'Runtime agent never attached: GPU time cannot be attributed to scopes' END AS title, fs AS ev_seq FROM si"""))
+  CASE WHEN cbs=0 THEN 'This session ran no GPU work that was instrumented' ELSE 'No runtime agent was attached, so GPU time has no scopes' END AS title, fs AS ev_seq FROM si"""))
 
 
 @query("j15_attribution_notices", with_sql(_LAZY + "," + _SIDE, """
@@ -504,7 +504,7 @@ _DELTA = TL + """, nn AS (SELECT *, row_number() OVER (PARTITION BY session_key
   SELECT t.session_key, count(*) AS cursor, least(40, count(*)) AS prev_cursor, greatest(0, count(*)-40) AS new_events, arg_max(ts, t.event_ord)-arg_min(ts, t.event_ord) AS elapsed_ns,
    count(*) FILTER (WHERE n>40 AND kind='MetalCbCompleted') AS new_cbs, coalesce(any_value(d.g), 0)::BIGINT AS gpu_ns_added,
    coalesce(arg_max(allocated, t.event_ord) FILTER (WHERE allocated IS NOT NULL), 0) AS current_bytes, coalesce(max(allocated), 0) AS peak_bytes_session,
-   CASE WHEN 40>count(*) THEN 'cursor ahead of log (clamped)' WHEN count(*)=40 THEN 'session finalized; no new events' ELSE 'session finalized' END AS note
+   CASE WHEN 40>count(*) THEN 'cursor lies past the end and was set back' WHEN count(*)=40 THEN 'nothing new, the session is closed' ELSE 'the session is closed' END AS note
   FROM nn t LEFT JOIN dops d ON d.session_key=t.session_key GROUP BY 1"""))
 def m2_delta_totals(spark, sf):
     return live.delta_summary(trace_log(spark, sf), 40)["totals"]

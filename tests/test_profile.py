@@ -181,7 +181,7 @@ def test_queue_state_and_delta(spark):
     assert rows(live.queue_state(e), "queue_id", "depth", "in_flight", "oldest_cb_id", "last_completed_error") == [
         (0, 2, 1, 2, None), (1, 0, 0, None, 5)]
     t = live.delta_summary(e, 9)["totals"].first()
-    assert (t["prev_cursor"], t["new_events"], t["note"]) == (4, 0, "cursor ahead of log (clamped)")
+    assert (t["prev_cursor"], t["new_events"], t["note"]) == (4, 0, "cursor lies past the end and was set back")
 
 
 def test_compare_sessions(spark, log):
