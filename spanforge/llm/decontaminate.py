@@ -163,6 +163,17 @@ class Items:
         return self.words[i][-max(3, len(self.words[i]) // 4):]
 
 
+def _regions(windows: list[tuple[int, int, float]], n: int) -> list[tuple[int, int, float]]:
+    """Windows that begin within half an item's ``n`` words of the first of them, as one stretch of words."""
+    out: list[tuple[int, int, float]] = []
+    for s, e, c in windows:
+        if out and s <= out[-1][0] + n // 2:
+            out[-1] = (out[-1][0], max(out[-1][1], e), max(out[-1][2], c))
+        else:
+            out.append((s, e, c))
+    return out
+
+
 def _search(items):
     def run(batches):
         q, row = items.value, row_base()
@@ -191,7 +202,10 @@ def _search(items):
                 cells = start[some][:, None] + np.arange(WINDOW)
                 cells = np.where(cells < stop[some][:, None], cells, -1)
                 own = np.where(cells >= 0, place[cells], len(q.products) - 1)
-                cosine = q.products[own].sum(axis=1) / np.sqrt(np.maximum(norm2[some], 1e-9)).astype(np.float32)[:, None]
+                cosine = q.products[own[:, 0]]
+                for k in range(1, WINDOW):
+                    cosine += q.products[own[:, k]]
+                cosine /= np.sqrt(np.maximum(norm2[some], 1e-9)).astype(np.float32)[:, None]
                 for w, p in zip(*np.nonzero(cosine >= q.least)):
                     k = some[w]
                     found.setdefault((int(doc[k]), int(q.owner[p])), []).append((int(start[k]), int(stop[k]), float(cosine[w, p])))
@@ -202,10 +216,10 @@ def _search(items):
             for (d, i), windows in found.items():
                 n, low = len(q.words[i]), int(ends[d] - sizes[d])
                 best = None
-                for s, e, c in sorted(set(windows)):
+                for s, e, c in _regions(sorted(set(windows)), n):
                     s, e = max(low, s - n // 2), min(int(ends[d]), e + n // 2)
-                    words = hashes[s:e].tolist()
-                    if sum(w in masks[i] for w in words) < PARAPHRASE * n:
+                    words = [w for w in hashes[s:e].tolist() if w in masks[i]]
+                    if len(words) < PARAPHRASE * n:
                         continue
                     got = common_words(masks[i], n, words) / n
                     if best is None or got > best[0]:
