@@ -71,8 +71,11 @@ def kernel_fingerprint(pso: Column, w: Column, h: Column, d: Column) -> Column:
 
 
 def key_bucket(key: Column, buckets: int = 8) -> Column:
-    """Stable small bucket of a key, for colouring."""
-    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    """Stable small bucket of a key, for colouring: its bytes as digits to the base 31, in 32 bits."""
+    digits = F.hex(F.encode(key, "UTF-8"))
+    step = lambda a, i: F.pmod(a * 31 + F.conv(F.substring(digits, 2 * i - 1, F.lit(2)), 16, 10).cast("bigint"), F.lit(1 << 32))
+    places = F.sequence(F.lit(1), F.octet_length(key))
+    return F.when(F.octet_length(key) > 0, F.aggregate(places, F.lit(0).cast("bigint"), step) % buckets).when(key == "", 0).cast("int")
 
 
 def likely_async(duration_ns: Column, threshold_ns: int = 10_000_000) -> Column:

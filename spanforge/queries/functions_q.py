@@ -154,7 +154,8 @@ def i20_kill_reason(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", labels.kill_reason_text(r).alias("reason_text"))
 
 
-@query("i21_key_bucket")
+@query("i21_key_bucket", """SELECT page_id, CAST(list_reduce(list_transform(range(0, strlen(url)), lambda i: CAST(CAST('0x' || substr(hex(encode(url)), 2*i+1, 2) AS INTEGER) AS BIGINT)),
+  lambda a, b: (a*31+b) % 4294967296) % 8 AS INTEGER) AS bucket FROM pages""")
 def i21_key_bucket(spark, sf):
     return table(spark, sf, "pages").select("page_id", labels.key_bucket(F.col("url")).alias("bucket"))
 

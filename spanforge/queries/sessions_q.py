@@ -16,7 +16,7 @@ from spanforge.queries.views import (ATTRIB, BUFFERS, GRACE_NS, HOUR_NS, SESSION
                                      trace_log, with_sql)
 from spanforge.session_conf import shared_folder
 from spanforge.sinks import files, trace
-from spanforge.sources.events import read_event_json
+from spanforge.sources.events import read_event_json, read_events, write_events
 
 DAY = 24 * HOUR_NS
 LO, HI = 5 * DAY, 20 * DAY
@@ -54,7 +54,28 @@ def a12_post_mortem_slices(spark, sf):
 
 @query("a3_pruned_scan", with_sql(TL, f"SELECT session_key, event_ord, kind FROM tl WHERE source='MetalHook' AND ts BETWEEN {LO} AND {HI}"))
 def a3_pruned_scan(spark, sf):
-    return filters.filter_events(trace_log(spark, sf), source="MetalHook", from_ts=LO, to_ts=HI).select("session_key", "event_ord", "kind")
+    """The log written by day and source, and read back with conditions that prune."""
+    path = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    write_events(trace_log(spark, sf), path)
+    return read_events(spark, path, source="MetalHook", from_ts=LO, to_ts=HI).select("session_key", "event_ord", "kind")
+
+
+@query("a2_mixed_slices", with_sql(TL, """
+  SELECT 'slice=' || CAST(event_ord//7%3 AS VARCHAR) AS session_key, count(*) AS n, count(*) AS positions, CAST(0 AS BIGINT) AS first_ord, count(*)-1 AS last_ord,
+         CAST(coalesce(sum(heap_id), 0) AS BIGINT) AS heap_ids FROM tl GROUP BY 1"""))
+def a2_mixed_slices(spark, sf):
+    """Events of many sessions in one folder each, without positions, with heap ids past 2^63: all come back, each in a place of its own."""
+    wide = (F.col("heap_id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("decimal(20,0)")
+    log = trace_log(spark, sf).withColumn("slice", F.call_function("div", "event_ord", F.lit(7)) % 3)
+    lines = files.event_json(log.withColumns({"heap_id": wide, "session_key": F.struct("slice"), "event_ord": F.lit(None).cast("bigint")}))
+    path = f"{shared_folder(spark)}/slices-{uuid.uuid4().hex}"
+    text = lines.select("session_key.slice", F.regexp_replace("json", '"session_key":[^}]*},', "").alias("value"))
+    text.repartition("slice").write.partitionBy("slice").text(path)
+    back = read_event_json(spark, path)
+    low = F.col("heap_id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")
+    return back.groupBy("session_key").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("event_ord").alias("positions"), F.min("event_ord").alias("first_ord"),
+        F.max("event_ord").alias("last_ord"), F.coalesce(F.sum(low), F.lit(0)).cast("bigint").alias("heap_ids"))
 
 
 @query("a4_event_count", with_sql(TL, "SELECT session_key, count(*) AS event_count FROM tl GROUP BY 1"))

@@ -48,7 +48,7 @@ def test_paraphrases_and_hostile_rows(spark):
     bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()] + [(None, None), (77, "")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in leaks(df, bench).collect()}
     assert got == want | {(None, 3)}
-    assert {(r.doc_id, r.item_id) for r in leaks(df, bench, block_passages=30).collect()} == got
+    assert {(r.doc_id, r.item_id) for r in leaks(df, bench, block_passages=80).collect()} == got
     kept = drop_leaks(df, bench)
     assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted([*map(str, range(40, 80)), "None", "100", "101"])
     assert leaks(df.limit(0), bench).count() == leaks(df, bench.limit(0)).count() == 0
