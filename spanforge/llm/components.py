@@ -49,17 +49,34 @@ def _spanning(batches):
         yield pa.record_batch([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: So many edges one task holds; a contracted graph of this size needs no more rounds.
+LAST_EDGES = 1 << 20
+
+
+def _roots(batches):
+    """Each node of a task's edges with the first node of its component."""
+    forest = Forest()
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            forest.union(a, b)
+    nodes = list(forest.up)
+    yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array([forest.find(x) for x in nodes], pa.int64())], names=["label", "_next"])
+
+
+def components(edges: DataFrame, last_edges: int = LAST_EDGES) -> DataFrame:
     """(node, label) for each node of the edges (a, b); one label per component.
 
     Each round moves every node to the neighbour that comes first in an order drawn
-    anew, and contracts; a constant share of the nodes goes each time.  The driver
-    reads one number a round.
+    anew, and contracts; a constant share of the nodes goes each time, until a task
+    can finish what is left.  The driver reads one number a round.
     """
     edges = cut_lineage(edges.select("a", "b").where("a <> b").mapInArrow(_spanning, "a long, b long"))
     labels = cut_lineage(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node")))
     rounds = 0
-    while not edges.isEmpty():
+    while left := edges.count():
+        if left <= last_edges:
+            ends = edges.coalesce(1).mapInArrow(_roots, "label long, _next long")
+            return salted_join(labels, ends, ["label"], "left").select("node", F.coalesce("_next", "label").alias("label"))
         rounds += 1
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(rounds)), F.col(c).alias("node"))

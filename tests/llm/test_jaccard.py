@@ -90,6 +90,7 @@ def test_components_of_a_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(0, 120)]
     random.Random(1).shuffle(path)
     edges = path + [(1000, 1001 + i) for i in range(200)] + [(5000, 5000), (6001, 6000)]
-    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()}
-    assert len({got[i] for i in range(121)}) == 1 and len({got[1000 + i] for i in range(201)}) == 1
-    assert got[6000] == got[6001] and len(set(got.values())) == 3
+    for last in (1 << 20, 0, 40):
+        got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long").repartition(6), last).collect()}
+        assert len({got[i] for i in range(121)}) == 1 and len({got[1000 + i] for i in range(201)}) == 1
+        assert got[6000] == got[6001] and len(set(got.values())) == 3
