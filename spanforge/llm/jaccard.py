@@ -359,7 +359,10 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     pivots = heads.join(members.select(F.col("rep").alias("pivot"), F.col("shingles").alias("pivot_set")), "pivot")
     tied = cut_lineage(salted_join(members.select("part", "rep", "shingles"), pivots.select("part", "pivot", "pivot_set"), ["part"])
                        .select("rep", "pivot", "shingles", "pivot_set").mapInArrow(_linked_to_pivot(percent), "a long, b long, same boolean"))
-    state = salted_join(members.select("part", "rep", "shingles"), heads.where("size > 2").select("part", "tiles"), ["part"])
+    # a part whose members are all tied is done
+    rest = members.select("part", "rep").join(tied.where(~F.col("same")).select(F.col("a").alias("rep")), "rep").select("part").distinct()
+    undone = cut_lineage(heads.where("size > 2").select("part", "tiles").join(rest, "part"))
+    state = salted_join(members.select("part", "rep", "shingles"), undone, ["part"])
     state = state.join(tied.select(F.col("a").alias("rep"), F.col("same").alias("tied")), "rep").withColumn(
         "tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int") * 2 + F.col("tied").cast("int"))
     state = cut_lineage(state)
