@@ -55,8 +55,9 @@ def _word_rows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[list[by
 
 def _contexts(batches):
     places, signs = index_vectors()
-    sums, task = np.zeros((ROWS, DIMS + 1), dtype=np.int64), row_base() >> 33
-    for batch in slices(batches, 2000):
+    # whole numbers below 2^53, so exact; one flat array, to which every count is added in place
+    flat, counts, task = np.zeros(ROWS * DIMS), np.zeros(ROWS, dtype=np.int64), row_base() >> 33
+    for batch in slices(batches, 1000):
         rows, sizes, _ = _word_rows(bytes_of(batch.column(0)))
         if not len(rows):
             continue
@@ -65,10 +66,10 @@ def _contexts(batches):
             near = np.flatnonzero(doc[far:] == doc[:-far])
             for word, other in ((rows[near], rows[near + far]), (rows[near + far], rows[near])):
                 for k in range(NONZERO):
-                    flat = np.bincount(word * DIMS + places[other, k], weights=signs[other, k], minlength=ROWS * DIMS)
-                    sums[:, :DIMS] += flat.reshape(ROWS, DIMS).astype(np.int64)
-        sums[:, DIMS] += np.bincount(rows, minlength=ROWS)
-    if sums.any():
+                    flat += np.bincount(word * DIMS + places[other, k], weights=signs[other, k], minlength=ROWS * DIMS)
+        counts += np.bincount(rows, minlength=ROWS)
+    if counts.any():
+        sums = np.concatenate([flat.reshape(ROWS, DIMS).astype(np.int64), counts[:, None]], axis=1)
         parts = np.split(sums.astype("<i4") if np.abs(sums).max() < 2**31 else sums, CHUNKS)
         yield pa.record_batch([pa.array(np.full(CHUNKS, task, np.int32)), pa.array(np.arange(CHUNKS, dtype=np.int32)),
                                pa.array([p.tobytes() for p in parts], pa.binary())], names=["task", "chunk", "sums"])

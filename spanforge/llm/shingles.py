@@ -37,7 +37,7 @@ class Shingler:
     A text with fewer words than the width is one shingle, one without words has none.
     """
 
-    def __init__(self, width: int = WIDTH, limit: int = 400_000):
+    def __init__(self, width: int = WIDTH, limit: int = 200_000):
         self.width = width
         self.hashes = _WordHash(limit)
 

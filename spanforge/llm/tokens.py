@@ -28,7 +28,7 @@ class WordIds:
     time: each is one piece, and the ids of a piece end with one that carries the word end.
     """
 
-    def __init__(self, path: str, *, literal_specials: bool = False, limit: int = 500_000):
+    def __init__(self, path: str, *, literal_specials: bool = False, limit: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
