@@ -6,8 +6,10 @@
    input, and a second round sharpens it.  It is fitted on the benchmark's passages, the
    query set: directions of the corpus that no item has part in would tell nothing.
 3. Every window of every document is projected, and windows whose cosine with a passage
-   is a given share of what the passage has with itself are candidates.  A window whose
-   weight lies in words that no item has cannot reach that share and is not projected.
+   is a given share of what the passage has with itself are candidates.  The weight of a
+   window counts up to the passage's, so that neither rare words in the place of an item's
+   nor the words around a short item hide it.  A window with too little weight in words
+   that items have cannot reach that share and is not projected.
 4. A candidate is compared with the item word by word: a leak has most of the item as a
    common subsequence; with less, a paraphrase, if it also has the item's answer, its
    last words.
@@ -36,7 +38,8 @@ VOCABULARY, RANK, OVERSAMPLE, CHUNKS = 1 << 16, 640, 32, 32
 WINDOW, STRIDE, PASSAGE_STRIDE = 16, 4, 16
 #: Passages in a block, about.  Passages have little in common, so a space of RANK holds no more of them well.
 BLOCK_PASSAGES = 512
-SHARE, LEAK, PARAPHRASE, ANSWER = 0.6, 0.8, 0.6, 0.8
+#: The share is far below PARAPHRASE, as the words that a paraphrase keeps may be the light ones of a passage.
+SHARE, LEAK, PARAPHRASE, ANSWER = 0.35, 0.8, 0.6, 0.8
 _WORDS = re.compile(rb"[^\x00-/:-@\[-`{-~]+")
 _FOUND = "row long, doc_id long, item_id long, cosine double, common double, answer double, word_start int, word_end int"
 
@@ -153,11 +156,14 @@ class Items:
         projected = np.array([weighted[self.place[r]].sum(axis=0) for r in rows], dtype=np.float32).reshape(len(rows), -1)
         norms = np.array([np.sqrt((idf[r] ** 2).sum()) for r in rows])
         own = (projected ** 2).sum(axis=1) / np.maximum(norms, 1e-9) ** 2  # the cosine of a passage with itself
-        # a window's latent vector is a sum over its words, and so is its product with each passage
-        self.products = weighted @ (projected / np.maximum(norms, 1e-9)[:, None]).T
-        self.least = SHARE * own
-        # by Cauchy-Schwarz a window's share of known weight bounds its cosine with any passage
+        # a window's latent vector is a sum over its words, and so is its product with each passage,
+        # here in parts of the least product of a window that has the passage's weight
+        self.least, self.norms = np.maximum(SHARE * own * norms, 1e-9).astype(np.float32), norms.astype(np.float32)
+        self.products = weighted @ (projected / (np.maximum(norms, 1e-9) * self.least)[:, None]).T
+        self.heaviest = max(1e-9, float(norms.max())) if len(rows) else 1.0
+        # by Cauchy-Schwarz a window's known weight bounds its product with any passage
         self.reach = float((SHARE ** 2 * own).min()) if len(rows) else 2.0
+        self.lightest = float(norms.min() ** 2) if len(rows) else 0.0
 
     def answer(self, i: int) -> list[int]:
         return self.words[i][-max(3, len(self.words[i]) // 4):]
@@ -195,20 +201,33 @@ def _search(items):
             doc, start = doc[keep], start[keep]
             stop = np.minimum(start + WINDOW, ends[doc])
             norm2 = total[stop] - total[start]
-            near = np.flatnonzero(inside[stop] - inside[start] >= q.reach * norm2 * 0.999)
+            near = np.flatnonzero(inside[stop] - inside[start] >= q.reach * np.minimum(norm2, q.lightest) * 0.999)
+            steps = np.arange(STRIDE)
             found: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
             for at in range(0, len(near), 500):
                 some = near[at:at + 500]
-                cells = start[some][:, None] + np.arange(WINDOW)
-                cells = np.where(cells < stop[some][:, None], cells, -1)
-                own = np.where(cells >= 0, place[cells], len(q.products) - 1)
-                cosine = q.products[own[:, 0]]
-                for k in range(1, WINDOW):
-                    cosine += q.products[own[:, k]]
-                cosine /= np.sqrt(np.maximum(norm2[some], 1e-9)).astype(np.float32)[:, None]
-                for w, p in zip(*np.nonzero(cosine >= q.least)):
+                # windows that overlap share their steps, each of which is summed once
+                grid = start[some][:, None] + np.arange(0, WINDOW, STRIDE)
+                grid = np.where(grid < stop[some][:, None], grid, len(place))
+                parts, at_part = np.unique(grid, return_inverse=True)
+                at_part = at_part.reshape(len(some), -1)
+                last = np.zeros(len(parts), np.int64)
+                np.maximum.at(last, at_part, stop[some][:, None])
+                cells = parts[:, None] + steps
+                own = np.where(cells < last[:, None], place[np.minimum(cells, len(place) - 1)], len(q.products) - 1)
+                sums = q.products[own[:, 0]]
+                for k in range(1, STRIDE):
+                    sums += q.products[own[:, k]]
+                product = sums[at_part[:, 0]]
+                for k in range(1, WINDOW // STRIDE):
+                    product += sums[at_part[:, k]]
+                norm = np.sqrt(np.maximum(norm2[some], 1e-9)).astype(np.float32)
+                high = np.flatnonzero(product.max(axis=1) >= np.minimum(norm / q.heaviest, 1) * 0.999)
+                for w, p in zip(*np.nonzero(product[high] >= np.minimum(norm[high, None] / q.norms, 1))):
+                    w = high[w]
                     k = some[w]
-                    found.setdefault((int(doc[k]), int(q.owner[p])), []).append((int(start[k]), int(stop[k]), float(cosine[w, p])))
+                    found.setdefault((int(doc[k]), int(q.owner[p])), []).append(
+                        (int(start[k]), int(stop[k]), float(product[w, p] * q.least[p] / norm[w])))
             out: list[list] = [[] for _ in range(8)]
             ids = batch.column(0).to_pylist()
             numbers = batch.column(2).to_pylist() if batch.num_columns > 2 else range(row, row + batch.num_rows)
@@ -217,7 +236,7 @@ def _search(items):
                 n, low = len(q.words[i]), int(ends[d] - sizes[d])
                 best = None
                 for s, e, c in _regions(sorted(set(windows)), n):
-                    s, e = max(low, s - n // 2), min(int(ends[d]), e + n // 2)
+                    s, e = max(low, s - n), min(int(ends[d]), e + n)  # a window at either end of the item reaches all of it
                     words = [w for w in hashes[s:e].tolist() if w in masks[i]]
                     if len(words) < PARAPHRASE * n:
                         continue

@@ -59,3 +59,20 @@ def test_common_words_against_dynamic_programming():
     for _ in range(300):
         a, b = ([rng.randrange(12) for _ in range(rng.randint(1, 70))] for _ in range(2))
         assert common_words(_masks(a), len(a), b) == lcs(a, b)
+
+
+def test_replaced_words_and_short_items(spark):
+    rng = random.Random(12)
+    vocab = [f"word{i}" for i in range(3000)]
+    items = {i: rng.sample(vocab, rng.randint(24, 60)) for i in range(60)}
+    items |= {60 + i: [f"brief{i}x{k}" for k in range(2 + i % 13)] for i in range(26)}
+    docs = {}
+    for i, t in items.items():
+        part = list(t)
+        if i < 60:  # three in ten words are new ones, which weigh more than any other; the answer stays
+            for k in rng.sample(range(len(t) - len(t) // 4), len(t) * 3 // 10):
+                part[k] = f"new{i}x{k}"
+        docs[i] = " ".join(rng.choices(vocab, k=100 + i) + part + rng.choices(vocab, k=80))
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leaks(df, bench).collect()} == {(i, i) for i in items}
