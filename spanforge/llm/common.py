@@ -7,7 +7,6 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from spanforge.session_conf import cut_lineage, shared_folder
@@ -31,28 +30,16 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text"), *row)
 
 
-def _is_scan(docs: DataFrame) -> bool:
-    """Whether the rows come straight from files, at most filtered or projected."""
-    if "_metadata" in docs.columns:
-        return False
-    try:
-        docs.select("_metadata.file_path")
-    except AnalysisException:
-        return False
-    return True
-
-
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """All columns and a number that tells the rows apart wherever the frame is used; the new column's name.
 
-    A scan deals the same rows to the same tasks each time, so it numbers them alike.
-    Any other frame is written once, and its numbers with it.
+    The rows are written once, and their numbers with them: even a scan may be split
+    otherwise when it is read again, as splits depend on settings and on the live cores.
     """
     name = "row"
     while name.lower() in (c.lower() for c in docs.columns):
         name = "_" + name
-    rows = docs.withColumn(name, F.monotonically_increasing_id())
-    return (rows if _is_scan(docs) else cut_lineage(rows)), name
+    return cut_lineage(docs.withColumn(name, F.monotonically_increasing_id())), name
 
 
 def drop_rows(docs: DataFrame, name: str, dropped: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import corpus_pipeline
+from spanforge.llm.common import numbered
 from spanforge.llm.quality import quality_scores
 
 from test_decontaminate import words
@@ -54,3 +55,17 @@ def test_hostile_rows_pass_every_stage(spark, tmp_path):
             stage(spark, some, SF).write.parquet(path := f"{tmp_path}/{name}-{some is docs}")
             out = spark.read.parquet(path)
             assert name == "packing" or out.columns == docs.columns
+
+
+def test_numbers_stay_when_a_scan_is_split_otherwise(spark, tmp_path):
+    spark.range(4000).selectExpr("id AS doc_id", "repeat(sha2(string(id), 256), 20) AS text").repartition(8).write.parquet(str(tmp_path / "docs"))
+    rows, name = numbered(spark.read.parquet(str(tmp_path / "docs")))
+    got = []
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("16k", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got.append(sorted(map(tuple, rows.select("doc_id", name).collect())))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got[0] == got[1] and len({n for _, n in got[0]}) == 4000
