@@ -33,7 +33,7 @@ RANDOM = len(BASE)
 #: Runs that the models score; shorter ones carry too little evidence.
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 WORD = r"[A-Za-z0-9+/_=-]{6,}"
-#: The ratio, in nats, from which a run counts as random, in all and per pair of characters.
+#: The ratio, in nats, from which a run counts as random, in all and per distinct pair of characters.
 LEAST, LEAST_EACH = 12.0, 0.5
 #: Expected number of documents whose words are the samples of ordinary identifiers.
 SAMPLE_DOCS = 2000
@@ -76,10 +76,10 @@ def train(samples: DataFrame) -> list[float]:
     return [r - o for ordinary, random in zip(*logs) for o, r in zip(ordinary, random)]
 
 
-def random_score(token: Column, model: list[float]) -> Column:
+def random_score(pairs: Column, model: list[float]) -> Column:
     """The ratio summed over a token's distinct pairs, so that mere repetition is no evidence."""
     table = F.from_json(F.lit(json.dumps([round(x, 3) for x in model])), "array<double>")
-    return F.aggregate(F.array_distinct(_pairs(token)), F.lit(0.0), lambda a, p: a + F.coalesce(F.get(table, p), F.lit(0.0)))
+    return F.aggregate(pairs, F.lit(0.0), lambda a, p: a + F.coalesce(F.get(table, p), F.lit(0.0)))
 
 
 def _base_matches(found: DataFrame) -> DataFrame:
@@ -123,9 +123,10 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     size = F.length("m")
     placed = found.withColumn("end", F.sum(F.col("gap") + size).over(in_text)).withColumn("start", F.col("end") - size)
     base = _base_matches(placed).select("row", "start", "kind", "end", F.lit(None).cast("double").alias("score"))
-    score = random_score(F.col("m"), model)
-    chance = (placed.where((F.col("kind") == RANDOM) & F.col("m").rlike("[A-Za-z]")).withColumn("score", score)
-              .where((F.col("score") >= least) & (F.col("score") >= least_each * (size - 1)))
+    # both sides of the comparison count distinct pairs, whose number the alphabet bounds
+    chance = (placed.where((F.col("kind") == RANDOM) & F.col("m").rlike("[A-Za-z]"))
+              .withColumn("pairs", F.array_distinct(_pairs(F.col("m")))).withColumn("score", random_score(F.col("pairs"), model))
+              .where((F.col("score") >= least) & (F.col("score") >= least_each * F.size("pairs")))
               .select("row", "start", "kind", "end", "score"))
     order = Window.partitionBy("row").orderBy("start", "kind")
     fixed = F.col("kind") < RANDOM

@@ -54,3 +54,19 @@ def test_hostile_rows_and_random_runs(spark):
         found = [t[s.start:s.end] for s in got[i] if s.kind == 3]
         assert found == ([noise[i - 8]] if 8 <= i < 16 else [])
     assert find_secrets(df.limit(0)).count() == 0
+
+
+def test_random_runs_of_any_length(spark):
+    rng = random.Random(5)
+    words = "the configuration_of_the_internal_services and understandingly internationalization nevertheless".split()
+    hexes = ["".join(rng.choices("0123456789ABCDEF", k=n)) for n in (64, 1024, 8192, 20_000)]
+    base64 = ["".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=n)) for n in (64, 8192, 40_000)]
+    plain = ["_".join(rng.choices(words, k=n)) for n in (10, 500, 3000)] + ["ab" * 10_000]
+    texts = hexes + base64 + plain
+    df = spark.createDataFrame([(i, f"plain {t} words") for i, t in enumerate(texts)], "doc_id long, text string")
+    samples = spark.createDataFrame(
+        [("".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=32)), True) for _ in range(300)]
+        + [("".join(rng.choices("0123456789ABCDEF", k=32)), True) for _ in range(300)]
+        + [(w, False) for w in words for _ in range(50)], "token string, secret boolean")
+    got = {r.doc_id: [(s.start, s.end) for s in r.secrets if s.kind == 3] for r in find_secrets(df, samples=samples).collect()}
+    assert got == {i: [(6, 6 + len(t))] if i < 7 else [] for i, t in enumerate(texts)}
