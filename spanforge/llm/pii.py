@@ -6,11 +6,12 @@ share of the entity's information,
 
     1 - log(n(term) / n(term, entity)) / log(N / n(entity)),
 
-with counts over the whole corpus.  It is 1 for a term that stands nowhere else.  Terms
+with counts over the distinct texts of the whole corpus.  It is 1 for a term that stands nowhere else.  Terms
 from a threshold on are removed or, if they disclose less, generalised.
 
 Copies of a context count once, so that a copied document does not make its own words
-telling.  All counts are sums per key that tasks reduce before they send them; the terms
+telling, and so do copies of a text, so that they do not hide a telling term.  Only texts
+that a map of a fixed size takes for copies are compared as such.  All counts are sums per key that tasks reduce before they send them; the terms
 whose frequency is asked for go to the tasks as a map of a fixed size.
 
 Defined cases: a null text counts as empty; ids may be null or repeat, each row is
@@ -109,11 +110,16 @@ _SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64
 _NEAR = pa.struct([("entity", pa.string()), ("context", pa.int64()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
 
+def _seal(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+
+
 def _stage(batches):
     row = row_base()
     for batch in slices(batches):
-        spans, near = [], []
+        spans, near, seals = [], [], []
         for text in texts_of(batch.column(1)):
+            seals.append(_seal(text))
             found = entities(text)
             spans.append([(s, k, e) for s, k, e, _ in found])
             here, starts, reach = [], [s for s, _, _, _ in found], list(accumulate((e for _, _, e, _ in found), max))
@@ -125,24 +131,36 @@ def _stage(batches):
             near.append(here)
         n = batch.num_rows
         tuples = lambda values, kind: pa.array([[dict(zip(kind.names, v)) for v in vs] for vs in values], pa.list_(kind))
-        yield pa.record_batch([pa.array(np.arange(row, row + n)), batch.column(0), tuples(spans, _SPAN), tuples(near, _NEAR)],
-                              names=["row", "doc_id", "spans", "near"])
+        yield pa.record_batch([pa.array(np.arange(row, row + n)), batch.column(0), tuples(spans, _SPAN), tuples(near, _NEAR),
+                               pa.array(seals, pa.int64())], names=["row", "doc_id", "spans", "near", "seal"])
         row += n
 
 
 _STAGE = ("row long, doc_id long, spans array<struct<start:long,kind:int,end:long>>, "
-          "near array<struct<entity:string,context:long,term:string,start:long,end:long>>")
+          "near array<struct<entity:string,context:long,term:string,start:long,end:long>>, seal long")
+
 
+def _frequencies(wanted, copied=None):
+    """How many texts have a wanted term, and under the empty term how many there are; possible copies come back as texts."""
 
-def _frequencies(wanted):
     def run(batches):
         mask, counts = np.frombuffer(wanted.value, np.uint8), {}
+        copies = np.frombuffer(copied.value, np.uint8) if copied else None
         for batch in slices(batches):
+            again = []
             for text in texts_of(batch.column(0)):
+                if copied:
+                    at = _seal(text) % FILTER_BITS
+                    if copies[at >> 3] >> (at & 7) & 1:
+                        again.append(text)
+                        continue
+                counts[""] = counts.get("", 0) + 1
                 for term in set(_TERM.findall(text.lower())):
                     at = zlib.crc32(term.encode()) % FILTER_BITS
                     if mask[at >> 3] >> (at & 7) & 1:
                         counts[term] = counts.get(term, 0) + 1
+            if again:
+                yield pa.record_batch([pa.nulls(len(again), pa.string()), pa.nulls(len(again), pa.int64()), pa.array(again, pa.string())], names=_COUNTS)
             if len(counts) > 100_000:
                 yield _counted(counts)
                 counts = {}
@@ -152,13 +170,18 @@ def _frequencies(wanted):
     return run
 
 
+_COUNTS = ["term", "n", "text"]
+
+
 def _counted(counts: dict[str, int]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
+    return pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64()),
+                            pa.nulls(len(counts), pa.string())], names=_COUNTS)
 
 
-def _filter(terms: DataFrame) -> bytes:
-    at = F.crc32(F.col("term").cast("binary")) % FILTER_BITS
-    words = terms.groupBy(F.floor(at / 32).alias("word")).agg(
+def _filter(hashes: DataFrame) -> bytes:
+    """Set bits of the column ``hash``, in a map of a fixed size."""
+    at = F.col("hash") % FILTER_BITS
+    words = hashes.groupBy(F.floor(at / 32).alias("word")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 32).cast("int"))).alias("bits")).collect()
     out = np.zeros(FILTER_BITS // 32, dtype="<u4")
     for word, bits in words:
@@ -181,9 +204,12 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
              .where(F.col("n_both") >= support))
     joint = cut_lineage(joint)
     apart = near.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    wanted = spark.sparkContext.broadcast(_filter(joint.select("term").distinct()))
-    terms = docs.select("text").mapInArrow(_frequencies(wanted), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    documents = F.lit(float(max(2, stage.count())))
+    wanted = spark.sparkContext.broadcast(_filter(joint.select(F.crc32(F.col("term").cast("binary")).alias("hash")).distinct()))
+    copied = spark.sparkContext.broadcast(_filter(stage.groupBy(F.col("seal").alias("hash")).count().where("count > 1")))
+    counted = cut_lineage(docs.select("text").mapInArrow(_frequencies(wanted, copied), "term string, n long, text string"))
+    once = counted.where(F.col("text").isNotNull()).select("text").distinct().mapInArrow(_frequencies(wanted), "term string, n long, text string")
+    terms = cut_lineage(counted.where(F.col("text").isNull()).unionByName(once).groupBy("term").agg(F.sum("n").alias("n_term")))
+    documents = F.lit(float(max(2, terms.where("term = ''").agg(F.max("n_term")).first()[0] or 0)))
     share = 1 - F.log(F.greatest("n_term", "n_both") / F.col("n_both")) / F.log(F.greatest(documents / F.col("n_entity"), F.lit(2.0)))
     telling = salted_join(salted_join(joint, apart, ["entity"]), terms, ["term"]).select(
         "entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= threshold)

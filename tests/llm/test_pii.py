@@ -86,3 +86,15 @@ def test_telling_terms_and_hostile_rows(spark):
     assert len(clean) == len(texts) and not any(t and ("qf@mail" in t or "Quillfeather" in t or "10.0.0.1" in t) for t in clean)
     assert sorted(t for t in clean if t and "com" in t and "[" not in t) == sorted(t for t in texts[:80] if "com" in t)
     assert find_personal_data(df.limit(0)).count() == 0 and REACH > 0
+
+
+def test_copies_do_not_hide_a_telling_term(spark):
+    rng = random.Random(10)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(300)]
+    texts = [" ".join(rng.choices(words, k=30)) for _ in range(600)]
+    told = [f"{' '.join(rng.choices(words, k=3))} Quillfeather wrote from qf@mail.example.com {' '.join(rng.choices(words, k=3))}" for _ in range(3)]
+    for copies in (1, 400):
+        rows = texts + told + told[:1] * (copies - 1)
+        df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+        got = {r.doc_id: [rows[r.doc_id][s.start:s.end] for s in r.found if s.kind == 4] for r in find_personal_data(df).collect()}
+        assert all("Quillfeather" in got[i] for i in range(len(texts), len(rows)))
