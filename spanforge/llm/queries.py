@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spanforge.llm import pii, secrets
+from spanforge.llm import merkle, pii, secrets
 from spanforge.llm.common import documents
 from spanforge.llm.decontaminate import leaks
 from spanforge.llm.exact_dedup import exact_duplicates
@@ -99,3 +99,52 @@ def op9_disclosure_sanitiser(spark, sf_dir):
         "doc_id", *(secrets.count_of(found, k).alias(f"n_{name}") for k, name in enumerate(pii.BASE)),
         F.sha2(secrets.spans_text(base, pii.KINDS), 256).alias("base_sha256"),
         secrets.spans_text(found, pii.KINDS).alias("spans"), secrets.count_of(found, pii.TERM).alias("n_term"))
+
+
+@query
+def op13_merkle_manifest(spark, sf_dir):
+    return merkle.manifest(documents(spark, sf_dir), changed=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0,
+                           altered=F.translate("text", merkle.UPPER, merkle.LOWER))
+
+
+# a crc32 is folded bit by bit; sha256 gives lower-case hex; a proof is a list of (before, after), lowest first
+ORACLES["op13_merkle_manifest"] = """
+  WITH RECURSIVE d AS (
+    SELECT doc_id, coalesce('=' || source, '') AS grp, text,
+           coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+             || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+           xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+             lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda c, k: xor(c // 2, (c % 2) * 3988292384))), 4294967295) % 5 = 0 AS changed
+    FROM documents),
+  h AS (
+    SELECT doc_id, grp, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+           sha256(head || coalesce(strlen(text) || ':' || CASE WHEN changed
+             THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END, '-')) AS now FROM d),
+  leaves AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n FROM h),
+  low AS (
+    SELECT 0 AS lvl, grp, pos, n, leaf AS digest FROM leaves
+    UNION ALL
+    SELECT lvl + 1, grp, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY lvl, grp, pos // 16, n),
+  subroots AS (SELECT grp, digest AS subroot, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+  high AS (
+    SELECT 0 AS lvl, pos, n, subroot AS digest FROM subroots
+    UNION ALL
+    SELECT lvl + 1, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM high WHERE n > 1 GROUP BY lvl, pos // 16, n),
+  steps AS (
+    SELECT grp, pos, lvl, digest, coalesce(string_agg(digest, '') OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') || '|'
+           || coalesce(string_agg(digest, '') OVER (r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS step
+    FROM low WHERE n > 1 WINDOW r AS (PARTITION BY grp, lvl, pos // 16 ORDER BY pos)),
+  over_steps AS (
+    SELECT pos, lvl, coalesce(string_agg(digest, '') OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') || '|'
+           || coalesce(string_agg(digest, '') OVER (r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS step
+    FROM high WHERE n > 1 WINDOW r AS (PARTITION BY lvl, pos // 16 ORDER BY pos)),
+  paths AS (
+    SELECT l.grp, l.pos, s.lvl, s.step FROM leaves l JOIN steps s ON s.grp = l.grp AND s.pos = l.pos // (16 ** s.lvl)::BIGINT
+    UNION ALL
+    SELECT l.grp, l.pos, 1000 + s.lvl, s.step FROM leaves l JOIN subroots r ON r.grp = l.grp JOIN over_steps s ON s.pos = r.pos // (16 ** s.lvl)::BIGINT),
+  proofs AS (SELECT grp, pos, list(step ORDER BY lvl) AS steps, replace(string_agg(step, '' ORDER BY lvl), '|', '') AS proof FROM paths GROUP BY grp, pos)
+  SELECT l.doc_id, l.leaf, r.subroot, t.digest AS root, sha256(coalesce(p.proof, '')) AS proof_sha256,
+         list_reduce(list_prepend(l.now, coalesce(p.steps, [])), lambda a, s: sha256(split_part(s, '|', 1) || a || split_part(s, '|', 2))) AS folded_root,
+         folded_root = t.digest AS verified
+  FROM leaves l JOIN subroots r ON r.grp = l.grp JOIN (SELECT digest FROM high WHERE n = 1) t ON true
+  LEFT JOIN proofs p ON p.grp = l.grp AND p.pos = l.pos"""
