@@ -11,10 +11,12 @@ from spanforge.llm.common import documents
 from spanforge.llm.decontaminate import leaks
 from spanforge.llm.exact_dedup import exact_duplicates
 from spanforge.llm.jaccard import similar_components
+from spanforge.llm.language import identify
 from spanforge.llm.line_dedup import dedup_lines
 from spanforge.llm.packing import pack
 from spanforge.llm.quality import quality_scores
 from spanforge.llm.sharding import shard_by_bytes
+from spanforge.llm.spelling import spelling_groups
 from spanforge.llm.token_files import document_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,6 +103,47 @@ def op9_disclosure_sanitiser(spark, sf_dir):
         secrets.spans_text(found, pii.KINDS).alias("spans"), secrets.count_of(found, pii.TERM).alias("n_term"))
 
 
+@query
+def op11_spelling_variants(spark, sf_dir):
+    return spelling_groups(documents(spark, sf_dir), dropped=97).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+# UTF-8 bytes of the letters are spelt out, as a crc32 is folded bit by bit; near words share a string with a letter less
+ORACLES["op11_spelling_variants"] = """
+  WITH RECURSIVE runs AS (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+    FROM documents),
+  own AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
+  hashed AS (
+    SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_concat(
+               list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':', ''), lambda c: unicode(c)::BIGINT),
+               flatten(list_transform(string_split(run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195, unicode(c)::BIGINT - 64] END)))),
+             lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda c, k: xor(c // 2, (c % 2) * 3988292384))), 4294967295) AS h
+    FROM own),
+  words AS (
+    SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+    FROM hashed GROUP BY word HAVING length(word) >= 5 AND sum(n) >= 3),
+  less AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS part FROM words, unnest(range(0, length(word))) AS t(i)),
+  near AS (
+    SELECT DISTINCT a.word, b.word AS other, b.n AS other_n FROM words a JOIN less b ON b.part = a.word
+    UNION SELECT DISTINCT a.word, b.word, b.n FROM less a JOIN words b ON a.part = b.word
+    UNION SELECT a.word, b.word, b.n FROM less a JOIN less b ON a.part = b.part AND a.i = b.i AND a.word <> b.word),
+  best AS (SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+  forms AS (
+    SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * n THEN other END AS form, CASE WHEN other_n >= 2 * n THEN other_n END AS form_n
+    FROM words w LEFT JOIN best b ON b.word = w.word),
+  chain AS (
+    SELECT word, word AS at, form AS next FROM forms
+    UNION ALL
+    SELECT c.word, f.word, f.form FROM chain c JOIN forms f ON f.word = c.next)
+  SELECT f.word, form, c.at AS root, n, n_near, form_n FROM forms f JOIN chain c ON c.word = f.word AND c.next IS NULL"""
+
+
+@query
+def op12_output_codes(spark, sf_dir):
+    return identify(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", F.round("score", 6).alias("score"), "second", "ambiguous")
+
+
 @query
 def op13_merkle_manifest(spark, sf_dir):
     return merkle.manifest(documents(spark, sf_dir), changed=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0,
