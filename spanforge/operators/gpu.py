@@ -101,18 +101,20 @@ def clamped_ops(cbs: DataFrame, *, chunk: Column | None = None) -> DataFrame:
 
 
 def command_buffers(events: DataFrame, *, cbs: DataFrame | None = None,
-                    ops: DataFrame | None = None, chunk: Column | None = None) -> DataFrame:
+                    ops: DataFrame | None = None, chunk: Column | None = None,
+                    sampled: DataFrame | None = None) -> DataFrame:
     """Completed command buffers with the ops of their lifetime and their GPU time.
 
     GPU time is the op sum; without ops it is 0 when the session sampled ops at
-    all, else the time in flight.
+    all, else the time in flight.  ``sampled`` names the sessions that did.
     """
     cbs = cb_events(events, chunk=chunk) if cbs is None else cbs
     ops = clamped_ops(cbs, chunk=chunk) if ops is None else ops
     attached = ops.where(F.col("comp_ord").isNotNull()).groupBy("session_key", "comp_ord").agg(
         F.max_by(F.struct("ops", "gpu_ns"), "event_ord").alias("o"))
-    sampled = (events.where(F.col("kind") == "MetalCbOps").select("session_key").distinct()
-               .withColumn("sampled", F.lit(True)))
+    if sampled is None:
+        sampled = events.where(F.col("kind") == "MetalCbOps").select("session_key").distinct()
+    sampled = sampled.withColumn("sampled", F.lit(True))
     return (cbs.where(F.col("paired"))
             .withColumnRenamed("event_ord", "comp_ord").withColumnRenamed("ts_mono_ns", "done_ts")
             .drop("ops", "kind")

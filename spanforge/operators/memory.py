@@ -56,12 +56,13 @@ def scope_heap(events: DataFrame, *, grace_ns: int = pairing.ASYNC_GRACE_NS,
                chunk: Column | None = None) -> DataFrame:
     """Peak live heap count and bytes of each scope; the call with most bytes per name."""
     chunk = chunk_of() if chunk is None else chunk
-    spans = _spans(events, grace_ns, scopes)
+    # both are read several times, and the states come from a scan of a scan
+    spans = cut_lineage(_spans(events, grace_ns, scopes))
     kind = F.col("kind")
-    states = pairing.live_allocations(
+    states = cut_lineage(pairing.live_allocations(
         events.select("session_key", "event_ord", "ts_mono_ns", "kind", "heap_id", "size_bytes"),
         keys=["session_key"], ident="heap_id", order="event_ord", alloc=kind == "MetalHeapAlloc",
-        free=kind == "MetalHeapFree", size=F.col("size_bytes"), chunk=chunk)
+        free=kind == "MetalHeapFree", size=F.col("size_bytes"), chunk=chunk))
     # the state a call enters into counts as well
     marks = (states.select("session_key", "event_ord", "live_count", "live_bytes",
                            F.lit(None).cast("bigint").alias("call_id"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from spanforge.operators.scan import chunk_of, with_position, with_running
+from spanforge.operators.scan import chunk_of, with_running
 from spanforge.schema import NS_PER_SEC
+from spanforge.session_conf import cut_lineage
 
 ASYNC_GRACE_NS = NS_PER_SEC // 2
 POST_MORTEM_PREFIX = "post-mortem-"
@@ -77,7 +78,8 @@ def scope_calls(events: DataFrame, *, chunk: Column | None = None) -> DataFrame:
     rows = with_running(
         rows, ["session_key", "module_call_id"], ["event_ord"],
         {"_next": ("next", F.struct("_enter", F.col("event_ord").alias("ord"),
-                                    F.col("ts_mono_ns").alias("ts")))}, chunk=chunk)
+                                    F.col("ts_mono_ns").alias("ts"))),
+         "_again": ("next", F.when(F.col("_enter"), F.col("event_ord")))}, chunk=chunk)
     closed = F.col("_next").isNotNull() & ~F.col("_next._enter")
     return rows.where(F.col("_enter")).select(
         "session_key", F.col("module_call_id").alias("call_id"), F.col("event_ord").alias("enter_ord"),
@@ -85,20 +87,20 @@ def scope_calls(events: DataFrame, *, chunk: Column | None = None) -> DataFrame:
         "fields",
         F.when(closed, F.col("_next.ts")).alias("ret_ts"),
         F.when(closed, F.col("_next.ord")).alias("ret_ord"),
-        (F.col("_next").isNotNull() & F.col("_next._enter")).alias("superseded"))
+        (F.col("_next").isNotNull() & F.col("_next._enter")).alias("superseded"),
+        F.col("_again").isNull().alias("last_of_id"))
 
 
-def scope_windows(events: DataFrame, *, calls: DataFrame | None = None) -> DataFrame:
+def scope_windows(events: DataFrame, *, calls: DataFrame | None = None, ends: DataFrame | None = None) -> DataFrame:
     """Scope calls as windows; a call that never returned lasts to the session's end."""
     calls = scope_calls(events) if calls is None else calls
-    live = _last_enter_per_id(calls)
-    return (live.join(session_end(events), "session_key", "left")
+    ends = session_end(events) if ends is None else ends
+    return (_last_enter_per_id(calls).join(ends, "session_key", "left")
             .withColumn("t_out", F.coalesce("ret_ts", "end_ts")).drop("end_ts"))
 
 
 def _last_enter_per_id(calls: DataFrame) -> DataFrame:
-    newest = calls.groupBy("session_key", "call_id").agg(F.max("enter_ord").alias("enter_ord"))
-    return calls.join(newest, ["session_key", "call_id", "enter_ord"], "left_semi")
+    return calls.where("last_of_id").drop("last_of_id")
 
 
 def malformed_returns(events: DataFrame, *, chunk: Column | None = None) -> DataFrame:
@@ -124,17 +126,14 @@ def model_loads(events: DataFrame, *, chunk: Column | None = None) -> DataFrame:
     the event's own timestamp.
     """
     chunk = chunk_of() if chunk is None else chunk
-    loads = events.where(F.col("kind") == "ModelLoad").select("session_key", "event_ord")
-    index = with_position(loads, ["session_key"], ["event_ord"], "_n", chunk=chunk).select(
-        "session_key", "event_ord", (F.col("_n") - 1).alias("load_index"))
-    rows = events.where(F.col("kind").isin("ModelLoad", "ModelUnload")).select(
+    # two orders are scanned, by session and by path; the few rows of both kinds are taken out of the log once
+    rows = cut_lineage(events.where(F.col("kind").isin("ModelLoad", "ModelUnload")).select(
         "session_key", "event_ord", "ts_mono_ns", "seq", "path", "size_bytes", "t_start_ns",
-        "t_end_ns", "sha8", "framework", (F.col("kind") == "ModelLoad").alias("_load"))
-    rows = rows.join(index, ["session_key", "event_ord"], "left")
+        "t_end_ns", "sha8", "framework", (F.col("kind") == "ModelLoad").alias("_load")))
+    rows = with_running(rows, ["session_key"], ["event_ord"], {"_n": ("count", F.when(F.col("_load"), 1))}, chunk=chunk)
+    rows = rows.withColumn("load_index", F.col("_n") - 1).drop("_n")
     at = F.struct("_load", F.col("load_index").alias("idx"), F.col("ts_mono_ns").alias("ts"))
-    keys = ["session_key", "path"]
-    rows = with_running(rows, keys, ["event_ord"], {"_prev": ("last", at)}, chunk=chunk, before=True)
-    rows = with_running(rows, keys, ["event_ord"], {"_next": ("next", at)}, chunk=chunk)
+    rows = with_running(rows, ["session_key", "path"], ["event_ord"], {"_prev": ("prev", at), "_next": ("next", at)}, chunk=chunk)
     dur = F.greatest(F.lit(0), F.col("t_end_ns") - F.col("t_start_ns"))
     return rows.where(F.col("_load")).select(
         "session_key", "load_index", "path", "size_bytes",

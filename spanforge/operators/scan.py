@@ -6,10 +6,17 @@ scanned by its own window, the chunk totals (one row per chunk) are scanned per
 group, and the two are combined.  With ``chunk = event_ord div 2^20`` no window
 partition holds more than 2^20 events, nor more than 2^20 chunk totals for a
 session of up to 2^40 events.
+
+``prefix_scan`` is that scheme for any state that chunks can hand on.  Its input is read
+twice, once for the rows and once, without the columns that no total needs, for the
+totals.  An operator whose rows depend on one running value through another (islands,
+the saturating depth) states both in one scan rather than scan the result of a scan.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 CHUNK_ROWS = 1 << 20
@@ -27,6 +34,7 @@ def _window_agg(fn: str, value: Column) -> Column:
         "max": lambda: F.max(value),
         "min": lambda: F.min(value),
         "last": lambda: F.last(value, ignorenulls=True),
+        "prev": lambda: F.last(value, ignorenulls=True),
         "next": lambda: F.first(value, ignorenulls=True),
     }[fn]()
 
@@ -39,6 +47,7 @@ def _total(fn: str, value: Column, order: list[str]) -> Column:
         "max": lambda: F.max(value),
         "min": lambda: F.min(value),
         "last": lambda: F.max_by(value, at),
+        "prev": lambda: F.max_by(value, at),
         "next": lambda: F.min_by(value, at),
     }[fn]()
 
@@ -53,6 +62,31 @@ def _combine(fn: str, local: Column, carry: Column) -> Column:
     return F.coalesce(local, carry)
 
 
+Columns = dict[str, Column]
+
+
+def prefix_scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column, *, rows: list[Callable[..., Columns]], totals: Columns,
+                carry: list[Callable[..., Columns]], out: Columns) -> DataFrame:
+    """Scan each chunk on its own, then the chunks' totals, and put the two together.
+
+    ``rows`` adds columns to the rows of a chunk, step by step; each step gets the chunk's
+    window in order.  ``totals`` are aggregates over a chunk's rows with these columns.
+    ``carry`` adds columns to the totals, step by step, given the window over a group's
+    chunks.  ``out`` are the resulting columns, from those of the rows and the carries.
+    """
+    parts = [*keys, "_chunk"]
+    local = df.withColumn("_chunk", chunk)
+    within = Window.partitionBy(*parts).orderBy(*order)
+    for step in rows:
+        local = local.withColumns(step(within))
+    across = Window.partitionBy(*keys).orderBy("_chunk")
+    carried = local.groupBy(*parts).agg(*[c.alias(n) for n, c in totals.items()])
+    for step in carry:
+        carried = carried.withColumns(step(across))
+    carried = carried.drop(*totals)
+    return local.join(carried, parts, "left").select(*(c for c in df.columns if c not in out), *[c.alias(n) for n, c in out.items()])
+
+
 def with_running(
     df: DataFrame,
     keys: list[str],
@@ -65,41 +99,30 @@ def with_running(
     """Add running aggregates in ``order`` within ``keys``.
 
     ``aggs`` maps a new column to ``(fn, value)``; fn is sum, count, max, min,
-    last (latest non-null value so far) or next (first non-null value after the
-    row).  ``before`` leaves the row itself out.  ``chunk`` must be
+    last (latest non-null value so far), prev (the same before the row) or next (first
+    non-null value after the row).  ``before`` leaves the row itself out.  ``chunk`` must be
     non-decreasing in ``order``; without it the group is one window partition,
     which is only right for keys whose groups are small by construction.
     """
-    order_cols = [F.col(c) for c in order]
     lo, hi = Window.unboundedPreceding, (-1 if before else 0)
 
     def frame(spec, fn, carry=False):
         if fn == "next":
             return spec.rowsBetween(1, Window.unboundedFollowing)
-        return spec.rowsBetween(lo, -1 if carry else hi)
+        return spec.rowsBetween(lo, -1 if carry or fn == "prev" else hi)
 
     if chunk is None:
-        spec = Window.partitionBy(*keys).orderBy(*order_cols)
+        spec = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumns({n: _window_agg(fn, v).over(frame(spec, fn))
                                for n, (fn, v) in aggs.items()})
 
-    cut = df.withColumn("_chunk", chunk)
-    parts = keys + ["_chunk"]
-    spec = Window.partitionBy(*parts).orderBy(*order_cols)
-    local = cut.withColumns({n: _window_agg(fn, v).over(frame(spec, fn))
-                             for n, (fn, v) in aggs.items()})
-    totals = cut.groupBy(*parts).agg(*[_total(fn, v, order).alias(f"_t_{n}")
-                                       for n, (fn, v) in aggs.items()])
-    outer = Window.partitionBy(*keys).orderBy("_chunk")
-    carries = totals.select(
-        *parts,
-        *[_window_agg("sum" if fn == "count" else fn, F.col(f"_t_{n}"))
-          .over(frame(outer, fn, carry=True)).alias(f"_c_{n}")
-          for n, (fn, _) in aggs.items()])
-    joined = local.join(carries, parts, "left")
-    return joined.select(
-        *df.columns,
-        *[_combine(fn, F.col(n), F.col(f"_c_{n}")).alias(n) for n, (fn, _) in aggs.items()])
+    return prefix_scan(
+        df, keys, order, chunk,
+        rows=[lambda w: {f"_l_{n}": _window_agg(fn, v).over(frame(w, fn)) for n, (fn, v) in aggs.items()}],
+        totals={f"_t_{n}": _total(fn, v, order) for n, (fn, v) in aggs.items()},
+        carry=[lambda w: {f"_c_{n}": _window_agg("sum" if fn == "count" else fn, F.col(f"_t_{n}")).over(frame(w, fn, carry=True))
+                          for n, (fn, _) in aggs.items()}],
+        out={n: _combine(fn, F.col(f"_l_{n}"), F.col(f"_c_{n}")) for n, (fn, _) in aggs.items()})
 
 
 def with_position(df: DataFrame, keys: list[str], order: list[str], name: str,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from spanforge.operators.scan import with_running
+from spanforge.operators.scan import prefix_scan, with_running
 from spanforge.schema import NS_PER_SEC
 
 
@@ -16,9 +16,25 @@ def islands(df: DataFrame, *, keys: list[str], order: str, ts: str, keep: Column
     condition does not end a run.
     """
     rows = df.where(keep)
-    rows = with_running(rows, keys, [order], {"_prev": ("last", F.col(ts))}, chunk=chunk, before=True)
-    rows = rows.withColumn("_new", F.when(F.col("_prev").isNull() | (F.col(ts) - F.col("_prev") > gap), 1).otherwise(0))
-    rows = with_running(rows, keys, [order], {"island": ("sum", F.col("_new"))}, chunk=chunk)
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    far = lambda at, prev: F.when(at - prev > gap, 1).otherwise(0)
+    if chunk is None:
+        w = Window.partitionBy(*keys).orderBy(order)
+        rows = rows.withColumn("_prev", F.last(ts, ignorenulls=True).over(earlier(w)))
+        rows = rows.withColumn("_new", F.when(F.col("_prev").isNull(), 1).otherwise(far(F.col(ts), F.col("_prev"))))
+        return rows.withColumn("island", F.sum("_new").over(so_far(w))).groupBy(*keys, "island").agg(*aggs)
+    # within a chunk the first row starts nothing; whether it does depends on the chunk before
+    rows = prefix_scan(
+        rows, keys, [order], chunk,
+        rows=[lambda w: {"_prev": F.last(ts, ignorenulls=True).over(earlier(w))},
+              lambda w: {"_new": F.when(F.col("_prev").isNull(), 0).otherwise(far(F.col(ts), F.col("_prev")))},
+              lambda w: {"_within": F.sum("_new").over(so_far(w))}],
+        totals={"_first": F.min_by(ts, order), "_last": F.max_by(ts, order), "_breaks": F.sum("_new")},
+        carry=[lambda w: {"_before": F.lag("_last").over(w)},
+               lambda w: {"_starts": F.when(F.col("_before").isNull(), 1).otherwise(far(F.col("_first"), F.col("_before")))},
+               lambda w: {"_earlier": F.coalesce(F.sum(F.col("_starts") + F.col("_breaks")).over(earlier(w)), F.lit(0)) + F.col("_starts")}],
+        out={"island": F.col("_earlier") + F.col("_within")})
     return rows.groupBy(*keys, "island").agg(*aggs)
 
 
@@ -75,9 +91,21 @@ def saturating_depth(df: DataFrame, *, keys: list[str], order: str, up: Column,
                      chunk: Column | None = None, name: str = "depth") -> DataFrame:
     """+1/-1 counter that never falls below 0 (running sum minus its running minimum)."""
     rows = df.where(up | down).withColumn("_d", F.when(up, 1).otherwise(-1))
-    rows = with_running(rows, keys, [order], {"_s": ("sum", F.col("_d"))}, chunk=chunk)
-    rows = with_running(rows, keys, [order], {"_m": ("min", F.col("_s"))}, chunk=chunk)
-    return rows.withColumn(name, F.col("_s") - F.least(F.lit(0), F.col("_m"))).drop("_d", "_s", "_m")
+    so_far = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if chunk is None:
+        w = so_far(Window.partitionBy(*keys).orderBy(order))
+        rows = rows.withColumn("_s", F.sum("_d").over(w)).withColumn("_m", F.min("_s").over(w))
+        return rows.withColumn(name, F.col("_s") - F.least(F.lit(0), F.col("_m"))).drop("_d", "_s", "_m")
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    # a chunk hands on its sum, and how low its running sum gets
+    level = F.col("_base") + F.col("_s")
+    return prefix_scan(
+        rows, keys, [order], chunk,
+        rows=[lambda w: {"_s": F.sum("_d").over(so_far(w))}, lambda w: {"_m": F.min("_s").over(so_far(w))}],
+        totals={"_sum": F.sum("_d"), "_low": F.min("_s")},
+        carry=[lambda w: {"_base": F.coalesce(F.sum("_sum").over(earlier(w)), F.lit(0))},
+               lambda w: {"_lowest": F.coalesce(F.min(F.col("_base") + F.col("_low")).over(earlier(w)), F.lit(0))}],
+        out={name: level - F.least(F.lit(0), F.col("_lowest"), F.col("_base") + F.col("_m"))}).drop("_d")
 
 
 def rises(df: DataFrame, *, keys: list[str], order: str, value: str, factor: float = 2.0) -> DataFrame:

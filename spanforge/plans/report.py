@@ -22,9 +22,12 @@ SECTIONS = (("ROOT CAUSE", "RootCause"), ("CONTRIBUTING FACTORS", "ContributingF
 
 
 def analyze(events: DataFrame, *, names: list[str] | None = None, **options) -> DataFrame:
-    """Findings of the registered rules in report order."""
-    ctx = R.RuleContext(events, **options)
-    return reduce(DataFrame.unionByName, [R.RULES[n](ctx) for n in (names or R.RULES)])
+    """Findings of the registered rules, of any number of sessions; ``rule_pos`` and ``finding_pos`` order them."""
+    names = list(names or R.RULES)
+    ctx = R.RuleContext(events, fused=len(names) > 1, **options)
+    on_facts = [n for n in names if n in R.FACT_RULES]
+    some = [R.fact_findings(ctx, on_facts)] if on_facts else []
+    return reduce(DataFrame.unionByName, some + [R.RULES[n](ctx) for n in names if n not in R.FACT_RULES])
 
 
 def root_cause(findings: DataFrame) -> DataFrame:

@@ -1,7 +1,13 @@
 """Diagnostic rules: each turns a session's events into findings.
 
-A rule is a function ``RuleContext -> DataFrame`` of the finding columns,
-registered in report order.  All sessions are analysed by one job.
+A rule is registered in report order and run as ``RuleContext -> DataFrame`` of the finding
+columns.  All sessions are analysed by one job.
+
+Rules that only filter and aggregate share one conditional aggregate, ``facts``: a row per
+session, from which each states its findings as a list of cases.  However many of them run,
+the log is aggregated once and their findings come out of one ``inline``.  Rules that pair
+or order events read them from ``parts``, the few kinds and columns that rules need, which
+is written once, a folder for each group of kinds.
 """
 
 from __future__ import annotations
@@ -20,31 +26,76 @@ from spanforge.schema import FINDING_COLUMNS, NS_PER_SEC
 from spanforge.session_conf import cut_lineage
 
 RULES: dict[str, Callable[["RuleContext"], DataFrame]] = {}
+#: Of the rules that need nothing but the facts, the cases (condition, finding) by name.
+FACT_RULES: dict[str, Callable[[], list[tuple[Column, Column]]]] = {}
+POSITIONS: dict[str, int] = {}
 
 # Process names (parts) that aggravate crashes when busy.
 # an operating system has fewer process ids than this, so a table has fewer rows
 TABLE_ROWS = 1 << 22
 PRESSURE_NAMES = ("ReportCrash", "diagnosticservicesd", "crashanalyticsd", "spindump", "syslogd")
 
+#: Kinds that rules read row by row, by the part of the log that holds them.
+PARTS = {
+    "buffers": ("MetalCbCommitted", "MetalCbScheduled", "MetalCbCompleted", "MetalCbOps"),
+    "evals": ("MlxEvalEntered", "MlxEvalReturned"),
+    "scopes": ("ModuleEntered", "ModuleReturned"),
+    "models": ("ModelLoad", "ModelUnload"),
+    "samples": ("MetalDeviceMemSample",),
+    "processes": ("ProcTop",),
+}
+_PART_COLUMNS = (
+    "session_key", "event_ord", "ts_mono_ns", "seq", "kind", "cb_id", "queue_id", "queue_depth", "in_flight_ns", "label", "status",
+    "error_code", "error_domain", "ops", "call_id", "duration_ns", "was_async", "module_stack", "stack_frames", "module_call_id",
+    "qualname", "class_name", "parent_call_id", "depth", "fields", "path", "size_bytes", "t_start_ns", "t_end_ns", "sha8", "framework",
+    "allocated_bytes", "recommended_max_bytes", "top")
+
+
+def _register(name: str, run: Callable[["RuleContext"], DataFrame]) -> Callable[["RuleContext"], DataFrame]:
+    POSITIONS[name] = len(RULES)
+
+    def placed(ctx: RuleContext) -> DataFrame:
+        return run(ctx).withColumns({"rule_pos": F.lit(POSITIONS[name]), "rule": F.lit(name)}).select(*FINDING_COLUMNS)
+
+    RULES[name] = placed
+    return placed
+
 
 def rule(name: str):
     """Register a rule; its position is the registration order."""
+    return lambda fn: _register(name, fn)
 
-    def add(fn):
-        position = len(RULES)
 
-        def run(ctx: RuleContext) -> DataFrame:
-            return fn(ctx).withColumns({"rule_pos": F.lit(position), "rule": F.lit(name)}).select(*FINDING_COLUMNS)
+def fact_rule(name: str):
+    """Register a rule that states its cases on the columns of the facts."""
 
-        RULES[name] = run
-        return run
+    def add(fn):
+        FACT_RULES[name] = fn
+        return _register(name, lambda ctx: ctx.facts.select("session_key", F.inline(_held(fn()))))
 
     return add
 
 
+def _held(cases: list[tuple[Column, Column]]) -> Column:
+    return F.filter(F.array(*(F.when(case, found) for case, found in cases)), lambda f: f.isNotNull())
+
+
+def fact_findings(ctx: "RuleContext", names: list[str]) -> DataFrame:
+    """The findings of several rules on the facts, out of one pass over them."""
+    cases = [(case, F.struct(F.lit(POSITIONS[n]).alias("rule_pos"), F.lit(n).alias("rule"), found.alias("f"))) for n in names for case, found in FACT_RULES[n]()]
+    return ctx.facts.select("session_key", F.inline(_held(cases))).select("session_key", "rule_pos", "rule", "f.*").select(*FINDING_COLUMNS)
+
+
+def _is(*kinds: str) -> Column:
+    return F.col("kind").isin(*kinds)
+
+
 @dataclass
 class RuleContext:
-    """Events of any number of sessions and the intermediates rules share."""
+    """Events of any number of sessions and the intermediates rules share.
+
+    With ``fused`` the facts and the parts are written once, for several rules.
+    """
 
     events: DataFrame
     grace_ns: int = pairing.ASYNC_GRACE_NS
@@ -53,35 +104,80 @@ class RuleContext:
     gap_ns: int = 5 * NS_PER_SEC
     chunk: Column | None = None
     options: dict = field(default_factory=dict)
+    fused: bool = False
 
-    def kind(self, *kinds: str) -> DataFrame:
-        return self.events.where(F.col("kind").isin(*kinds))
+    @cached_property
+    def _parts(self) -> DataFrame:
+        part = F.coalesce(*(F.when(_is(*kinds), name) for name, kinds in PARTS.items()))
+        wanted = self.events.where(_is(*(k for kinds in PARTS.values() for k in kinds)))
+        return cut_lineage(wanted.select(*_PART_COLUMNS, part.alias("part")), by="part")
+
+    def part(self, name: str) -> DataFrame:
+        """The rows of a group of kinds."""
+        if self.fused:
+            return self._parts.where(F.col("part") == name).drop("part")
+        return self.events.where(_is(*PARTS[name]))
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        """What single rows of a session's log say, one row per session."""
+        order, done, commit, poll = F.col("event_ord"), _is("MetalCbCompleted"), _is("MetalCbCommitted"), _is("MlxMemoryPoll")
+        failed = done & F.col("error_code").isNotNull() & (F.col("error_code") != 0)
+        skipped, lost, reason = _is("MetalHookSkipped"), _is("MetalHookDropped"), F.coalesce("reason", F.lit(""))
+        at = F.struct("seq", "ts_mono_ns")
+        buffer = F.struct("seq", "ts_mono_ns", "cb_id", "queue_depth", "in_flight_ns")
+
+        def first(value: Column, case: Column) -> Column:
+            return F.min_by(value, F.when(case, order))
+
+        def largest(value: Column, metric: str, case: Column) -> Column:
+            return F.max_by(value, F.when(case, F.struct(metric, -order)))
+
+        aggs = {
+            "event_count": F.count(F.lit(1)), "t0": F.min_by("ts_mono_ns", "event_ord"),
+            "end_ts": F.max_by("ts_mono_ns", "event_ord"), "end_ord": F.max("event_ord"),
+            "failure": first(F.struct(F.col("ts_mono_ns").alias("fail_ts"), F.col("seq").alias("fail_seq")), failed),
+            "deepest": largest(buffer, "queue_depth", commit), "slowest": largest(buffer, "in_flight_ns", done),
+            "cache": largest(F.struct("cache_bytes", "seq", "ts_mono_ns"), "cache_bytes", poll),
+            "active": F.max(F.when(poll, F.col("active_bytes"))),
+            "has_sidecar": F.max(_is("PythonSidecarHello", "ModuleEntered", "MlxEvalEntered")),
+            "cb_count": F.count_if(done), "has_footprint": F.max(_is("ProcFootprint")), "first_done": first(at, done),
+            "ops_events": F.count_if(_is("MetalCbOps")), "module_call_count": F.count_if(_is("ModuleEntered")),
+            "lost": F.sum(F.when(lost, F.col("dropped_count"))), "lost_first": first(F.struct("seq", "ts_mono_ns", "reason"), lost)}
+        cases = {"bad": reason.contains("ring decode error")}
+        for side in ("stage", "dispatch"):
+            off = reason.contains(f"{side} sampling disabled")
+            cases |= {f"{side}_off": off, f"{side}_on": reason.contains(f"{side} sampling re-enabled") & ~off}
+        for name, case in cases.items():
+            aggs[name] = F.count_if((skipped | lost) & case)
+            aggs[f"{name}_first"] = first(F.struct("seq", "ts_mono_ns", "reason"), (skipped | lost) & case)
+        facts = self.events.groupBy("session_key").agg(*[c.alias(n) for n, c in aggs.items()])
+        return cut_lineage(facts) if self.fused else facts
 
     @cached_property
     def failures(self) -> DataFrame:
-        return self.kind("MetalCbCompleted").where(F.col("error_code").isNotNull() & (F.col("error_code") != 0))
+        return self.part("buffers").where(_is("MetalCbCompleted") & F.col("error_code").isNotNull() & (F.col("error_code") != 0))
 
     @cached_property
     def first_failure(self) -> DataFrame:
-        return self.failures.groupBy("session_key").agg(F.min_by(
-            F.struct(F.col("ts_mono_ns").alias("fail_ts"), F.col("seq").alias("fail_seq")), "event_ord").alias("f")
-        ).select("session_key", "f.*")
+        return self.facts.where(F.col("failure").isNotNull()).select("session_key", "failure.*")
 
     @cached_property
     def evals(self) -> DataFrame:
-        return pairing.eval_windows(self.events, grace_ns=self.grace_ns, chunk=self.chunk)
+        return pairing.eval_windows(self.part("evals"), grace_ns=self.grace_ns, chunk=self.chunk)
 
     @cached_property
     def scopes(self) -> DataFrame:
-        return pairing.scope_windows(self.events)
+        part = self.part("scopes")
+        return pairing.scope_windows(part, calls=pairing.scope_calls(part), ends=self.facts.select("session_key", "end_ts", "end_ord"))
 
     @cached_property
     def over_budget(self) -> DataFrame:
-        return memory.over_budget_windows(self.events, gap_ns=self.gap_ns, scopes=self.scopes, chunk=self.chunk)
+        return memory.over_budget_windows(self.part("samples"), gap_ns=self.gap_ns, scopes=self.scopes, chunk=self.chunk)
 
     @cached_property
     def buffers(self) -> DataFrame:
-        return cut_lineage(gpu.command_buffers(self.events, chunk=self.chunk))
+        return cut_lineage(gpu.command_buffers(self.part("buffers"), chunk=self.chunk, sampled=self.facts.where("ops_events > 0").select("session_key")))
 
 
 def evidence(seq: Column, ts: Column, text: Column) -> Column:
@@ -93,14 +189,18 @@ def no_evidence() -> Column:
     return F.array().cast("array<struct<seq:bigint,ts_mono_ns:bigint,description:string>>")
 
 
-def finding(df: DataFrame, *, severity, category: str, title: Column, detail=None, ev=None, pos=None) -> DataFrame:
+def found(*, severity, category: str, title: Column, detail=None, ev=None, pos=None) -> Column:
+    """A finding as a struct."""
     sev = F.lit(severity) if isinstance(severity, str) else severity
     cat = F.lit(category) if isinstance(category, str) else category
-    return df.select(
-        "session_key", (F.lit(0) if pos is None else pos).cast("bigint").alias("finding_pos"),
-        sev.alias("severity"), cat.alias("category"), title.alias("title"),
-        (F.lit("") if detail is None else detail).alias("detail"),
-        (no_evidence() if ev is None else ev).alias("evidence"))
+    return F.struct((F.lit(0) if pos is None else pos).cast("bigint").alias("finding_pos"), sev.alias("severity"), cat.alias("category"),
+                    title.alias("title"), (F.lit("") if detail is None else detail).alias("detail"),
+                    (no_evidence() if ev is None else ev).alias("evidence"))
+
+
+def finding(df: DataFrame, **parts) -> DataFrame:
+    """One finding for each row."""
+    return df.select("session_key", found(**parts).alias("f")).select("session_key", "f.*")
 
 
 def _gb(c: Column) -> Column:
@@ -128,7 +228,7 @@ def metal_error(ctx: RuleContext) -> DataFrame:
 @rule("queue_depth")
 def queue_depth(ctx: RuleContext) -> DataFrame:
     """Deepest queue shortly before the first failure."""
-    band = (ctx.kind("MetalCbCommitted").join(ctx.first_failure, "session_key")
+    band = (ctx.part("buffers").where(_is("MetalCbCommitted")).join(ctx.first_failure, "session_key")
             .where(F.col("ts_mono_ns").between(F.col("fail_ts") - ctx.band_ns, F.col("fail_ts"))))
     top = sequences.first_max(band, keys=["session_key"], metric="queue_depth", order="event_ord").where(
         F.col("queue_depth") > 0)
@@ -140,36 +240,31 @@ def queue_depth(ctx: RuleContext) -> DataFrame:
         ev=evidence(F.col("fail_seq"), F.col("fail_ts"), F.lit("first failed completion")))
 
 
-@rule("queue_pressure")
-def queue_pressure(ctx: RuleContext, depth_limit: int = 32, in_flight_limit: int = NS_PER_SEC) -> DataFrame:
+@fact_rule("queue_pressure")
+def queue_pressure(depth_limit: int = 32, in_flight_limit: int = NS_PER_SEC) -> list[tuple[Column, Column]]:
     """Deep queues or slow buffers in sessions without a failure."""
-    healthy = ctx.events.join(ctx.first_failure, "session_key", "left_anti")
-    commits, dones = F.col("kind") == "MetalCbCommitted", F.col("kind") == "MetalCbCompleted"
-    at = F.struct("seq", "ts_mono_ns", "cb_id", "queue_depth", "in_flight_ns")
-    peak = healthy.where(commits | dones).groupBy("session_key").agg(
-        F.max_by(at, F.when(commits, F.struct("queue_depth", -F.col("event_ord")))).alias("d"),
-        F.max_by(at, F.when(dones, F.struct("in_flight_ns", -F.col("event_ord")))).alias("s"))
-    depth, slow = F.coalesce("d.queue_depth", F.lit(0)), F.coalesce("s.in_flight_ns", F.lit(0))
+    depth, slow = F.coalesce("deepest.queue_depth", F.lit(0)), F.coalesce("slowest.in_flight_ns", F.lit(0))
     deep, late = depth >= depth_limit, slow >= in_flight_limit
     ev = F.concat(
-        F.when(deep, evidence(F.col("d.seq"), F.col("d.ts_mono_ns"), F.format_string("commit at queue depth %d", depth)))
+        F.when(deep, evidence(F.col("deepest.seq"), F.col("deepest.ts_mono_ns"), F.format_string("commit at queue depth %d", depth)))
         .otherwise(no_evidence()),
-        F.when(late, evidence(F.col("s.seq"), F.lit(0), F.format_string(
-            "cb_id=%d was in flight %dms", F.col("s.cb_id"), _div(slow, 1_000_000)))).otherwise(no_evidence()))
-    return finding(
-        peak.where(deep | late), severity="Warning", category="ContributingFactor",
+        F.when(late, evidence(F.col("slowest.seq"), F.lit(0), F.format_string(
+            "cb_id=%d was in flight %dms", F.col("slowest.cb_id"), _div(slow, 1_000_000)))).otherwise(no_evidence()))
+    return [(F.col("failure").isNull() & (deep | late), found(
+        severity="Warning", category="ContributingFactor",
         title=F.format_string("Command queue backed up: depth %d and longest wait %dms", depth, _div(slow, 1_000_000)),
         detail=F.lit(f"Reported from {depth_limit} waiting buffers, or {in_flight_limit // NS_PER_SEC}s of waiting, on. "
-                     "Submit less at once, or wait for the queue between phases."), ev=ev)
+                     "Submit less at once, or wait for the queue between phases."), ev=ev))]
 
 
 @rule("mlx_timing")
 def eval_timing(ctx: RuleContext, adjacent: int = 5, slow_n: int = 5) -> DataFrame:
     """Evals just before the first failure, and one timing summary per session."""
-    kind = F.col("kind")
-    recs = sequences.entered_by_last_seen(
-        ctx.events, keys=["session_key"], order="event_ord", ident="call_id", begin=kind == "MlxEvalEntered",
-        end=kind == "MlxEvalReturned", value=F.col("ts_mono_ns"), chunk=chunk_of() if ctx.chunk is None else ctx.chunk)
+    columns = ("session_key", "event_ord", "seq", "ts_mono_ns", "kind", "call_id", "duration_ns", "was_async")
+    # the ranks, the slowest and those near the failure all read this
+    recs = cut_lineage(sequences.entered_by_last_seen(
+        ctx.part("evals").select(*columns), keys=["session_key"], order="event_ord", ident="call_id", begin=_is("MlxEvalEntered"),
+        end=_is("MlxEvalReturned"), value=F.col("ts_mono_ns"), chunk=chunk_of() if ctx.chunk is None else ctx.chunk))
     mode = F.when(F.col("was_async"), "async").otherwise("sync")
     near = sequences.last_before(recs, ctx.first_failure, keys=["session_key"], ts="ts_mono_ns", anchor="fail_ts",
                                  order="event_ord", n=adjacent)
@@ -204,27 +299,24 @@ def eval_timing(ctx: RuleContext, adjacent: int = 5, slow_n: int = 5) -> DataFra
     return per_eval.unionByName(total)
 
 
-@rule("mlx_cache_growth")
-def cache_growth(ctx: RuleContext, ratio: float = 1.25, floor: int = 1_000_000_000) -> DataFrame:
+@fact_rule("mlx_cache_growth")
+def cache_growth(ratio: float = 1.25, floor: int = 1_000_000_000) -> list[tuple[Column, Column]]:
     """Peak cache well above peak active memory."""
-    peaks = ctx.kind("MlxMemoryPoll").groupBy("session_key").agg(
-        F.max_by(F.struct("cache_bytes", "seq", "ts_mono_ns"), F.struct("cache_bytes", -F.col("event_ord"))).alias("c"),
-        F.max("active_bytes").alias("active"))
-    cache, active = F.col("c.cache_bytes"), F.col("active")
-    grown = peaks.where((cache >= floor) & (active > 0)).where(F.try_divide(cache.cast("double"), active) >= ratio)
-    return finding(
-        grown, severity="Warning", category="ContributingFactor",
+    cache, active = F.col("cache.cache_bytes"), F.col("active")
+    grown = (cache >= floor) & (active > 0) & (F.try_divide(cache.cast("double"), active) >= ratio)
+    return [(grown, found(
+        severity="Warning", category="ContributingFactor",
         title=F.lit("Allocator cache exceeds the memory in use"),
         detail=F.concat(F.lit("Cache peaked at "), _gb(cache), F.lit(", active memory at "), _gb(active),
                         F.format_string(" (x%.2f). Freed buffers are being retained; check the cache limit.",
                                         cache.cast("double") / active)),
-        ev=evidence(F.col("c.seq"), F.col("c.ts_mono_ns"), F.concat(F.lit("cache peak "), _gb(cache))))
+        ev=evidence(F.col("cache.seq"), F.col("cache.ts_mono_ns"), F.concat(F.lit("cache peak "), _gb(cache)))))]
 
 
 @rule("memory_pressure")
 def memory_pressure(ctx: RuleContext, max_lines: int = 8) -> DataFrame:
     """Device memory near or over its budget, one finding listing the windows."""
-    w = ctx.over_budget.join(memory.session_start(ctx.events), "session_key")
+    w = ctx.over_budget.join(ctx.facts.select("session_key", "t0"), "session_key")
     rel = lambda c: _div(F.greatest(F.lit(0).cast("bigint"), F.col(c) - F.col("t0")), NS_PER_SEC)
     pct = F.round(F.col("peak_ratio") * 100).cast("bigint")
     w = w.withColumns({"pct": pct, "line": F.concat(
@@ -255,7 +347,7 @@ def memory_pressure(ctx: RuleContext, max_lines: int = 8) -> DataFrame:
 @rule("system_pressure")
 def system_pressure(ctx: RuleContext, cpu: float = 5.0) -> DataFrame:
     """Busy processes known to aggravate crashes."""
-    rows = ctx.kind("ProcTop").select("session_key", "event_ord", "seq", "ts_mono_ns", F.posexplode("top").alias("i", "p"))
+    rows = ctx.part("processes").select("session_key", "event_ord", "seq", "ts_mono_ns", F.posexplode("top").alias("i", "p"))
     rows = rows.where((F.col("p.cpu_pct") >= F.lit(cpu).cast("float")) & F.col("p.name").rlike("|".join(PRESSURE_NAMES)))
     return finding(
         rows, severity="Warning", category="SystemPressure", pos=F.col("event_ord") * TABLE_ROWS + F.col("i"),
@@ -266,7 +358,7 @@ def system_pressure(ctx: RuleContext, cpu: float = 5.0) -> DataFrame:
 @rule("duplicate-model-load")
 def duplicate_model_load(ctx: RuleContext) -> DataFrame:
     """A model file loaded again while still loaded."""
-    dup = pairing.model_loads(ctx.events, chunk=ctx.chunk).where(F.col("duplicate_of").isNotNull())
+    dup = pairing.model_loads(ctx.part("models"), chunk=ctx.chunk).where(F.col("duplicate_of").isNotNull())
     return finding(
         dup, severity="Warning", category="ContributingFactor", pos=F.col("event_ord"),
         title=F.concat(F.lit("Model "), basename(F.col("path")),
@@ -277,42 +369,27 @@ def duplicate_model_load(ctx: RuleContext) -> DataFrame:
         ev=evidence(F.col("seq"), F.col("t_end_ns"), F.concat(F.lit("load of "), F.col("path"))))
 
 
-@rule("hook_degradation")
-def capture_degradation(ctx: RuleContext) -> DataFrame:
+@fact_rule("hook_degradation")
+def capture_degradation() -> list[tuple[Column, Column]]:
     """Capture gaps: sampling switched off, corrupt frames, dropped events."""
-    rows = ctx.kind("MetalHookSkipped", "MetalHookDropped")
-    reason = F.coalesce("reason", F.lit(""))
-    first = lambda cond: F.min_by(F.struct("seq", "ts_mono_ns", "reason"), F.when(cond, F.col("event_ord")))
-    aggs = []
-    for side in ("stage", "dispatch"):
-        off, on = reason.contains(f"{side} sampling disabled"), reason.contains(f"{side} sampling re-enabled")
-        aggs += [F.count_if(off).alias(f"{side}_off"), F.count_if(on & ~off).alias(f"{side}_on"),
-                 first(off).alias(f"{side}_first")]
-    bad, lost = reason.contains("ring decode error"), F.col("kind") == "MetalHookDropped"
-    aggs += [F.count_if(bad).alias("bad"), first(bad).alias("bad_first"),
-             F.sum(F.when(lost, F.col("dropped_count"))).alias("lost"), first(lost).alias("lost_first")]
-    per = rows.groupBy("session_key").agg(*aggs)
     why = lambda f, head: evidence(F.col(f"{f}.seq"), F.col(f"{f}.ts_mono_ns"),
                                    F.concat_ws(": ", F.lit(head), F.col(f"{f}.reason")))
     out = []
     for i, side in enumerate(("stage", "dispatch")):
-        out.append(finding(
-            per.where(F.col(f"{side}_off") > 0), severity="Warning", category="ContributingFactor", pos=F.lit(i),
+        out.append((F.col(f"{side}_off") > 0, found(
+            severity="Warning", category="ContributingFactor", pos=F.lit(i),
             title=F.format_string(f"Op timing degraded: {side} sampling disabled %d time(s)", f"{side}_off"),
             detail=F.format_string("Per-op GPU numbers are incomplete over those spans (re-enabled %d time(s)).", f"{side}_on"),
-            ev=why(f"{side}_first", "first occurrence")))
-    out.append(finding(
-        per.where(F.col("bad") > 0), severity="Warning", category="ContributingFactor", pos=F.lit(2),
+            ev=why(f"{side}_off_first", "first occurrence"))))
+    out.append((F.col("bad") > 0, found(
+        severity="Warning", category="ContributingFactor", pos=F.lit(2),
         title=F.format_string("Damaged frames in the capture ring: %d report(s)", "bad"),
-        detail=F.lit("What those frames held is missing from the log."), ev=why("bad_first", "first occurrence")))
-    out.append(finding(
-        per.where(F.col("lost_first").isNotNull()), severity="Warning", category="ContributingFactor", pos=F.lit(3),
+        detail=F.lit("What those frames held is missing from the log."), ev=why("bad_first", "first occurrence"))))
+    out.append((F.col("lost_first").isNotNull(), found(
+        severity="Warning", category="ContributingFactor", pos=F.lit(3),
         title=F.format_string("Capture ring full: %d event(s) dropped", "lost"),
-        detail=F.lit("The ring filled faster than it was drained."), ev=why("lost_first", "first drop")))
-    result = out[0]
-    for f in out[1:]:
-        result = result.unionByName(f)
-    return result
+        detail=F.lit("The ring filled faster than it was drained."), ev=why("lost_first", "first drop"))))
+    return out
 
 
 def lazy_gap(ctx: RuleContext, threshold_pct: int = 50) -> DataFrame:
@@ -325,7 +402,7 @@ def lazy_gap(ctx: RuleContext, threshold_pct: int = 50) -> DataFrame:
     per = per_eval.groupBy("session_key").agg(
         F.sum(F.when(F.col("e").isNotNull(), F.col("ns")).otherwise(0)).alias("gap_gpu_ns"),
         F.sum("ns").alias("total_gpu_ns"), F.count("e").alias("lazy_eval_count"), F.min("first").alias("first"))
-    modules = ctx.kind("ModuleEntered").groupBy("session_key").agg(F.count(F.lit(1)).alias("module_call_count"))
+    modules = ctx.facts.select("session_key", "module_call_count")
     share = F.col("gap_gpu_ns").cast("decimal(28,0)") * 100 / F.nullif(F.col("total_gpu_ns").cast("decimal(28,0)"), F.lit(0))
     pct = F.coalesce(F.floor(share), F.lit(0)).cast("bigint")
     return (per.where(F.col("first").isNotNull()).join(modules, "session_key", "left")
@@ -356,13 +433,7 @@ def lazy_eval_attribution(ctx: RuleContext) -> DataFrame:
 
 def instrumentation(ctx: RuleContext) -> DataFrame:
     """Per session: what produced events at all."""
-    kind = F.col("kind")
-    side = kind.isin("PythonSidecarHello", "ModuleEntered", "MlxEvalEntered")
-    done = kind == "MetalCbCompleted"
-    return ctx.events.groupBy("session_key").agg(
-        F.count(F.lit(1)).alias("event_count"), F.max(side).alias("has_sidecar"), F.count_if(done).alias("cb_count"),
-        F.max(kind == "ProcFootprint").alias("has_footprint"),
-        F.min_by(F.struct("seq", "ts_mono_ns"), F.when(done, F.col("event_ord"))).alias("first"))
+    return ctx.facts.select("session_key", "event_count", "has_sidecar", "cb_count", "has_footprint", F.col("first_done").alias("first"))
 
 
 def absent_advice() -> Column:
@@ -377,17 +448,17 @@ def nothing_advice() -> Column:
         .otherwise("This is the usual shape of an ambient session."))
 
 
-@rule("sidecar_absent")
-def sidecar_absent(ctx: RuleContext) -> DataFrame:
-    per = instrumentation(ctx).where(~F.col("has_sidecar"))
-    nothing = finding(per.where(F.col("cb_count") == 0), severity="Info", category="ContributingFactor",
-                      title=F.lit("This session ran no GPU work that was instrumented"), detail=nothing_advice())
-    absent = finding(
-        per.where(F.col("cb_count") > 0), severity="Info", category="ContributingFactor",
+@fact_rule("sidecar_absent")
+def sidecar_absent() -> list[tuple[Column, Column]]:
+    bare = ~F.col("has_sidecar")
+    nothing = found(severity="Info", category="ContributingFactor",
+                    title=F.lit("This session ran no GPU work that was instrumented"), detail=nothing_advice())
+    absent = found(
+        severity="Info", category="ContributingFactor",
         title=F.lit("No runtime agent was attached, so GPU time has no scopes"), detail=absent_advice(),
-        ev=evidence(F.col("first.seq"), F.col("first.ts_mono_ns"), F.format_string(
+        ev=evidence(F.col("first_done.seq"), F.col("first_done.ts_mono_ns"), F.format_string(
             "first of %d completed buffer(s) without agent events", "cb_count")))
-    return nothing.unionByName(absent)
+    return [(bare & (F.col("cb_count") == 0), nothing), (bare & (F.col("cb_count") > 0), absent)]
 
 
 def attribution_notices(ctx: RuleContext) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,21 +34,50 @@ def shared_folder(spark: SparkSession) -> str:
     if folder:
         return folder
     if spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="spanforge-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        return folder
+        return _OWN_FOLDERS.setdefault(spark.sparkContext.applicationId, tempfile.gettempdir() + "/spanforge-" + uuid.uuid4().hex)
     raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+#: Folders of local sessions that name none, by application; Spark takes no such setting while it runs.
+_OWN_FOLDERS: dict[str, str] = {}
+#: Where the tables that are written now are listed, so that their owner can delete them.
+_OWNERS: ContextVar[list[str] | None] = ContextVar("owners", default=None)
+
+
+def cut_lineage(df: DataFrame, *, by: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Used where one intermediate feeds many branches or a recursion.  A table
     rather than a row checkpoint keeps column pruning, filter pushdown and true
-    size statistics for the joins after it.  It survives lost executors.
+    size statistics for the joins after it.  It survives lost executors.  With ``by`` the
+    rows lie in a folder for each value of that column, so a filter on it reads these only.
     """
     spark = df.sparkSession
     folder = shared_folder(spark)
     path = f"{folder}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if (owned := _OWNERS.get()) is not None:
+        owned.append(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def owned_tables(tables: list[str]) -> Iterator[list[str]]:
+    """Within this, ``tables`` gets the path of every intermediate table that is written.
+
+    They are needed as long as a frame that was made within it is still to be run, or
+    run again; ``delete_tables`` is for their owner to call after that.
+    """
+    token = _OWNERS.set(tables)
+    try:
+        yield tables
+    finally:
+        _OWNERS.reset(token)
+
+
+def delete_tables(spark: SparkSession, tables: list[str]) -> None:
+    """Delete intermediate tables, by the file system that holds them."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while tables:
+        path = jvm.org.apache.hadoop.fs.Path(tables.pop())
+        path.getFileSystem(conf).delete(path, True)
