@@ -273,19 +273,59 @@ def d11_linked_tree(spark, sf):
   UNION ALL SELECT 'c' || c_custkey, CAST(sum(CAST(round(o_totalprice*100) AS BIGINT)) AS BIGINT) FROM orders JOIN customer ON c_custkey=o_custkey GROUP BY 1
   UNION ALL SELECT 'o' || o_orderkey, CAST(round(o_totalprice*100) AS BIGINT) FROM orders JOIN customer ON c_custkey=o_custkey""")
 def e2_subtree_rollup(spark, sf):
-    e = _edges(spark, sf)
-    t = tree.linked_tree(e, keys=["tree"], node="node", parent="parent", order="ord")
-    sums = tree.rollup(t, e.withColumnRenamed("cents", "own"), keys=["tree"], node="node", value="own", out="cents")
+    sums = tree.linked_tree(_edges(spark, sf), keys=["tree"], node="node", parent="parent", order="ord", with_path=False,
+                            below={"cents": ("sum", F.col("cents"))})
     return sums.where(F.col("cents") > 0).select("node", "cents")
 
 
 @query("d11_deep_chain", with_sql(EV, "SELECT session_key, event_ord AS node, row_number() OVER (PARTITION BY session_key, k%20 ORDER BY event_ord)-1 AS depth FROM ev"))
 def d11_deep_chain(spark, sf):
+    t = tree.linked_tree(_chains(spark, sf), keys=["session_key"], node="node_id", parent="parent_call_id", order="node_id", with_path=False)
+    return t.select("session_key", F.col("node_id").alias("node"), F.col("depth").cast("bigint").alias("depth"))
+
+
+def _chains(spark, sf):
     """Events that each hang on the one before of their kind: as deep as the log is long."""
     before = Window.partitionBy("session_key", F.col("k") % 20).orderBy("event_ord")
-    e = ev(spark, sf).withColumn("parent", F.lag("event_ord").over(before))
-    t = tree.linked_tree(e, keys=["session_key"], node="event_ord", parent="parent", order="event_ord", with_path=False)
-    return t.select("session_key", F.col("event_ord").alias("node"), F.col("depth").cast("bigint").alias("depth"))
+    return ev(spark, sf).select(
+        "session_key", F.col("event_ord").alias("node_id"), F.lag("event_ord").over(before).alias("parent_call_id"), F.col("cents").alias("gpu_ns_self"),
+        F.concat(F.lit("e"), F.col("k").cast("string")).alias("qualname"),
+        F.create_map(F.lit("step"), F.struct(F.lit("int").alias("t"), (F.col("k") % 4).cast("string").alias("v"))).alias("fields"))
+
+
+def _chain_tree(spark, sf):
+    rows = _chains(spark, sf)
+    sums = tree.linked_tree(rows, keys=["session_key"], node="node_id", parent="parent_call_id", order="node_id", with_path=False,
+                            below={"gpu_ns_subtree": ("sum", F.col("gpu_ns_self"))})
+    return rows.join(sums, ["session_key", "node_id"])
+
+
+_CHAIN = EV + """,
+   ch AS (SELECT *, sum(cents) OVER (PARTITION BY session_key, k%20 ORDER BY event_ord DESC) AS sub, first_value(event_ord) OVER (PARTITION BY session_key, k%20 ORDER BY event_ord) AS top FROM ev),
+   lo AS (SELECT *, min(sub) OVER (PARTITION BY session_key, k%20 ORDER BY event_ord) AS least, count(*) FILTER (WHERE k%4=2) OVER (PARTITION BY session_key, k%20 ORDER BY event_ord DESC) AS hits FROM ch)"""
+
+
+@query("e2_chain_rollup", with_sql(_CHAIN, "SELECT session_key, event_ord AS node_id, CAST(sub AS BIGINT) AS cents FROM ch"))
+def e2_chain_rollup(spark, sf):
+    rows = _chains(spark, sf)
+    return tree.rollup(rows, rows, keys=["session_key"], node="node_id", parent="parent_call_id", value="gpu_ns_self", out="cents")
+
+
+@query("g3_chain_prune", with_sql(_CHAIN + """, best AS (SELECT session_key, arg_min(event_ord, (-sub, event_ord)) AS top FROM ch WHERE event_ord=top AND sub>=20000 GROUP BY 1)""", """
+  SELECT l.session_key, l.event_ord AS node_id FROM lo l JOIN best b ON b.session_key=l.session_key AND b.top=l.top WHERE l.least>=20000"""))
+def g3_chain_prune(spark, sf):
+    return tree.prune(_chain_tree(spark, sf), min_ns=20000, top_n=1).select("session_key", "node_id")
+
+
+@query("g4_chain_filter", with_sql(_CHAIN, "SELECT session_key, event_ord AS node_id FROM lo WHERE hits>0"))
+def g4_chain_filter(spark, sf):
+    return tree.field_filter(_chains(spark, sf), {"step": ("int", "2")}).select("session_key", "node_id")
+
+
+@query("a11_chain_stacks", with_sql(_CHAIN, """
+  SELECT session_key, string_agg('e' || k, ';') OVER (PARTITION BY session_key, k%20 ORDER BY event_ord) || ' ' || cents AS line FROM ev QUALIFY cents>0"""))
+def a11_chain_stacks(spark, sf):
+    return tree.folded_stacks(_chains(spark, sf))
 
 
 @query("d15_process_descendants", with_sql(EV + """, p AS (SELECT session_key, row_number() OVER (PARTITION BY session_key ORDER BY event_ord) AS pid FROM ev),
@@ -295,7 +335,7 @@ def d11_deep_chain(spark, sf):
 def d15_process_descendants(spark, sf):
     p = with_position(ev(spark, sf), ["session_key"], ["event_ord"], "pid", chunk=chunk_of())
     snap = p.select("session_key", "pid", F.when(F.col("pid") == 5, 11).otherwise(F.call_function("div", F.col("pid"), F.lit(2))).alias("ppid"))
-    out = tree.descendants(snap, keys=["session_key"], root=F.lit(1))
+    out = tree.descendants(snap, keys=["session_key"], root=F.lit(1), with_path=False)
     return out.select("session_key", "pid", F.col("depth").cast("bigint").alias("depth"))
 
 

@@ -1,5 +1,6 @@
 """Trees of any depth, and joins that keep hosts apart."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from spanforge.operators import incidents, reports, tree
@@ -17,6 +18,37 @@ def test_deep_chain_and_broken_links(spark):
     assert flat.columns == ["k", "id", "depth"] and {r.id: r.depth for r in flat.collect()} == {k: d for k, (d, _) in got.items()}
 
 
+@pytest.fixture(scope="module")
+def chain(spark):
+    """A chain, the even nodes of which have a leaf beside the next node."""
+    n = 200
+    rows = [("s", i, i - 1 if i else None, 1, f"q{i}", {"step": ("int", str(i))}) for i in range(n)]
+    rows += [("s", 1000 + i, i, 10, f"leaf{i}", {"step": ("int", "leaf")}) for i in range(0, n, 2)]
+    nodes = spark.createDataFrame([(*r[:5], {k: {"t": t, "v": v} for k, (t, v) in r[5].items()}) for r in rows],
+                                  "session_key string, node_id long, parent_call_id long, gpu_ns_self long, qualname string, fields map<string,struct<t:string,v:string>>")
+    sums = tree.rollup(nodes, nodes, keys=["session_key"], node="node_id", parent="parent_call_id", value="gpu_ns_self", out="gpu_ns_subtree")
+    return nodes.join(sums, ["session_key", "node_id"]).cache()
+
+
+def test_rollup_and_folds_of_a_deep_chain(chain):
+    assert {r.node_id: r.gpu_ns_subtree for r in chain.collect() if r.node_id < 1000} == {i: 200 - i + 10 * len(range(i + i % 2, 200, 2)) for i in range(200)}
+    got = tree.fold_tree(chain, keys=["session_key"], node="node_id", parent="parent_call_id",
+                         along={"above": ("sum", F.col("node_id"))}, below={"odd": ("any", F.col("node_id") == 199)})
+    assert {r.node_id: (r.depth, r.above, r.odd) for r in got.collect()} == {
+        **{i: (i, i * (i + 1) // 2, True) for i in range(200)}, **{1000 + i: (i + 1, i * (i + 1) // 2 + 1000 + i, False) for i in range(0, 200, 2)}}
+
+
+def test_prune_filter_and_stacks_of_a_deep_chain(chain):
+    ids = lambda df: {r.node_id for r in df.collect()}
+    assert ids(tree.prune(chain, min_ns=11)) == {i for i in range(200) if 200 - i + 10 * len(range(i + i % 2, 200, 2)) >= 11}
+    assert ids(tree.prune(chain, top_n=1)) == set(range(199)) | {1198}  # at last the leaf of 10 beats the node of 1
+    assert ids(tree.field_filter(chain, {"step": ("int", "120")})) == set(range(121))
+    assert ids(tree.field_filter(chain, {"step": ("int", "none")})) == set()
+    lines = {r.line for r in tree.folded_stacks(chain).collect()}
+    assert lines == {";".join(f"q{k}" for k in range(i + 1)) + " 1" for i in range(200)} | {
+        ";".join(f"q{k}" for k in range(i + 1)) + f";leaf{i} 10" for i in range(0, 200, 2)}
+
+
 def test_descendants_leave_circles_out(spark):
     snap = spark.createDataFrame([(1, 0, 9), (2, 1, 9), (3, 2, 9), (4, 5, 9), (5, 4, 9), (6, 77, 9)], "pid long, ppid long, snap long")
     got = {r.pid: (r.depth, r.path) for r in tree.descendants(snap, keys=["snap"], root=F.lit(1)).collect()}
