@@ -7,21 +7,20 @@ a probability.  Words share a fixed number of rows by their hash, so the model h
 size for any corpus; tasks send sums, and two rounds of adding keep what meets in one
 place small.
 
-The network is fitted on the driver on at most ``train_rows`` labelled documents, those
-with the smallest hash of their id; the context vectors come from all documents.
+The network is fitted on the driver on about ``train_rows`` labelled documents, those
+under a threshold of the hash of their id and content that is set from their number; the
+context vectors come from all documents.
 
 Defined cases: null and empty texts are scored by the network on zeros; null ids have no
-label and are not held out; a document with several labels has the largest; without
-labels of both kinds every score is the share of label 1, or one half without any; an
-empty table gives an empty result.
+label and are not held out; a document with several labels has the largest; repeated rows
+count once in the fit and are scored each; texts of any length are pooled whole, in
+pieces; without labels of both kinds every score is the share of label 1, or one half
+without any; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
-import re
-import zlib
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,12 +28,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spanforge.llm.common import bytes_of, cut_lineage, drop_rows, id_and_text, numbered, partitions, row_base, slices
+from spanforge.llm.hashing import WordHasher
 
 ROWS, DIMS, NONZERO, WINDOW = 1 << 15, 64, 4, 2
 CHUNKS = 32
 TRAIN_ROWS = 20_000
 HIDDEN = 32
-_WORDS = re.compile(rb"[^\x00-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+")
+#: Of each ASCII character: 0 parts words, 1 is of a word, 2 of a run of marks.
+_KINDS = np.array([1 if c > 126 or chr(c).isalnum() else 2 if c > 32 else 0 for c in range(256)], np.uint8)
+#: Words that are pooled together.
+PIECE = 1 << 14
 FEATURES = 2 * DIMS + 3
 
 
@@ -42,23 +45,22 @@ def index_vectors(seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Places and signs of the entries of each row's index vector."""
     rng = np.random.default_rng(seed)
     places = np.argsort(rng.random((ROWS, DIMS)), axis=1)[:, :NONZERO]
-    return places, np.where(rng.random((ROWS, NONZERO)) < 0.5, -1, 1)
+    return places, np.where(rng.random((ROWS, NONZERO)) < 0.5, -1.0, 1.0)
 
 
-def _word_rows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """The row of each word of all texts, and how many words each text has."""
-    words = [_WORDS.findall(t) for t in texts]
-    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    rows = np.fromiter(map(zlib.crc32, chain.from_iterable(words)), dtype=np.int64, count=int(sizes.sum())) & (ROWS - 1)
-    return rows, sizes, words
+def _words(hasher: WordHasher, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of each word of all texts, whether it is a run of marks, and how many words each text has."""
+    hashes, kinds, sizes = hasher(texts)
+    return hashes.view(np.int64), kinds == 2, sizes
 
 
 def _contexts(batches):
     places, signs = index_vectors()
     # whole numbers below 2^53, so exact; one flat array, to which every count is added in place
-    flat, counts, task = np.zeros(ROWS * DIMS), np.zeros(ROWS, dtype=np.int64), row_base() >> 33
-    for batch in slices(batches, 1000):
-        rows, sizes, _ = _word_rows(bytes_of(batch.column(0)))
+    flat, counts, task, hasher = np.zeros(ROWS * DIMS), np.zeros(ROWS, dtype=np.int64), row_base() >> 33, WordHasher(_KINDS, fold=False)
+    for batch in slices(batches, 100):
+        rows, _, sizes = _words(hasher, bytes_of(batch.column(0)))
+        rows &= ROWS - 1
         if not len(rows):
             continue
         doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -66,7 +68,7 @@ def _contexts(batches):
             near = np.flatnonzero(doc[far:] == doc[:-far])
             for word, other in ((rows[near], rows[near + far]), (rows[near + far], rows[near])):
                 for k in range(NONZERO):
-                    flat += np.bincount(word * DIMS + places[other, k], weights=signs[other, k], minlength=ROWS * DIMS)
+                    np.add.at(flat, word * DIMS + places[other, k], signs[other, k])
         counts += np.bincount(rows, minlength=ROWS)
     if counts.any():
         sums = np.concatenate([flat.reshape(ROWS, DIMS).astype(np.int64), counts[:, None]], axis=1)
@@ -102,22 +104,26 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 def _pooled(model):
     def run(batches):
-        vectors, row = model.value, row_base()
-        for batch in slices(batches, 200):
-            rows, sizes, words = _word_rows(bytes_of(batch.column(1)))
+        vectors, weight = model.value[:, :DIMS], model.value[:, DIMS:]
+        # a document's sums over these are its weighted means and squares
+        table = np.concatenate([vectors * weight, vectors ** 2 * weight, weight], axis=1)
+        row, hasher = row_base(), WordHasher(_KINDS, fold=False)
+        for batch in slices(batches, 100):
+            hashes, marks, sizes = _words(hasher, bytes_of(batch.column(1)))
+            sums, ends = np.zeros((len(sizes), table.shape[1])), np.cumsum(sizes)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            for at in range(0, len(hashes), PIECE):
+                own = doc[at:at + PIECE]
+                starts = np.flatnonzero(np.diff(own, prepend=-1))
+                sums[own[starts]] += np.add.reduceat(table[hashes[at:at + PIECE] & (ROWS - 1)], starts, axis=0)
             out = np.zeros((len(sizes), FEATURES), dtype=np.float32)
             full = np.flatnonzero(sizes)
             if len(full):
-                starts = (np.cumsum(sizes) - sizes)[full]
-                own = vectors[rows]
-                weight = own[:, DIMS:]
-                total = np.add.reduceat(weight, starts, axis=0)
-                out[full, :DIMS] = np.add.reduceat(own[:, :DIMS] * weight, starts, axis=0) / total
-                out[full, DIMS:2 * DIMS] = np.sqrt(np.add.reduceat(own[:, :DIMS] ** 2 * weight, starts, axis=0) / total)
+                out[full, :2 * DIMS] = sums[full, :2 * DIMS] / sums[full, 2 * DIMS:]
+                out[full, DIMS:2 * DIMS] = np.sqrt(out[full, DIMS:2 * DIMS])
                 out[full, 2 * DIMS] = np.log1p(sizes[full])
-                out[full, 2 * DIMS + 1] = [len(set(words[i])) / len(words[i]) for i in full]
-                marks = np.fromiter((w[0] < 48 for ws in words for w in ws), dtype=np.float32, count=len(rows))
-                out[full, 2 * DIMS + 2] = np.add.reduceat(marks, starts) / sizes[full]
+                out[full, 2 * DIMS + 1] = [len(np.unique(hashes[ends[i] - sizes[i]:ends[i]])) / sizes[i] for i in full]
+                out[full, 2 * DIMS + 2] = np.bincount(doc[marks], minlength=len(sizes))[full] / sizes[full]
             n = batch.num_rows
             numbers = batch.column(2) if batch.num_columns > 2 else pa.array(np.arange(row, row + n))
             row += n
@@ -187,8 +193,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     pooled = cut_lineage(docs.mapInArrow(_pooled(model), "row long, doc_id long, features binary"))
     truth = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.max("quality").alias("quality"))
-    learnt = (pooled.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).join(truth, "doc_id")
-              .orderBy(F.xxhash64("doc_id"), "row").select("features", "quality").limit(train_rows).collect())
+    labelled = (pooled.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).join(truth, "doc_id")
+                .select("doc_id", "features", "quality").distinct())
+    share = min(1.0, train_rows / max(1, labelled.count()))
+    drawn = labelled.where(F.pmod(F.xxhash64("doc_id", "features"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    learnt = sorted(drawn.collect(), key=lambda r: (r.doc_id, bytes(r.features)))
     x = np.array([np.frombuffer(r.features, np.float32) for r in learnt], dtype=np.float64).reshape(-1, FEATURES)
     network = Network(x, np.array([float(r.quality > 0) for r in learnt]))
 
