@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spanforge.operators.filters import incident_label, is_notable
+from spanforge.operators.scan import chunk_of, ranked, with_running
 from spanforge.schema import NS_PER_SEC
 
 DEFAULT_BAND_NS = 200_000_000
@@ -53,25 +54,66 @@ def elided(events: DataFrame, focal: DataFrame, *, window_ns: int = DEFAULT_BAND
     return out.where(F.col("elided") > 0).select(*keys, "elided")
 
 
-def incidents(events: DataFrame) -> DataFrame:
+def incidents(events: DataFrame, *, host: str | None) -> DataFrame:
+    """Events that trigger the recorder; ``host`` as in :func:`recorder`."""
     return events.withColumn("incident_label", incident_label()).where(
         F.col("incident_label").isNotNull()).select(
         F.concat_ws("-", "session_key", F.col("event_ord").cast("string")).alias("incident_key"),
-        "session_key", *(["host"] if "host" in events.columns else []), "event_ord", "incident_label",
+        "session_key", *([host] if host else []), "event_ord", "incident_label",
         F.col("ts_wall_ns").alias("incident_ts"))
 
 
-def trailing_window(events: DataFrame, triggers: DataFrame, *, window_ns: int = 60 * NS_PER_SEC,
-                    order: str = "event_ord") -> DataFrame:
+def recorder(events: DataFrame, triggers: DataFrame, *, host: str | None, window_ns: int = 60 * NS_PER_SEC,
+             chunk_rows: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+    """What a recorder per host holds at each incident, as ranges of one order of its events.
+
+    A recorder serves one host, whose sessions share the column ``host``; None says that all
+    events are of one host.  Wall time decides, because monotonic clocks of different
+    sessions do not compare.
+
+    Returns the events that lie in the window before any incident, each once, with their
+    position among the host's events, and the incidents with the ``first`` and ``last``
+    position of their window.  So the result grows with the events and the incidents, not
+    with their product.  Events and window ends enter one order, so a burst of events or of
+    incidents is spread like any other rows.
+    """
+    if host is not None and not (host in events.columns and host in triggers.columns):
+        raise ValueError(f"events and incidents need the column {host!r}, or host=None for a single host")
+    place = F.col(host) if host else F.lit("")
+    row = F.struct(*events.columns)
+    inc = F.struct("incident_key", "incident_label", "incident_ts")
+    # a window's start comes before the events of its instant, its end after them
+    ends = triggers.select(place.alias("_host"), inc.alias("_inc"), F.explode(F.array(
+        F.struct((F.col("incident_ts") - window_ns).alias("t"), F.lit(0).alias("side")),
+        F.struct(F.col("incident_ts").alias("t"), F.lit(2).alias("side")))).alias("e"))
+    ends = ends.select("_host", F.col("e.t").alias("_t"), F.col("e.side").alias("_side"), F.col("_inc.incident_key").alias("_session"),
+                       F.lit(0).cast("bigint").alias("_ord"), F.lit(None).cast(events.select(row.alias("r")).schema["r"].dataType).alias("_event"), "_inc")
+    rows = events.select(place.alias("_host"), F.col("ts_wall_ns").alias("_t"), F.lit(1).alias("_side"), F.col("session_key").alias("_session"),
+                         F.col("event_ord").alias("_ord"), row.alias("_event"), F.lit(None).cast(ends.schema["_inc"].dataType).alias("_inc"))
+    both = ranked(rows.unionByName(ends), ["_host"], ["_t", "_side", "_session", "_ord"], "_pos")
+    side = F.col("_side")
+    both = with_running(both, ["_host"], ["_pos"], {
+        "position": ("count", F.when(side == 1, 1)), "_opened": ("count", F.when(side == 0, 1)), "_closed": ("count", F.when(side == 2, 1))},
+        chunk=chunk_of("_pos", chunk_rows))
+    kept = both.where((side == 1) & (F.col("_opened") > F.col("_closed"))).select("_event.*", "position")
+    ranges = both.where(side != 1).groupBy("_host", "_inc").agg(
+        (F.max(F.when(side == 0, F.col("position"))) + 1).alias("first"), F.max(F.when(side == 2, F.col("position"))).alias("last"))
+    return kept, ranges.select(*([F.col("_host").alias(host)] if host else []), "_inc.*", "first", "last")
+
+
+def trailing_window(events: DataFrame, triggers: DataFrame, *, host: str | None, window_ns: int = 60 * NS_PER_SEC) -> DataFrame:
     """For each incident, every event of any session of its host in the time window up to it.
 
-    A recorder serves one host: where both sides have a column host, it is part of
-    the key.  Wall time decides, because monotonic clocks of different sessions do
-    not compare.
+    One row per incident and event; :func:`recorder` holds the same without the repeats.
     """
-    host = ["host"] if "host" in events.columns and "host" in triggers.columns else []
-    own = F.call_function("div", F.col("incident_ts"), F.lit(window_ns))
-    inc = triggers.select(*host, "incident_key", "incident_label", "incident_ts").withColumn("_cell", F.explode(F.array(own - 1, own)))
-    rows = events.withColumn("_cell", F.call_function("div", F.col("ts_wall_ns"), F.lit(window_ns)))
-    return rows.join(inc, [*host, "_cell"]).where(
-        F.col("ts_wall_ns").between(F.col("incident_ts") - window_ns, F.col("incident_ts"))).drop("_cell")
+    kept, ranges = recorder(events, triggers, host=host, window_ns=window_ns)
+    return events_of(kept, ranges, host=host)
+
+
+def events_of(kept: DataFrame, ranges: DataFrame, *, host: str | None, cell: int = 4096) -> DataFrame:
+    """The events of each given range; positions are cut into cells, so that only a range's own cells are met."""
+    keys = [host] if host else []
+    cells = F.sequence(F.call_function("div", F.col("first"), F.lit(cell)), F.call_function("div", F.col("last"), F.lit(cell)))
+    wanted = ranges.where(F.col("first") <= F.col("last")).withColumn("_cell", F.explode(cells))
+    rows = kept.withColumn("_cell", F.call_function("div", F.col("position"), F.lit(cell)))
+    return rows.join(wanted, [*keys, "_cell"]).where(F.col("position").between(F.col("first"), F.col("last"))).drop("_cell", "first", "last")

@@ -16,9 +16,12 @@ the saturating depth) states both in one scan rather than scan the result of a s
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from spanforge.session_conf import cut_lineage
+
 CHUNK_ROWS = 1 << 20
 
 
@@ -62,6 +65,25 @@ def _combine(fn: str, local: Column, carry: Column) -> Column:
     return F.coalesce(local, carry)
 
 
+def ranked(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """``df`` with each row's 1-based position in its group, by any order and for any burst.
+
+    Rows are dealt by ranges of (keys, order) and written once, numbered within their range;
+    the ranges' counts, summed per group, are added.  So no chunk of the order has to be
+    known beforehand, and a group, or a single value of the order's first column, may be
+    spread over any number of tasks.  Rows that tie in ``order`` go in any order.
+    """
+    by = [*keys, *order]
+    dealt = cut_lineage(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumns(
+        {"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    across = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = dealt.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    runs = runs.select(*keys, "_part", "_first", F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_earlier"))
+    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_part"]]
+    joined = dealt.alias("d").join(runs.alias("r"), reduce(lambda a, b: a & b, same))
+    return joined.select(*[f"d.{c}" for c in df.columns], (F.col("_at") - F.col("_first") + F.col("_earlier") + 1).alias(name))
+
+
 Columns = dict[str, Column]
 
 

@@ -89,12 +89,13 @@ def presumed_memory_deaths(bounds: DataFrame, events: DataFrame, findings: DataF
 
 
 def session_summary(sessions: DataFrame, events: DataFrame, crash_reports: DataFrame,
-                    kill_reports: DataFrame, **options) -> DataFrame:
+                    kill_reports: DataFrame, *, host: str | None, **options) -> DataFrame:
     """Rule findings with crash and kill reports at the head and the presumption at the end."""
-    findings = analyze(events, **options)
-    bounds = reports.session_bounds(sessions, events)
-    crashes = reports.crash_matches(bounds, crash_reports)
-    kills = reports.kill_matches(bounds, reports.known_processes(sessions, events), kill_reports)
+    # the findings, the bounds and the matches are each read more than once
+    findings = cut_lineage(analyze(events, **options))
+    bounds = cut_lineage(reports.session_bounds(sessions, events, host=host))
+    crashes = cut_lineage(reports.crash_matches(bounds, crash_reports, host=host))
+    kills = cut_lineage(reports.kill_matches(bounds, reports.known_processes(sessions, events), kill_reports, host=host))
     found = findings.unionByName(crash_findings(crashes))
     presumed = presumed_memory_deaths(bounds, events, found, kills)
     return found.unionByName(kill_findings(kills)).unionByName(presumed)

@@ -12,10 +12,10 @@ from spanforge.plans import report, rules
 from spanforge.queries import profile
 from spanforge.queries.profile import CELL, GAP
 from spanforge.queries.registry import ORACLES, query
-from spanforge.queries.views import (ATTRIB, BUFFERS, GRACE_NS, HOUR_NS, SESSIONS, TL, WINDOWS, ev, sessions, table,
+from spanforge.queries.views import (ATTRIB, BUFFERS, GRACE_NS, HOST_SQL, HOUR_NS, SESSIONS, TL, WINDOWS, ev, on_host, sessions, table,
                                      trace_log, with_sql)
 from spanforge.session_conf import shared_folder
-from spanforge.sinks import files, trace
+from spanforge.sinks import documents, files, trace
 from spanforge.sources.events import read_event_json, read_events, write_events
 
 DAY = 24 * HOUR_NS
@@ -39,17 +39,22 @@ def a2_ndjson_round_trip(spark, sf):
     return back.groupBy("session_key", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seqs"), F.sum(op_ns).alias("op_ns"))
 
 
-@query("a12_post_mortem_slices", with_sql(TL, f"""
-  SELECT 'metal-error-' || i.error_code AS incident_label, count(DISTINCT i.event_ord) AS slices, count(*) AS events
-  FROM tl i JOIN tl e ON e.wall BETWEEN i.wall-{HOUR_NS} AND i.wall WHERE i.kind='MetalCbCompleted' AND i.error_code IS NOT NULL GROUP BY 1"""))
+_HOSTS = TL + f", th AS (SELECT *, {HOST_SQL.format('session_key')} AS host FROM tl)"
+
+
+@query("a12_post_mortem_slices", with_sql(_HOSTS, f"""
+  SELECT i.host, 'metal-error-' || i.error_code AS incident_label, count(DISTINCT i.event_ord) AS slices, count(*) AS events, CAST(sum(e.seq) AS BIGINT) AS seqs
+  FROM th i JOIN th e ON e.host=i.host AND e.wall BETWEEN i.wall-{HOUR_NS} AND i.wall WHERE i.kind='MetalCbCompleted' AND i.error_code IS NOT NULL GROUP BY 1, 2"""))
 def a12_post_mortem_slices(spark, sf):
-    """Trailing windows of all incidents, one folder each, read back from disk."""
-    e = trace_log(spark, sf)
+    """Trailing windows of all incidents of each host, as ranges of events that are written once, read back from disk."""
+    e = on_host(trace_log(spark, sf))
     path = f"{shared_folder(spark)}/post-mortem-{uuid.uuid4().hex}"
-    files.write_post_mortems(incidents.trailing_window(e, incidents.incidents(e), window_ns=HOUR_NS), path)
-    back = spark.read.parquet(path)
+    kept, ranges = incidents.recorder(e, incidents.incidents(e, host="host"), host="host", window_ns=HOUR_NS)
+    files.write_post_mortems(kept, ranges, path)
+    back = files.read_post_mortems(spark, path)
     label = F.regexp_extract("slice", "post-mortem-(metal-error-[0-9]+)-", 1)
-    return back.groupBy(label.alias("incident_label")).agg(F.count_distinct("slice").alias("slices"), F.count(F.lit(1)).alias("events"))
+    return back.groupBy("host", label.alias("incident_label")).agg(
+        F.count_distinct("slice").alias("slices"), F.count(F.lit(1)).alias("events"), F.sum("seq").alias("seqs"))
 
 
 @query("a3_pruned_scan", with_sql(TL, f"SELECT session_key, event_ord, kind FROM tl WHERE source='MetalHook' AND ts BETWEEN {LO} AND {HI}"))
@@ -105,9 +110,85 @@ def a9_trace_rows(spark, sf):
         F.count(F.lit(1)).alias("n"), F.sum(F.round(F.coalesce("dur", F.lit(0.0))).cast("bigint")).alias("total_us"))
 
 
+_TRACE = BUFFERS + """,
+ tr AS (
+   SELECT session_key, 'M' AS ph, 'process_name' AS name, m.pid, '0' AS tid, NULL::DOUBLE AS ts, NULL::DOUBLE AS dur, NULL AS cat, NULL AS s, '{"name":"' || m.n || '"}' AS args
+   FROM (SELECT DISTINCT session_key FROM tl), (VALUES (1, 'Python'), (2, 'Metal CBs'), (3, 'Kernels'), (4, 'Model Loads')) m(pid, n)
+   UNION ALL SELECT session_key, 'X', qualname, 1, NULL, t_in/1000.0, (ret_ts-t_in)/1000.0, NULL, NULL,
+     '{"class_name":"' || class_name || '","module_call_id":' || call_id || ',"step":' || (k%4) || '}' FROM scopes WHERE ret_ts IS NOT NULL
+   UNION ALL SELECT b.session_key, 'X', 'cb_' || b.cb_id, 2, 'queue_' || (b.cb_id%2), b.commit_ts/1000.0, b.in_flight_ns/1000.0, NULL, NULL,
+     '{"cb_id":' || b.cb_id || ',"status":4,"error_code":' || coalesce(c.error_code::VARCHAR, 'null') || ',"error_domain":null}' FROM buf b JOIN comp c ON c.event_ord=b.comp_ord
+   UNION ALL SELECT o.session_key, 'X', coalesce(o.symbol, o.name), 3, 'cb_' || o.cb_id, b.commit_ts/1000.0, o.gpu_ns/1000.0, NULL, NULL,
+     '{"raw_name":"' || o.name || '","symbol":' || coalesce('"' || o.symbol || '"', 'null') || ',"count":' || o.cnt || '}' FROM tl_ops o JOIN oe USING (event_ord) JOIN buf b ON b.comp_ord=oe.comp_ord
+   UNION ALL SELECT session_key, 'i', label, 1, '0', ts/1000.0, NULL, NULL, 'g', NULL FROM tl WHERE kind='Mark'
+   UNION ALL SELECT session_key, 'i', 'unload:' || substr(path, 4), 4, '0', ts/1000.0, NULL, 'model-unload', 'p', '{"path":"' || path || '"}' FROM tl WHERE kind='ModelUnload'
+   UNION ALL SELECT session_key, 'X', substr(path, 4), 4, '0', greatest(0, ts-load_ns)/1000.0, (ts-greatest(0, ts-load_ns))/1000.0, 'model-load', NULL,
+     '{"path":"' || path || '","size_bytes":' || size_bytes || '}' FROM tl WHERE kind='ModelLoad'
+   UNION ALL SELECT session_key, 'C', 'gpu_memory', 0, NULL, ts/1000.0, NULL, NULL, NULL, '{"allocated_bytes":' || allocated || ',"budget_bytes":' || budget || '}' FROM tl WHERE kind='MetalDeviceMemSample'
+   UNION ALL SELECT session_key, 'C', 'system_memory', 0, NULL, ts/1000.0, NULL, NULL, NULL,
+     '{"wired_bytes":' || cents*10 || ',"active_bytes":' || cents*20 || ',"compressed_bytes":' || k || ',"swap_used_bytes":0}' FROM tl WHERE kind='VmSample'
+   UNION ALL SELECT session_key, 'C', 'vm_page_outs_per_sec', 0, NULL, ts/1000.0, NULL, NULL, NULL, '{"rate":' || (cents/100.0::DOUBLE) || '}' FROM tl WHERE kind='VmSample'
+   UNION ALL SELECT session_key, 'C', 'thermal_level', 0, NULL, ts/1000.0, NULL, NULL, NULL, '{"level":' || (k%4) || '}' FROM tl WHERE kind='ThermalState'
+   UNION ALL SELECT session_key, 'C', 'model:' || substr(path, 4), 0, NULL, ts/1000.0, NULL, NULL, NULL,
+     '{"bytes":' || sum(size_bytes) OVER (PARTITION BY session_key, path ORDER BY event_ord) || '}' FROM tl WHERE kind='ModelLoad')"""
+
+
+@query("a9_trace_lanes", with_sql(_TRACE, "SELECT session_key, ph, name, pid, tid, round(ts, 3) AS ts, round(dur, 3) AS dur, cat, s, args FROM tr"))
+def a9_trace_lanes(spark, sf):
+    """Every column of every row of the trace export."""
+    rows = trace.trace_rows(trace_log(spark, sf))
+    return rows.select("session_key", "ph", "name", "pid", "tid", F.round("ts", 3).alias("ts"), F.round("dur", 3).alias("dur"), "cat", "s", "args")
+
+
+def _metadata(spark, sf):
+    """The catalog under the sessions' own keys."""
+    return sessions(spark, sf).withColumn("session_key", F.regexp_replace("session_key", "^post-mortem-", ""))
+
+
+def _document(spark, lines, head):
+    """What the lines of written documents are: counts per session, and the metadata's name."""
+    path = f"{shared_folder(spark)}/documents-{uuid.uuid4().hex}"
+    documents.write_documents(lines, path)
+    back = documents.read_document_lines(spark, path)
+    first, last = F.col("value").startswith(head), F.col("value").startswith("]")
+    item = ~first & ~last
+    bare = F.regexp_replace("value", "^,", "")
+    whole = F.when(first, F.concat("value", F.lit("]}"))).when(last, F.concat(F.lit('{"list":['), "value")).otherwise(bare)
+    return back, whole, bare, first, last, item
+
+
+@query("a8_json_documents", with_sql(SESSIONS, """
+  SELECT t.session_key, count(*) AS events, 1 AS without_comma, any_value(s.name) AS name, any_value(s.kind) AS kind, CAST(sum(t.seq) AS BIGINT) AS seqs, count(DISTINCT t.kind) AS kinds, 0 AS broken
+  FROM tl t JOIN sess s ON s.s0=t.session_key GROUP BY 1"""))
+def a8_json_documents(spark, sf):
+    """``{metadata, events}`` of each session, written in parts and read back by the manifest."""
+    lines = files.event_document_lines(trace_log(spark, sf), _metadata(spark, sf))
+    back, whole, bare, first, _, item = _document(spark, lines, '{"metadata":')
+    get = lambda c, p: F.get_json_object(c, p)
+    return back.groupBy("session_key").agg(
+        F.count_if(item).alias("events"), F.count_if(item & ~F.col("value").startswith(",")).alias("without_comma"),
+        F.max(F.when(first, get(whole, "$.metadata.name"))).alias("name"), F.max(F.when(first, get(whole, "$.metadata.kind.type"))).alias("kind"),
+        F.sum(F.when(item, get(bare, "$.seq").cast("bigint"))).alias("seqs"), F.count_distinct(F.when(item, get(bare, "$.payload.kind"))).alias("kinds"),
+        F.count_if(F.try_parse_json(whole).isNull()).alias("broken"))
+
+
+@query("a9_trace_documents", with_sql(_TRACE + SESSIONS.removeprefix(TL), """
+  SELECT tr.session_key, count(*) AS rows, count(*) FILTER (WHERE ph='X') AS spans, count(*) FILTER (WHERE args IS NULL) AS without_args, any_value(s.name) AS name, 'ms' AS unit, 0 AS broken
+  FROM tr JOIN sess s ON s.s0=tr.session_key GROUP BY 1"""))
+def a9_trace_documents(spark, sf):
+    """``{traceEvents, displayTimeUnit, metadata}`` of each session, written in parts and read back by the manifest."""
+    lines = trace.trace_document_lines(trace.trace_rows(trace_log(spark, sf)), _metadata(spark, sf))
+    back, whole, bare, _, last, item = _document(spark, lines, '{"traceEvents":')
+    get = lambda c, p: F.get_json_object(c, p)
+    return back.groupBy("session_key").agg(
+        F.count_if(item).alias("rows"), F.count_if(item & (get(bare, "$.ph") == "X")).alias("spans"),
+        F.count_if(item & get(bare, "$.args").isNull()).alias("without_args"), F.max(F.when(last, get(whole, "$.metadata.name"))).alias("name"),
+        F.max(F.when(last, get(whole, "$.displayTimeUnit"))).alias("unit"), F.count_if(F.try_parse_json(whole).isNull()).alias("broken"))
+
+
 @query("l_trace_json")
 def l_trace_json(spark, sf):
-    return trace.trace_json(trace.trace_rows(trace_log(spark, sf)))
+    return trace.trace_json(trace.trace_rows(trace_log(spark, sf))).select("session_key", "value")
 
 
 @query("a10_change_feed", with_sql(TL, """
@@ -196,7 +277,7 @@ def b11_notability(spark, sf):
 
 @query("b12_incidents", with_sql(TL, "SELECT session_key, event_ord, 'metal-error-' || error_code AS incident_label FROM tl WHERE kind='MetalCbCompleted' AND error_code<>0"))
 def b12_incidents(spark, sf):
-    return incidents.incidents(trace_log(spark, sf)).select("session_key", "event_ord", "incident_label")
+    return incidents.incidents(trace_log(spark, sf), host=None).select("session_key", "event_ord", "incident_label")
 
 
 @query("b13_session_view_summary", with_sql(SESSIONS, """
@@ -289,52 +370,64 @@ def c13_close_orphans(spark, sf):
 
 
 # failed buffers act as reports: pid = user % 50, written at the failure's wall time
-_REPORTS = SESSIONS + """, rep AS (SELECT event_ord%2 AS dir_rank, '/r/' || event_ord || '.ips' AS path, wall AS mtime_ns, pid FROM tl
+_REPORTS = SESSIONS + f""", rep AS (SELECT event_ord%2 AS dir_rank, '/r/' || event_ord || '.ips' AS path, wall AS mtime_ns, pid, error_code, {HOST_SQL.format('session_key')} AS host FROM tl
     WHERE kind='MetalCbCompleted' AND error_code IS NOT NULL),
-   bnd AS (SELECT session_key, exit_code, kind_pid, a//1000*1000 AS start_ns, CASE WHEN u%4<>0 THEN z//1000*1000
+   bnd AS (SELECT session_key, 'h' || (u%3) AS host, exit_code, kind_pid, a//1000*1000 AS start_ns, CASE WHEN u%4<>0 THEN z//1000*1000
       WHEN session_key LIKE 'post-mortem-%' THEN NULL ELSE z+120000000000 END AS end_ns FROM sess WHERE kind='Scoped')"""
 
 
 def _reports(spark, sf):
-    bad = trace_log(spark, sf).where((F.col("kind") == "MetalCbCompleted") & F.col("error_code").isNotNull())
-    return bad.select((F.col("event_ord") % 2).alias("dir_rank"), F.concat(F.lit("/r/"), F.col("event_ord").cast("string"), F.lit(".ips")).alias("path"),
+    bad = on_host(trace_log(spark, sf)).where((F.col("kind") == "MetalCbCompleted") & F.col("error_code").isNotNull())
+    return bad.select("host", "error_code", (F.col("event_ord") % 2).alias("dir_rank"), F.concat(F.lit("/r/"), F.col("event_ord").cast("string"), F.lit(".ips")).alias("path"),
                       F.col("ts_wall_ns").alias("mtime_ns"), F.col("pid").alias("crashed_pid"))
 
 
-@query("d6_crash_report_join", with_sql(_REPORTS, """
-  SELECT session_key, path FROM (SELECT b.session_key, r.path, row_number() OVER (PARTITION BY b.session_key ORDER BY r.dir_rank, r.mtime_ns DESC, r.path) AS rn
-    FROM bnd b JOIN rep r ON r.pid=b.kind_pid AND r.mtime_ns BETWEEN b.start_ns AND coalesce(b.end_ns, 9e18::BIGINT)+120000000000 WHERE b.exit_code IS NULL OR b.exit_code<>0) WHERE rn=1"""))
-def d6_crash_report_join(spark, sf):
-    s = sessions(spark, sf).withColumns({"term_signal": F.lit(None).cast("int"), "kind_argv": F.lit(None).cast("array<string>")})
-    bounds = reports.session_bounds(s, trace_log(spark, sf))
-    return reports.crash_matches(bounds, _reports(spark, sf)).select("session_key", "path")
+def _kills(spark, sf):
+    src = ev(spark, sf).select("event_ord", "k")
+    return on_host(trace_log(spark, sf)).where(F.col("kind") == "MetalCbCompleted").join(src, "event_ord").select(
+        "host", "error_code", F.concat(F.lit("/k/"), F.col("event_ord").cast("string")).alias("path"), F.col("ts_wall_ns").alias("mtime_ns"), (F.col("k") % 4).alias("killed_pid"),
+        F.when(F.col("k") % 7 == 0, "").otherwise(F.concat(F.lit("proc"), (F.col("k") % 3).cast("string"), F.lit("x"))).alias("killed_name"))
+
 
+def _catalog(spark, sf):
+    return on_host(sessions(spark, sf)).withColumns({"term_signal": F.lit(None).cast("int"), "kind_argv": F.lit(None).cast("array<string>")})
 
-@query("d7_kill_report_join", with_sql(_REPORTS + """,
-   kn AS (SELECT session_key, kind_pid AS pid, NULL::VARCHAR AS name FROM bnd UNION SELECT session_key, proc_pid, name FROM tl WHERE kind='ProcFootprint'),
-   kr AS (SELECT '/k/' || event_ord AS path, wall AS mtime_ns, k%4 AS pid, CASE WHEN k%7=0 THEN '' ELSE 'proc' || (k%3) || 'x' END AS kname FROM tl WHERE kind='MetalCbCompleted')""", """
-  SELECT session_key, path FROM (SELECT b.session_key, r.path, row_number() OVER (PARTITION BY b.session_key ORDER BY r.mtime_ns DESC, r.path) AS rn
-    FROM bnd b JOIN (SELECT DISTINCT session_key, pid FROM kn) p USING (session_key) JOIN kr r ON r.pid=p.pid AND r.mtime_ns BETWEEN b.start_ns AND coalesce(b.end_ns, 9e18::BIGINT)+120000000000
+
+_CRASH = """SELECT session_key, path FROM (SELECT b.session_key, r.path, row_number() OVER (PARTITION BY b.session_key ORDER BY r.dir_rank, r.mtime_ns DESC, r.path) AS rn
+    FROM bnd b JOIN rep r ON r.host=b.host AND r.pid=b.kind_pid AND r.mtime_ns BETWEEN b.start_ns AND coalesce(b.end_ns, 9e18::BIGINT)+120000000000{0} WHERE b.exit_code IS NULL OR b.exit_code<>0) WHERE rn=1"""
+_KNOWN = f""", kn AS (SELECT session_key, kind_pid AS pid, NULL::VARCHAR AS name FROM bnd UNION SELECT session_key, proc_pid, name FROM tl WHERE kind='ProcFootprint'),
+   kr AS (SELECT '/k/' || event_ord AS path, {HOST_SQL.format('session_key')} AS host, wall AS mtime_ns, k%4 AS pid, error_code, CASE WHEN k%7=0 THEN '' ELSE 'proc' || (k%3) || 'x' END AS kname FROM tl WHERE kind='MetalCbCompleted')"""
+_KILL = """SELECT session_key, path FROM (SELECT b.session_key, r.path, row_number() OVER (PARTITION BY b.session_key ORDER BY r.mtime_ns DESC, r.path) AS rn
+    FROM bnd b JOIN (SELECT DISTINCT session_key, pid FROM kn) p USING (session_key) JOIN kr r ON r.host=b.host AND r.pid=p.pid AND r.mtime_ns BETWEEN b.start_ns AND coalesce(b.end_ns, 9e18::BIGINT)+120000000000{0}
     WHERE r.kname='' OR NOT EXISTS (SELECT 1 FROM kn n WHERE n.session_key=b.session_key AND n.name IS NOT NULL)
-      OR EXISTS (SELECT 1 FROM kn n WHERE n.session_key=b.session_key AND n.name IS NOT NULL AND left(n.name, least(length(n.name), length(r.kname)))=left(r.kname, least(length(n.name), length(r.kname))))) WHERE rn=1"""))
+      OR EXISTS (SELECT 1 FROM kn n WHERE n.session_key=b.session_key AND n.name IS NOT NULL AND left(n.name, least(length(n.name), length(r.kname)))=left(r.kname, least(length(n.name), length(r.kname))))) WHERE rn=1"""
+
+
+@query("d6_crash_report_join", with_sql(_REPORTS, _CRASH.format("")))
+def d6_crash_report_join(spark, sf):
+    bounds = reports.session_bounds(_catalog(spark, sf), trace_log(spark, sf), host="host")
+    return reports.crash_matches(bounds, _reports(spark, sf), host="host").select("session_key", "path")
+
+
+@query("d7_kill_report_join", with_sql(_REPORTS + _KNOWN, _KILL.format("")))
 def d7_kill_report_join(spark, sf):
-    e = trace_log(spark, sf)
-    s = sessions(spark, sf).withColumns({"term_signal": F.lit(None).cast("int"), "kind_argv": F.lit(None).cast("array<string>")})
-    src = ev(spark, sf).select("event_ord", "k")
-    kills = e.where(F.col("kind") == "MetalCbCompleted").join(src, "event_ord").select(
-        F.concat(F.lit("/k/"), F.col("event_ord").cast("string")).alias("path"), F.col("ts_wall_ns").alias("mtime_ns"), (F.col("k") % 4).alias("killed_pid"),
-        F.when(F.col("k") % 7 == 0, "").otherwise(F.concat(F.lit("proc"), (F.col("k") % 3).cast("string"), F.lit("x"))).alias("killed_name"))
-    bounds = reports.session_bounds(s, e)
-    return reports.kill_matches(bounds, reports.known_processes(s, e), kills).select("session_key", "path")
+    e, s = trace_log(spark, sf), _catalog(spark, sf)
+    bounds = reports.session_bounds(s, e, host="host")
+    return reports.kill_matches(bounds, reports.known_processes(s, e), _kills(spark, sf), host="host").select("session_key", "path")
 
 
-@query("d9_trailing_window", with_sql(TL, f"""
-  SELECT i.session_key || '-' || i.event_ord AS incident_key, count(*) AS n, min(e.event_ord) AS first_ord, max(e.event_ord) AS last_ord
-  FROM tl i JOIN tl e ON e.wall BETWEEN i.wall-{HOUR_NS} AND i.wall WHERE i.kind='MetalCbCompleted' AND i.error_code IS NOT NULL GROUP BY 1"""))
+@query("d9_trailing_window", with_sql(_HOSTS, f"""
+  SELECT i.host, i.session_key || '-' || i.event_ord AS incident_key, count(*) AS n, arg_min(e.event_ord, (e.wall, e.session_key, e.event_ord)) AS first_ord,
+    arg_max(e.event_ord, (e.wall, e.session_key, e.event_ord)) AS last_ord
+  FROM th i JOIN th e ON e.host=i.host AND e.wall BETWEEN i.wall-{HOUR_NS} AND i.wall WHERE i.kind='MetalCbCompleted' AND i.error_code IS NOT NULL GROUP BY 1, 2"""))
 def d9_trailing_window(spark, sf):
-    e = trace_log(spark, sf)
-    return incidents.trailing_window(e, incidents.incidents(e), window_ns=HOUR_NS).groupBy("incident_key").agg(
-        F.count(F.lit(1)).alias("n"), F.min("event_ord").alias("first_ord"), F.max("event_ord").alias("last_ord"))
+    """The ranges of the recorder, with the events at their ends: linear in events and incidents."""
+    e = on_host(trace_log(spark, sf)).select("host", "session_key", "event_ord", "ts_wall_ns", "kind", "error_code", "reason")
+    kept, ranges = incidents.recorder(e, incidents.incidents(e, host="host"), host="host", window_ns=HOUR_NS)
+    at = kept.select("host", "position", "event_ord")
+    return (ranges.join(at.withColumnsRenamed({"position": "first", "event_ord": "first_ord"}), ["host", "first"])
+            .join(at.withColumnsRenamed({"position": "last", "event_ord": "last_ord"}), ["host", "last"])
+            .select("host", "incident_key", (F.col("last") - F.col("first") + 1).alias("n"), "first_ord", "last_ord"))
 
 
 _BAND = TL + f""", fo AS (SELECT session_key, seq, ts, source FROM tl WHERE kind='MetalCbCompleted' AND error_code IS NOT NULL),
@@ -469,21 +562,21 @@ def k2_root_cause(spark, sf):
     return report.root_cause(report.analyze(trace_log(spark, sf), names=["metal_error"]))
 
 
-@query("k4_external_findings", with_sql(_REPORTS + """,
-   cr AS (SELECT session_key, path FROM (SELECT b.session_key, r.path, row_number() OVER (PARTITION BY b.session_key ORDER BY r.dir_rank, r.mtime_ns DESC, r.path) AS rn
-     FROM bnd b JOIN rep r ON r.pid=b.kind_pid AND r.mtime_ns BETWEEN b.start_ns AND coalesce(b.end_ns, 9e18::BIGINT)+120000000000 WHERE b.exit_code IS NULL OR b.exit_code<>0) WHERE rn=1),
+@query("k4_external_findings", with_sql(_REPORTS + _KNOWN + f""",
+   cr AS ({_CRASH.format(" AND r.error_code=1")}), ki AS ({_KILL.format(" AND r.error_code=2")}),
    fp AS (SELECT session_key, arg_min(phys, event_ord) AS a, arg_max(phys, event_ord) AS z FROM tl WHERE kind='ProcFootprint' AND is_root GROUP BY 1),
-   rcs AS (SELECT session_key FROM tl WHERE kind='MetalCbCompleted' AND error_code=1 UNION SELECT session_key FROM cr)""", """
-  SELECT session_key, 'crash_report' AS rule, 'Critical' AS severity FROM cr
-  UNION ALL SELECT s.session_key, 'presumed_memory_death', 'Warning' FROM sess s JOIN fp USING (session_key) WHERE s.kind='Scoped' AND fp.a<>0 AND fp.z>=fp.a*2.0
-    AND (s.exit_code=-1 OR (s.exit_code IS NULL AND s.ended_rfc3339 IS NOT NULL)) AND s.session_key NOT IN (SELECT session_key FROM rcs)"""))
+   rcs AS (SELECT session_key FROM tl WHERE kind='MetalCbCompleted' AND error_code=1 UNION SELECT session_key FROM cr UNION SELECT session_key FROM ki)""", f"""
+  SELECT session_key, rule, severity, count(*) AS n FROM (
+   SELECT * FROM ({_ALL_FINDINGS}) UNION ALL SELECT session_key, 'crash_report' AS rule, 'Critical' AS severity FROM cr UNION ALL SELECT session_key, 'kill_report', 'Critical' FROM ki
+   UNION ALL SELECT s.session_key, 'presumed_memory_death', 'Warning' FROM sess s JOIN fp USING (session_key) WHERE s.kind='Scoped' AND fp.a<>0 AND fp.z>=fp.a*2.0
+     AND (s.exit_code=-1 OR (s.exit_code IS NULL AND s.ended_rfc3339 IS NOT NULL)) AND s.session_key NOT IN (SELECT session_key FROM rcs)) GROUP BY 1, 2, 3"""))
 def k4_external_findings(spark, sf):
-    e = trace_log(spark, sf)
-    s = sessions(spark, sf).withColumns({"term_signal": F.lit(None).cast("int"), "kind_argv": F.lit(None).cast("array<string>")})
-    crashes = _reports(spark, sf).withColumns({"signal": F.lit("SIGABRT"), "summary": F.lit("gpu"), "exception_codes": F.array(F.lit("c"))})
-    kills = e.where(F.lit(False)).select("path", F.col("ts_wall_ns").alias("mtime_ns"), "killed_pid", "killed_name", "footprint_bytes", "lifetime_max_bytes", "reason")
-    found = report.session_summary(s, e, crashes, kills, names=["metal_error"])
-    return found.where(F.col("rule") != "metal_error").select("session_key", "rule", "severity")
+    """Findings of all rules with crash reports of timeouts, kill reports of memory failures, and presumed deaths."""
+    e, s = trace_log(spark, sf), _catalog(spark, sf)
+    crashes = _reports(spark, sf).where("error_code = 1").withColumns({"signal": F.lit("SIGABRT"), "summary": F.lit("gpu"), "exception_codes": F.array(F.lit("c"))})
+    kills = _kills(spark, sf).where("error_code = 2").withColumns({"footprint_bytes": F.lit(1).cast("bigint"), "lifetime_max_bytes": F.lit(2).cast("bigint"), "reason": F.lit(None).cast("string")})
+    found = report.session_summary(s, e, crashes, kills, host="host", grace_ns=GRACE_NS, cell=CELL, band_ns=GAP, gap_ns=GAP, chunk=chunk_of())
+    return found.groupBy("session_key", "rule", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("k3_report_sections", with_sql(TL + """,

@@ -323,6 +323,15 @@ TREE = ATTRIB + """,
  nopk AS (SELECT session_key, node_id, name, gpu_ns, count, symbol, nullif(okind0, '') AS op_kind FROM nops)"""
 
 
+def on_host(df: DataFrame) -> DataFrame:
+    """With the column host: users are spread over three hosts, and users of different hosts share process ids."""
+    return df.withColumn("host", F.concat(F.lit("h"), (F.regexp_extract("session_key", "[0-9]+", 0).cast("bigint") % 3).cast("string")))
+
+
+#: The same of a session key as SQL.
+HOST_SQL = "'h' || (CAST(regexp_extract({0}, '[0-9]+') AS BIGINT)%3)"
+
+
 def with_sql(ctes: str, body: str) -> str:
     return f"WITH RECURSIVE {ctes} {body}"
 

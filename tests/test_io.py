@@ -1,6 +1,7 @@
 """Sources and sinks: round trips, damaged input, external reports."""
 
 import json
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from logs import Log, frame
 from spanforge.functions import text
 from spanforge.operators import filters, incidents, sessions as S
-from spanforge.sinks import files, trace
+from spanforge.sinks import documents, files, trace
 from spanforge.sources import events as src, external
 
 FIELDS = {"n": ("int", "5"), "f": ("float", "5.0"), "s": ("string", "5"), "b": ("bool", "true")}
@@ -103,11 +104,11 @@ def test_trace_rows(log):
 
 
 def test_post_mortem_slices(spark, log, tmp_path):
-    slices = incidents.trailing_window(log, incidents.incidents(log), window_ns=100)
-    files.write_post_mortems(slices, str(tmp_path / "pm"))
-    dirs = [p.name for p in (tmp_path / "pm").iterdir() if p.is_dir()]
-    assert len(dirs) == 1 and dirs[0].startswith("slice=post-mortem-metal-error-3-")
-    assert sorted(r["ts_mono_ns"] for r in spark.read.parquet(str(tmp_path / "pm")).collect()) == [50, 140]
+    kept, ranges = incidents.recorder(log, incidents.incidents(log, host=None), host=None, window_ns=100)
+    files.write_post_mortems(kept, ranges, str(tmp_path / "pm"))
+    back = files.read_post_mortems(spark, str(tmp_path / "pm")).collect()
+    assert {r.slice[:26] for r in back} == {"post-mortem-metal-error-3-"} and sorted(r["ts_mono_ns"] for r in back) == [50, 140]
+    assert files.read_post_mortems(spark, str(tmp_path / "pm"), slices=["none"]).count() == 0
 
 
 def test_reports_from_files(spark, tmp_path):
@@ -136,3 +137,51 @@ def test_names_and_refs(spark):
                               "session_key string, session_id string, started_rfc3339 string, name string")
     got = dict(map(tuple, S.resolve_refs(s, ["ab", "F" * 32, "x", "zz"]).collect()))
     assert got == {"ab": "d-2-ab", "F" * 32: "d-2-ab", "x": "d-2-ab", "zz": None}
+
+
+def many_marks(key, n):
+    log = Log(key)
+    for i in range(n):
+        log.add("Mark", i, label=f"m{i}")
+    return log
+
+
+def test_documents_are_whole_and_in_order(spark, log, tmp_path):
+    """Several parts a session: joined by name they are one JSON text, also by DuckDB's reading."""
+    import duckdb
+
+    many = frame(spark, *(many_marks(k, n) for k, n in (("a", 900), ("b/ü", 300), ("c", 1)))).unionByName(
+        log.where(F.col("session_key").endswith("aaaa")).withColumn("session_key", F.lit("d")))
+    sessions = spark.createDataFrame([(k, f"name {k}", "Scoped", 4) for k in ("a", "b/ü", "c", "d", "empty")], "session_key string, name string, kind string, kind_pid long")
+    for kind, lines in (("json", files.event_document_lines(many, sessions)), ("trace", trace.trace_document_lines(trace.trace_rows(many), sessions))):
+        path = tmp_path / kind
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as if the parts were large
+        documents.write_documents(lines.repartition(7), str(path))
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        manifest = [json.loads(x) for f in sorted((path / "manifest").glob("part-*")) for x in f.read_text().splitlines()]
+        texts = {}
+        for row in sorted(manifest, key=lambda r: (r["session_key"], r["part"])):
+            part = next(f for f in (path / "parts").glob(f"*/{row['file']}") if unquote(f.parent.name) == f"session_key={row['session_key']}")
+            assert part.stat().st_size == row["bytes"]
+            texts[row["session_key"]] = texts.get(row["session_key"], "") + part.read_text()
+        docs = {k: json.loads(t) for k, t in texts.items()}
+        assert set(docs) == {"a", "b/ü", "c", "d", "empty"} and all(d["metadata"] == {"session_key": k, "name": f"name {k}", "kind": {"type": "Scoped", "pid": 4}} for k, d in docs.items())
+        assert max(sum(r["session_key"] == k for r in manifest) for k in docs) > 1
+        con = duckdb.connect()
+        get = lambda k, p: con.execute("SELECT json_extract(?::JSON, ?)", [texts[k], p]).fetchone()[0]
+        if kind == "json":
+            assert [e["event_ord"] for e in docs["a"]["events"]] == list(range(1, 901)) and docs["empty"]["events"] == []
+            assert get("b/ü", "$.events[299].payload.label") == '"m299"' and get("a", "$.metadata.name") == '"name a"'
+        else:
+            assert docs["a"]["displayTimeUnit"] == "ms" and [e["ph"] for e in docs["a"]["traceEvents"]] == ["M"] * 4 + ["i"] * 900
+            assert docs["empty"]["traceEvents"] == [] and get("a", "$.traceEvents[5].name") == '"m1"'
+            assert [e["name"] for e in docs["d"]["traceEvents"] if e["ph"] == "X" and e["pid"] == 1] == ["outer"]
+
+
+def test_session_marks_and_utilisation_lanes(spark):
+    a = Log("a")
+    a.add("SessionStarted", 1).add("IoReportSample", 2, gpu_residency_pct=float("nan"), ane_residency_pct=5.0, gpu_power_mw=7)
+    a.add("IoReportSample", 3, gpu_freq_mhz=900).add("SessionEnded", 4, reason="done")
+    got = {(r["ph"], r["name"], r["args"]) for r in trace.trace_rows(frame(spark, a)).where("ph <> 'M'").collect()}
+    assert got == {("i", "session-started", None), ("i", "session-ended (done)", None), ("C", "utilization_pct", '{"ane":5.0}'),
+                   ("C", "gpu_power_mw", '{"mw":7}'), ("C", "gpu_freq_mhz", '{"mhz":900}')}

@@ -8,6 +8,7 @@ from spanforge.operators import gpu, memory, pairing, sequences, stab, tree
 from spanforge.operators.scan import chunk_of
 from spanforge.plans import report, rules
 from spanforge.queries.views import trace_log
+from spanforge.sinks import trace
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,7 +34,7 @@ def scans(spark, monkeypatch):
         seen.append(plan_of(df))
         return session_conf.cut_lineage(df, **kw)
 
-    for module in (gpu, memory, pairing, stab, tree, rules, report):
+    for module in (gpu, memory, pairing, stab, tree, rules, report, trace):
         if hasattr(module, "cut_lineage"):
             monkeypatch.setattr(module, "cut_lineage", written)
 
@@ -61,3 +62,7 @@ def test_scans_of_the_log(log, scans):
 
 def test_scans_of_all_rules(log, scans):
     assert 1 <= scans(lambda: report.analyze(log, cell=1 << 40, chunk=chunk_of("event_ord", 64))) <= 3
+
+
+def test_scans_of_the_trace_export(log, scans):
+    assert 1 <= scans(lambda: trace.trace_rows(log, chunk=chunk_of("event_ord", 64))) <= 4

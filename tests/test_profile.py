@@ -157,12 +157,12 @@ def test_kill_and_crash_reports(spark):
     crashes = spark.createDataFrame(
         [(1, "/u/9", t0 + 10 * S, 9, "SIGABRT", ["c"], "s"), (0, "/s/7", t0 + 10 * S, 7, None, [], ""), (1, "/u/7", t0 + 20 * S, 7, "SIGSEGV", [], "")],
         "dir_rank int, path string, mtime_ns bigint, crashed_pid bigint, signal string, exception_codes array<string>, summary string")
-    found = report.session_summary(s, e, crashes, kills)
+    found = report.session_summary(s, e, crashes, kills, host=None)
     heads = rows(found.where("rule LIKE '%report' OR rule LIKE 'presumed%'"), "session_key", "rule_pos", "rule")
     assert heads == [("a", -2, "kill_report"), ("a", -1, "crash_report"), ("b", 1000, "presumed_memory_death")]
     assert "own limit" in found.where("rule = 'kill_report'").first()["detail"]
-    bounds = reports.session_bounds(s, e)
-    assert rows(reports.crash_matches(bounds, crashes), "session_key", "path") == [("a", "/s/7")]
+    bounds = reports.session_bounds(s, e, host=None)
+    assert rows(reports.crash_matches(bounds, crashes, host=None), "session_key", "path") == [("a", "/s/7")]
 
 
 def test_correlations_rank_and_elide(spark):

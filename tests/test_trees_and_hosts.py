@@ -1,5 +1,7 @@
 """Trees of any depth, and joins that keep hosts apart."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,9 +60,44 @@ def test_descendants_leave_circles_out(spark):
 def test_hosts_are_kept_apart(spark):
     events = spark.createDataFrame([("a", 1, "h1", 100), ("b", 2, "h2", 100), ("a", 3, "h1", 40)], "session_key string, event_ord long, host string, ts_wall_ns long")
     triggers = spark.createDataFrame([("i", "x", 100, "h1")], "incident_key string, incident_label string, incident_ts long, host string")
-    near = incidents.trailing_window(events, triggers, window_ns=60).collect()
+    near = incidents.trailing_window(events, triggers, host="host", window_ns=60).collect()
     assert sorted(r.event_ord for r in near) == [1, 3]
-    assert sorted(r.event_ord for r in incidents.trailing_window(events.drop("host"), triggers, window_ns=60).collect()) == [1, 2, 3]
+    assert sorted(r.event_ord for r in incidents.trailing_window(events, triggers, host=None, window_ns=60).collect()) == [1, 2, 3]
+    with pytest.raises(ValueError):
+        incidents.trailing_window(events.drop("host"), triggers, host="host", window_ns=60)
     bounds = spark.createDataFrame([("a", "h1", 1, 0, 10, 7), ("b", "h2", 1, 0, 10, 7)], "session_key string, host string, exit_code int, start_ns long, end_ns long, kind_pid long")
     crash = spark.createDataFrame([("h2", 0, "/r", 5, 7)], "host string, dir_rank int, path string, mtime_ns long, crashed_pid long")
-    assert [r.session_key for r in reports.crash_matches(bounds, crash).collect()] == ["b"]
+    assert [r.session_key for r in reports.crash_matches(bounds, crash, host="host").collect()] == ["b"]
+    with pytest.raises(ValueError):
+        reports.crash_matches(bounds, crash.drop("host"), host="host")
+
+
+@pytest.mark.parametrize("chunk_rows", [3, 1 << 20])
+def test_recorder_ranges_against_brute_force(spark, chunk_rows):
+    """Bursts of one instant, windows that overlap, hosts that share times."""
+    rng = random.Random(chunk_rows)
+    events = [(f"s{k % 7}", k, f"h{k % 2}", rng.choice([rng.randint(0, 300), 150])) for k in range(400)]
+    triggers = [(f"i{k}", "x", rng.choice([rng.randint(0, 330), 150, 170]), f"h{k % 2}") for k in range(40)]
+    df = spark.createDataFrame(events, "session_key string, event_ord long, host string, ts_wall_ns long")
+    inc = spark.createDataFrame(triggers, "incident_key string, incident_label string, incident_ts long, host string")
+    kept, ranges = incidents.recorder(df, inc, host="host", window_ns=20, chunk_rows=chunk_rows)
+    order = {h: sorted(((t, s, k) for s, k, x, t in events if x == h)) for h in ("h0", "h1")}
+    want = {i: [k for t, _, k in order[h] if at - 20 <= t <= at] for i, _, at, h in triggers}
+    place = {k: n for h in order for n, (_, _, k) in enumerate(order[h], 1)}
+    assert {r.event_ord: r.position for r in kept.collect()} == {k: place[k] for k in set().union(*want.values())}
+    assert all(r.last - r.first + 1 == len(want[r.incident_key]) and (r.first > r.last or (r.first, r.last) == (place[want[r.incident_key][0]], place[want[r.incident_key][-1]]))
+               for r in ranges.collect())
+    got = incidents.events_of(kept, ranges, host="host", cell=8).collect()
+    assert sorted((r.incident_key, r.event_ord) for r in got) == sorted((i, k) for i, ks in want.items() for k in ks)
+
+
+def test_hot_process_ids_meet_in_time_cells(spark):
+    rng = random.Random(4)
+    hour = 3600 * 10**9
+    bounds = [(f"s{k}", 1, k * hour // 4, k * hour // 4 + hour, 7) for k in range(200)]
+    crash = [(rng.randint(0, 1), f"/r{k}", rng.randint(0, 60 * hour), 7) for k in range(300)]
+    got = reports.crash_matches(spark.createDataFrame(bounds, "session_key string, exit_code int, start_ns long, end_ns long, kind_pid long"),
+                                spark.createDataFrame(crash, "dir_rank int, path string, mtime_ns long, crashed_pid long"), host=None)
+    best = lambda a, z: min(((d, -t, p) for d, p, t, _ in crash if a <= t <= z + reports.REPORT_GRACE_NS), default=None)
+    want = {s: best(a, z)[2] for s, _, a, z, _ in bounds if best(a, z)}
+    assert {r.session_key: r.path for r in got.collect()} == want
