@@ -7,37 +7,44 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from spanforge.queries.registry import ORACLES, query
-from spanforge.queries.views import TL, trace_log, with_sql
-from spanforge.session_conf import shared_folder
+from spanforge.queries.sessions_q import DAY
+from spanforge.queries.views import HOST_SQL, TL, on_host, trace_log, with_sql
+from spanforge.session_conf import cut_lineage, shared_folder
 from spanforge.streaming import feeds, stateful
 
 
 BATCHES = 3
+DAY_MS = 24 * 3600 * 1000
 
 
-def _drain(spark: SparkSession, sf_dir: str, build, mode: str, keys: list[str] | None = None) -> DataFrame:
-    """What ``build`` makes of the log as a stream that arrives in several parts, in order of time.
+def _feed(spark: SparkSession, sf_dir: str, build, writer) -> tuple[DataFrame, str]:
+    """Runs what ``build`` makes of the log as a stream that arrives in several parts, in order of time.
 
     Each part is processed before the next one is there, with the state that the
-    checkpoint carries.  Of the rows that an update replaces, known by ``keys``, the
-    newest stay.
+    checkpoint carries; ``writer`` gets the frame and the checkpoint's folder.
     """
     stateful.use_state_store(spark)
     out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     log = trace_log(spark, sf_dir)
     low, high = log.agg(F.min("ts_wall_ns"), F.max("ts_wall_ns")).first()
     part = F.least(F.lit(BATCHES - 1), F.floor((F.col("ts_wall_ns") - (low or 0)) / max(1, ((high or 0) - (low or 0)) / BATCHES)))
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
-
     for n in range(BATCHES):
         log.where(part == n).write.mode("append").parquet(f"{out}/log")
         feed = spark.readStream.schema(log.schema).parquet(f"{out}/log").withColumn("event_time", feeds.wall_time())
         df = build(feed)
-        (df.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/checkpoint")
-         .foreachBatch(write).trigger(availableNow=True).start().awaitTermination())
-    rows = spark.read.schema(df.schema.add("batch", "long")).parquet(f"{out}/rows")
+        writer(df, f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return df, out
+
+
+def _drain(spark: SparkSession, sf_dir: str, build, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """The rows of such a stream.  Of those that an update replaces, known by ``keys``, the newest stay."""
+    out = f"{shared_folder(spark)}/drained-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    df, _ = _feed(spark, sf_dir, build, lambda df, checkpoint: df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write))
+    rows = spark.read.schema(df.schema.add("batch", "long")).parquet(out)
     if keys:
         newest = F.max("batch").over(Window.partitionBy(*keys))
         rows = rows.withColumn("_newest", newest).where(F.col("batch") == F.col("_newest"))
@@ -98,9 +105,65 @@ def m10_recent_stream(spark, sf):
     return _drain(spark, sf, recent, "update", ["session_key"]).select("session_key", "event_ord", "text")
 
 
-@query("m12_incident_slices", with_sql(TL, """
-  SELECT i.session_key || '-' || i.event_ord AS incident_key, e.event_ord FROM tl i JOIN tl e ON e.wall//1000 BETWEEN i.wall//1000-3600000000 AND i.wall//1000
+@query("m12_incident_slices", with_sql(TL + f", th AS (SELECT *, {HOST_SQL.format('session_key')} AS host FROM tl)", """
+  SELECT i.session_key || '-' || i.event_ord AS incident_key, e.event_ord FROM th i JOIN th e ON e.host=i.host AND e.wall//1000 BETWEEN i.wall//1000-3600000000 AND i.wall//1000
   WHERE i.kind='MetalCbCompleted' AND i.error_code IS NOT NULL"""))
 def m12_incident_slices(spark, sf):
-    slices = lambda log: feeds.incident_slices(log, seconds=3600, delay="1 hour").select("incident_key", "event_ord")
+    slices = lambda log: feeds.incident_slices(on_host(log), host="host", seconds=3600, delay="1 hour").select("incident_key", "event_ord")
     return _drain(spark, sf, slices, "append")
+
+
+@query("m5_hot_ops_stream", ORACLES["m5_hot_ops"])
+def m5_hot_ops_stream(spark, sf):
+    """The clamp feeding the rolling window in one stream, equal at its end to the batch form."""
+    hot = lambda log: stateful.hot_ops(log, window_ns=5 * DAY)
+    out = _drain(spark, sf, hot, "append")
+    newest = F.max("at_ns").over(Window.partitionBy("session_key"))
+    return out.withColumn("_new", newest).where(F.col("at_ns") == F.col("_new")).select(
+        "session_key", "name", "gpu_ns", "count", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("m7_overdue_stream", with_sql(TL + f""",
+   n AS (SELECT session_key, cb_id, event_ord, kind, queue_id, wall//1000000 AS ms, lead(wall//1000000) OVER (PARTITION BY session_key, cb_id ORDER BY event_ord) AS nxt
+     FROM tl WHERE kind IN ('MetalCbCommitted','MetalCbCompleted'))""", f"""
+  SELECT session_key, cb_id, queue_id, event_ord AS commit_ord FROM n WHERE kind='MetalCbCommitted'
+    AND coalesce(nxt, (SELECT max(wall)//1000000-1000 FROM tl))-ms>={DAY_MS}"""))
+def m7_overdue_stream(spark, sf):
+    """Buffers open for a day or more, by timers and by ends that come too late."""
+    return _drain(spark, sf, lambda log: stateful.open_too_long(log, limit_ns=DAY_MS * 1_000_000), "append")
+
+
+@query("a10_change_stream", with_sql(TL + """,
+   g AS (SELECT session_key, event_ord, seq, max(seq) OVER (PARTITION BY session_key ORDER BY event_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM tl)""", """
+  SELECT session_key, event_ord, 1 AS side, CAST(seq AS VARCHAR) AS line FROM g
+  UNION ALL SELECT session_key, event_ord, 0, '{"gap":true,"session_key":"' || session_key || '","expected":' || (m+1) || ',"got":' || seq || ',"skipped":' || (seq-m-1) || '}' FROM g WHERE seq>m+1"""))
+def a10_change_stream(spark, sf):
+    """The feed with its markers; of event lines the sequence number is shown."""
+    out = _drain(spark, sf, stateful.change_feed, "append")
+    return out.select("session_key", "event_ord", F.col("side").cast("bigint").alias("side"),
+                      F.when(F.col("side") == 1, F.get_json_object("line", "$.seq")).otherwise(F.col("line")).alias("line"))
+
+
+@query("m2_delta_stream", with_sql(TL + f""",
+   lim AS (SELECT min(wall) AS low, max(wall) AS high FROM tl),
+   b AS (SELECT tl.*, least({BATCHES - 1}, CAST(floor((wall-low)/greatest(1, (high-low)/{BATCHES}.0::DOUBLE)) AS BIGINT)) AS batch FROM tl, lim),
+   o AS (SELECT session_key, batch, CAST(sum(p.gpu_ns) AS BIGINT) AS ns FROM tl_ops p JOIN (SELECT event_ord, batch FROM b) USING (event_ord) GROUP BY 1, 2),
+   t AS (SELECT session_key, batch, count(*) AS new_events, count(*) FILTER (WHERE kind='MetalCbCompleted') AS new_cbs, arg_max(ts, event_ord) AS z FROM b GROUP BY 1, 2)""", """
+  SELECT t.session_key, t.batch, CAST(sum(new_events) OVER w AS BIGINT) AS cursor, CAST(sum(new_events) OVER w AS BIGINT)-new_events AS prev_cursor, new_events, new_cbs, coalesce(o.ns, 0) AS gpu_ns_added,
+    z-(SELECT arg_min(ts, event_ord) FROM tl x WHERE x.session_key=t.session_key) AS elapsed_ns,
+    coalesce((SELECT arg_max(allocated, event_ord) FROM b x WHERE x.session_key=t.session_key AND x.batch<=t.batch AND allocated IS NOT NULL), 0) AS current_bytes,
+    coalesce((SELECT max(allocated) FROM b x WHERE x.session_key=t.session_key AND x.batch<=t.batch), 0) AS peak_bytes_session
+  FROM t LEFT JOIN o ON o.session_key=t.session_key AND o.batch=t.batch WINDOW w AS (PARTITION BY t.session_key ORDER BY t.batch)"""))
+def m2_delta_stream(spark, sf):
+    """Deltas of three batches, the second of which is replayed once the third is done."""
+    sink = feeds.DeltaSink(f"{shared_folder(spark)}/deltas-{uuid.uuid4().hex}")
+    held: dict[int, DataFrame] = {}
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        sink(batch, batch_id)
+        held[batch_id] = cut_lineage(batch)
+
+    _feed(spark, sf, lambda log: log, lambda df, checkpoint: feeds.delta_batches(df, step, checkpoint=checkpoint))
+    sink(held[1], 1)
+    sink(held[2], 2)
+    return sink.read(spark, "totals")

@@ -10,7 +10,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from spanforge.functions.labels import op_label
+from spanforge.functions.text import basename
 from spanforge.operators import filters, live
+from spanforge.operators.gpu import top_per_group
 from spanforge.sources import events as event_source
 
 
@@ -18,20 +21,41 @@ def wall_time(ns: str = "ts_wall_ns") -> Column:
     return F.timestamp_micros(F.call_function("div", F.col(ns), F.lit(1000)))
 
 
-def live_events(spark: SparkSession, path: str, *, session_key: str | None = None,
-                max_files: int | None = None) -> DataFrame:
-    """Event feed from a growing folder of NDJSON files, one folder per session."""
-    reader = spark.readStream.option("recursiveFileLookup", "true")
+def live_lines(spark: SparkSession, path: str, *, max_files: int | None = 16) -> DataFrame:
+    """Parsed lines of a growing folder of NDJSON files, one folder per session, good and damaged.
+
+    A line's position is the one that the writer stored, else the file's number, the last
+    one in its name, times 2^32, plus the line's place in the file; so a session's files are
+    numbered in the order of their writing.  A trigger takes ``max_files`` files, which bounds
+    what the processors of a batch hold; files are as large as the writer's rotation makes them.
+    """
+    reader = spark.readStream.option("recursiveFileLookup", "true").option("wholetext", "true")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    lines = reader.text(path).select("value", event_source.directory_name().alias("_dir"))
-    raw = event_source.parsed_lines(lines).where(F.col("reason").isNull())
-    events = event_source._flatten(raw, F.coalesce("session_key", "_dir"), F.coalesce("event_ord", F.col("seq").cast("bigint")))
+    number = F.regexp_extract(F.regexp_extract("_metadata.file_path", "[^/]+$", 0), "([0-9]+)[^0-9]*$", 1)
+    files = reader.text(path).select("value", event_source.directory_name().alias("_dir"), F.col("_metadata.file_path").alias("_file"),
+                                     F.coalesce(number.try_cast("bigint"), F.lit(0)).alias("_number"))
+    lines = files.select("_dir", "_file", "_number", F.posexplode(F.split("value", "\n")).alias("_line", "value"))
+    return event_source.parsed_lines(lines).withColumn(
+        "event_ord", F.coalesce("event_ord", F.col("_number") * F.lit(1 << 32) + F.col("_line")))
+
+
+def live_events(spark: SparkSession, path: str, *, session_key: str | None = None,
+                max_files: int | None = 16) -> DataFrame:
+    """Event feed from the good lines of :func:`live_lines`."""
+    raw = live_lines(spark, path, max_files=max_files).where(F.col("reason").isNull())
+    events = event_source._flatten(raw, F.coalesce("session_key", "_dir"), F.col("event_ord"))
     if session_key is not None:
         events = events.where(F.col("session_key") == session_key)
     return events.withColumn("event_time", wall_time())
 
 
+def damaged_lines(spark: SparkSession, path: str, *, max_files: int | None = 16) -> DataFrame:
+    """The lines that :func:`live_events` leaves out, as a feed of their own: session_key, file, event_ord, line, reason."""
+    raw = live_lines(spark, path, max_files=max_files).where(F.col("reason").isNotNull())
+    return raw.select(F.coalesce("session_key", "_dir").alias("session_key"), F.col("_file").alias("file"), "event_ord", F.col("value").alias("line"), "reason")
+
+
 def events_per_second(events: DataFrame, *, delay: str = "10 seconds") -> DataFrame:
     w = F.window("event_time", "1 second")
     return (events.withWatermark("event_time", delay).groupBy("session_key", w.alias("w"))
@@ -53,22 +77,25 @@ def latest_values(events: DataFrame) -> DataFrame:
     return live.latest_values(events)
 
 
-def incident_slices(events: DataFrame, *, seconds: int = 60, delay: str = "10 seconds") -> DataFrame:
-    """Each incident with the events of the window before it, as an interval join.
+def incident_slices(events: DataFrame, *, host: str | None, seconds: int = 60, delay: str = "10 seconds") -> DataFrame:
+    """Each incident with the events of the window before it on its host, as an interval join.
 
-    Both sides carry the number of the window-wide cell their time falls into;
+    ``host`` names the events' column; None says that all are of one host.  Both sides carry the number of the window-wide cell their time falls into;
     an incident looks into its own cell and the one before.
     """
     cell = lambda c: F.call_function("div", F.unix_micros(c), F.lit(seconds * 1_000_000))
     triggers = events.withColumn("incident_label", filters.incident_label()).where(
         F.col("incident_label").isNotNull()).select(
-        F.concat_ws("-", "session_key", F.col("event_ord").cast("string")).alias("incident_key"), "incident_label",
-        F.col("event_time").alias("incident_time")).withWatermark("incident_time", delay)
+        *([F.col(host).alias("incident_host")] if host else []), F.concat_ws("-", "session_key", F.col("event_ord").cast("string")).alias("incident_key"),
+        "incident_label", F.col("event_time").alias("incident_time")).withWatermark("incident_time", delay)
     own = cell(F.col("incident_time"))
     triggers = triggers.withColumn("_cell", F.explode(F.array(own - 1, own)))
     rows = events.withWatermark("event_time", delay).withColumn("_cell", cell(F.col("event_time")))
     inside = F.expr(f"event_time BETWEEN incident_time - INTERVAL {seconds} SECONDS AND incident_time")
-    return rows.join(triggers, (rows["_cell"] == triggers["_cell"]) & inside, "inner").drop("_cell")
+    same = rows["_cell"] == triggers["_cell"]
+    if host:
+        same = same & (rows[host] == triggers["incident_host"])
+    return rows.join(triggers, same & inside, "inner").drop("_cell", "incident_host")
 
 
 def new_reports(reports: DataFrame, *, own_process: str, delay: str = "1 hour") -> DataFrame:
@@ -84,13 +111,62 @@ def ndjson_feed(events: DataFrame) -> DataFrame:
     return event_json(events).select(F.col("json").alias("value"))
 
 
-def delta_batches(events: DataFrame, sink: Callable[[DataFrame, int], None], *, checkpoint: str):
-    """Start a query that hands each micro-batch's delta counts to ``sink``.
+class DeltaSink:
+    """What is new in each batch of a feed, and every session's running totals, for ``foreachBatch``.
 
-    The query's checkpoint is the cursor: a batch holds exactly the new events.
+    The totals before a batch are a table of their own, written by the batch before.  A
+    batch's results depend on these and on its rows alone and overwrite what an earlier try
+    of it left, so a batch that is replayed after a failure changes nothing.  Parts, under
+    ``path``: ``state`` (session_key, cursor, first and last time, current and peak bytes),
+    ``totals``, ``by_kind``, ``top_ops`` and ``model_loads``, each by batch.
     """
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        sink(filters.counts_by_kind(batch), batch_id)
+    STATE = "session_key string, cursor bigint, first_ord bigint, first_ns bigint, last_ord bigint, last_ns bigint, mem_ord bigint, current_bytes bigint, peak_bytes bigint"
+
+    def __init__(self, path: str, *, top_n: int = 8):
+        self.path, self.top_n = path, top_n
+
+    def _write(self, df: DataFrame, part: str, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/{part}/batch={batch_id}")
+
+    def read(self, spark: SparkSession, part: str) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/{part}")
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark, order = batch.sparkSession, F.col("event_ord")
+        batch = batch.persist()
+        old = spark.read.schema(self.STATE).parquet(f"{self.path}/state/batch={batch_id - 1}") if batch_id else spark.createDataFrame([], self.STATE)
+        kind = F.col("kind")
+        sample = F.when(kind == "MetalDeviceMemSample", F.col("allocated_bytes"))
+        new = batch.groupBy("session_key").agg(
+            F.count(F.lit(1)).alias("cursor"), F.min("event_ord").alias("first_ord"), F.min_by("ts_mono_ns", "event_ord").alias("first_ns"),
+            F.max("event_ord").alias("last_ord"), F.max_by("ts_mono_ns", "event_ord").alias("last_ns"),
+            F.max(F.when(sample.isNotNull(), order)).alias("mem_ord"), F.max_by(sample, F.when(sample.isNotNull(), order)).alias("current_bytes"),
+            F.max(sample).alias("peak_bytes"))
+        state = old.unionByName(new).groupBy("session_key").agg(
+            F.sum("cursor").alias("cursor"), F.min("first_ord").alias("first_ord"), F.min_by("first_ns", "first_ord").alias("first_ns"),
+            F.max("last_ord").alias("last_ord"), F.max_by("last_ns", "last_ord").alias("last_ns"), F.max("mem_ord").alias("mem_ord"),
+            F.max_by("current_bytes", "mem_ord").alias("current_bytes"), F.max("peak_bytes").alias("peak_bytes"))
+        self._write(state, "state", batch_id)
+        state = spark.read.schema(self.STATE).parquet(f"{self.path}/state/batch={batch_id}")
+        ops = batch.where(kind == "MetalCbOps").select("session_key", F.explode("ops").alias("o"))
+        by_op = ops.groupBy("session_key", op_label(F.col("o.symbol"), F.col("o.name")).alias("op_kind")).agg(
+            F.sum("o.count").alias("count"), F.sum("o.gpu_ns").alias("gpu_ns"))
+        added = by_op.groupBy("session_key").agg(F.sum("gpu_ns").alias("gpu_ns_added"))
+        done = batch.groupBy("session_key").agg(F.count(F.lit(1)).alias("new_events"), F.count_if(kind == "MetalCbCompleted").alias("new_cbs"))
+        zero = F.lit(0).cast("bigint")
+        totals = done.join(state, "session_key").join(added, "session_key", "left").select(
+            "session_key", "cursor", (F.col("cursor") - F.col("new_events")).alias("prev_cursor"), "new_events",
+            F.greatest(zero, F.col("last_ns") - F.col("first_ns")).alias("elapsed_ns"), "new_cbs", F.coalesce("gpu_ns_added", zero).alias("gpu_ns_added"),
+            F.coalesce("current_bytes", zero).alias("current_bytes"), F.coalesce("peak_bytes", zero).alias("peak_bytes_session"))
+        self._write(totals, "totals", batch_id)
+        self._write(batch.groupBy("session_key", "kind").agg(F.count(F.lit(1)).alias("count")), "by_kind", batch_id)
+        self._write(top_per_group(by_op, ["session_key"], [F.col("gpu_ns").desc(), F.col("op_kind")], self.top_n), "top_ops", batch_id)
+        self._write(batch.where(kind == "ModelLoad").select(
+            "session_key", "event_ord", basename(F.col("path")).alias("name"), F.col("size_bytes").alias("bytes")), "model_loads", batch_id)
+        batch.unpersist()
 
-    return events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
+
+def delta_batches(events: DataFrame, sink: Callable[[DataFrame, int], None], *, checkpoint: str):
+    """A writer that hands each micro-batch to ``sink``; the query's checkpoint is the cursor, so a batch has exactly the new events."""
+    return events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink)

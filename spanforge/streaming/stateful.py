@@ -1,14 +1,18 @@
 """Live operators that need state of their own.
 
-Each processor sees the rows of one key in log order inside a micro-batch and
-carries a small, bounded state to the next.  They give the same rows as the
-batch operators over the same log.
+Each processor gets the rows of one key in a micro-batch, frame by frame, and carries a
+small, bounded state to the next.  They give the same rows as the batch operators over the
+same log.  Where only the latest row of something counts, frames are folded one by one by
+log position.  Where the order itself counts, the few numbers that decide are kept as
+arrays and sorted; a feed bounds them by the files it takes at once.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -22,11 +26,25 @@ def use_state_store(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
-def _rows(frames: Iterator[pd.DataFrame]) -> list:
-    parts = [f for f in frames if len(f)]
+def _ordered(frames: Iterator[pd.DataFrame], *columns: str) -> list[np.ndarray]:
+    """Columns of a key's rows in log order; numbers stay arrays."""
+    parts = [[f[c].to_numpy() for c in ("event_ord", *columns)] for f in frames if len(f)]
     if not parts:
-        return []
-    return list(pd.concat(parts).sort_values("event_ord").itertuples(index=False))
+        return [np.zeros(0, np.int64)] * (len(columns) + 1)
+    ords, *rest = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(ords, kind="stable")
+    return [ords[order], *(c[order] for c in rest)]
+
+
+def _gaps(seq: np.ndarray, top: int | None) -> tuple[np.ndarray, np.ndarray, int | None]:
+    """Rows that skip ahead of the largest number before them, those numbers, and the largest of all."""
+    if not len(seq):
+        return np.zeros(0, np.int64), seq, top
+    seq = seq.astype(np.int64)
+    high = np.maximum.accumulate(seq if top is None else np.maximum(seq, top))
+    before = np.concatenate([[seq[0] if top is None else top], high[:-1]])
+    at = np.flatnonzero(seq > before + 1)
+    return at, before[at], int(high[-1])
 
 
 class _Gaps(StatefulProcessor):
@@ -34,15 +52,11 @@ class _Gaps(StatefulProcessor):
         self.top = handle.getValueState("max_seq", "seq bigint")
 
     def handleInputRows(self, key, rows, timerValues):
-        top = self.top.get()[0] if self.top.exists() else None
-        out = []
-        for r in _rows(rows):
-            if top is not None and r.seq > top + 1:
-                out.append((key[0], int(r.event_ord), int(top + 1), int(r.seq)))
-            top = r.seq if top is None else max(top, r.seq)
+        ords, seq = _ordered(rows, "seq")
+        at, before, top = _gaps(seq, self.top.get()[0] if self.top.exists() else None)
         if top is not None:
-            self.top.update((int(top),))
-        yield pd.DataFrame(out, columns=["session_key", "event_ord", "expected", "got"])
+            self.top.update((top,))
+        yield pd.DataFrame({"session_key": [key[0]] * len(at), "event_ord": ords[at], "expected": before + 1, "got": seq[at]})
 
     def close(self) -> None:
         pass
@@ -54,6 +68,37 @@ def sequence_gaps(events: DataFrame) -> DataFrame:
         _Gaps(), "session_key string, event_ord bigint, expected bigint, got bigint", "Append", "None")
 
 
+class _Feed(_Gaps):
+    """Event lines, and a marker line before each one that skips ahead."""
+
+    def handleInputRows(self, key, rows, timerValues):
+        ords, seq, lines = _ordered(rows, "seq", "line")
+        at, before, top = _gaps(seq, self.top.get()[0] if self.top.exists() else None)
+        if top is not None:
+            self.top.update((top,))
+        marks = [gap_line(key[0], int(b) + 1, int(s)) for b, s in zip(before, seq[at])]
+        yield pd.DataFrame({"session_key": [key[0]] * (len(ords) + len(at)), "event_ord": np.concatenate([ords, ords[at]]),
+                            "side": [1] * len(ords) + [0] * len(at), "line": [*lines, *marks]}).sort_values(["event_ord", "side"])
+
+
+def gap_line(session_key: str, expected: int, got: int) -> str:
+    """The marker for lost events, as ``sinks.files.change_feed`` writes it."""
+    return json.dumps({"gap": True, "session_key": session_key, "expected": expected, "got": got, "skipped": got - expected},
+                      separators=(",", ":"), ensure_ascii=False)
+
+
+def change_feed(events: DataFrame) -> DataFrame:
+    """Lines of a feed in log order (event_ord, side): a marker, side 0, comes before the event that skips ahead."""
+    from spanforge.sinks.files import event_json
+
+    lines = event_json(events.withColumn("_seq", F.col("seq")), keep=["_seq"]).select("session_key", "event_ord", F.col("_seq").alias("seq"), F.col("json").alias("line"))
+    return lines.groupBy("session_key").transformWithStateInPandas(
+        _Feed(), "session_key string, event_ord bigint, side int, line string", "Append", "None")
+
+
+_COMMIT, _SCHED, _DONE, _OPS = range(4)
+
+
 class _Clamp(StatefulProcessor):
     """Schedule times and windows by buffer, last completion by queue."""
 
@@ -71,42 +116,82 @@ class _Clamp(StatefulProcessor):
         return value
 
     def handleInputRows(self, key, rows, timerValues):
+        ords, kinds, cbs, queues, tss, raws, times, ops = _ordered(rows, "step", "cb_id", "queue_id", "ts_mono_ns", "raw_ns", "event_time", "ops")
         out = []
-        for r in _rows(rows):
-            cb, ts = int(r.cb_id), int(r.ts_mono_ns)
-            if r.kind == "MetalCbScheduled":
+        for k, (step, cb, queue, ts, raw) in enumerate(zip(kinds.tolist(), cbs.tolist(), queues.tolist(), tss.tolist(), raws.tolist())):
+            if step == _SCHED:
                 self.sched.updateValue((cb,), (ts,))
-            elif r.kind == "MetalCbCompleted":
-                queue = (int(r.queue_id),)
+            elif step == _DONE:
                 start = self._take(self.sched, cb)
                 if start is None:
                     self._take(self.window, cb)
                 else:
-                    if self.done.containsKey(queue):
-                        start = max(start, self.done.getValue(queue)[0])
+                    if self.done.containsKey((queue,)):
+                        start = max(start, self.done.getValue((queue,))[0])
                     self.window.updateValue((cb,), (max(0, ts - start),))
-                self.done.updateValue(queue, (ts,))
+                self.done.updateValue((queue,), (ts,))
             else:
-                window, raw = self._take(self.window, cb), int(r.raw_ns)
-                clamped = window is not None and raw > window
-                out.append((key[0], int(r.event_ord), ts, r.event_time, cb,
-                            float(window) / float(raw) if clamped else None))
-        yield pd.DataFrame(out, columns=["session_key", "event_ord", "ts_mono_ns", "event_time", "cb_id", "scale"])
+                window = self._take(self.window, cb)
+                out.append((key[0], ords[k], ts, times[k], cb, window / raw if window is not None and raw > window else None, ops[k]))
+        yield pd.DataFrame(out, columns=["session_key", "event_ord", "ts_mono_ns", "event_time", "cb_id", "scale", "ops"])
 
     def close(self) -> None:
         pass
 
 
 def op_scales(events: DataFrame) -> DataFrame:
-    """Scale of each ops event whose times exceed its buffer's window (null: none needed)."""
+    """Scale of each ops event whose times exceed its buffer's window (null: none needed), and its ops as JSON text."""
+    steps = F.create_map(*(F.lit(x) for kv in (("MetalCbScheduled", _SCHED), ("MetalCbCompleted", _DONE), ("MetalCbOps", _OPS)) for x in kv))
     rows = events.where(F.col("kind").isin("MetalCbScheduled", "MetalCbCompleted", "MetalCbOps")).select(
-        "session_key", "event_ord", "ts_mono_ns", "event_time", "kind", "cb_id", F.coalesce("queue_id", F.lit(0)).alias("queue_id"),
-        F.coalesce(F.aggregate("ops", F.lit(0).cast("bigint"), lambda a, o: a + o["gpu_ns"]), F.lit(0)).alias("raw_ns"))
+        "session_key", "event_ord", "ts_mono_ns", "event_time", steps[F.col("kind")].alias("step"), "cb_id", F.coalesce("queue_id", F.lit(0)).alias("queue_id"),
+        F.coalesce(F.aggregate("ops", F.lit(0).cast("bigint"), lambda a, o: a + o["gpu_ns"]), F.lit(0)).alias("raw_ns"),
+        F.to_json(F.transform("ops", lambda o: F.struct(o["name"].alias("name"), o["gpu_ns"].alias("gpu_ns"), o["count"].alias("count")))).alias("ops"))
     return rows.groupBy("session_key").transformWithStateInPandas(
-        _Clamp(), "session_key string, event_ord bigint, ts_mono_ns bigint, event_time timestamp, cb_id bigint, scale double",
+        _Clamp(), "session_key string, event_ord bigint, ts_mono_ns bigint, event_time timestamp, cb_id bigint, scale double, ops string",
         "Append", "None")
 
 
+class _Rolling(StatefulProcessor):
+    """Ops of the last window before the newest ops event, added up per event and name."""
+
+    def __init__(self, window_ns: int, n: int):
+        self.window_ns, self.n = window_ns, n
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.samples = handle.getListState("samples", "ts bigint, name string, ns bigint, count bigint")
+        self.newest = handle.getValueState("newest", "ts bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        newest = self.newest.get()[0] if self.newest.exists() else None
+        held = [pd.DataFrame(self.samples.get() if self.samples.exists() else [], columns=["ts", "name", "ns", "count"])]
+        for frame in rows:  # each frame is cut to the window before the next one is looked at
+            top = frame["ts"].max()
+            newest = top if newest is None or top > newest else newest
+            held = [f[f["ts"] >= newest - self.window_ns] for f in (*held, frame[["ts", "name", "ns", "count"]])]
+        kept = pd.concat(held).groupby(["ts", "name"], as_index=False).sum()
+        self.samples.put([(int(t), n, int(g), int(c)) for t, n, g, c in kept.itertuples(index=False)])
+        self.newest.update((int(newest),))
+        best = kept.groupby("name", as_index=False)[["ns", "count"]].sum().sort_values(["ns", "name"], ascending=[False, True])[:self.n]
+        yield pd.DataFrame({"session_key": key[0], "at_ns": int(newest), "rank": np.arange(1, len(best) + 1), "name": best["name"].to_numpy(),
+                            "gpu_ns": best["ns"].to_numpy(), "count": best["count"].to_numpy()})
+
+    def close(self) -> None:
+        pass
+
+
+def hot_ops(events: DataFrame, *, window_ns: int = 30 * NS_PER_SEC, top_n: int = 10) -> DataFrame:
+    """The ops with most clamped time in the window before each session's newest ops event, after every batch with ops.
+
+    The clamp's output feeds the window inside one stream, so both states come from one checkpoint.
+    """
+    schema = "array<struct<name:string,gpu_ns:bigint,count:bigint>>"
+    ops = op_scales(events).select("session_key", F.col("ts_mono_ns").alias("ts"), "scale", F.explode(F.from_json("ops", schema)).alias("o"))
+    ns = F.when(F.col("scale").isNull(), F.col("o.gpu_ns")).otherwise((F.col("o.gpu_ns").cast("double") * F.col("scale")).cast("bigint"))
+    return ops.select("session_key", "ts", F.col("o.name").alias("name"), ns.alias("ns"), F.col("o.count").alias("count")).groupBy(
+        "session_key").transformWithStateInPandas(
+        _Rolling(window_ns, top_n), "session_key string, at_ns bigint, rank int, name string, gpu_ns bigint, count bigint", "Append", "None")
+
+
 class _Overdue(StatefulProcessor):
     """A timer per committed buffer; it fires unless the completion comes first."""
 
@@ -117,19 +202,21 @@ class _Overdue(StatefulProcessor):
         self.handle = handle
         self.commit = handle.getValueState("commit", "ord bigint, ms bigint, queue bigint")
 
-    def _drop_timer(self):
-        if self.commit.exists():
-            self.handle.deleteTimer(self.commit.get()[1] + self.limit_ms)
-            self.commit.clear()
-
     def handleInputRows(self, key, rows, timerValues):
-        for r in _rows(rows):
-            self._drop_timer()
-            if r.kind == "MetalCbCommitted":
-                ms = int(r.ts_wall_ns) // 1_000_000
-                self.commit.update((int(r.event_ord), ms, int(r.queue_id)))
+        ords, commits, walls, queues = _ordered(rows, "commit", "ts_wall_ns", "queue_id")
+        out = []
+        for o, commit, wall, queue in zip(ords.tolist(), commits.tolist(), walls.tolist(), queues.tolist()):
+            ms = wall // 1_000_000
+            if self.commit.exists():
+                first, since, its_queue = self.commit.get()
+                self.handle.deleteTimer(since + self.limit_ms)
+                if ms - since >= self.limit_ms:  # it was overdue before this, whether or not the clock has shown it yet
+                    out.append((key[0], int(key[1]), its_queue, first))
+                self.commit.clear()
+            if commit:
+                self.commit.update((o, ms, int(queue)))
                 self.handle.registerTimer(ms + self.limit_ms)
-        yield pd.DataFrame([], columns=["session_key", "cb_id", "queue_id", "commit_ord"])
+        yield pd.DataFrame(out, columns=["session_key", "cb_id", "queue_id", "commit_ord"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         out = []
@@ -144,44 +231,91 @@ class _Overdue(StatefulProcessor):
 
 
 def open_too_long(events: DataFrame, *, limit_ns: int = 5 * NS_PER_SEC, delay: str = "1 second") -> DataFrame:
-    """Buffers still open ``limit_ns`` after their commit, once each."""
+    """Buffers still open ``limit_ns`` after their commit, once each.
+
+    A timer tells of those that the feed's clock shows to be late; one whose end arrives in
+    the same batch as the clock is told by its end.
+    """
     # the filter names the event time so that it stays above the watermark: every
     # event moves the clock, not only commits and completions
     wanted = F.when(F.col("event_time").isNotNull(), F.col("kind").isin("MetalCbCommitted", "MetalCbCompleted"))
     rows = events.withWatermark("event_time", delay).where(wanted).select(
-        "session_key", "cb_id", "queue_id", "event_ord", "kind", "ts_wall_ns", "event_time")
+        "session_key", "cb_id", F.coalesce("queue_id", F.lit(0)).alias("queue_id"), "event_ord", (F.col("kind") == "MetalCbCommitted").alias("commit"), "ts_wall_ns", "event_time")
     return rows.groupBy("session_key", "cb_id").transformWithStateInPandas(
         _Overdue(limit_ns // 1_000_000), "session_key string, cb_id bigint, queue_id bigint, commit_ord bigint",
         "Append", "EventTime")
 
 
 class _Queue(StatefulProcessor):
+    """A queue's buffers in flight, and an index of them in the order of their commits.
+
+    The index is a queue in pages: commits go to the last page, the oldest is looked for from
+    the first one on, and entries of buffers that are no longer in flight by that commit go
+    as they are met.  So a batch reads and writes its own pages, not the whole map.
+    """
+
+    PAGE = 512
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.flying = handle.getMapState("flying", "cb bigint", "ts bigint")
-        self.last = handle.getValueState("last", "depth bigint, status bigint, error bigint")
+        self.flying = handle.getMapState("flying", "cb bigint", "ord bigint, ts bigint")
+        self.pages = handle.getMapState("pages", "page bigint", "entries string")
+        self.last = handle.getValueState(
+            "last", "head bigint, tail bigint, n bigint, depth_ord bigint, depth bigint, done_ord bigint, status bigint, error bigint")
+
+    def _page(self, k: int) -> list[list[int]]:
+        return json.loads(self.pages.getValue((k,))[0]) if self.pages.containsKey((k,)) else []
+
+    def _oldest(self, head: int, tail: int) -> tuple[int, tuple[int, int] | None]:
+        """The first page that still counts, and (ts, cb) of the oldest buffer in flight."""
+        for k in range(head, tail + 1):
+            entries = self._page(k)
+            for i, (ord_, cb, ts) in enumerate(entries):
+                if self.flying.containsKey((cb,)) and self.flying.getValue((cb,))[0] == ord_:
+                    if i:
+                        self.pages.updateValue((k,), (json.dumps(entries[i:]),))
+                    return k, (ts, cb)
+            if k < tail:
+                self.pages.removeKey((k,))
+            elif entries:
+                self.pages.updateValue((k,), ("[]",))
+        return tail, None
 
     def handleInputRows(self, key, rows, timerValues):
-        depth, status, error = self.last.get() if self.last.exists() else (0, None, None)
-        seen = None
-        for r in _rows(rows):
-            cb = (int(r.cb_id),)
-            if r.kind == "MetalCbCommitted":
-                depth = int(r.queue_depth)
-                self.flying.updateValue(cb, (int(r.ts_mono_ns),))
-            else:
-                if self.flying.containsKey(cb):
-                    self.flying.removeKey(cb)
-                status = None if pd.isna(r.status) else int(r.status)
-                error = None if pd.isna(r.error_code) else int(r.error_code)
-            seen = int(r.event_ord)
-        self.last.update((depth, status, error))
-        open_now = sorted((v[0], k[0]) for k, v in self.flying.iterator())
-        oldest = open_now[0] if open_now else (None, None)
+        head, tail, n, depth_ord, depth, done_ord, status, error = self.last.get() if self.last.exists() else (0, 0, 0, -1, 0, -1, None, None)
+        ends: dict[int, tuple[int, bool, int]] = {}  # of each buffer the latest row of the batch
+        seen = -1
+        for frame in rows:
+            top = frame.loc[frame.groupby("cb_id")["event_ord"].idxmax()]
+            for cb, o, commit, ts in zip(top["cb_id"].tolist(), top["event_ord"].tolist(), top["commit"].tolist(), top["ts_mono_ns"].tolist()):
+                if cb not in ends or o > ends[cb][0]:
+                    ends[cb] = (o, commit, ts)
+            seen = max(seen, int(frame["event_ord"].max()))
+            begun, ended = frame[frame["commit"]], frame[~frame["commit"]]
+            if len(begun) and (o := int(begun["event_ord"].max())) > depth_ord:
+                depth_ord, depth = o, int(begun.loc[begun["event_ord"].idxmax(), "queue_depth"])
+            if len(ended) and (o := int(ended["event_ord"].max())) > done_ord:
+                done_ord, at = o, ended.loc[ended["event_ord"].idxmax()]
+                status, error = (None if pd.isna(at[c]) else int(at[c]) for c in ("status", "error_code"))
+        page = self._page(tail)
+        for cb, (o, commit, ts) in sorted(ends.items(), key=lambda e: e[1][0]):
+            flies = self.flying.containsKey((cb,))
+            if commit:
+                self.flying.updateValue((cb,), (o, ts))
+                page.append([o, cb, ts])
+                if len(page) >= self.PAGE:
+                    self.pages.updateValue((tail,), (json.dumps(page),))
+                    tail, page = tail + 1, []
+            elif flies:
+                self.flying.removeKey((cb,))
+            n += int(commit) - int(flies)
+        self.pages.updateValue((tail,), (json.dumps(page),))
+        head, oldest = self._oldest(head, tail)
+        self.last.update((head, tail, n, depth_ord, depth, done_ord, status, error))
+        ts, cb = oldest or (None, None)
         cols = ["session_key", "queue_id", "event_ord", "depth", "in_flight", "oldest_cb_id", "oldest_commit_ts",
                 "last_completed_status", "last_completed_error"]
-        row = (key[0], int(key[1]), seen, depth, len(open_now), oldest[1], oldest[0], status, error)
-        frame = pd.DataFrame([row], columns=cols)
-        yield frame.astype({c: "Int64" for c in cols[1:]})
+        row = (key[0], int(key[1]), seen, depth, n, cb, ts, status, error)
+        yield pd.DataFrame([row], columns=cols).astype({c: "Int64" for c in cols[1:]})
 
     def close(self) -> None:
         pass
@@ -190,7 +324,7 @@ class _Queue(StatefulProcessor):
 def queue_state(events: DataFrame) -> DataFrame:
     """State of each queue after every micro-batch that touched it."""
     rows = events.where(F.col("kind").isin("MetalCbCommitted", "MetalCbCompleted")).select(
-        "session_key", "queue_id", "event_ord", "kind", "cb_id", "ts_mono_ns", "queue_depth", "status", "error_code")
+        "session_key", "queue_id", "event_ord", (F.col("kind") == "MetalCbCommitted").alias("commit"), "cb_id", "ts_mono_ns", "queue_depth", "status", "error_code")
     return rows.groupBy("session_key", "queue_id").transformWithStateInPandas(
         _Queue(), "session_key string, queue_id bigint, event_ord bigint, depth bigint, in_flight bigint, oldest_cb_id bigint, "
         "oldest_commit_ts bigint, last_completed_status bigint, last_completed_error bigint", "Update", "None")
@@ -205,8 +339,10 @@ class _Recent(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         items = list(self.items.get()) if self.items.exists() else []
-        items += [(int(r.event_ord), int(r.ts_mono_ns), r.text) for r in _rows(rows)]
-        items = items[-self.n:]
+        for frame in rows:
+            last = frame.nlargest(self.n, "event_ord")
+            items += zip(last["event_ord"].tolist(), last["ts_mono_ns"].tolist(), last["text"].tolist())
+            items = sorted(items)[-self.n:]
         self.items.put(items)
         out = [(key[0], o, t, x) for o, t, x in items]
         yield pd.DataFrame(out, columns=["session_key", "event_ord", "ts_mono_ns", "text"])
