@@ -10,8 +10,10 @@ are running sums and a text with very many matches is no special case.  Only cou
 character pairs (at most 2 x 68 x 68) pass through the driver.
 
 Defined cases: a null text counts as empty; ids may be null or repeat, each row is
-scanned; a table without labelled samples is scored by a uniform model against the
-smoothed other; an empty table gives an empty result.
+scanned; texts and runs of any length are scanned whole; of a random run and a fixed
+pattern's match that overlap the match stays; a table without labelled samples is scored
+by a uniform model against the smoothed other; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ LEAST, LEAST_EACH = 12.0, 0.5
 #: Expected number of documents whose words are the samples of ordinary identifiers.
 SAMPLE_DOCS = 2000
 SMOOTH, BACK_OFF = 0.5, 20.0
+#: Share of the random model that is even over the alphabet, as a random string may have another one than those labelled.
+EVEN = 0.5
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Code 0 stands for any other character.
 CODES = len(ALPHABET) + 1
@@ -69,10 +73,14 @@ def train(samples: DataFrame) -> list[float]:
     for secret, pair, n in pairs.groupBy("secret", "pair").count().collect():
         counts[bool(secret)][pair // CODES][pair % CODES] = n
     logs = []
-    for model in counts:  # pairs back off to how often their second character is seen at all
+    for model, even in zip(counts, (0.0, EVEN)):  # pairs back off to how often their second character is seen at all
         single = [sum(row[b] for row in model) for b in range(CODES)]
-        single = [(n + SMOOTH) / (sum(single) + SMOOTH * CODES) for n in single]
-        logs.append([[math.log((n + BACK_OFF * single[b]) / (sum(row) + BACK_OFF)) for b, n in enumerate(row)] for row in model])
+        single = [even / CODES + (1 - even) * (n + SMOOTH) / (sum(single) + SMOOTH * CODES) for n in single]
+        rows = []
+        for row in model:
+            seen = [(n + BACK_OFF * single[b]) / (sum(row) + BACK_OFF) for b, n in enumerate(row)]
+            rows.append([math.log((1 - even) * p + even / CODES) for p in seen])
+        logs.append(rows)
     return [r - o for ordinary, random in zip(*logs) for o, r in zip(ordinary, random)]
 
 
@@ -89,21 +97,38 @@ def _base_matches(found: DataFrame) -> DataFrame:
     return found.where(F.col("kind") < RANDOM).withColumn("value", value).where(F.length("value") >= least)
 
 
-def labelled_samples(docs: DataFrame, matches: DataFrame, *, sample_docs: int = SAMPLE_DOCS, seed: int = 11) -> DataFrame:
-    """(token, secret): all matched secrets against the words of about ``sample_docs`` documents.
+def _is_random(pairs: Column, score: Column, least: float, least_each: float) -> Column:
+    return (score >= least) & (score >= least_each * F.size(pairs))
 
-    Words within matched secrets are cut out of the sample by the same patterns.
+
+def labelled_samples(docs: DataFrame, matches: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """(token, secret): all matched secrets against the words that about ``sample_docs`` distinct texts share.
+
+    Texts are drawn by their hash, so any partitioning draws the same.  A word is ordinary
+    if two of the texts have it: random strings, also those that no pattern matches, do not
+    recur.  Words within matched secrets are cut out of the sample by the same patterns.
     """
-    n = docs.count()
+    # copies of one text count as one
+    texts = F.approx_count_distinct(F.xxhash64("text"), 0.02)
+    share = min(1.0, sample_docs / max(docs.agg(texts.alias("n")).first().n, 1))
     rest = F.col("text")
     for pattern, _ in BASE.values():
         rest = F.regexp_replace(rest, pattern, " ")
-    words = (docs.sample(min(1.0, sample_docs / max(n, 1)), seed)
-             .select(F.explode(F.regexp_extract_all(rest, F.lit(WORD), F.lit(0))).alias("token")).where(F.col("token").rlike("[A-Za-z]")))
+    drawn = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text").distinct()
+    words = (drawn.select(F.explode(F.array_distinct(F.regexp_extract_all(rest, F.lit(WORD), F.lit(0)))).alias("token"))
+             .where(F.col("token").rlike("[A-Za-z]")).groupBy("token").count().where("count > 1").select("token"))
     return _base_matches(matches).select(F.col("value").alias("token"), F.lit(True).alias("secret")).unionByName(
         words.withColumn("secret", F.lit(False)))
 
 
+def self_trained(samples: DataFrame, *, least: float = LEAST, least_each: float = LEAST_EACH) -> list[float]:
+    """The model of the samples, without the ordinary ones that the first model of them all takes for random."""
+    samples = cut_lineage(samples)
+    pairs = F.array_distinct(_pairs(F.col("token")))
+    first = random_score(pairs, train(samples))
+    return train(samples.where(F.col("secret") | ~_is_random(pairs, first, least, least_each)))
+
+
 def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samples: DataFrame | None = None,
                  least: float = LEAST, least_each: float = LEAST_EACH) -> DataFrame:
     """One row per document: row, doc_id, secrets (start, kind, end, score), by start and kind.
@@ -118,7 +143,7 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     # short matches stay, as they are consumed text; only their lengths matter
     stage = cut_lineage(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", runs.alias("runs")))
     found = stage.where(F.size("runs") > 0).select("row", F.posexplode("runs").alias("pos", "x")).select("row", "pos", "x.*")
-    model = train(samples if samples is not None else labelled_samples(docs, found))
+    model = train(samples) if samples is not None else self_trained(labelled_samples(docs, found), least=least, least_each=least_each)
     in_text = Window.partitionBy("row", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     size = F.length("m")
     placed = found.withColumn("end", F.sum(F.col("gap") + size).over(in_text)).withColumn("start", F.col("end") - size)
@@ -126,7 +151,7 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     # both sides of the comparison count distinct pairs, whose number the alphabet bounds
     chance = (placed.where((F.col("kind") == RANDOM) & F.col("m").rlike("[A-Za-z]"))
               .withColumn("pairs", F.array_distinct(_pairs(F.col("m")))).withColumn("score", random_score(F.col("pairs"), model))
-              .where((F.col("score") >= least) & (F.col("score") >= least_each * F.size("pairs")))
+              .where(_is_random(F.col("pairs"), F.col("score"), least, least_each))
               .select("row", "start", "kind", "end", "score"))
     order = Window.partitionBy("row").orderBy("start", "kind")
     fixed = F.col("kind") < RANDOM

@@ -56,6 +56,34 @@ def test_hostile_rows_and_random_runs(spark):
     assert find_secrets(df.limit(0)).count() == 0
 
 
+KINDS = {"base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+         "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "HEX": "0123456789ABCDEF"}
+
+
+@pytest.mark.parametrize("planted", [12, 100, 500])
+def test_planted_strings_without_samples(spark, planted):
+    """Random strings in 0.1 to 5 % of all documents, models trained on these documents."""
+    rng = random.Random(planted)
+    docs = [(d.doc_id, d.text) for d in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").collect()]
+    truth = {}
+    for k, at in enumerate(rng.sample(range(len(docs)), planted)):
+        kind = list(KINDS)[k % len(KINDS)]
+        run = "".join(rng.choices(KINDS[kind], k=rng.choice([24, 32, 40, 64])))
+        words = docs[at][1].split(" ")
+        words.insert(rng.randint(0, len(words)), run)
+        docs[at] = (docs[at][0], " ".join(words))
+        truth[docs[at][0]] = kind, run
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    texts = dict(docs)
+    spans = [{r.doc_id: [texts[r.doc_id][s.start:s.end] for s in r.secrets if s.kind == 3] for r in find_secrets(df.repartition(n)).select("doc_id", "secrets").collect()}
+             for n in (3, 17)]
+    assert spans[0] == spans[1]
+    hit = {i: run in " ".join(spans[0][i]) for i, (_, run) in truth.items()}
+    print({k: (sum(hit[i] for i in hit if truth[i][0] == k), sum(truth[i][0] == k for i in hit)) for k in KINDS})
+    assert sum(hit.values()) >= 0.9 * planted
+    assert sum(not s for i, s in spans[0].items() if i not in truth) >= 0.99 * (len(docs) - planted)
+
+
 def test_random_runs_of_any_length(spark):
     rng = random.Random(5)
     words = "the configuration_of_the_internal_services and understandingly internationalization nevertheless".split()
