@@ -315,3 +315,29 @@ def allocate_pro_rata(parents: DataFrame, children: DataFrame, *, parent_key: li
             .withColumn("allocated_ns", F.when(F.col("exact_ns").isNotNull(), F.col("exact_ns"))
                         .when(F.col("_w") > 0, share).otherwise(0))
             .drop("_w", "_exact"))
+
+
+def allocate_levels(roots: DataFrame, parents: DataFrame, children: DataFrame, *, root_key: list[str], parent_key: list[str],
+                    total: str, weight: str) -> tuple[DataFrame, DataFrame]:
+    """Split a root's total over its parents and each parent's part over its children, in integers.
+
+    A parent with a known ``exact_ns`` above 0 keeps it; what is left of the root's total
+    (never below 0) goes to the untimed parents by the weight of their children.  Children
+    share their parent's part by weight.  A parent that is ``sampled`` takes no part in this:
+    its children have their own ``exact_ns``, or nothing.  ``parent_key`` includes
+    ``root_key``; children are ever grouped by parent, so a root may have any number.
+    """
+    zero = F.lit(0).cast("bigint")
+    counts = children.groupBy(*parent_key).agg(F.sum(weight).alias("_n"))
+    sampled, exact = F.coalesce("sampled", F.lit(False)), F.coalesce("exact_ns", zero)
+    known = parents.join(counts, parent_key, "left").withColumns({"_n": F.coalesce("_n", zero), "_timed": ~sampled & (exact > 0), "_open": ~sampled & (exact <= 0)})
+    pools = known.groupBy(*root_key).agg(F.sum(F.when(F.col("_timed"), exact)).alias("_accounted"), F.sum(F.when(F.col("_open"), F.col("_n"))).alias("_untimed"))
+    left = F.greatest(zero, F.col(total) - F.coalesce("_accounted", zero))
+    share = F.when(F.col("_untimed") > 0, F.call_function("div", left * F.col("_n"), F.col("_untimed"))).otherwise(zero)
+    levels = known.join(roots.select(*root_key, total).join(pools, root_key), root_key).withColumn(
+        "allocated_ns", F.when(F.col("_timed"), exact).when(F.col("_open"), share))
+    outer = levels.select(*parent_key, "allocated_ns")
+    inner = children.join(levels.select(*parent_key, F.col("allocated_ns").alias("_part"), "_n"), parent_key).withColumn(
+        "allocated_ns", F.when(F.col("_part").isNull(), F.coalesce("exact_ns", zero))
+        .when(F.col("_n") > 0, F.call_function("div", F.col("_part") * F.col(weight), F.col("_n"))).otherwise(zero)).drop("_part", "_n")
+    return outer, inner

@@ -8,7 +8,6 @@ from spanforge.operators.pairing import POST_MORTEM_PREFIX
 from spanforge.operators.scan import chunk_of, with_position, with_running
 
 # Spark's default spark.sql.optimizer.windowGroupLimitThreshold
-GROUP_LIMIT = 1000
 
 
 def resolve_refs(sessions: DataFrame, refs: list[str]) -> DataFrame:
@@ -73,18 +72,16 @@ def list_sessions(sessions: DataFrame, counts: DataFrame, root_causes: DataFrame
 
 
 def session_view(sessions: DataFrame, events: DataFrame, view: str, findings: DataFrame | None = None) -> DataFrame:
-    """One of the views full (metadata and events), metadata or summary (with findings)."""
+    """One of the views full (metadata and events), metadata or summary (metadata, event count and findings, a row each)."""
     if view == "metadata":
         return sessions
     if view == "full":
         return sessions.select("session_key", F.struct(*sessions.columns).alias("metadata")).join(events, "session_key")
     if view == "summary":
-        counts = events.groupBy("session_key").agg(F.count(F.lit(1)).alias("event_count"))
-        out = sessions.join(counts, "session_key", "left")
         if findings is None:
-            return out
-        severe = findings.groupBy("session_key").agg(F.count(F.lit(1)).alias("finding_count"))
-        return out.join(severe, "session_key", "left")
+            raise ValueError("the summary view needs the sessions' findings")
+        counts = events.groupBy("session_key").agg(F.count(F.lit(1)).alias("event_count"))
+        return sessions.join(counts, "session_key", "left").join(findings, "session_key", "left")
     raise ValueError(f"unknown view {view!r}")
 
 
@@ -100,35 +97,28 @@ def route_events(events: DataFrame, attachments: DataFrame, *, ambient_key: str,
     """Session each incoming event belongs to.
 
     Token match first, then pid, then (marks only) the scoped session attached
-    last and still open, else the ambient session.  Each rule is a running
-    'latest attach or detach' over the merged log, so no event meets more than
-    its own key's latest state.
+    last and still open, else the ambient session.  The first two rules are one running
+    'latest attach or detach' over the merged log of keys, so no event meets more than
+    its own keys' latest state.
     """
     att = attachments
-    log = att.select(F.col("attach_ord").alias("_o"), F.lit(True).alias("_on"), "pid", "scope_token",
-                     F.col("session_key").alias("_sess"), "attach_ord").unionByName(
-        att.where(F.col("detach_ord").isNotNull()).select(
-            F.col("detach_ord").alias("_o"), F.lit(False).alias("_on"), "pid", "scope_token",
-            F.col("session_key").alias("_sess"), "attach_ord"))
+    keyed = lambda token, pid: F.array_compact(F.array(
+        F.when(token.isNotNull(), F.struct(F.lit(0).alias("prio"), F.concat(F.lit("t:"), token.cast("string")).alias("k"))),
+        F.when(pid.isNotNull(), F.struct(F.lit(1).alias("prio"), F.concat(F.lit("p:"), pid.cast("string")).alias("k")))))
+    on = F.struct(F.col("attach_ord").alias("o"), F.lit(1).alias("side"), F.col("session_key").alias("s"))
+    off = F.when(F.col("detach_ord").isNotNull(), F.struct(F.col("detach_ord").alias("o"), F.lit(0).alias("side"), F.lit(None).cast("string").alias("s")))
+    changes = (att.select(keyed(F.col("scope_token"), F.col("pid")).alias("_keys"), F.explode(F.array_compact(F.array(on, off))).alias("c"))
+               .select(F.explode("_keys.k").alias("_k"), F.col("c.o").alias("_o"), F.col("c.side").alias("_side"), F.col("c.s").alias("_sess"),
+                       F.lit(None).cast("bigint").alias("_rid"), F.lit(None).cast("int").alias("_prio")))
     base = events.withColumn("_rid", F.col(order))
-    chunk = chunk_of("_o")
-
-    def latest(key: str, event_key):
-        changes = log.where(F.col(key).isNotNull()).select(
-            F.col(key).cast("string").alias("_k"), "_o", F.col("_on").cast("int").alias("_side"),
-            F.when(F.col("_on"), F.col("_sess")).alias("_sess"), F.lit(None).cast("bigint").alias("_rid"))
-        asks = base.where(event_key.isNotNull()).select(
-            event_key.cast("string").alias("_k"), F.col(order).alias("_o"), F.lit(2).alias("_side"),
-            F.lit(None).cast("string").alias("_sess"), "_rid")
-        rows = with_running(
-            changes.unionByName(asks), ["_k"], ["_o", "_side"],
-            {"_st": ("last", F.when(F.col("_rid").isNull(), F.struct(F.col("_sess").alias("s"))))}, chunk=chunk)
-        return rows.where(F.col("_rid").isNotNull()).select("_rid", F.col("_st.s").alias("s"))
-
-    out = base
-    for name, col in (("_by_token", F.col("scope_token")), ("_by_pid", F.col("pid"))):
-        key = "scope_token" if name == "_by_token" else "pid"
-        out = out.join(latest(key, col).withColumnRenamed("s", name), "_rid", "left")
+    asks = base.select("_rid", F.inline(keyed(F.col("scope_token"), F.col("pid")))).select(
+        F.col("k").alias("_k"), F.col("_rid").alias("_o"), F.lit(2).alias("_side"), F.lit(None).cast("string").alias("_sess"), "_rid", F.col("prio").alias("_prio"))
+    # one merged scan for both rules; an event's answers then meet by its position
+    merged = with_running(changes.unionByName(asks), ["_k"], ["_o", "_side"],
+                          {"_st": ("last", F.when(F.col("_rid").isNull(), F.struct(F.col("_sess").alias("s"))))}, chunk=chunk_of("_o"))
+    known = F.when(F.col("_st.s").isNotNull(), F.struct("_prio", F.col("_st.s").alias("s")))
+    found = merged.where(F.col("_rid").isNotNull()).groupBy("_rid").agg(F.min(known)["s"].alias("_by_key"))
+    out = base.join(found, "_rid", "left")
     from spanforge.operators.stab import stab_join
 
     spans = att.select(F.lit(0).alias("_g"), "attach_ord", F.col("session_key").alias("scoped"),
@@ -137,8 +127,8 @@ def route_events(events: DataFrame, attachments: DataFrame, *, ambient_key: str,
                       spans, by=["_g"], ts="_at", lo="attach_ord", hi="_end",
                       prefer=F.col("attach_ord"), keep=["scoped"], cell=1024, levels=13)
     out = out.join(marks.select("_rid", F.col("win.scoped").alias("_by_mark")), "_rid", "left")
-    return out.withColumn("routed_to", F.coalesce("_by_token", "_by_pid", "_by_mark", F.lit(ambient_key))
-                          ).drop("_rid", "_by_token", "_by_pid", "_by_mark")
+    return out.withColumn("routed_to", F.coalesce("_by_key", "_by_mark", F.lit(ambient_key))
+                          ).drop("_rid", "_by_key", "_by_mark")
 
 
 def recent(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
@@ -148,7 +138,7 @@ def recent(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
     larger ``n`` first finds each group's cut-off from positions counted in
     chunks, so that only ``n`` rows of a group ever meet.
     """
-    if n > GROUP_LIMIT:
+    if n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
         chunk = chunk_of(order)
         total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
         df = (with_position(df, keys, [order], "_pos", chunk=chunk).join(total, keys)

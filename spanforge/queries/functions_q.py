@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window, functions as F
 
 from spanforge.functions import labels, text
@@ -9,6 +11,7 @@ from spanforge.operators import diff, filters, gpu, reports, sessions as S, tree
 from spanforge.operators.scan import chunk_of, with_position
 from spanforge.queries.registry import query
 from spanforge.queries.views import EV, ev, table, trace_log, with_sql, TL
+from spanforge.session_conf import shared_folder
 from spanforge.sources import external
 
 # part rows turned into shader symbols: a prefix by key, a tail from the row
@@ -234,6 +237,25 @@ def a6_system_log_filter(spark, sf):
     return table(spark, sf, "documents").where(external.log_filter(sub, msg)).select("doc_id")
 
 
+@query("a6_system_log", """WITH d AS (SELECT doc_id, CASE WHEN doc_id%5=0 THEN 'com.apple.GPUWrangler' WHEN doc_id%7=0 THEN '' ELSE 'other' END AS sub,
+    CASE WHEN doc_id%13=0 THEN '' ELSE text END || CASE WHEN doc_id%11=0 THEN ' GPU watchdog' ELSE '' END AS msg, doc_id%17=0 AS broken FROM documents)
+  SELECT CASE WHEN broken THEN 'damaged' WHEN sub='' AND msg='' THEN 'empty' WHEN sub='com.apple.GPUWrangler' OR contains(msg, 'GPU watchdog') THEN 'kept' ELSE 'other' END AS part,
+    count(*) AS n, CAST(sum(CASE WHEN broken THEN 0 ELSE length(msg) END) AS BIGINT) AS chars FROM d GROUP BY 1 HAVING part IN ('damaged', 'kept', 'other')""")
+def a6_system_log(spark, sf):
+    """A system log written as NDJSON, some of it damaged, and read back in full and by the filter."""
+    i = F.col("doc_id")
+    sub = F.when(i % 5 == 0, "com.apple.GPUWrangler").when(i % 7 == 0, "").otherwise("other")
+    msg = F.concat(F.when(i % 13 == 0, "").otherwise(F.col("text")), F.when(i % 11 == 0, " GPU watchdog").otherwise(""))
+    line = F.to_json(F.struct(sub.alias("subsystem"), F.lit("c").alias("category"), msg.alias("eventMessage")))
+    path = f"{shared_folder(spark)}/syslog-{uuid.uuid4().hex}"
+    table(spark, sf, "documents").select(F.when(i % 17 == 0, F.left(line, F.lit(20))).otherwise(line).alias("value")).write.text(path)
+    every, bad = external.read_system_log(spark, path, all_lines=True)
+    kept = F.col("message")
+    part = F.when(external.log_filter(F.col("subsystem"), kept), "kept").otherwise("other")
+    sums = lambda df, p, c: df.groupBy(p.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum(c).cast("bigint").alias("chars"))
+    return sums(every, part, F.length(kept)).unionByName(sums(bad, F.lit("damaged"), F.lit(0)))
+
+
 @query("a7_process_table", """SELECT '/t/' || c_custkey AS path, n AS line_no, c_custkey+n AS pid, CASE WHEN n=2 THEN 'two words' ELSE c_name END AS name, round((c_custkey%1000)/10.0+n, 4) AS cpu
   FROM customer, (VALUES (2), (3)) v(n)""")
 def a7_process_table(spark, sf):
@@ -353,6 +375,28 @@ def e20_pro_rata(spark, sf):
     return out.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "allocated_ns")
 
 
+@query("e20_two_levels", """WITH ch AS (SELECT l_orderkey, l_suppkey%3 AS g, l_linenumber, CAST(l_quantity AS BIGINT) AS w, CASE WHEN l_partkey%5=0 THEN CAST(round(l_extendedprice) AS BIGINT) END AS ex,
+    CAST(round(l_extendedprice) AS BIGINT) AS price FROM lineitem),
+  en AS (SELECT l_orderkey, g, sum(w) AS n, CASE WHEN g=1 THEN CAST(sum(price)//3 AS BIGINT) ELSE 0 END AS t FROM ch GROUP BY 1, 2),
+  po AS (SELECT l_orderkey, coalesce(sum(t) FILTER (WHERE g=1), 0) AS acc, sum(n) FILTER (WHERE g=0) AS un FROM en GROUP BY 1),
+  al AS (SELECT e.l_orderkey, e.g, e.n, CASE WHEN e.g=1 THEN e.t WHEN e.g=0 THEN CAST(greatest(0, CAST(round(o.o_totalprice) AS BIGINT)-p.acc)*e.n//p.un AS BIGINT) END AS a
+    FROM en e JOIN po p USING (l_orderkey) JOIN orders o ON o.o_orderkey=e.l_orderkey)
+  SELECT c.l_orderkey, c.l_linenumber, c.g AS parent, al.a AS parent_ns, CAST(CASE WHEN al.a IS NULL THEN coalesce(c.ex, 0) ELSE al.a*c.w//al.n END AS BIGINT) AS child_ns
+  FROM ch c JOIN al ON al.l_orderkey=c.l_orderkey AND al.g=c.g""")
+def e20_two_levels(spark, sf):
+    """Orders as buffers, their suppliers in three groups as encoders (untimed, timed, sampled), line items as dispatches."""
+    key = ["l_orderkey", "parent"]
+    price = F.round("l_extendedprice").cast("bigint")
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.round("o_totalprice").cast("bigint").alias("total_ns"))
+    ch = table(spark, sf, "lineitem").select(
+        "l_orderkey", (F.col("l_suppkey") % 3).alias("parent"), "l_linenumber", F.col("l_quantity").cast("bigint").alias("w"), price.alias("price"),
+        F.when(F.col("l_partkey") % 5 == 0, price).alias("exact_ns"))
+    en = ch.groupBy(*key).agg(F.when(F.col("parent") == 1, F.call_function("div", F.sum("price"), F.lit(3))).alias("exact_ns")).withColumn("sampled", F.col("parent") == 2)
+    outer, inner = gpu.allocate_levels(o, en, ch.drop("price"), root_key=["l_orderkey"], parent_key=key, total="total_ns", weight="w")
+    return inner.join(outer.withColumnRenamed("allocated_ns", "parent_ns"), key).select(
+        "l_orderkey", "l_linenumber", "parent", "parent_ns", F.col("allocated_ns").alias("child_ns"))
+
+
 _OPS = "ops AS (SELECT p_brand AS session_key, p_type AS name, CAST(sum(CAST(round(l_extendedprice*100) AS BIGINT)) AS BIGINT) AS gpu_ns, count(*) AS count FROM lineitem JOIN part ON p_partkey=l_partkey GROUP BY 1, 2)"
 
 
@@ -405,6 +449,12 @@ def h2_key_difference(spark, sf):
                         table(spark, sf, "orders").select(F.col("o_custkey").alias("custkey")), ["custkey"])
 
 
+@query("h2_without_urgent", "SELECT DISTINCT o_custkey AS custkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority='1-URGENT')")
+def h2_without_urgent(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("custkey"), "o_orderpriority")
+    return diff.only_in(o.select("custkey").distinct(), o.where("o_orderpriority = '1-URGENT'"), ["custkey"])
+
+
 @query("h3_streams_seen", with_sql(TL, "SELECT session_key, list_sort(list(DISTINCT stream)) AS streams FROM tl WHERE stream IS NOT NULL GROUP BY 1"))
 def h3_streams_seen(spark, sf):
     e = trace_log(spark, sf).where(F.col("stream").isNotNull())

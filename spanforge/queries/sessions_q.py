@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from spanforge.operators import diff, filters, incidents, live, pairing, rendering, reports, sequences, sessions as S
 from spanforge.operators.scan import chunk_of
@@ -16,7 +17,7 @@ from spanforge.queries.views import (ATTRIB, BUFFERS, GRACE_NS, HOST_SQL, HOUR_N
                                      trace_log, with_sql)
 from spanforge.session_conf import shared_folder
 from spanforge.sinks import documents, files, trace
-from spanforge.sources.events import read_event_json, read_events, write_events
+from spanforge.sources.events import read_event_json, read_events, read_sessions, write_events
 
 DAY = 24 * HOUR_NS
 LO, HI = 5 * DAY, 20 * DAY
@@ -27,6 +28,15 @@ def a1_session_catalog(spark, sf):
     return sessions(spark, sf).drop("session_id")
 
 
+@query("a1_session_files", with_sql(SESSIONS, "SELECT session_key, session_id, started_rfc3339, ended_rfc3339, kind, kind_pid, name, exit_code FROM (SELECT *, printf('%032x', u) AS session_id FROM sess)"))
+def a1_session_files(spark, sf):
+    """The catalog written as one metadata document per session folder, and read back from the folders."""
+    s = sessions(spark, sf)
+    path = f"{shared_folder(spark)}/sessions-{uuid.uuid4().hex}"
+    s.select("session_key", documents.metadata_json(s).alias("value")).write.partitionBy("session_key").text(path)
+    return read_sessions(spark, path).select("session_key", "session_id", "started_rfc3339", "ended_rfc3339", "kind", "kind_pid", "name", "exit_code")
+
+
 @query("a2_ndjson_round_trip", with_sql(TL, """
   SELECT t.session_key, t.kind, count(*) AS n, CAST(sum(t.seq) AS BIGINT) AS seqs, CAST(coalesce(sum(o.g), 0) AS BIGINT) AS op_ns FROM tl t
   LEFT JOIN (SELECT event_ord, sum(gpu_ns) AS g FROM tl_ops GROUP BY 1) o USING (event_ord) GROUP BY 1, 2"""))
@@ -280,10 +290,13 @@ def b12_incidents(spark, sf):
     return incidents.incidents(trace_log(spark, sf), host=None).select("session_key", "event_ord", "incident_label")
 
 
-@query("b13_session_view_summary", with_sql(SESSIONS, """
-  SELECT s.session_key, s.kind, c.n AS event_count FROM sess s LEFT JOIN (SELECT session_key, count(*) AS n FROM tl GROUP BY 1) c ON c.session_key=s.session_key"""))
+@query("b13_session_view_summary", with_sql(SESSIONS + ", fd AS (SELECT session_key, rule, severity, title FROM (" + "{metal_error}" + "))", """
+  SELECT s.session_key, s.kind, c.n AS event_count, fd.rule, fd.severity, fd.title FROM sess s LEFT JOIN (SELECT session_key, count(*) AS n FROM tl GROUP BY 1) c ON c.session_key=s.session_key
+  LEFT JOIN fd ON fd.session_key=s.session_key"""))
 def b13_session_view_summary(spark, sf):
-    return S.session_view(sessions(spark, sf), trace_log(spark, sf), "summary").select("session_key", "kind", "event_count")
+    e = trace_log(spark, sf)
+    return S.session_view(sessions(spark, sf), e, "summary", report.analyze(e, names=["metal_error"])).select(
+        "session_key", "kind", "event_count", "rule", "severity", "title")
 
 
 @query("b14_notice_feed", with_sql(TL, """
@@ -347,18 +360,24 @@ def c12_attachments(spark, sf):
 _ATT2 = _ATT.replace("k%5 AS pid", "(k//5)%7 AS pid")
 
 
-@query("d5_event_routing", with_sql(TL + "," + _ATT2, """
+_ROUTE = TL + "," + _ATT2 + """,
+   ch AS (SELECT pid, 'tok' || (attach_ord//37) AS tok, attach_ord AS o, 1 AS side, skey FROM att UNION ALL SELECT pid, 'tok' || (attach_ord//37), detach_ord, 0, '' FROM att WHERE detach_ord IS NOT NULL),
+   ask AS (SELECT event_ord, source, pid%7 AS pid, CASE WHEN event_ord%4=0 THEN 'tok' || (event_ord//37) END AS tok FROM tl)"""
+
+
+@query("d5_event_routing", with_sql(_ROUTE, """
   SELECT e.event_ord, coalesce(
-     (SELECT arg_max(a.skey, a.attach_ord) FROM att a WHERE a.pid=e.pid%7 AND a.attach_ord<=e.event_ord AND (a.detach_ord IS NULL OR a.detach_ord>e.event_ord)),
-     CASE WHEN e.kind='ProcFootprint' THEN (SELECT arg_max(a.skey, a.attach_ord) FROM att a WHERE a.attach_ord<=e.event_ord AND (a.detach_ord IS NULL OR a.detach_ord>e.event_ord)) END,
-     'ambient') AS routed_to FROM tl e WHERE e.kind IN ('ProcFootprint','MetalCbOps')"""))
+     nullif((SELECT arg_max(c.skey, (c.o, c.side)) FROM ch c WHERE c.tok=e.tok AND c.o<=e.event_ord), ''),
+     nullif((SELECT arg_max(c.skey, (c.o, c.side)) FROM ch c WHERE c.pid=e.pid AND c.o<=e.event_ord), ''),
+     CASE WHEN e.source='Mark' THEN (SELECT arg_max(a.skey, a.attach_ord) FROM att a WHERE a.attach_ord<=e.event_ord AND (a.detach_ord IS NULL OR a.detach_ord>e.event_ord)) END,
+     'ambient') AS routed_to FROM ask e"""))
 def d5_event_routing(spark, sf):
+    """Every event of the log, a quarter of them with a token, by token, process id, mark or none."""
+    token = lambda c: F.concat(F.lit("tok"), F.call_function("div", F.col(c), F.lit(37)).cast("string"))
     log = _attachments(spark, sf).drop("pid").join(
         ev(spark, sf).select(F.col("event_ord").alias("at_ord"), (F.call_function("div", F.col("k"), F.lit(5)) % 7).alias("pid")), "at_ord")
-    e = trace_log(spark, sf).where(F.col("kind").isin("ProcFootprint", "MetalCbOps")).select(
-        "event_ord", (F.col("pid") % 7).alias("pid"), F.lit(None).cast("string").alias("scope_token"),
-        F.when(F.col("kind") == "ProcFootprint", "Mark").otherwise("MetalHook").alias("source"))
-    return S.route_events(e, pairing.attachments(log), ambient_key="ambient").select("event_ord", "routed_to")
+    e = trace_log(spark, sf).select("event_ord", (F.col("pid") % 7).alias("pid"), F.when(F.col("event_ord") % 4 == 0, token("event_ord")).alias("scope_token"), "source")
+    return S.route_events(e, pairing.attachments(log.withColumn("scope_token", token("at_ord"))), ambient_key="ambient").select("event_ord", "routed_to")
 
 
 @query("c13_close_orphans", with_sql(SESSIONS, """
@@ -484,6 +503,7 @@ def _rule(name, sql=None):
 _rule("metal_error", with_sql(TL, """SELECT session_key, 'metal_error' AS rule, event_ord AS finding_pos, CASE error_code WHEN 1 THEN 'Critical' ELSE 'Warning' END AS severity,
   CASE error_code WHEN 1 THEN 'RootCause' ELSE 'ContributingFactor' END AS category, 'Command buffer ' || cb_id || ' failed with kIOGPUCommandBufferCallbackError' ||
   CASE error_code WHEN 1 THEN 'Timeout' ELSE 'OutOfMemory' END || ' (code ' || error_code || ', domain ?)' AS title, seq AS ev_seq FROM tl WHERE kind='MetalCbCompleted' AND error_code IS NOT NULL"""))
+ORACLES["b13_session_view_summary"] = ORACLES["b13_session_view_summary"].replace("{metal_error}", ORACLES["j_metal_error"])
 _FF = TL + """, ff AS (SELECT session_key, arg_min(ts, event_ord) AS ft, min(event_ord) AS fs FROM tl WHERE kind='MetalCbCompleted' AND error_code IS NOT NULL GROUP BY 1)"""
 _rule("queue_depth", with_sql(_FF, f"""SELECT session_key, 'queue_depth' AS rule, 0 AS finding_pos, 'Warning' AS severity, 'ContributingFactor' AS category,
   'Queue depth peaked at ' || d || ' buffers in flight' AS title, fs AS ev_seq FROM (SELECT f.session_key, f.fs, max(c.queue_depth) AS d FROM ff f JOIN tl c ON c.session_key=f.session_key
@@ -609,6 +629,32 @@ def k7_compare_stats(spark, sf):
         "pair_id", "a_event_count", "b_event_count", "event_count_diff", "duration_diff_ns", "root_cause_match")
 
 
+_PARTS = {"scope_deltas": ("d12_scope_deltas", "qualname", "a_gpu_ns", "b_gpu_ns"), "only_in_a": ("d14_scopes_only_in_a", "qualname", "gpu_ns", "gpu_ns"),
+          "only_in_b": ("d14_scopes_only_in_b", "qualname", "gpu_ns", "gpu_ns"), "op_deltas": ("d13_op_deltas", "op_kind", "a_gpu_ns", "b_gpu_ns"),
+          "memory_deltas": ("d12_memory_deltas", "qualname", "a_peak_bytes", "b_peak_bytes"),
+          "origin_deltas": ("d12_origin_deltas", "op_kind || '@' || file_line", "a_gpu_ns", "b_gpu_ns"),
+          "stats": ("k7_compare_stats", "CAST(root_cause_match AS VARCHAR)", "a_event_count", "b_event_count")}
+_BANNER = """SELECT 'banner' AS part, pair_id, 'figures per op are incomplete' || CASE WHEN a.n>0 THEN chr(10) || 'A: sampling was off ' || a.n || ' time(s)' ELSE '' END
+    || CASE WHEN b.n>0 THEN chr(10) || 'B: sampling was off ' || b.n || ' time(s)' ELSE '' END AS name, a.n AS a, b.n AS b FROM pr JOIN ep a ON a.session_key=sa JOIN ep b ON b.session_key=sb WHERE a.n>0 OR b.n>0"""
+
+
+@query("k7_compare", with_sql(TL + "," + profile._PAIRS + """,
+   ep AS (SELECT session_key, count(*) FILTER (WHERE kind='MetalHookSkipped' AND k IN (10, 40)) AS n FROM tl GROUP BY 1)""", " UNION ALL ".join(
+    f"SELECT '{part}' AS part, pair_id, {name} AS name, {a} AS a, {b} AS b FROM ({ORACLES[oracle]})" for part, (oracle, name, a, b) in _PARTS.items()) + " UNION ALL " + _BANNER))
+def k7_compare(spark, sf):
+    """All parts of the comparison of all pairs, with the banner of those whose figures are partial."""
+    e = trace_log(spark, sf)
+    parts = report.compare(profile.session_pairs(e), e, cell=CELL, grace_ns=GRACE_NS)
+    names = {"origin_deltas": F.concat_ws("@", "op_kind", "file_line"), "stats": F.col("root_cause_match").cast("string")}
+    rows = [parts[part].select(F.lit(part).alias("part"), "pair_id", names.get(part, F.col(name) if "|" not in name and "(" not in name else F.lit(None)).alias("name"),
+                               F.col(a).alias("a"), F.col(b).alias("b")) for part, (_, name, a, b) in _PARTS.items()]
+    counts = filters.sampling_disable_episodes(e)
+    a, b = diff.pair_sides(profile.session_pairs(e), counts)
+    both = a.withColumnRenamed("episodes", "a").join(b.withColumnRenamed("episodes", "b"), "pair_id")
+    rows.append(parts["banner"].join(both, "pair_id").select(F.lit("banner").alias("part"), "pair_id", F.col("banner").alias("name"), "a", "b"))
+    return reduce(DataFrame.unionByName, rows)
+
+
 # --- live views ------------------------------------------------------------
 
 _DELTA = TL + """, nn AS (SELECT *, row_number() OVER (PARTITION BY session_key ORDER BY event_ord) AS n FROM tl)"""
@@ -677,6 +723,25 @@ def m11_state_as_of(spark, sf):
         "session_key", "events_total", F.col("mlx_memory.active_bytes").alias("active_bytes"), "last_ts_mono_ns")
 
 
+_PX = f""", px AS (SELECT t.* FROM tl t JOIN (SELECT session_key, min(ts) AS t0 FROM tl GROUP BY 1) z USING (session_key) WHERE t.ts-z.t0<={10 * DAY})"""
+
+
+def _as_of(name):
+    """An oracle over the prefix instead of the whole log."""
+    head, body = ORACLES[name].split(TL, 1)
+    return head + TL + _PX + body.replace("FROM tl ", "FROM px ")
+
+
+@query("m11_queues_as_of", _as_of("m8_queue_state"))
+def m11_queues_as_of(spark, sf):
+    return live.state_as_of(trace_log(spark, sf), 10 * DAY)["queues"]
+
+
+@query("m11_marks_as_of", _as_of("m10_recent_marks").replace("<=2", "<=10"))
+def m11_marks_as_of(spark, sf):
+    return live.state_as_of(trace_log(spark, sf), 10 * DAY)["marks"].select("session_key", "event_ord", "label", F.col("rank").cast("bigint").alias("rank"))
+
+
 @query("a14_snapshot", with_sql(TL + f""", px AS (SELECT t.* FROM tl t JOIN (SELECT session_key, min(ts) AS t0 FROM tl GROUP BY 1) z USING (session_key) WHERE t.ts-z.t0<={10 * DAY}),
    n AS (SELECT session_key, event_ord, CASE kind WHEN 'MlxEvalEntered' THEN 1 ELSE -1 END AS d, row_number() OVER (PARTITION BY session_key ORDER BY event_ord) AS i
      FROM px WHERE kind IN ('MlxEvalEntered','MlxEvalReturned')),

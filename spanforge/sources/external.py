@@ -76,15 +76,17 @@ def log_filter(subsystem: Column, message: Column) -> Column:
     return subsystem.isin(*LOG_SUBSYSTEMS) | message.contains(LOG_TEXT)
 
 
-def read_system_log(spark: SparkSession, path: str, *, all_lines: bool = False) -> DataFrame:
-    """NDJSON system log; lines with neither message nor subsystem drop."""
-    rows = spark.read.schema("subsystem string, category string, eventMessage string").option(
-        "mode", "DROPMALFORMED").json(path)
+def read_system_log(spark: SparkSession, path: str, *, all_lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """NDJSON system log, and the lines that are none (file, line); lines with neither message nor subsystem drop."""
+    schema = "subsystem string, category string, eventMessage string, _damaged string"
+    text = spark.read.text(path).where(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("file"))
+    rows = text.withColumn("_doc", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_damaged"}))
+    damaged = F.col("_doc._damaged").isNotNull()
     empty = F.lit("")
-    rows = rows.select(F.coalesce("subsystem", empty).alias("subsystem"), F.coalesce("category", empty).alias("category"),
-                       F.coalesce("eventMessage", empty).alias("message"))
-    rows = rows.where((F.col("message") != "") | (F.col("subsystem") != ""))
-    return rows if all_lines else rows.where(log_filter(F.col("subsystem"), F.col("message")))
+    good = rows.where(~damaged).select(F.coalesce("_doc.subsystem", empty).alias("subsystem"), F.coalesce("_doc.category", empty).alias("category"),
+                                       F.coalesce("_doc.eventMessage", empty).alias("message"))
+    good = good.where((F.col("message") != "") | (F.col("subsystem") != ""))
+    return good if all_lines else good.where(log_filter(F.col("subsystem"), F.col("message"))), rows.where(damaged).select("file", F.col("value").alias("line"))
 
 
 def parse_process_table(files: DataFrame, *, key: str = "path", text: str = "text") -> DataFrame:

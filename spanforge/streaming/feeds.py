@@ -29,11 +29,11 @@ def live_lines(spark: SparkSession, path: str, *, max_files: int | None = 16) ->
     numbered in the order of their writing.  A trigger takes ``max_files`` files, which bounds
     what the processors of a batch hold; files are as large as the writer's rotation makes them.
     """
-    reader = spark.readStream.option("recursiveFileLookup", "true").option("wholetext", "true")
+    reader = spark.readStream.option("recursiveFileLookup", "true")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     number = F.regexp_extract(F.regexp_extract("_metadata.file_path", "[^/]+$", 0), "([0-9]+)[^0-9]*$", 1)
-    files = reader.text(path).select("value", event_source.directory_name().alias("_dir"), F.col("_metadata.file_path").alias("_file"),
+    files = reader.text(path, wholetext=True).select("value", event_source.directory_name().alias("_dir"), F.col("_metadata.file_path").alias("_file"),
                                      F.coalesce(number.try_cast("bigint"), F.lit(0)).alias("_number"))
     lines = files.select("_dir", "_file", "_number", F.posexplode(F.split("value", "\n")).alias("_line", "value"))
     return event_source.parsed_lines(lines).withColumn(

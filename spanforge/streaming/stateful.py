@@ -36,6 +36,11 @@ def _ordered(frames: Iterator[pd.DataFrame], *columns: str) -> list[np.ndarray]:
     return [ords[order], *(c[order] for c in rest)]
 
 
+def _frame(columns: dict) -> pd.DataFrame:
+    """The columns as a frame; one without rows has no types of its own."""
+    return pd.DataFrame(columns) if len(columns["session_key"]) else pd.DataFrame([], columns=list(columns))
+
+
 def _gaps(seq: np.ndarray, top: int | None) -> tuple[np.ndarray, np.ndarray, int | None]:
     """Rows that skip ahead of the largest number before them, those numbers, and the largest of all."""
     if not len(seq):
@@ -56,7 +61,7 @@ class _Gaps(StatefulProcessor):
         at, before, top = _gaps(seq, self.top.get()[0] if self.top.exists() else None)
         if top is not None:
             self.top.update((top,))
-        yield pd.DataFrame({"session_key": [key[0]] * len(at), "event_ord": ords[at], "expected": before + 1, "got": seq[at]})
+        yield _frame({"session_key": [key[0]] * len(at), "event_ord": ords[at], "expected": before + 1, "got": seq[at]})
 
     def close(self) -> None:
         pass
@@ -77,7 +82,7 @@ class _Feed(_Gaps):
         if top is not None:
             self.top.update((top,))
         marks = [gap_line(key[0], int(b) + 1, int(s)) for b, s in zip(before, seq[at])]
-        yield pd.DataFrame({"session_key": [key[0]] * (len(ords) + len(at)), "event_ord": np.concatenate([ords, ords[at]]),
+        yield _frame({"session_key": [key[0]] * (len(ords) + len(at)), "event_ord": np.concatenate([ords, ords[at]]),
                             "side": [1] * len(ords) + [0] * len(at), "line": [*lines, *marks]}).sort_values(["event_ord", "side"])
 
 
@@ -172,7 +177,7 @@ class _Rolling(StatefulProcessor):
         self.samples.put([(int(t), n, int(g), int(c)) for t, n, g, c in kept.itertuples(index=False)])
         self.newest.update((int(newest),))
         best = kept.groupby("name", as_index=False)[["ns", "count"]].sum().sort_values(["ns", "name"], ascending=[False, True])[:self.n]
-        yield pd.DataFrame({"session_key": key[0], "at_ns": int(newest), "rank": np.arange(1, len(best) + 1), "name": best["name"].to_numpy(),
+        yield _frame({"session_key": [key[0]] * len(best), "at_ns": int(newest), "rank": np.arange(1, len(best) + 1), "name": best["name"].to_numpy(),
                             "gpu_ns": best["ns"].to_numpy(), "count": best["count"].to_numpy()})
 
     def close(self) -> None:

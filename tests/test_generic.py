@@ -145,3 +145,17 @@ def test_nearest_rank_rounds_half_up(spark):
     assert (r["p50"], r["p95"], r["max_value"]) == (30, 40, 40)
     neg = spark.createDataFrame([("s", v) for v in (-900, -5, -4, 0, 7)], "k string, v bigint")
     assert sequences.nearest_rank(neg, keys=["k"], value="v", probs={"p50": 0.5}).first()["p50"] == -4
+
+
+def test_two_level_allocation(spark):
+    from spanforge.operators import gpu
+
+    roots = spark.createDataFrame([(1, 1000), (2, 10)], "b long, total long")
+    parents = spark.createDataFrame([(1, 0, 400, False), (1, 1, 0, False), (1, 2, None, False), (1, 3, None, True), (2, 0, 50, False), (2, 1, None, False), (2, 9, None, False)],
+                                    "b long, e long, exact_ns long, sampled boolean")
+    children = spark.createDataFrame([(1, 0, 0, 3, None), (1, 0, 1, 1, 7), (1, 1, 0, 1, None), (1, 2, 0, 1, None), (1, 2, 1, 1, None), (1, 3, 0, 5, 77), (1, 3, 1, 5, None),
+                                      (2, 0, 0, 1, None), (2, 1, 0, 1, None)], "b long, e long, d long, n long, exact_ns long")
+    outer, inner = gpu.allocate_levels(roots, parents, children, root_key=["b"], parent_key=["b", "e"], total="total", weight="n")
+    assert sorted(map(tuple, outer.collect()), key=str) == sorted([(1, 0, 400), (1, 1, 200), (1, 2, 400), (1, 3, None), (2, 0, 50), (2, 1, 0), (2, 9, 0)], key=str)
+    got = {(r.b, r.e, r.d): r.allocated_ns for r in inner.collect()}
+    assert got == {(1, 0, 0): 300, (1, 0, 1): 100, (1, 1, 0): 200, (1, 2, 0): 200, (1, 2, 1): 200, (1, 3, 0): 77, (1, 3, 1): 0, (2, 0, 0): 50, (2, 1, 0): 0}

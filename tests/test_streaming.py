@@ -107,8 +107,80 @@ def test_events_per_second(spark, log, feed_dir, tmp_path):
 
 
 def test_incident_slices(spark, log, feed_dir, tmp_path):
-    got = run(spark, feeds.incident_slices(feeds.live_events(spark, feed_dir, max_files=1), seconds=2, delay="1 minute"), "slices", tmp_path)
+    got = run(spark, feeds.incident_slices(feeds.live_events(spark, feed_dir, max_files=1), host=None, seconds=2, delay="1 minute"), "slices", tmp_path)
     fail = log.where("error_code = 3").first()["ts_wall_ns"]
     want = log.where(F.col("ts_wall_ns").between(fail - 2 * S, fail)).count()
     # event time is in microseconds, so events a few ns after the failure share its instant
     assert want <= got.count() <= want + 2
+
+
+def test_positions_by_file_and_place_and_damaged_lines(spark, tmp_path):
+    """Lines without stored positions get one; bad lines come out of a feed of their own."""
+    line = lambda n: json.dumps({"ts_mono_ns": n, "ts_wall_ns": n, "session_id": "a", "source": "Mark", "seq": n, "payload": {"kind": "Mark", "label": f"m{n}"}})
+    d = tmp_path / "feed" / "s1"
+    d.mkdir(parents=True)
+    (d / "events-2.jsonl").write_text("\n".join([line(1), "{broken", line(2)]) + "\n")
+    (d / "events-10.jsonl").write_text(line(3) + "\n" + '{"ts_mo')
+    got = run(spark, feeds.live_events(spark, str(tmp_path / "feed"), max_files=1), "placed", tmp_path)
+    assert rows(got, "event_ord", "label", "session_key") == [(2 << 32, "m1", "s1"), ((2 << 32) + 2, "m2", "s1"), (10 << 32, "m3", "s1")]
+    bad = run(spark, feeds.damaged_lines(spark, str(tmp_path / "feed")), "bad", tmp_path)
+    assert rows(bad, "event_ord", "line", "reason") == [((2 << 32) + 1, "{broken", "damaged"), ((10 << 32) + 1, '{"ts_mo', "damaged")]
+
+
+def test_change_feed_has_marks_in_place(spark, log, feed_dir, tmp_path):
+    got = run(spark, stateful.change_feed(feeds.live_events(spark, feed_dir, max_files=1)), "changes", tmp_path)
+    lines = [(r.event_ord, r.side, json.loads(r.line)) for r in got.where("session_key = 'a'").orderBy("event_ord", "side").collect()]
+    marks = [x for x in lines if x[1] == 0]
+    assert marks == [(11, 0, {"gap": True, "session_key": "a", "expected": 11, "got": 14, "skipped": 3})]
+    assert [o for o, side, _ in lines if side] == list(range(1, 32)) and all(x["event_ord"] == o for o, side, x in lines if side)
+
+
+def test_rolling_ops_match_batch(spark, log, feed_dir, tmp_path):
+    feed = feeds.live_events(spark, feed_dir, max_files=1)
+    got = run(spark, stateful.hot_ops(feed, window_ns=5 * S, top_n=3), "rolling", tmp_path)
+    newest = got.agg(F.max("at_ns")).first()[0]
+    assert rows(got.where(F.col("at_ns") == newest), "rank", "name", "gpu_ns", "count") == rows(live.hot_ops(log, window_ns=5 * S, top_n=3), "rank", "name", "gpu_ns", "count")
+
+
+def test_pages_of_the_queue_index(spark, tmp_path, monkeypatch):
+    """Many buffers in flight over several batches; the oldest leaves late, others early."""
+    monkeypatch.setattr(stateful._Queue, "PAGE", 3)
+    parts = [Log("q") for _ in range(3)]
+    n = 0
+    for k, part in enumerate(parts):
+        for i in range(8):
+            part.commit(100 * k + i, 10 * k + i, depth=i)
+        for cb in ([3, 1], [0, 2, 4, 12], [5, 6, 7, 10, 11, 27])[k]:
+            part.done(100 * k + 50 + cb, cb)
+        for r in part.rows:
+            n += 1
+            r["event_ord"] = r["seq"] = n
+    out = tmp_path / "log"
+    want = []
+    for k in range(3):
+        frame(spark, parts[k]).coalesce(1).write.mode("append").parquet(str(out))
+        feed = spark.readStream.schema(frame(spark, parts[0]).schema).parquet(str(out)).withColumn("event_time", feeds.wall_time())
+        stateful.use_state_store(spark)
+        (stateful.queue_state(feed).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "pages"))
+         .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(str(tmp_path / f"out/batch={n}"))).trigger(availableNow=True).start().awaitTermination())
+        got = spark.read.parquet(str(tmp_path / "out"))
+        want.append(rows(live.queue_state(spark.read.parquet(str(out))), "depth", "in_flight", "oldest_cb_id", "oldest_commit_ts"))
+        last = got.orderBy(F.col("event_ord").desc()).limit(1)
+        assert rows(last, "depth", "in_flight", "oldest_cb_id", "oldest_commit_ts") == want[-1]
+    assert len({w[0][2] for w in want}) == 3
+
+
+def test_replayed_batches_change_nothing(spark, log, tmp_path):
+    sink = feeds.DeltaSink(str(tmp_path / "deltas"), top_n=2)
+    parts = [log.where(c) for c in ("event_ord <= 9", "event_ord > 9 AND event_ord <= 20", "event_ord > 20")]
+    for k, part in enumerate(parts):
+        sink(part, k)
+    read = lambda: [sorted(map(str, sink.read(spark, p).collect())) for p in ("state", "totals", "by_kind", "top_ops", "model_loads")]
+    before = read()
+    sink(parts[1], 1)
+    sink(parts[2], 2)
+    assert read() == before
+    whole = live.delta_summary(log, 20)["totals"].where("session_key = 'a'").first()
+    last = sink.read(spark, "totals").where("session_key = 'a' AND batch = 2").first()
+    for c in ("cursor", "prev_cursor", "new_events", "elapsed_ns", "new_cbs", "gpu_ns_added", "current_bytes", "peak_bytes_session"):
+        assert last[c] == whole[c], c
