@@ -66,13 +66,17 @@ def owned_tables(tables: list[str]) -> Iterator[list[str]]:
     """Within this, ``tables`` gets the path of every intermediate table that is written.
 
     They are needed as long as a frame that was made within it is still to be run, or
-    run again; ``delete_tables`` is for their owner to call after that.
+    run again; ``delete_tables`` is for their owner to call after that.  An owner around
+    this one gets them too.
     """
+    around = _OWNERS.get()
     token = _OWNERS.set(tables)
     try:
         yield tables
     finally:
         _OWNERS.reset(token)
+        if around is not None:
+            around += [t for t in tables if t not in around]
 
 
 def delete_tables(spark: SparkSession, tables: list[str]) -> None:
