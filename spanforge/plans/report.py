@@ -137,23 +137,49 @@ def root_cause_row(findings: DataFrame) -> DataFrame:
 
 
 class Breakdown:
-    """Everything the scope breakdown is made of, for all sessions of a log."""
+    """Everything the scope breakdown is made of, for all sessions of a log; each part is made when it is asked for."""
 
     def __init__(self, events: DataFrame, *, grace_ns: int = pairing.ASYNC_GRACE_NS,
                  cell: int = gpu.DEFAULT_CELL_NS, chunk: Column | None = None):
-        self.events = events
-        self.calls = pairing.scope_calls(events, chunk=chunk)
-        self.scopes = pairing.scope_windows(events, calls=self.calls)
-        self.evals = pairing.eval_windows(events, grace_ns=grace_ns, chunk=chunk)
-        self.cbs = gpu.cb_events(events, chunk=chunk)
-        self.ops_events = gpu.clamped_ops(self.cbs, chunk=chunk)
-        self.buffers = cut_lineage(gpu.command_buffers(events, cbs=self.cbs, ops=self.ops_events))
-        self.attributed = gpu.attributed_buffers(
-            events, grace_ns=grace_ns, cell=cell, calls=self.calls, evals=self.evals, buffers=self.buffers,
-            scopes=self.scopes)
-        self.totals = gpu.scope_totals(self.attributed, self.evals, self.calls)
-        self.ops = gpu.node_ops(self.attributed)
-        self.chunk = chunk
+        self.events, self.grace_ns, self.cell, self.chunk = events, grace_ns, cell, chunk
+
+    @cached_property
+    def calls(self) -> DataFrame:
+        # the scopes, the totals and the attribution read the calls
+        return cut_lineage(pairing.scope_calls(self.events, chunk=self.chunk))
+
+    @cached_property
+    def scopes(self) -> DataFrame:
+        return pairing.scope_windows(self.events, calls=self.calls)
+
+    @cached_property
+    def evals(self) -> DataFrame:
+        return cut_lineage(pairing.eval_windows(self.events, grace_ns=self.grace_ns, chunk=self.chunk))
+
+    @cached_property
+    def cbs(self) -> DataFrame:
+        return gpu.cb_events(self.events, chunk=self.chunk)
+
+    @cached_property
+    def ops_events(self) -> DataFrame:
+        return gpu.clamped_ops(self.cbs, chunk=self.chunk)
+
+    @cached_property
+    def buffers(self) -> DataFrame:
+        return cut_lineage(gpu.command_buffers(self.events, cbs=self.cbs, ops=self.ops_events))
+
+    @cached_property
+    def attributed(self) -> DataFrame:
+        return gpu.attributed_buffers(self.events, grace_ns=self.grace_ns, cell=self.cell, calls=self.calls, evals=self.evals,
+                                      buffers=self.buffers, scopes=self.scopes)
+
+    @cached_property
+    def totals(self) -> DataFrame:
+        return gpu.scope_totals(self.attributed, self.evals, self.calls)
+
+    @cached_property
+    def ops(self) -> DataFrame:
+        return gpu.node_ops(self.attributed)
 
     @cached_property
     def tree(self) -> DataFrame:
