@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from spanforge.operators.scan import prefix_scan, with_running
+from spanforge.operators.scan import CHUNK_ROWS, chunk_of, prefix_scan, ranked, with_running
 from spanforge.schema import NS_PER_SEC
 
 
@@ -64,13 +64,14 @@ def changes_only(df: DataFrame, *, keys: list[str], order: str, value: str,
     return rows.where(F.col("_p").isNull() | ~F.col("_p.v").eqNullSafe(F.col(value))).drop("_p")
 
 
-def cumulative(df: DataFrame, *, keys: list[str], order: list[str], value: str, name: str,
-               chunk: Column | None = None) -> DataFrame:
-    return with_running(df, keys, order, {name: ("sum", F.col(value))}, chunk=chunk)
+def cumulative(df: DataFrame, *, keys: list[str], order: list[str], value: str, name: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Running sum in any order; chunks are of positions, so a burst in time is cut like any other rows."""
+    rows = ranked(df, keys, order, "_pos")
+    return with_running(rows, keys, ["_pos"], {name: ("sum", F.col(value))}, chunk=chunk_of("_pos", chunk_rows)).drop("_pos")
 
 
 def stacked_bands(loads: DataFrame, unloads: DataFrame, *, keys: list[str], band: str, ts: str,
-                  order: str, size: str, chunk: Column | None = None) -> DataFrame:
+                  order: str, size: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Bytes per band over time: +size at a load, minus the band's last load size at an unload.
 
     The running sum may dip below 0; only the shown value is floored.
@@ -79,9 +80,8 @@ def stacked_bands(loads: DataFrame, unloads: DataFrame, *, keys: list[str], band
     ups = loads.select(*keys, band, ts, order, F.lit(0).alias("_side"), F.col(size).alias("_d"))
     downs = unloads.join(last, keys + [band], "left").select(
         *keys, band, ts, order, F.lit(1).alias("_side"), (-F.coalesce("_last", F.lit(0))).alias("_d"))
-    rows = ups.unionByName(downs)
+    rows = cumulative(ups.unionByName(downs), keys=keys + [band], order=[ts, "_side", order], value="_d", name="_s", chunk_rows=chunk_rows)
     start = rows.groupBy(*keys).agg(F.min(ts).alias("_t0"))
-    rows = with_running(rows, keys + [band], [ts, "_side", order], {"_s": ("sum", F.col("_d"))}, chunk=chunk)
     return rows.join(start, keys).select(
         *keys, band, order, (F.col(ts) - F.col("_t0")).alias("t_rel"),
         F.greatest(F.lit(0), F.col("_s")).cast("bigint").alias("bytes"))

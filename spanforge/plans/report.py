@@ -10,7 +10,7 @@ from spanforge.functions.labels import kill_reason_text
 from spanforge.functions.text import decimal_gb
 from spanforge.operators import diff, gpu, memory, pairing, reports, sequences, tree
 from spanforge.plans import rules as R
-from spanforge.schema import FINDING_COLUMNS
+from spanforge.schema import FINDING_COLUMNS, NS_PER_SEC
 from spanforge.session_conf import cut_lineage
 
 KILL_POS, CRASH_POS, PRESUMED_POS = -2, -1, 1000
@@ -210,14 +210,14 @@ class Breakdown:
 
 
 def memory_response(events: DataFrame, *, cell: int = gpu.DEFAULT_CELL_NS, grace_ns: int = pairing.ASYNC_GRACE_NS,
-                    bucket_seconds: int = 10) -> dict[str, DataFrame]:
+                    bucket_seconds: int = 10, gap_ns: int = 5 * NS_PER_SEC) -> dict[str, DataFrame]:
     """Scope memory, heap, timeline, windows, footprint, allocator, and notes for empty ones."""
-    scopes = pairing.scope_windows(events)
+    scopes = cut_lineage(pairing.scope_windows(events))
     out = {
         "scope_memory": memory.scope_memory(events, grace_ns=grace_ns, cell=cell, scopes=scopes),
         "heap_memory": memory.scope_heap(events, grace_ns=grace_ns, cell=cell, scopes=scopes),
         "timeline": memory.memory_timeline(events, bucket_seconds=bucket_seconds),
-        "windows": memory.timeline_windows(events, scopes=scopes),
+        "windows": memory.timeline_windows(events, scopes=scopes, gap_ns=gap_ns),
         "process_footprint": memory.footprint_summary(events),
         "allocator": memory.allocator_summary(events),
     }

@@ -205,8 +205,7 @@ def f6_changes_only(spark, sf):
   FROM ev WHERE typ='signup'"""))
 def f7_cumulative_counter(spark, sf):
     e = ev(spark, sf).where(F.col("typ") == "signup").withColumn("model", F.col("k") % 4)
-    return sequences.cumulative(e, keys=["session_key", "model"], order=["t", "event_ord"], value="cents", name="bytes",
-                                chunk=chunk_of("t", 1 << 40)).select("session_key", "model", "event_ord", "bytes")
+    return sequences.cumulative(e, keys=["session_key", "model"], order=["t", "event_ord"], value="cents", name="bytes").select("session_key", "model", "event_ord", "bytes")
 
 
 @query("f8_stacked_bands", with_sql(EV + """,
@@ -220,8 +219,7 @@ def f7_cumulative_counter(spark, sf):
   FROM a JOIN t0 USING (session_key)"""))
 def f8_stacked_bands(spark, sf):
     e = ev(spark, sf).withColumn("band", F.col("k") % 3)
-    return sequences.stacked_bands(e.where(_typ("click")), e.where(_typ("view")), keys=["session_key"], band="band", ts="t", order="event_ord",
-                                   size="cents", chunk=chunk_of("t", 1 << 40))
+    return sequences.stacked_bands(e.where(_typ("click")), e.where(_typ("view")), keys=["session_key"], band="band", ts="t", order="event_ord", size="cents")
 
 
 @query("f9_saturating_depth", with_sql(EV + """,

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from spanforge.operators import diff, filters, gpu, memory, pairing, tree
 from spanforge.operators.scan import chunk_of
 from spanforge.plans import report, rules
-from spanforge.queries.registry import query
+from spanforge.queries.registry import ORACLES, query
 from spanforge.queries.views import (ATTRIB, BUFFERS, GRACE_NS, HOUR_NS, TL, TREE, WINDOWS, trace_log, with_sql)
 
 CELL = 8 * HOUR_NS
@@ -400,6 +402,24 @@ def k6_memory_notes(spark, sf):
     return notes.select("session_key", F.when(F.col("note").contains("captured"), 1).otherwise(0).alias("has_gpu"))
 
 
+_MEMORY = {"scope_memory": ("e9_scope_memory", "qualname", "peak_bytes"), "heap_memory": ("e10_scope_heap", "qualname", "peak_heap_bytes"),
+           "timeline": ("e13_memory_timeline", "t_start_s", "device_alloc_bytes"), "windows": ("e13_timeline_windows", "peak_scope", "peak_bytes"),
+           "process_footprint": ("e12_footprint_summary", "name", "peak_bytes"), "allocator": ("e11_allocator_summary", "sample_count", "peak_active_bytes"),
+           "notes": ("k6_memory_notes", "'note'", "0")}
+
+
+@query("k6_memory_response", " UNION ALL ".join(
+    f"SELECT '{part}' AS part, session_key, CAST({name} AS VARCHAR) AS name, CAST({value} AS BIGINT) AS value FROM ({ORACLES[oracle]})"
+    for part, (oracle, name, value) in _MEMORY.items()))
+def k6_memory_response(spark, sf):
+    """All seven parts of the memory response: each row's name and main figure."""
+    parts = report.memory_response(trace_log(spark, sf), cell=CELL, grace_ns=GRACE_NS, bucket_seconds=BUCKET_S, gap_ns=GAP)
+    shown = lambda c: F.lit(c[1:-1]) if c.startswith("'") else F.col(c)
+    rows = [parts[part].select(F.lit(part).alias("part"), "session_key", shown(name).cast("string").alias("name"),
+                               (F.lit(0) if value == "0" else F.col(value)).cast("bigint").alias("value")) for part, (_, name, value) in _MEMORY.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query("d14_scopes_only_in_b", with_sql(_SCOPEMAP, """
   SELECT pair_id, qualname, gpu_ns FROM pr JOIN smap r ON r.session_key=pr.sb WHERE NOT EXISTS (SELECT 1 FROM smap x WHERE x.session_key=pr.sa AND x.qualname=r.qualname)"""))
 def d14_scopes_only_in_b(spark, sf):
