@@ -5,14 +5,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from spanforge.session_conf import cut_lineage, shared_folder
+from spanforge.session_conf import cut_lineage, delete_tables, owned_tables, shared_folder
 
-__all__ = ["added", "bytes_of", "cut_lineage", "documents", "drop_rows", "id_and_text", "in_chunks", "named", "numbered", "partitions",
-           "row_base", "shared_path", "slices", "texts_of"]
+__all__ = ["Scratch", "added", "bit_map", "bytes_of", "cut_lineage", "documents", "drop_rows", "id_and_text", "in_chunks", "map_bits", "named",
+           "numbered", "partitions", "row_base", "shared_path", "slices", "small_batches", "texts_of"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,9 +42,56 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def drop_rows(docs: DataFrame, name: str, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose numbers ``dropped`` holds in its column row, and without the numbers."""
-    gone = dropped.select(F.col("row").alias("_gone"))
-    return docs.join(gone, named(name) == gone["_gone"], "left_anti").drop(name)
+    """``docs`` without the rows whose numbers ``dropped`` holds in its column row, and without the numbers.
+
+    The numbers are written first, so their size is known when the join is planned: Spark sends
+    them to all tasks while they are below its broadcast threshold, and then no text is
+    shuffled; beyond it both sides are.
+    """
+    gone = cut_lineage(dropped.select(F.col("row").alias("_gone")).distinct())
+    return docs.join(gone, named(name) == F.col("_gone"), "left_anti").drop(name)
+
+
+class Scratch:
+    """An intermediate table that its operator deletes as soon as the tables after it are written."""
+
+    def __init__(self, df: DataFrame):
+        self.tables: list[str] = []
+        with owned_tables(self.tables):
+            self.df = cut_lineage(df)
+
+    def drop(self) -> None:
+        delete_tables(self.df.sparkSession, self.tables)
+
+
+def map_bits(n: int) -> int:
+    """Size of a map of bits for ``n`` things, so that few others hit one: 16 bits for each, 16 MiB at most."""
+    return 1 << min(27, max(20, (16 * n).bit_length()))
+
+
+def bit_map(places: DataFrame, size: int) -> bytes:
+    """The bits whose numbers, below ``size``, the column ``at`` has, as little-endian words."""
+    words = places.groupBy(F.call_function("div", F.col("at"), F.lit(32)).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 32).cast("int"))).alias("bits"))
+
+    def packed(key: tuple, rows: pa.Table) -> pa.Table:
+        out = np.zeros(_MAP_WORDS, dtype="<u4")
+        out[rows.column("word").to_numpy() % _MAP_WORDS] = rows.column("bits").to_numpy()
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([out.tobytes()], pa.binary())})
+
+    parts = words.withColumn("part", F.call_function("div", F.col("word"), F.lit(_MAP_WORDS))).groupBy("part").applyInArrow(packed, "part long, data binary")
+    out = bytearray(size // 8)
+    for part, data in parts.collect():
+        out[4 * _MAP_WORDS * part:4 * _MAP_WORDS * (part + 1)] = data
+    return bytes(out[:size // 8])
+
+
+_MAP_WORDS = 1 << 13
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows that Spark hands to Python at once: texts are long, and a batch is held on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -91,14 +137,15 @@ def added(parts: DataFrame, dtype: str) -> np.ndarray:
     """
     fan = max(4, 2 * math.isqrt(partitions(parts.sparkSession)))
 
-    def add(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.frombuffer(pdf["data"].iloc[0], dtype).copy()
-        for more in pdf["data"].iloc[1:]:
-            total += np.frombuffer(more, dtype)
-        return pd.DataFrame({"chunk": [int(key[0])], "data": [total.tobytes()]})
+    def add(key: tuple, rows: pa.Table) -> pa.Table:
+        first, *others = (np.frombuffer(d.as_buffer(), dtype) for d in rows.column("data"))
+        total = first.copy()
+        for more in others:
+            total += more
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
 
-    some = parts.groupBy("chunk", F.pmod("task", F.lit(fan)).alias("s")).applyInPandas(add, "chunk int, data binary")
-    got = sorted(map(tuple, some.groupBy("chunk").applyInPandas(add, "chunk int, data binary").collect()))
+    some = parts.groupBy("chunk", F.pmod("task", F.lit(fan)).alias("s")).applyInArrow(add, "chunk int, data binary")
+    got = sorted(map(tuple, some.groupBy("chunk").applyInArrow(add, "chunk int, data binary").collect()))
     return np.frombuffer(b"".join(d for _, d in got), dtype)
 
 

@@ -13,8 +13,8 @@ What an owner holds is a range of the fingerprints (8 bytes each), never a group
 rows: a hot text is one code per sender.
 
 Defined cases: a null text counts as empty; null ids sort below all others; rows that
-repeat an id and a text are copies of each other and one of them stays; an empty
-table gives an empty result; columns other than the id and the text are not read.
+repeat an id and a text are copies of each other and one of them stays (the later by row);
+texts of any length are hashed and compared whole; an empty table gives an empty result; columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -22,16 +22,15 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from spanforge.llm import golomb
-from spanforge.llm.common import bytes_of, cut_lineage, drop_rows, id_and_text, numbered, partitions, row_base
+from spanforge.llm.common import bit_map, bytes_of, cut_lineage, drop_rows, id_and_text, map_bits, numbered, partitions, row_base
 
 BITS = 48
-#: Bits of the filter that is sent to all tasks before the texts of suspects are read again (1 MiB).
-FILTER_BITS = 1 << 23
+#: Fingerprints that one owner decodes, about (8 bytes each, for each sender that has them).
+OWNER_ROWS = 1 << 22
 SALTS = 32
 
 _STAGE = ("row long, doc_id long, text_sha256 string, fp long, sender int, owner int, codes binary, repeats binary")
@@ -75,14 +74,14 @@ def _senders(owners: int, bits: int):
     return run
 
 
-def _answer(messages: pd.DataFrame) -> pd.DataFrame:
+def _answer(messages: pa.Table) -> pa.Table:
     """An owner's reply: for each sender a bitmap over the fingerprints it sent."""
-    lists = [golomb.decode(c) for c in messages["codes"]]
-    own = [np.unpackbits(np.frombuffer(r, np.uint8), count=len(v)).astype(bool) for v, r in zip(lists, messages["repeats"])]
+    lists = [golomb.decode(c) for c in messages.column("codes").to_pylist()]
+    own = [np.unpackbits(np.frombuffer(r, np.uint8), count=len(v)).astype(bool) for v, r in zip(lists, messages.column("repeats").to_pylist())]
     values, counts = np.unique(np.concatenate(lists), return_counts=True)
     shared = values[counts > 1]
     bitmaps = [np.packbits(np.isin(v, shared, assume_unique=True) | r).tobytes() for v, r in zip(lists, own)]
-    return pd.DataFrame({"sender": messages["sender"], "owner": messages["owner"], "bitmap": bitmaps})
+    return pa.table({"sender": messages.column("sender"), "owner": messages.column("owner"), "bitmap": pa.array(bitmaps, pa.binary())})
 
 
 def _suspected(batches):
@@ -102,24 +101,13 @@ def _texts(filter_, bits: int):
         for batch in batches:
             texts = [t.lower() for t in bytes_of(batch.column(1))]
             fps = np.fromiter((_fp(hashlib.sha256(t).digest(), bits) for t in texts), dtype=np.int64, count=len(texts))
-            at = fps % FILTER_BITS
+            at = fps % (8 * len(mask))
             hit = np.flatnonzero((mask[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
             yield pa.record_batch([pa.array(fps[hit]), pa.array([texts[i] for i in hit], pa.binary())], names=["fp", "bytes"])
 
     return run
 
 
-def _filter(suspects: DataFrame) -> bytes:
-    """Set bits of all suspected fingerprints, in a map of a fixed size."""
-    bit = F.col("fp") % FILTER_BITS
-    words = (suspects.groupBy(F.floor(bit / 32).alias("word"))
-             .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 32).cast("int"))).alias("bits")).collect())
-    out = np.zeros(FILTER_BITS // 32, dtype="<u4")
-    for word, bits in words:
-        out[word] = bits
-    return out.tobytes()
-
-
 def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None,
                      owners: int | None = None, bits: int = BITS) -> DataFrame:
     """One row per document: row, doc_id, keep_id, group_size, kept, text_sha256.
@@ -131,13 +119,15 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     docs = id_and_text(docs, id_col, text_col, row_col)
-    stage = cut_lineage(docs.mapInArrow(_senders(owners or partitions(spark), bits), _STAGE))
+    owners = owners or max(partitions(spark), -(-docs.count() // OWNER_ROWS))
+    stage = cut_lineage(docs.mapInArrow(_senders(owners, bits), _STAGE))
     rows = stage.where(F.col("row").isNotNull()).select("row", "doc_id", "text_sha256", "fp", "sender")
     messages = stage.where(F.col("owner").isNotNull()).select("sender", "owner", "codes", "repeats")
-    answers = messages.groupBy("owner").applyInPandas(_answer, "sender int, owner int, bitmap binary")
+    answers = messages.groupBy("owner").applyInArrow(_answer, "sender int, owner int, bitmap binary")
     suspected = cut_lineage(messages.join(answers, ["sender", "owner"]).select("sender", "codes", "bitmap")
                             .mapInArrow(_suspected, "sender int, fp long"))
-    filter_ = spark.sparkContext.broadcast(_filter(suspected.select("fp")))
+    size = map_bits(suspected.count())
+    filter_ = spark.sparkContext.broadcast(bit_map(suspected.select((F.col("fp") % size).alias("at")), size))
     # the byte check: equal bytes fall into one group, which tasks reduce before they send it
     groups = (docs.mapInArrow(_texts(filter_, bits), "fp long, bytes binary").groupBy("fp", "bytes")
               .agg(F.count(F.lit(1)).alias("group_size")).where(F.col("group_size") > 1)

@@ -15,7 +15,9 @@ that a map of a fixed size takes for copies are compared as such.  All counts ar
 whose frequency is asked for go to the tasks as a map of a fixed size.
 
 Defined cases: a null text counts as empty; ids may be null or repeat, each row is
-scanned; an empty table gives an empty result.
+scanned; texts of any length are scanned whole; spans of different kinds may overlap and are
+listed each, by start and then kind; of equal texts one counts towards a term's frequency;
+an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from spanforge.llm.common import cut_lineage, id_and_text, named, row_base, slices, texts_of
+from spanforge.llm.common import bit_map, cut_lineage, id_and_text, map_bits, named, row_base, slices, texts_of
 from spanforge.llm.components import salted_join
 
 BASE = ["email", "ip", "card", "phone"]
@@ -40,7 +42,6 @@ TERM = len(BASE)
 REACH = 120
 #: Contexts that a term must share with an entity, and the shares of its information from which it goes.
 SUPPORT, GENERALISE, REMOVE = 3, 0.75, 0.9
-FILTER_BITS = 1 << 23
 
 _LOCAL = "".join(map(chr, range(128))).translate({i: None for i in range(128) if not re.match(r"[A-Za-z0-9._%+-]", chr(i))})
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -150,13 +151,13 @@ def _frequencies(wanted, copied=None):
             again = []
             for text in texts_of(batch.column(0)):
                 if copied:
-                    at = _seal(text) % FILTER_BITS
+                    at = _seal(text) % (8 * len(copies))
                     if copies[at >> 3] >> (at & 7) & 1:
                         again.append(text)
                         continue
                 counts[""] = counts.get("", 0) + 1
                 for term in set(_TERM.findall(text.lower())):
-                    at = zlib.crc32(term.encode()) % FILTER_BITS
+                    at = zlib.crc32(term.encode()) % (8 * len(mask))
                     if mask[at >> 3] >> (at & 7) & 1:
                         counts[term] = counts.get(term, 0) + 1
             if again:
@@ -179,14 +180,9 @@ def _counted(counts: dict[str, int]) -> pa.RecordBatch:
 
 
 def _filter(hashes: DataFrame) -> bytes:
-    """Set bits of the column ``hash``, in a map of a fixed size."""
-    at = F.col("hash") % FILTER_BITS
-    words = hashes.groupBy(F.floor(at / 32).alias("word")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 32).cast("int"))).alias("bits")).collect()
-    out = np.zeros(FILTER_BITS // 32, dtype="<u4")
-    for word, bits in words:
-        out[word] = bits
-    return out.tobytes()
+    """Set bits of the column ``hash``, in a map for as many."""
+    size = map_bits(hashes.count())
+    return bit_map(hashes.select((F.col("hash") % size).alias("at")), size)
 
 
 def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT,
