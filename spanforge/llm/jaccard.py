@@ -27,7 +27,9 @@ Equal sets are one point.  No step draws, caps or drops rows; all work is in bou
 pieces.
 
 Defined cases: null and empty texts have no shingles and no links; null ids sort last
-among a component's ids; repeated rows are copies; an empty table gives an empty result.
+among a component's ids; repeated rows are copies; a text of any length is one set of all its
+shingles; among members that could be a part's pivot the first by row is; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,20 +37,17 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from spanforge.llm.common import bytes_of, cut_lineage, drop_rows, id_and_text, numbered, partitions, row_base, slices
+from spanforge.llm.common import Scratch, bit_map, bytes_of, cut_lineage, drop_rows, id_and_text, map_bits, numbered, partitions, row_base, slices
 from spanforge.llm.components import Forest, components, salted_join
 from spanforge.llm.shingles import Shingler, mix
 
 SKETCH_BITS = 21
 CHUNKS = 32
 GROUPS = 256
-#: Bits of the filter that is sent to all tasks before the sets of candidates are built (1 MiB).
-FILTER_BITS = 1 << 23
 #: Bytes of sets in a tile, about; a task holds two tiles.
 TILE_BYTES = 24 << 20
 LEAF = 16
@@ -62,35 +61,36 @@ def links(overlap: int, a: int, b: int, percent: int) -> bool:
 
 def _count(bits: int):
     def run(batches):
-        shingler, counts, task = Shingler(), np.zeros(1 << bits, dtype=np.int64), row_base() >> 33
+        shingler, counts, task = Shingler(), np.zeros(1 << bits, dtype=np.uint32), row_base() >> 33
         mask = np.uint64((1 << bits) - 1)
         for batch in slices(batches):
             every = np.concatenate(shingler(bytes_of(batch.column(0))) or [np.zeros(0, np.uint64)])
-            counts += np.bincount((every & mask).astype(np.int64), minlength=1 << bits)
+            np.add.at(counts, (every & mask).astype(np.int64), 1)
         if counts.any():
-            parts = np.split(counts.astype(np.uint32), CHUNKS)
+            parts = np.split(counts, CHUNKS)
             yield pa.record_batch([pa.array(np.full(CHUNKS, task, np.int32)), pa.array(np.arange(CHUNKS, dtype=np.int32)),
                                    pa.array([p.tobytes() for p in parts], pa.binary())], names=["task", "chunk", "counts"])
 
     return run
 
 
-def _add(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(len(pdf["counts"].iloc[0]) // 4, dtype=np.uint64)
-    for c in pdf["counts"]:
-        total += np.frombuffer(c, np.uint32)
+def _add(key: tuple, rows: pa.Table) -> pa.Table:
+    first, *others = (np.frombuffer(d.as_buffer(), np.uint32) for d in rows.column("counts"))
+    total = first.astype(np.uint64)
+    for more in others:
+        total += more
     total = np.minimum(total, np.uint64(2**32 - 1)).astype(np.uint32)
-    return pd.DataFrame({"chunk": [int(key[0])], "counts": [total.tobytes()]})
+    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
 def frequency_levels(docs: DataFrame, bits: int = SKETCH_BITS) -> tuple[np.ndarray, np.ndarray, int]:
     """For each bucket of shingles a level, 0 for the rare ones; log2 counts; and the most that a rare one can have."""
     counted = docs.select("text").mapInArrow(_count(bits), "task int, chunk int, counts binary")
     fan = max(4, math.isqrt(partitions(docs.sparkSession)) * 2)
-    some = counted.groupBy("chunk", F.pmod("task", F.lit(fan)).alias("s")).applyInPandas(_add, "chunk int, counts binary")
+    some = counted.groupBy("chunk", F.pmod("task", F.lit(fan)).alias("s")).applyInArrow(_add, "chunk int, counts binary")
     counts = np.zeros(1 << bits, dtype=np.uint32)
     size = (1 << bits) // CHUNKS
-    for chunk, data in some.groupBy("chunk").applyInPandas(_add, "chunk int, counts binary").collect():
+    for chunk, data in some.groupBy("chunk").applyInArrow(_add, "chunk int, counts binary").collect():
         counts[chunk * size:(chunk + 1) * size] = np.frombuffer(data, np.uint32)
     mean = float(np.median(counts))
     limit = int(mean + 6 * math.sqrt(mean) + 8)
@@ -227,7 +227,7 @@ def _sets(wanted):
             for every in shingler(bytes_of(batch.column(0))):
                 own = np.unique(every)
                 key = set_id(own)
-                at = int.from_bytes(key[:8], "big") % FILTER_BITS
+                at = int.from_bytes(key[:8], "big") % (8 * len(mask))
                 if len(own) and mask[at >> 3] >> (at & 7) & 1 and key not in seen:
                     seen.add(key)
                     ids.append(key)
@@ -238,17 +238,14 @@ def _sets(wanted):
 
 
 def _filter(ids: DataFrame) -> bytes:
-    """Set bits of all candidates' sets, in a map of a fixed size."""
+    """Set bits of all candidates' sets."""
+    size = map_bits(ids.count())
 
     def bits(batches):
         for batch in batches:
-            at = np.array([int.from_bytes(k[:8], "big") % FILTER_BITS for k in batch.column(0).to_pylist()], dtype=np.int64)
-            yield pa.record_batch([pa.array(at // 32), pa.array(np.left_shift(np.int64(1), at % 32))], names=["word", "bit"])
+            yield pa.record_batch([pa.array([int.from_bytes(k[:8], "big") % size for k in batch.column(0).to_pylist()], pa.int64())], names=["at"])
 
-    out = np.zeros(FILTER_BITS // 32, dtype="<u4")
-    for word, b in ids.select("set_id").mapInArrow(bits, "word long, bit long").groupBy("word").agg(F.bit_or("bit")).collect():
-        out[word] = b
-    return out.tobytes()
+    return bit_map(ids.select("set_id").mapInArrow(bits, "at long"), size)
 
 
 # --- the tree -------------------------------------------------------------------------
@@ -302,9 +299,9 @@ def _linked_to_pivot(percent: int):
 def _tile_links(percent: int):
     """Links between two tiles, or within one, found in an R-tree; enough of them to span each component."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(s, np.uint64) for s in pdf["shingles"]]
-        ids, tied = pdf["rep"].to_numpy(), pdf["tied"].to_numpy()
+    def run(rows: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in rows.column("shingles")]
+        ids, tied = rows.column("rep").to_numpy(), rows.column("tied").to_numpy().astype(bool)
         sizes = np.array([len(s) for s in sets], dtype=np.int64)
         groups = int(min(2048, max(64, 1 << int(np.median(sizes)).bit_length())))
         vectors = np.stack([vector_of(s, groups) for s in sets]).astype(np.int32)
@@ -318,7 +315,7 @@ def _tile_links(percent: int):
                     forest.union(i, j)
                     a.append(ids[i])
                     b.append(ids[j])
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -335,10 +332,15 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     docs = id_and_text(docs, id_col, text_col, row_col)
     levels, logs, _ = frequency_levels(docs, sketch_bits)
     sketch = spark.sparkContext.broadcast((levels, logs))
-    points = cut_lineage(docs.mapInArrow(_points(sketch, percent, groups), _POINTS))
+    # a table goes as soon as those that are made of it are written
+    every = Scratch(docs.mapInArrow(_points(sketch, percent, groups), _POINTS))
+    sketch.destroy()
+    points = cut_lineage(every.df.select("row", "doc_id", "n", "set_id"))
     # equal sets are one point, known by the number of one of its rows
     reps = points.where("n > 0").groupBy("set_id").agg(F.min("row").alias("row"))
-    own = cut_lineage(points.drop("doc_id").join(reps.select("row"), "row").withColumnRenamed("row", "rep"))
+    distinct = Scratch(every.df.drop("doc_id").join(reps.select("row"), "row").withColumnRenamed("row", "rep"))
+    every.drop()
+    own = distinct.df
 
     rare = own.select(F.explode("rare").alias("h"), "rep").repartition("h").sortWithinPartitions("h", "rep")
     lists = rare.mapInArrow(_lists(), "list long, rep long").distinct()
@@ -347,11 +349,14 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     frequent = own.select(F.explode("frequent").alias("h"), "rep")
     star = salted_join(frequent, frequent.groupBy("h").agg(F.min("rep").alias("b")), ["h"]).select(F.col("rep").alias("a"), "b")
     parts = components(near.unionByName(star)).withColumnsRenamed({"node": "rep", "label": "part"})
-    members = cut_lineage(parts.join(own.select("rep", "set_id", "n", "common"), "rep"))
-
-    wanted = spark.sparkContext.broadcast(_filter(members))
+    bare = Scratch(parts.join(own.select("rep", "set_id", "n", "common"), "rep"))
+    distinct.drop()
+    wanted = spark.sparkContext.broadcast(_filter(bare.df))
     sets = docs.select("text").mapInArrow(_sets(wanted), "set_id binary, shingles binary").groupBy("set_id").agg(F.first("shingles").alias("shingles"))
-    members = cut_lineage(members.join(sets, "set_id"))
+    full = Scratch(bare.df.join(sets, "set_id"))
+    wanted.destroy()
+    bare.drop()
+    members = full.df
 
     # each part's pivot, and how many tiles its sets make
     heads = members.groupBy("part").agg(F.max_by("rep", F.struct("common", -F.col("rep"))).alias("pivot"), F.count(F.lit(1)).alias("size"),
@@ -366,6 +371,7 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     state = state.join(tied.select(F.col("a").alias("rep"), F.col("same").alias("tied")), "rep").withColumn(
         "tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int") * 2 + F.col("tied").cast("int"))
     state = cut_lineage(state)
+    full.drop()
     # tiles of tied members meet only those that hold others
     others = state.where(~F.col("tied")).select("part", F.col("tile").alias("other")).distinct()
     tiles = state.select("part", "tile").distinct().join(others, "part").select(
@@ -373,10 +379,10 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     meets = tiles.unionByName(others.select("part", F.col("other").alias("tile"), F.col("other").alias("i"), F.col("other").alias("j"))).unionByName(
         tiles.select("part", F.when(F.col("tile") == F.col("i"), F.col("j")).otherwise(F.col("i")).alias("tile"), "i", "j")).distinct()
     found = (state.select("part", "tile", "rep", "tied", "shingles").join(meets, ["part", "tile"])
-             .groupBy("part", "i", "j").applyInPandas(_tile_links(percent), "a long, b long"))
+             .groupBy("part", "i", "j").applyInArrow(_tile_links(percent), "a long, b long"))
     linked = components(tied.where("same").select("a", "b").unionByName(found))
 
-    ids = points.select("row", "doc_id", "n", "set_id")
+    ids = points
     all_reps = reps.select("set_id", F.col("row").alias("rep")).join(linked.select(F.col("node").alias("rep"), "label"), "rep", "left")
     all_reps = all_reps.select("set_id", F.coalesce("label", "rep").alias("label"))
     labelled = cut_lineage(salted_join(ids.where("n > 0"), all_reps, ["set_id"]))

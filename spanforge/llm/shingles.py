@@ -2,51 +2,27 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
-import xxhash
+
+from spanforge.llm.hashing import WordHasher, mix
 
 WIDTH = 5
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _WordHash(dict):
-    """64-bit hashes of words; the store starts anew when it is full, which changes no hash."""
-
-    def __init__(self, limit: int):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 class Shingler:
     """Words are what ASCII white space parts, with A-Z in lower case.
 
     A text with fewer words than the width is one shingle, one without words has none.
     """
 
-    def __init__(self, width: int = WIDTH, limit: int = 200_000):
+    def __init__(self, width: int = WIDTH):
         self.width = width
-        self.hashes = _WordHash(limit)
+        self.hashes = WordHasher.of_separators(b" \t\n\v\f\r")
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         """Hashes of all shingles of each text, in order, with repeats."""
-        split = [t.lower().split() for t in texts]
-        sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-        get = self.hashes.__getitem__
-        words = np.fromiter(map(get, chain.from_iterable(split)), dtype=np.uint64, count=int(sizes.sum()))
+        words, _, sizes = self.hashes(texts)
         rolled = words.copy()
         n = max(0, len(words) - self.width + 1)
         if n:
