@@ -327,7 +327,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
         known = np.unique(np.concatenate([*words, np.zeros(0, np.int64)]) & (VOCABULARY - 1))
         some.append(spark.sparkContext.broadcast(Items([r.item for r in got], words, known, idf, latent_basis(block, known, idf))))
         if len(some) == PASS_BLOCKS or b == blocks - 1:
-            found = docs.mapInArrow(_search(some), _FOUND)
+            found = cut_lineage(docs.mapInArrow(_search(some), _FOUND))
+            for block in some:
+                block.destroy()
             out, some = found if out is None else out.unionByName(found), []
     if out is None:
         return spark.createDataFrame([], _FOUND.replace("item long", "item_id long"))

@@ -191,6 +191,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     docs = id_and_text(docs, id_col, text_col, row_col)
     model = spark.sparkContext.broadcast(word_vectors(docs))
     pooled = cut_lineage(docs.mapInArrow(_pooled(model), "row long, doc_id long, features binary"))
+    model.destroy()
     truth = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.max("quality").alias("quality"))
     labelled = (pooled.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).join(truth, "doc_id")
