@@ -11,7 +11,8 @@ stretch in a third of all documents sends one line a task.
 Defined cases: a null or empty text has no lines to remove and stays as it is; null ids
 come first; texts of fewer lines than the window are not touched; repeated rows are
 copies, of which the first one by row stays; windows of blank lines alone count as none;
-an empty table gives an empty result.
+texts and lines of any length are hashed whole; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ running sum of the tasks' counts gives the number that each task starts at.  A l
 shared by a third of all rows is spread over all tasks.
 
 Defined cases: a null or empty text is one piece that holds the end id; repeated rows
-are packed each; ids may be null or repeat; an empty table gives an empty result.
+are packed each; ids may be null or repeat; a text of any length is encoded whole and cut into
+pieces; pieces of one length take their places in the order of their tasks; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

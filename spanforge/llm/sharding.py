@@ -15,8 +15,10 @@ All of it is column expressions.  Only splitters and sums of ranges pass through
 driver, a few thousand numbers for any input.
 
 Defined cases: a null text has no bytes and so size 1; null ids sort first; repeated
-rows are placed each; an empty table gives an empty result.  Equal texts share a shard
-unless one of the seven cuts falls into their group.
+rows are placed each; a text of any length is one row of that size, also if it is larger
+than a shard should be; rows that tie in every key go in any order; an empty table gives an
+empty result; other columns are not read.  Equal texts share a shard unless one of the
+seven cuts falls into their group.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ one that all machines share and that pyarrow knows (local or NFS paths, hdfs, s3
 
 Defined cases: a null or empty text is a document of no tokens; ids may be null or
 repeat; tokens after the last end of a file are an unfinished document and reported as
-such; files without a token, or none at all, give an empty result.
+such; a document may run over any number of blocks; files without a token, or none at all,
+give an empty result; other columns are not read.
 """
 
 from __future__ import annotations
