@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from spanforge.session_conf import cut_lineage, delete_tables, owned_tables, shared_folder
 
 __all__ = ["Scratch", "added", "bit_map", "bytes_of", "cut_lineage", "documents", "drop_rows", "id_and_text", "in_chunks", "map_bits", "named",
-           "numbered", "partitions", "row_base", "shared_path", "slices", "small_batches", "texts_of"]
+           "numbered", "partitions", "release", "row_base", "shared_path", "slices", "small_batches", "texts_of"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +106,15 @@ def slices(batches, rows: int = 500):
             yield batch.slice(at, rows)
 
 
+def release() -> None:
+    """Give the memory that a task has freed back to the system, as workers live on and would keep it from the others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than GNU's
+        pass
+
+
 def texts_of(column: pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 

@@ -41,7 +41,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from spanforge.llm.common import Scratch, bit_map, bytes_of, cut_lineage, drop_rows, id_and_text, map_bits, numbered, partitions, row_base, slices
+from spanforge.llm.common import Scratch, bit_map, bytes_of, cut_lineage, drop_rows, id_and_text, map_bits, numbered, partitions, release, row_base, slices
 from spanforge.llm.components import Forest, components, salted_join
 from spanforge.llm.shingles import Shingler, mix
 
@@ -70,6 +70,7 @@ def _count(bits: int):
             parts = np.split(counts, CHUNKS)
             yield pa.record_batch([pa.array(np.full(CHUNKS, task, np.int32)), pa.array(np.arange(CHUNKS, dtype=np.int32)),
                                    pa.array([p.tobytes() for p in parts], pa.binary())], names=["task", "chunk", "counts"])
+        release()
 
     return run
 
@@ -138,6 +139,7 @@ def _points(sketch, percent: int, groups: int):
             yield pa.record_batch([rows, batch.column(0), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()),
                                    pa.array(cols[2], pa.float64()), _list_array(cols[3]), _list_array(cols[4]), pa.array(cols[5], pa.binary())],
                                   names=[f.split()[0] for f in _POINTS.split(", ")])
+        release()
 
     return run
 
@@ -209,6 +211,7 @@ def _near(percent: int, groups: int):
             yield _edge_batch(out)
         if left is not None:
             yield _edge_batch(edges_of(*left[1:]))
+        release()
 
     return run
 
@@ -233,6 +236,7 @@ def _sets(wanted):
                     ids.append(key)
                     sets.append(own.tobytes())
             yield pa.record_batch([pa.array(ids, pa.binary()), pa.array(sets, pa.binary())], names=["set_id", "shingles"])
+        release()
 
     return run
 

@@ -27,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from spanforge.llm.common import bytes_of, cut_lineage, drop_rows, id_and_text, numbered, partitions, row_base, slices
+from spanforge.llm.common import bytes_of, cut_lineage, drop_rows, id_and_text, numbered, partitions, release, row_base, slices
 from spanforge.llm.hashing import WordHasher
 
 ROWS, DIMS, NONZERO, WINDOW = 1 << 15, 64, 4, 2
@@ -73,8 +73,11 @@ def _contexts(batches):
     if counts.any():
         sums = np.concatenate([flat.reshape(ROWS, DIMS).astype(np.int64), counts[:, None]], axis=1)
         parts = np.split(sums.astype("<i4") if np.abs(sums).max() < 2**31 else sums, CHUNKS)
+        del flat
         yield pa.record_batch([pa.array(np.full(CHUNKS, task, np.int32)), pa.array(np.arange(CHUNKS, dtype=np.int32)),
                                pa.array([p.tobytes() for p in parts], pa.binary())], names=["task", "chunk", "sums"])
+        del sums, parts
+    release()
 
 
 def _add(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -129,6 +132,8 @@ def _pooled(model):
             row += n
             yield pa.record_batch([numbers, batch.column(0), pa.array([f.tobytes() for f in out], pa.binary())],
                                   names=["row", "doc_id", "features"])
+        del table, vectors
+        release()
 
     return run
 
