@@ -11,7 +11,7 @@ A tree over all documents would not prune: the counts of unrelated documents of
 length are alike, and every node overlaps every query.  So the points are first parted
 without loss:
 
-1. A frequency sketch, sized by the bytes of text up to a bound, counts all shingles of all texts.  It orders the
+1. A frequency sketch of a fixed size counts all shingles of all texts.  It orders the
    shingles: rare ones first, then by hash.  Two sets that are similar enough share one
    of the first floor((1 - t) n) + 1 in this order.
 2. A rare shingle is shared by no more documents than the sketch's limit; an R-tree over
@@ -45,8 +45,7 @@ from spanforge.llm.common import Scratch, bit_map, bytes_of, cut_lineage, drop_r
 from spanforge.llm.components import Forest, components, salted_join
 from spanforge.llm.shingles import Shingler, mix
 
-#: Least and largest size of the frequency sketch, which has a bucket for each 16 shingles in between.
-SKETCH_BITS, MOST_SKETCH_BITS = 21, 23
+SKETCH_BITS = 21
 CHUNKS = 32
 GROUPS = 256
 #: Bytes of sets in a tile, about; a task holds two tiles.
@@ -85,12 +84,6 @@ def _add(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def bits_for(docs: DataFrame) -> int:
-    """Size of the sketch for these texts; a word has about six bytes."""
-    shingles = (docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0) / 6
-    return min(MOST_SKETCH_BITS, max(SKETCH_BITS, math.ceil(math.log2(shingles / 16 + 1))))
-
-
 def frequency_levels(docs: DataFrame, bits: int = SKETCH_BITS) -> tuple[np.ndarray, np.ndarray, int]:
     """For each bucket of shingles a level, 0 for the rare ones; log2 counts; and the most that a rare one can have."""
     counted = docs.select("text").mapInArrow(_count(bits), "task int, chunk int, counts binary")
@@ -102,7 +95,7 @@ def frequency_levels(docs: DataFrame, bits: int = SKETCH_BITS) -> tuple[np.ndarr
         counts[chunk * size:(chunk + 1) * size] = np.frombuffer(data, np.uint32)
     mean = float(np.median(counts))
     limit = int(mean + 6 * math.sqrt(mean) + 8)
-    log = np.log2(counts.astype(np.float32) + 1)
+    log = np.log2(counts + 1.0)
     return np.where(counts > limit, np.ceil(log), 0).astype(np.uint8), (log * 8).astype(np.uint8), limit
 
 
@@ -332,7 +325,7 @@ def _tile_links(percent: int):
 
 
 def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None,
-                       percent: int = 80, groups: int = GROUPS, sketch_bits: int | None = None, tile_bytes: int = TILE_BYTES) -> DataFrame:
+                       percent: int = 80, groups: int = GROUPS, sketch_bits: int = SKETCH_BITS, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """One row per document: row, doc_id, n_shingles, component_id, set_id, first_row.
 
     Two documents link when 100 * overlap >= percent * union.  ``component_id`` is the
@@ -341,7 +334,7 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     docs = id_and_text(docs, id_col, text_col, row_col)
-    levels, logs, _ = frequency_levels(docs, sketch_bits or bits_for(docs))
+    levels, logs, _ = frequency_levels(docs, sketch_bits)
     sketch = spark.sparkContext.broadcast((levels, logs))
     # a table goes as soon as those that are made of it are written
     every = Scratch(docs.mapInArrow(_points(sketch, percent, groups), _POINTS))
@@ -349,7 +342,10 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     points = cut_lineage(every.df.select("row", "doc_id", "n", "set_id"))
     # equal sets are one point, known by the number of one of its rows
     reps = points.where("n > 0").groupBy("set_id").agg(F.min("row").alias("row"))
-    distinct = Scratch(every.df.drop("doc_id").join(reps.select("row"), "row").withColumnRenamed("row", "rep"))
+    # the copies are few and their numbers narrow, so the wide rows of the points need not be shuffled for them
+    copies = cut_lineage(salted_join(points.where("n > 0").select("set_id", "row"), reps.withColumnRenamed("row", "_first"), ["set_id"])
+                         .where(F.col("row") != F.col("_first")).select("row"))
+    distinct = Scratch(every.df.where("n > 0").drop("doc_id").join(copies, "row", "left_anti").withColumnRenamed("row", "rep"))
     every.drop()
     own = distinct.df
 
