@@ -67,7 +67,7 @@ def events_per_second(events: DataFrame, *, keep_seconds: int = 60) -> DataFrame
     counts = events.groupBy("session_key", F.call_function("div", F.col("ts_wall_ns"), F.lit(NS_PER_SEC)).alias("second")).agg(
         F.count(F.lit(1)).alias("events"))
     newest = counts.groupBy("session_key").agg(F.max("second").alias("_new"))
-    return counts.join(newest, "session_key").where(F.col("second") >= F.col("_new") - keep_seconds).drop("_new")
+    return counts.join(newest.hint("merge"), "session_key").where(F.col("second") >= F.col("_new") - keep_seconds).drop("_new")
 
 
 def hot_ops(events: DataFrame, *, window_ns: int = 30 * NS_PER_SEC, top_n: int = 10,

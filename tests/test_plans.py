@@ -7,6 +7,7 @@ from spanforge import session_conf
 from spanforge.operators import gpu, memory, pairing, sequences, stab, tree
 from spanforge.operators.scan import chunk_of
 from spanforge.plans import report, rules
+from spanforge.queries.catalogue import QUERIES
 from spanforge.queries.views import trace_log
 from spanforge.sinks import trace
 
@@ -83,3 +84,10 @@ def test_exploded_spans_are_not_broadcast(spark, tmp_path):
             end = next((j for j, x in enumerate(below) if indent(x) <= indent(line)), len(below))
             sent += [x for x in below[:end] if "Generate" in x and "level" in x]
     assert not sent
+
+
+@pytest.mark.parametrize("name", ["m4_events_per_second", "a14_snapshot", "a11_folded_stacks"])
+def test_tables_by_session_are_not_broadcast(spark, name):
+    """A row or more per session grows with the log, so such a table is not sent through the driver."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
