@@ -100,7 +100,7 @@ def queue_state(events: DataFrame) -> DataFrame:
     state = rows.groupBy(*keys).agg(
         F.coalesce(at("queue_depth", commit), F.lit(0)).alias("depth"),
         at("status", done).alias("last_completed_status"), at("error_code", done).alias("last_completed_error"))
-    return state.join(flying, keys, "left").select(
+    return state.join(flying.hint("merge"), keys, "left").select(
         *keys, "depth", F.coalesce("in_flight", F.lit(0).cast("bigint")).alias("in_flight"),
         F.col("o.cb_id").alias("oldest_cb_id"), F.col("o.ts").alias("oldest_commit_ts"),
         "last_completed_status", "last_completed_error")
@@ -145,7 +145,7 @@ def recent_lists(events: DataFrame, *, limits: dict[str, int] | None = None) ->
 def prefix(events: DataFrame, at_ns: int) -> DataFrame:
     """Events up to a time after the session's start, clamped to its duration."""
     start = events.groupBy("session_key").agg(F.min("ts_mono_ns").alias("_t0"))
-    return events.join(start, "session_key").where(F.col("ts_mono_ns") - F.col("_t0") <= max(0, at_ns)).drop("_t0")
+    return events.join(start.hint("merge"), "session_key").where(F.col("ts_mono_ns") - F.col("_t0") <= max(0, at_ns)).drop("_t0")
 
 
 def state_as_of(events: DataFrame, at_ns: int, *, chunk: Column | None = None) -> dict[str, DataFrame]:
@@ -160,6 +160,7 @@ def snapshot(events: DataFrame, at_ns: int) -> DataFrame:
     past = prefix(events, at_ns)
     queues = queue_state(past).groupBy("session_key").agg(F.array_sort(F.collect_list(F.struct(
         "queue_id", "depth", "in_flight", "oldest_cb_id", "last_completed_status", "last_completed_error"))).alias("metal_queues"))
-    return latest_values(past).join(queues, "session_key", "left").join(eval_depth(past), "session_key", "left")
+    # a row per session on either side: all of them lie by session, none is sent to the driver
+    return latest_values(past).join(queues.hint("merge"), "session_key", "left").join(eval_depth(past).hint("merge"), "session_key", "left")
 
 
