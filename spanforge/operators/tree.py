@@ -38,7 +38,8 @@ def _climb(state: DataFrame, keys: list[str], along: dict[str, str], below: dict
     while open_:
         above = state.select(*keys, F.col("_id").alias("_up"), F.col("_up").alias("_next"), F.col("_dead").alias("_lost"),
                              F.col("depth").alias("_far"), *[F.col(n).alias(f"_above_{n}") for n in along], F.lit(True).alias("_hit"))
-        step = state.join(above, keys + ["_up"], "left")
+        # a round's table is as large as the trees; small files of it must not pass the driver in every round
+        step = state.join(above.hint("merge"), keys + ["_up"], "left")
         lost = F.coalesce("_lost", F.col("_up").isNotNull() & F.col("_hit").isNull())
         # a pointer spans one level more than the distance to where the ancestor's own pointer starts
         step = step.select(*keys, "_id", F.col("_next").alias("_up"), (F.col("_dead") | lost).alias("_dead"),
@@ -47,7 +48,7 @@ def _climb(state: DataFrame, keys: list[str], along: dict[str, str], below: dict
         if below:
             gain = state.where(F.col("_up").isNotNull()).groupBy(*keys, F.col("_up").alias("_id")).agg(
                 *[(F.sum(n) if fn == "sum" else F.bool_or(n)).alias(f"_below_{n}") for n, fn in below.items()])
-            step = step.join(gain, keys + ["_id"], "left").withColumns({n: _combined(fn, F.col(n), F.col(f"_below_{n}")) for n, fn in below.items()}).drop(
+            step = step.join(gain.hint("merge"), keys + ["_id"], "left").withColumns({n: _combined(fn, F.col(n), F.col(f"_below_{n}")) for n, fn in below.items()}).drop(
                 *[f"_below_{n}" for n in below])
         state = cut_lineage(step.withColumn("_up", F.when(~F.col("_dead"), F.col("_up"))))
         still, open_ = open_, state.where(F.col("_up").isNotNull()).count()
@@ -78,7 +79,7 @@ def linked_tree(nodes: DataFrame, *, keys: list[str], node: str, parent: str, or
     flat = nodes.select(*keys, F.col(node).alias("_id"), F.col(parent).alias("_parent"), F.col(order).alias("_ord"),
                         *[v.alias(n) for n, (_, v) in values.items()])
     over = flat.select(*keys, F.col("_id").alias("_parent"), F.col("_ord").alias("_before"))
-    linked = flat.join(over, keys + ["_parent"], "left")
+    linked = flat.join(over.hint("merge"), keys + ["_parent"], "left")
     early = F.coalesce(F.col("_before") < F.col("_ord"), F.lit(False))
     state = linked.select(*keys, "_id", F.when(early, F.col("_parent")).alias("_up"), (F.col("_parent").isNotNull() & ~early).alias("_dead"), *values)
     return _climb(state, keys, _functions(along), _functions(below)).withColumnRenamed("_id", node)
@@ -110,20 +111,20 @@ def breakdown_tree(totals: DataFrame) -> DataFrame:
     calls = totals.where(F.col("node_id") != UNSCOPED_ID)
     tree = linked_tree(calls, keys=keys, node="node_id", parent="parent_call_id", order="enter_ord", with_path=False,
                        below={"gpu_ns_subtree": ("sum", F.col("gpu_ns_self"))})
-    linked = calls.join(tree, keys + ["node_id"])
+    linked = calls.join(tree.hint("merge"), keys + ["node_id"])
     unscoped = totals.where(F.col("node_id") == UNSCOPED_ID).withColumns({
         "depth": F.lit(0), "gpu_ns_subtree": F.col("gpu_ns_self")})
     nodes = linked.unionByName(unscoped)
     grand = nodes.where(F.col("depth") == 0).groupBy(*keys).agg(
         F.sum("gpu_ns_subtree").alias("grand_total_ns"))
-    return nodes.join(grand, keys)
+    return nodes.join(grand.hint("merge"), keys)
 
 
 def path_names(tree: DataFrame) -> DataFrame:
     """Add ``path_names``: the qualified names along each node's path."""
     keys = ["session_key"]
     lists = fold_tree(tree, keys=keys, node="node_id", parent="parent_call_id", along={"path_names": ("list", F.array("qualname"))})
-    return tree.join(lists.drop("depth"), keys + ["node_id"])
+    return tree.join(lists.drop("depth").hint("merge"), keys + ["node_id"])
 
 
 def folded_stacks(tree: DataFrame) -> DataFrame:
