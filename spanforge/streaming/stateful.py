@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from spanforge.schema import NS_PER_SEC
@@ -268,59 +268,66 @@ class _Queue(StatefulProcessor):
             "last", "head bigint, tail bigint, n bigint, depth_ord bigint, depth bigint, done_ord bigint, status bigint, error bigint")
 
     def _page(self, k: int) -> list[list[int]]:
-        return json.loads(self.pages.getValue((k,))[0]) if self.pages.containsKey((k,)) else []
+        if k not in self.read:
+            self.read[k] = json.loads(self.pages.getValue((k,))[0]) if self.pages.containsKey((k,)) else []
+        return self.read[k]
+
+    def _flies(self, cb: int) -> tuple[int, int] | None:
+        """(ord, ts) of a buffer's commit, if it is in flight; the state is asked once a batch."""
+        if cb not in self.known:
+            self.known[cb] = tuple(self.flying.getValue((cb,))) if self.flying.containsKey((cb,)) else None
+        return self.known[cb]
 
     def _oldest(self, head: int, tail: int) -> tuple[int, tuple[int, int] | None]:
         """The first page that still counts, and (ts, cb) of the oldest buffer in flight."""
         for k in range(head, tail + 1):
             entries = self._page(k)
             for i, (ord_, cb, ts) in enumerate(entries):
-                if self.flying.containsKey((cb,)) and self.flying.getValue((cb,))[0] == ord_:
+                if (at := self._flies(cb)) is not None and at[0] == ord_:
                     if i:
-                        self.pages.updateValue((k,), (json.dumps(entries[i:]),))
+                        self.read[k], self.changed = entries[i:], self.changed | {k}
                     return k, (ts, cb)
             if k < tail:
                 self.pages.removeKey((k,))
+                self.changed -= {k}
             elif entries:
-                self.pages.updateValue((k,), ("[]",))
+                self.read[k], self.changed = [], self.changed | {k}
         return tail, None
 
     def handleInputRows(self, key, rows, timerValues):
-        head, tail, n, depth_ord, depth, done_ord, status, error = self.last.get() if self.last.exists() else (0, 0, 0, -1, 0, -1, None, None)
+        is_new = not self.last.exists()
+        head, tail, n, depth_ord, depth, done_ord, status, error = (0, 0, 0, -1, 0, -1, None, None) if is_new else self.last.get()
+        self.known, self.read, self.changed = {}, {0: []} if is_new else {}, set()
         ends: dict[int, tuple[int, bool, int]] = {}  # of each buffer the latest row of the batch
         seen = -1
-        for frame in rows:
-            top = frame.loc[frame.groupby("cb_id")["event_ord"].idxmax()]
-            for cb, o, commit, ts in zip(top["cb_id"].tolist(), top["event_ord"].tolist(), top["commit"].tolist(), top["ts_mono_ns"].tolist()):
-                if cb not in ends or o > ends[cb][0]:
-                    ends[cb] = (o, commit, ts)
-            seen = max(seen, int(frame["event_ord"].max()))
-            begun, ended = frame[frame["commit"]], frame[~frame["commit"]]
-            if len(begun) and (o := int(begun["event_ord"].max())) > depth_ord:
-                depth_ord, depth = o, int(begun.loc[begun["event_ord"].idxmax(), "queue_depth"])
-            if len(ended) and (o := int(ended["event_ord"].max())) > done_ord:
-                done_ord, at = o, ended.loc[ended["event_ord"].idxmax()]
-                status, error = (None if pd.isna(at[c]) else int(at[c]) for c in ("status", "error_code"))
-        page = self._page(tail)
+        for o, commit, cb, ts, its_depth, its_status, its_error in (tuple(r)[2:] for r in rows):
+            if cb is not None and (cb not in ends or o > ends[cb][0]):  # rows without a buffer are of none
+                ends[cb] = (o, commit, ts)
+            if commit and o > depth_ord:
+                depth_ord, depth = o, int(its_depth)
+            elif not commit and o > done_ord:
+                done_ord, status, error = o, its_status, its_error
+            seen = max(seen, o)
         for cb, (o, commit, ts) in sorted(ends.items(), key=lambda e: e[1][0]):
-            flies = self.flying.containsKey((cb,))
+            flies = self._flies(cb) is not None
             if commit:
                 self.flying.updateValue((cb,), (o, ts))
-                page.append([o, cb, ts])
-                if len(page) >= self.PAGE:
-                    self.pages.updateValue((tail,), (json.dumps(page),))
-                    tail, page = tail + 1, []
+                self._page(tail).append([o, cb, ts])
+                self.changed.add(tail)
+                if len(self._page(tail)) >= self.PAGE:
+                    tail += 1
+                    self.read[tail] = []
             elif flies:
                 self.flying.removeKey((cb,))
+            self.known[cb] = (o, ts) if commit else None
             n += int(commit) - int(flies)
-        self.pages.updateValue((tail,), (json.dumps(page),))
         head, oldest = self._oldest(head, tail)
+        for k in self.changed:
+            self.pages.updateValue((k,), (json.dumps(self.read[k]),))
         self.last.update((head, tail, n, depth_ord, depth, done_ord, status, error))
         ts, cb = oldest or (None, None)
-        cols = ["session_key", "queue_id", "event_ord", "depth", "in_flight", "oldest_cb_id", "oldest_commit_ts",
-                "last_completed_status", "last_completed_error"]
-        row = (key[0], int(key[1]), seen, depth, n, cb, ts, status, error)
-        yield pd.DataFrame([row], columns=cols).astype({c: "Int64" for c in cols[1:]})
+        yield Row(session_key=key[0], queue_id=key[1], event_ord=seen, depth=depth, in_flight=n, oldest_cb_id=cb, oldest_commit_ts=ts,
+                  last_completed_status=status, last_completed_error=error)
 
     def close(self) -> None:
         pass
@@ -330,7 +337,7 @@ def queue_state(events: DataFrame) -> DataFrame:
     """State of each queue after every micro-batch that touched it."""
     rows = events.where(F.col("kind").isin("MetalCbCommitted", "MetalCbCompleted")).select(
         "session_key", "queue_id", "event_ord", (F.col("kind") == "MetalCbCommitted").alias("commit"), "cb_id", "ts_mono_ns", "queue_depth", "status", "error_code")
-    return rows.groupBy("session_key", "queue_id").transformWithStateInPandas(
+    return rows.groupBy("session_key", "queue_id").transformWithState(
         _Queue(), "session_key string, queue_id bigint, event_ord bigint, depth bigint, in_flight bigint, oldest_cb_id bigint, "
         "oldest_commit_ts bigint, last_completed_status bigint, last_completed_error bigint", "Update", "None")
 

@@ -30,3 +30,44 @@ def test_folders_are_written_by_many_tasks_and_listed_by_few(spark, tmp_path):
     spark.conf.unset("spark.sql.sources.parallelPartitionDiscovery.parallelism")
     read_sessions(spark, str(tmp_path / "parts"))
     assert int(spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")) <= 8 * spark.sparkContext.defaultParallelism
+
+
+class _State:
+    """State of one key, which counts what is asked of it; every kind of state in one."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def _call(self, do):
+        self.calls += 1
+        return do()
+
+    def getMapState(self, *_):
+        return self
+
+    getValueState = getMapState
+    containsKey = lambda self, k: self._call(lambda: k in self.held)
+    getValue = lambda self, k: self._call(lambda: self.held[k])
+    updateValue = lambda self, k, v: self._call(lambda: self.held.__setitem__(k, v))
+    removeKey = lambda self, k: self._call(lambda: self.held.pop(k, None))
+    exists = lambda self: self.containsKey("value")
+    get = lambda self: self.getValue("value")
+    update = lambda self, v: self.updateValue("value", v)
+    clear = lambda self: self.removeKey("value")
+    registerTimer = lambda self, ms: self.updateValue(("timer", ms), True)
+    deleteTimer = lambda self, ms: self.removeKey(("timer", ms))
+
+
+def test_queue_asks_the_state_for_its_buffers_only():
+    from pyspark.sql import Row
+    from spanforge.streaming.stateful import _Queue
+
+    queue, states = _Queue(), [_State() for _ in range(3)]
+    queue.flying, queue.pages, queue.last = states
+    row = lambda n, commit, cb: Row(session_key="s", queue_id=0, event_ord=n, commit=commit, cb_id=cb, ts_mono_ns=n, queue_depth=n, status=4, error_code=None)
+    for batch, want in (([row(0, True, 1), row(1, True, 2), row(2, False, 1)], (1, 1, 2)), ([row(4, False, 2), row(3, True, 3)], (3, 1, 3))):
+        for s in states:
+            s.calls = 0
+        got = list(queue.handleInputRows(("s", 0), iter(batch), None))
+        assert [(r["depth"], r["in_flight"], r["oldest_cb_id"]) for r in got] == [want]
+        assert sum(s.calls for s in states) <= 11
