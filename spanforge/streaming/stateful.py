@@ -208,28 +208,30 @@ class _Overdue(StatefulProcessor):
         self.commit = handle.getValueState("commit", "ord bigint, ms bigint, queue bigint")
 
     def handleInputRows(self, key, rows, timerValues):
-        ords, commits, walls, queues = _ordered(rows, "commit", "ts_wall_ns", "queue_id")
-        out = []
-        for o, commit, wall, queue in zip(ords.tolist(), commits.tolist(), walls.tolist(), queues.tolist()):
+        batch = np.fromiter(((r["event_ord"], r["commit"], r["ts_wall_ns"], r["queue_id"]) for r in rows), dtype="i8,?,i8,i8")
+        open_ = tuple(self.commit.get()) if self.commit.exists() else None
+        before = open_
+        for o, commit, wall, queue in batch[np.argsort(batch["f0"], kind="stable")].tolist():
             ms = wall // 1_000_000
-            if self.commit.exists():
-                first, since, its_queue = self.commit.get()
-                self.handle.deleteTimer(since + self.limit_ms)
+            if open_ is not None:
+                first, since, its_queue = open_
                 if ms - since >= self.limit_ms:  # it was overdue before this, whether or not the clock has shown it yet
-                    out.append((key[0], int(key[1]), its_queue, first))
-                self.commit.clear()
-            if commit:
-                self.commit.update((o, ms, int(queue)))
-                self.handle.registerTimer(ms + self.limit_ms)
-        yield pd.DataFrame(out, columns=["session_key", "cb_id", "queue_id", "commit_ord"])
+                    yield Row(session_key=key[0], cb_id=key[1], queue_id=its_queue, commit_ord=first)
+            open_ = (o, ms, queue) if commit else None
+        # only the buffer that stays open needs state and a timer
+        if before is not None:
+            self.handle.deleteTimer(before[1] + self.limit_ms)
+        if open_ is not None:
+            self.commit.update(open_)
+            self.handle.registerTimer(open_[1] + self.limit_ms)
+        elif before is not None:
+            self.commit.clear()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        out = []
         if self.commit.exists():
-            got = self.commit.get()
-            out.append((key[0], int(key[1]), int(got[2]), int(got[0])))
+            first, _, queue = self.commit.get()
             self.commit.clear()
-        yield pd.DataFrame(out, columns=["session_key", "cb_id", "queue_id", "commit_ord"])
+            yield Row(session_key=key[0], cb_id=key[1], queue_id=queue, commit_ord=first)
 
     def close(self) -> None:
         pass
@@ -246,7 +248,7 @@ def open_too_long(events: DataFrame, *, limit_ns: int = 5 * NS_PER_SEC, delay: s
     wanted = F.when(F.col("event_time").isNotNull(), F.col("kind").isin("MetalCbCommitted", "MetalCbCompleted"))
     rows = events.withWatermark("event_time", delay).where(wanted).select(
         "session_key", "cb_id", F.coalesce("queue_id", F.lit(0)).alias("queue_id"), "event_ord", (F.col("kind") == "MetalCbCommitted").alias("commit"), "ts_wall_ns", "event_time")
-    return rows.groupBy("session_key", "cb_id").transformWithStateInPandas(
+    return rows.groupBy("session_key", "cb_id").transformWithState(
         _Overdue(limit_ns // 1_000_000), "session_key string, cb_id bigint, queue_id bigint, commit_ord bigint",
         "Append", "EventTime")
 

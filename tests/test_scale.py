@@ -71,3 +71,15 @@ def test_queue_asks_the_state_for_its_buffers_only():
         got = list(queue.handleInputRows(("s", 0), iter(batch), None))
         assert [(r["depth"], r["in_flight"], r["oldest_cb_id"]) for r in got] == [want]
         assert sum(s.calls for s in states) <= 11
+
+
+def test_overdue_asks_the_state_once_a_batch():
+    from pyspark.sql import Row
+    from spanforge.streaming.stateful import _Overdue
+
+    state, overdue = _State(), _Overdue(limit_ms=5)
+    overdue.init(state)
+    rows = [Row(session_key="s", cb_id=1, queue_id=0, event_ord=n, commit=n % 2 == 0, ts_wall_ns=n * (9 if n % 3 else 1) * 1_000_000) for n in range(101)]
+    out = list(overdue.handleInputRows(("s", 1), iter(rows[::-1]), None))
+    assert out and all(r["commit_ord"] % 2 == 0 for r in out)
+    assert state.held["value"][0] == 100 and len([k for k in state.held if k[0] == "timer"]) == 1 and state.calls <= 4
