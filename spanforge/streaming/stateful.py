@@ -1,16 +1,20 @@
 """Live operators that need state of their own.
 
-Each processor gets the rows of one key in a micro-batch, frame by frame, and carries a
-small, bounded state to the next.  They give the same rows as the batch operators over the
-same log.  Where only the latest row of something counts, frames are folded one by one by
-log position.  Where the order itself counts, the few numbers that decide are kept as
-arrays and sorted; a feed bounds them by the files it takes at once.
+Each processor gets the rows of one key in a micro-batch, one by one, and carries a small,
+bounded state to the next.  They give the same rows as the batch operators over the same
+log.  Where only the latest row of something counts, rows are folded as they come, by log
+position.  Where the order itself counts, a key's batch is held and sorted; a feed bounds
+it by the files it takes at once.  A batch may have few rows for each of very many keys, so
+what a key costs by itself counts: no frame is made for it, and its state, which is asked
+across a socket, is read and written once for each entry that the batch touches.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -26,42 +30,33 @@ def use_state_store(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
-def _ordered(frames: Iterator[pd.DataFrame], *columns: str) -> list[np.ndarray]:
-    """Columns of a key's rows in log order; numbers stay arrays."""
-    parts = [[f[c].to_numpy() for c in ("event_ord", *columns)] for f in frames if len(f)]
-    if not parts:
-        return [np.zeros(0, np.int64)] * (len(columns) + 1)
-    ords, *rest = (np.concatenate(x) for x in zip(*parts))
-    order = np.argsort(ords, kind="stable")
-    return [ords[order], *(c[order] for c in rest)]
-
-
-def _frame(columns: dict) -> pd.DataFrame:
-    """The columns as a frame; one without rows has no types of its own."""
-    return pd.DataFrame(columns) if len(columns["session_key"]) else pd.DataFrame([], columns=list(columns))
-
-
-def _gaps(seq: np.ndarray, top: int | None) -> tuple[np.ndarray, np.ndarray, int | None]:
-    """Rows that skip ahead of the largest number before them, those numbers, and the largest of all."""
-    if not len(seq):
-        return np.zeros(0, np.int64), seq, top
-    seq = seq.astype(np.int64)
-    high = np.maximum.accumulate(seq if top is None else np.maximum(seq, top))
-    before = np.concatenate([[seq[0] if top is None else top], high[:-1]])
-    at = np.flatnonzero(seq > before + 1)
-    return at, before[at], int(high[-1])
+def _skips(rows: list[tuple], top: int | None) -> Iterator[tuple[tuple, int | None, int | None]]:
+    """Rows (event_ord, seq, ...) in log order, each with the largest number before it if it skips ahead of that, and up to it."""
+    for row in sorted(rows, key=itemgetter(0)):
+        seq, before = row[1], None
+        if seq is not None:
+            before = top if top is not None and seq > top + 1 else None
+            top = seq if top is None else max(top, seq)
+        yield row, before, top
 
 
 class _Gaps(StatefulProcessor):
+    OUT = Row("session_key", "event_ord", "expected", "got")
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.top = handle.getValueState("max_seq", "seq bigint")
 
     def handleInputRows(self, key, rows, timerValues):
-        ords, seq = _ordered(rows, "seq")
-        at, before, top = _gaps(seq, self.top.get()[0] if self.top.exists() else None)
+        held = self.top.get()
+        top = None
+        for row, before, top in _skips([tuple(r)[1:] for r in rows], held[0] if held else None):
+            yield from self._out(key[0], row, before)
         if top is not None:
             self.top.update((top,))
-        yield _frame({"session_key": [key[0]] * len(at), "event_ord": ords[at], "expected": before + 1, "got": seq[at]})
+
+    def _out(self, session, row, before):
+        if before is not None:
+            yield self.OUT(session, row[0], before + 1, row[1])
 
     def close(self) -> None:
         pass
@@ -69,21 +64,20 @@ class _Gaps(StatefulProcessor):
 
 def sequence_gaps(events: DataFrame) -> DataFrame:
     """Gaps in the sequence numbers of each session."""
-    return events.select("session_key", "event_ord", "seq").groupBy("session_key").transformWithStateInPandas(
+    return events.select("session_key", "event_ord", "seq").groupBy("session_key").transformWithState(
         _Gaps(), "session_key string, event_ord bigint, expected bigint, got bigint", "Append", "None")
 
 
 class _Feed(_Gaps):
     """Event lines, and a marker line before each one that skips ahead."""
 
-    def handleInputRows(self, key, rows, timerValues):
-        ords, seq, lines = _ordered(rows, "seq", "line")
-        at, before, top = _gaps(seq, self.top.get()[0] if self.top.exists() else None)
-        if top is not None:
-            self.top.update((top,))
-        marks = [gap_line(key[0], int(b) + 1, int(s)) for b, s in zip(before, seq[at])]
-        yield _frame({"session_key": [key[0]] * (len(ords) + len(at)), "event_ord": np.concatenate([ords, ords[at]]),
-                            "side": [1] * len(ords) + [0] * len(at), "line": [*lines, *marks]}).sort_values(["event_ord", "side"])
+    OUT = Row("session_key", "event_ord", "side", "line")
+
+    def _out(self, session, row, before):
+        ord_, seq, line = row
+        if before is not None:
+            yield self.OUT(session, ord_, 0, gap_line(session, before + 1, seq))
+        yield self.OUT(session, ord_, 1, line)
 
 
 def gap_line(session_key: str, expected: int, got: int) -> str:
@@ -97,48 +91,69 @@ def change_feed(events: DataFrame) -> DataFrame:
     from spanforge.sinks.files import event_json
 
     lines = event_json(events.withColumn("_seq", F.col("seq")), keep=["_seq"]).select("session_key", "event_ord", F.col("_seq").alias("seq"), F.col("json").alias("line"))
-    return lines.groupBy("session_key").transformWithStateInPandas(
+    return lines.groupBy("session_key").transformWithState(
         _Feed(), "session_key string, event_ord bigint, side int, line string", "Append", "None")
 
 
 _COMMIT, _SCHED, _DONE, _OPS = range(4)
 
 
+class _Held:
+    """A map state, long to long, of one key for one batch: an entry is read once at most, and written once at the end."""
+
+    def __init__(self, state):
+        self.state, self.before, self.now = state, {}, {}
+
+    def get(self, k):
+        if k not in self.now:
+            value = self.state.getValue((k,)) if self.state.containsKey((k,)) else None
+            self.before[k] = self.now[k] = value[0] if value else None
+        return self.now[k]
+
+    def put(self, k, value) -> None:
+        self.now[k] = value
+
+    def write(self) -> None:
+        for k, value in self.now.items():
+            if value is None:
+                # one that came and went within the batch may be in the state from earlier on
+                if self.before[k] is not None if k in self.before else self.state.containsKey((k,)):
+                    self.state.removeKey((k,))
+            elif k not in self.before or self.before[k] != value:
+                self.state.updateValue((k,), (value,))
+
+
 class _Clamp(StatefulProcessor):
     """Schedule times and windows by buffer, last completion by queue."""
 
+    OUT = Row("session_key", "event_ord", "ts_mono_ns", "event_us", "cb_id", "scale", "ops")
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.sched = handle.getMapState("sched", "cb bigint", "ts bigint")
         self.window = handle.getMapState("window", "cb bigint", "ns bigint")
         self.done = handle.getMapState("done", "queue bigint", "ts bigint")
 
-    @staticmethod
-    def _take(state, key):
-        if not state.containsKey((key,)):
-            return None
-        value = state.getValue((key,))[0]
-        state.removeKey((key,))
-        return value
-
     def handleInputRows(self, key, rows, timerValues):
-        ords, kinds, cbs, queues, tss, raws, times, ops = _ordered(rows, "step", "cb_id", "queue_id", "ts_mono_ns", "raw_ns", "event_time", "ops")
-        out = []
-        for k, (step, cb, queue, ts, raw) in enumerate(zip(kinds.tolist(), cbs.tolist(), queues.tolist(), tss.tolist(), raws.tolist())):
+        sched, windows, done = states = _Held(self.sched), _Held(self.window), _Held(self.done)
+        batch = sorted((tuple(r)[1:] for r in rows), key=itemgetter(0))
+        for ord_, ts, at, step, cb, queue, raw, ops in batch:
             if step == _SCHED:
-                self.sched.updateValue((cb,), (ts,))
+                sched.put(cb, ts)
             elif step == _DONE:
-                start = self._take(self.sched, cb)
+                start = sched.get(cb)
+                sched.put(cb, None)
                 if start is None:
-                    self._take(self.window, cb)
+                    windows.put(cb, None)
                 else:
-                    if self.done.containsKey((queue,)):
-                        start = max(start, self.done.getValue((queue,))[0])
-                    self.window.updateValue((cb,), (max(0, ts - start),))
-                self.done.updateValue((queue,), (ts,))
+                    last = done.get(queue)
+                    windows.put(cb, max(0, ts - (start if last is None else max(start, last))))
+                done.put(queue, ts)
             else:
-                window = self._take(self.window, cb)
-                out.append((key[0], ords[k], ts, times[k], cb, window / raw if window is not None and raw > window else None, ops[k]))
-        yield pd.DataFrame(out, columns=["session_key", "event_ord", "ts_mono_ns", "event_time", "cb_id", "scale", "ops"])
+                window = windows.get(cb)
+                windows.put(cb, None)
+                yield self.OUT(key[0], ord_, ts, at, cb, window / raw if window is not None and raw > window else None, ops)
+        for state in states:
+            state.write()
 
     def close(self) -> None:
         pass
@@ -147,18 +162,22 @@ class _Clamp(StatefulProcessor):
 def op_scales(events: DataFrame) -> DataFrame:
     """Scale of each ops event whose times exceed its buffer's window (null: none needed), and its ops as JSON text."""
     steps = F.create_map(*(F.lit(x) for kv in (("MetalCbScheduled", _SCHED), ("MetalCbCompleted", _DONE), ("MetalCbOps", _OPS)) for x in kv))
+    # the time goes through the processor as a number, which it only hands on
     rows = events.where(F.col("kind").isin("MetalCbScheduled", "MetalCbCompleted", "MetalCbOps")).select(
-        "session_key", "event_ord", "ts_mono_ns", "event_time", steps[F.col("kind")].alias("step"), "cb_id", F.coalesce("queue_id", F.lit(0)).alias("queue_id"),
+        "session_key", "event_ord", "ts_mono_ns", F.unix_micros("event_time").alias("event_us"), steps[F.col("kind")].alias("step"), "cb_id", F.coalesce("queue_id", F.lit(0)).alias("queue_id"),
         F.coalesce(F.aggregate("ops", F.lit(0).cast("bigint"), lambda a, o: a + o["gpu_ns"]), F.lit(0)).alias("raw_ns"),
         F.to_json(F.transform("ops", lambda o: F.struct(o["name"].alias("name"), o["gpu_ns"].alias("gpu_ns"), o["count"].alias("count")))).alias("ops"))
-    return rows.groupBy("session_key").transformWithStateInPandas(
-        _Clamp(), "session_key string, event_ord bigint, ts_mono_ns bigint, event_time timestamp, cb_id bigint, scale double, ops string",
+    scales = rows.groupBy("session_key").transformWithState(
+        _Clamp(), "session_key string, event_ord bigint, ts_mono_ns bigint, event_us bigint, cb_id bigint, scale double, ops string",
         "Append", "None")
+    return scales.select("session_key", "event_ord", "ts_mono_ns", F.timestamp_micros("event_us").alias("event_time"), "cb_id", "scale", "ops")
 
 
 class _Rolling(StatefulProcessor):
     """Ops of the last window before the newest ops event, added up per event and name."""
 
+    OUT = Row("session_key", "at_ns", "rank", "name", "gpu_ns", "count")
+
     def __init__(self, window_ns: int, n: int):
         self.window_ns, self.n = window_ns, n
 
@@ -167,18 +186,33 @@ class _Rolling(StatefulProcessor):
         self.newest = handle.getValueState("newest", "ts bigint")
 
     def handleInputRows(self, key, rows, timerValues):
-        newest = self.newest.get()[0] if self.newest.exists() else None
-        held = [pd.DataFrame(self.samples.get() if self.samples.exists() else [], columns=["ts", "name", "ns", "count"])]
-        for frame in rows:  # each frame is cut to the window before the next one is looked at
-            top = frame["ts"].max()
-            newest = top if newest is None or top > newest else newest
-            held = [f[f["ts"] >= newest - self.window_ns] for f in (*held, frame[["ts", "name", "ns", "count"]])]
-        kept = pd.concat(held).groupby(["ts", "name"], as_index=False).sum()
-        self.samples.put([(int(t), n, int(g), int(c)) for t, n, g, c in kept.itertuples(index=False)])
-        self.newest.update((int(newest),))
-        best = kept.groupby("name", as_index=False)[["ns", "count"]].sum().sort_values(["ns", "name"], ascending=[False, True])[:self.n]
-        yield _frame({"session_key": [key[0]] * len(best), "at_ns": int(newest), "rank": np.arange(1, len(best) + 1), "name": best["name"].to_numpy(),
-                            "gpu_ns": best["ns"].to_numpy(), "count": best["count"].to_numpy()})
+        held = self.newest.get()
+        newest = held[0] if held else None
+        sums: dict[tuple[int, str], tuple[int, int]] = {}
+        room = 1024
+        for ts, name, ns, count in chain(self.samples.get() if held else (), (tuple(r)[1:] for r in rows)):
+            newest = ts if newest is None or ts > newest else newest
+            if ts < newest - self.window_ns:
+                continue
+            a, b = sums.get((ts, name), (0, 0))
+            sums[ts, name] = (a + ns, b + count)
+            if len(sums) > room:  # what the window has left behind goes before more is held
+                sums = self._within(sums, newest)
+                room = 2 * len(sums) + 1024
+        sums = self._within(sums, newest)
+        self.samples.put([(ts, name, ns, count) for (ts, name), (ns, count) in sums.items()])
+        if not held or held[0] != newest:
+            self.newest.update((newest,))
+        names: dict[str, tuple[int, int]] = {}
+        for (_, name), (ns, count) in sums.items():
+            a, b = names.get(name, (0, 0))
+            names[name] = (a + ns, b + count)
+        best = sorted(names.items(), key=lambda e: (-e[1][0], e[0] is not None, e[0] or ""))[:self.n]
+        for rank, (name, (ns, count)) in enumerate(best, start=1):
+            yield self.OUT(key[0], newest, rank, name, ns, count)
+
+    def _within(self, sums, newest):
+        return {k: v for k, v in sums.items() if k[0] >= newest - self.window_ns}
 
     def close(self) -> None:
         pass
@@ -193,7 +227,7 @@ def hot_ops(events: DataFrame, *, window_ns: int = 30 * NS_PER_SEC, top_n: int =
     ops = op_scales(events).select("session_key", F.col("ts_mono_ns").alias("ts"), "scale", F.explode(F.from_json("ops", schema)).alias("o"))
     ns = F.when(F.col("scale").isNull(), F.col("o.gpu_ns")).otherwise((F.col("o.gpu_ns").cast("double") * F.col("scale")).cast("bigint"))
     return ops.select("session_key", "ts", F.col("o.name").alias("name"), ns.alias("ns"), F.col("o.count").alias("count")).groupBy(
-        "session_key").transformWithStateInPandas(
+        "session_key").transformWithState(
         _Rolling(window_ns, top_n), "session_key string, at_ns bigint, rank int, name string, gpu_ns bigint, count bigint", "Append", "None")
 
 

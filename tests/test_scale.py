@@ -83,3 +83,37 @@ def test_overdue_asks_the_state_once_a_batch():
     out = list(overdue.handleInputRows(("s", 1), iter(rows[::-1]), None))
     assert out and all(r["commit_ord"] % 2 == 0 for r in out)
     assert state.held["value"][0] == 100 and len([k for k in state.held if k[0] == "timer"]) == 1 and state.calls <= 4
+
+
+def test_stream_processors_ask_the_state_once_an_entry():
+    from spanforge.streaming.stateful import _Clamp, _Feed, _Rolling
+
+    def batch(processor, states, rows):
+        for s in states:
+            s.calls = 0
+        out = [tuple(r) for r in processor.handleInputRows(("s",), iter(("s", *r) for r in rows), None)]
+        return out, sum(s.calls for s in states)
+
+    feed, top = _Feed(), _State()
+    feed.top = top
+    top.get = lambda: top._call(lambda: top.held.get("value"))
+    assert [r[1:3] for r in batch(feed, [top], [(9, 9, "z"), (1, 1, "a"), (2, 2, "b")])[0]] == [(1, 1), (2, 1), (9, 0), (9, 1)]
+    out, calls = batch(feed, [top], [(n, n, "x") for n in range(12, 60)] + [(60, None, "y")])
+    assert [r[1:3] for r in out[:2]] == [(12, 0), (12, 1)] and len(out) == 50 and calls <= 2
+
+    clamp = _Clamp()
+    clamp.sched, clamp.window, clamp.done = states = [_State() for _ in range(3)]
+    step = lambda n, step, raw=0: (n, n, n, step, 1, 0, raw, "[]")
+    rounds = [step(3 * n + i, s, raw) for n in range(40) for i, (s, raw) in enumerate(((1, 0), (2, 0), (3, 4)))]
+    out, calls = batch(clamp, states, rounds[::-1])
+    assert len(out) == 40 and {r[5] for r in out} == {0.25} and calls <= 8
+    assert not states[0].held and not states[1].held and states[2].held == {(0,): (118,)}
+    batch(clamp, states, [step(200, 1), step(203, 2)])
+    assert [r[5] for r in batch(clamp, states, [step(204, 3, 6), step(205, 3, 6)])[0]] == [0.5, None] and not states[1].held
+
+    rolling = _Rolling(10, 2)
+    rolling.samples, rolling.newest = states = [_State(), _State()]
+    states[0].put, states[1].get = states[0].update, lambda: states[1]._call(lambda: states[1].held.get("value"))
+    assert batch(rolling, states, [(1, "a", 50, 1), (20, "b", 2, 1), (12, "c", 2, 1), (12, "d", 9, 2)])[0] == [("s", 20, 1, "d", 9, 2), ("s", 20, 2, "b", 2, 1)]
+    out, calls = batch(rolling, states, [(n % 7, "a", 1, 1) for n in range(3000)] + [(25, "b", 8, 1)])
+    assert out == [("s", 25, 1, "b", 10, 2)] and calls <= 4
