@@ -11,7 +11,7 @@ from spanforge.operators import diff, filters, gpu, reports, sessions as S, tree
 from spanforge.operators.scan import chunk_of, with_position
 from spanforge.queries.registry import query
 from spanforge.queries.views import EV, ev, table, trace_log, with_sql, TL
-from spanforge.session_conf import shared_folder
+from spanforge.session_conf import shared_folder, spread
 from spanforge.sources import external
 
 # part rows turned into shader symbols: a prefix by key, a tail from the row
@@ -264,7 +264,8 @@ def a7_process_table(spark, sf):
     cpu = lambda n: s(F.round((k % 1000) / 10.0 + n, 1))
     txt = F.concat(F.lit("Processes: 3\n PID COMMAND %CPU\n"), F.lit("  "), s(k + 2), F.lit("  two  words "), cpu(2), F.lit("\n"),
                    s(k + 3), F.lit(" "), F.col("c_name"), F.lit(" "), cpu(3), F.lit("\nbad line here x\n12 34\n"))
-    files = table(spark, sf, "customer").select(F.concat(F.lit("/t/"), s(k)).alias("path"), txt.alias("text"))
+    # the table may be one small file, and its rows make many lines each
+    files = spread(table(spark, sf, "customer").select("c_custkey", "c_name"), "c_custkey").select(F.concat(F.lit("/t/"), s(k)).alias("path"), txt.alias("text"))
     return external.parse_process_table(files).select("path", "line_no", "pid", "name", F.round(F.col("cpu_pct").cast("double"), 4).alias("cpu"))
 
 

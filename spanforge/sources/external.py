@@ -91,10 +91,11 @@ def read_system_log(spark: SparkSession, path: str, *, all_lines: bool = False)
 
 def parse_process_table(files: DataFrame, *, key: str = "path", text: str = "text") -> DataFrame:
     """Rows of process tables: pid, name (may hold blanks) and cpu after the header line."""
-    lines = F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x))
-    header = F.transform(lines, lambda x, i: F.when(x.startswith("PID") & x.contains("%CPU"), i))
-    rows = files.select(key, F.array_min(header).alias("_h"), F.posexplode(lines).alias("line_no", "_l")).where(
-        F.col("line_no") > F.col("_h"))
+    lines = F.transform(F.split(text, r"\r?\n"), lambda x, i: F.struct(i.alias("line_no"), F.trim(x).alias("l")))
+    header = F.array_min(F.transform(lines, lambda x: F.when(x["l"].startswith("PID") & x["l"].contains("%CPU"), x["line_no"])))
+    # the lines behind the header are cut out within the generator: beside it, the header would be looked for anew for each line
+    behind = F.slice(lines, header + 2, F.size(lines))
+    rows = files.select(key, F.explode(behind).alias("_e")).select(key, "_e.line_no", F.col("_e.l").alias("_l"))
     pat = r"^(\d+)\s+(.+?)\s+(\S+)$"
     return (rows.where(F.col("_l").rlike(pat)).select(
         key, "line_no", F.regexp_extract("_l", pat, 1).try_cast("bigint").alias("pid"),

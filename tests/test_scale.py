@@ -117,3 +117,16 @@ def test_stream_processors_ask_the_state_once_an_entry():
     assert batch(rolling, states, [(1, "a", 50, 1), (20, "b", 2, 1), (12, "c", 2, 1), (12, "d", 9, 2)])[0] == [("s", 20, 1, "d", 9, 2), ("s", 20, 2, "b", 2, 1)]
     out, calls = batch(rolling, states, [(n % 7, "a", 1, 1) for n in range(3000)] + [(25, "b", 8, 1)])
     assert out == [("s", 25, 1, "b", 10, 2)] and calls <= 4
+
+
+def test_process_table_looks_for_its_header_once(spark):
+    from spanforge.queries.functions_q import a7_process_table
+    from spanforge.sources.external import parse_process_table
+
+    text = "PID x\r\n  PID COMMAND %CPU \n 7 a  b 1.5\nPID %CPU\n8 c 2\n9 d x\n99999999999 e 1"
+    files = spark.createDataFrame([("f", text), ("none", "1 a 2"), ("last", "PID %CPU"), ("null", None), ("empty", "")], "path string, text string")
+    out = parse_process_table(files)
+    assert [tuple(r) for r in out.orderBy("line_no").collect()] == [("f", 2, 7, "a b", 1.5), ("f", 4, 8, "c", 2.0)]
+    over, generate = out._jdf.queryExecution().optimizedPlan().toString().split("Generate", 1)
+    assert "array_min" not in over
+    assert a7_process_table(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
