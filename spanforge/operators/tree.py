@@ -217,7 +217,8 @@ def breakdown_trace(tree: DataFrame, ops: DataFrame) -> DataFrame:
                          chunk=cut, before=True)
     timed = timed.withColumn("_off", F.coalesce("_off", F.lit(0).cast("bigint"))).drop("_neg", "_sib")
     starts = fold_tree(timed, keys=keys, node="node_id", parent="parent_call_id", along={"ts": ("sum", F.col("_off"))})
-    nodes = timed.join(starts.drop("depth"), keys + ["node_id"])
+    # what is known of each node grows with the trees and must not pass the driver
+    nodes = timed.join(starts.drop("depth").hint("merge"), keys + ["node_id"])
     scope_rows = nodes.select(
         *keys, F.col("qualname").alias("name"), F.col("class_name").alias("cat"), "ts", "dur",
         F.col("depth").alias("tid"),
@@ -228,7 +229,7 @@ def breakdown_trace(tree: DataFrame, ops: DataFrame) -> DataFrame:
         Window.unboundedPreceding, -1)
     laid = ops.withColumn("dur", op_dur).withColumn(
         "_off", F.coalesce(F.sum("dur").over(w), F.lit(0).cast("bigint")))
-    op_rows = laid.join(nodes.select(*keys, "node_id", "ts", "depth"), keys + ["node_id"]).select(
+    op_rows = laid.join(nodes.select(*keys, "node_id", "ts", "depth").hint("merge"), keys + ["node_id"]).select(
         *keys, "name", F.lit("op").alias("cat"), (F.col("ts") + F.col("_off")).alias("ts"), "dur",
         (F.col("depth") + 1).alias("tid"), F.to_json(F.struct("count", "gpu_ns")).alias("args"))
     return scope_rows.unionByName(op_rows)

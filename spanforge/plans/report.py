@@ -192,7 +192,7 @@ class Breakdown:
     def reachable_ops(self, nodes: DataFrame | None = None) -> DataFrame:
         """Ops of the nodes that are part of the tree."""
         nodes = self.tree if nodes is None else nodes
-        return self.ops.join(nodes.select("session_key", "node_id"), ["session_key", "node_id"], "left_semi")
+        return self.ops.join(nodes.select("session_key", "node_id").hint("merge"), ["session_key", "node_id"], "left_semi")
 
     def response(self, *, max_depth=None, top_n=None, min_ns=0, fields=None, group_by="name", include_ops=True,
                  top_ops=5) -> tuple[DataFrame, DataFrame]:

@@ -130,3 +130,17 @@ def test_process_table_looks_for_its_header_once(spark):
     over, generate = out._jdf.queryExecution().optimizedPlan().toString().split("Generate", 1)
     assert "array_min" not in over
     assert a7_process_table(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_what_is_known_of_each_node_or_point_is_not_broadcast(spark):
+    from spanforge.operators.stab import stab_join
+    from spanforge.operators.tree import breakdown_trace
+
+    nodes = spark.range(20).select(
+        (F.col("id") % 2).alias("session_key"), F.col("id").alias("node_id"), F.lit(None).cast("bigint").alias("parent_call_id"), F.lit("q").alias("qualname"), F.lit("c").alias("class_name"),
+        *[F.lit(1).cast("bigint").alias(c) for c in ("calls", "gpu_ns_self", "gpu_ns_subtree", "eval_count", "cb_count", "depth")])
+    ops = spark.range(20).select((F.col("id") % 2).alias("session_key"), F.col("id").alias("node_id"), F.lit("o").alias("name"), F.lit(5000).cast("bigint").alias("gpu_ns"), F.lit(1).alias("count"))
+    spans = spark.range(20).select((F.col("id") % 2).alias("k"), F.col("id").alias("a"), (F.col("id") + 3).alias("b"))
+    hits = stab_join(spans.select("k", F.col("a").alias("t")), spans, by=["k"], ts="t", lo="a", hi="b", prefer=-F.col("a"), keep=["a"], cell=4)
+    for df, n in ((breakdown_trace(nodes, ops), 40), (hits, 20)):
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString() and df.count() == n
