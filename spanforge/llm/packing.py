@@ -23,11 +23,10 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from spanforge.llm.common import bytes_of, cut_lineage, id_and_text, row_base, slices
+from spanforge.llm.common import bytes_of, cut_lineage, id_and_text, release, row_base, slices
 from spanforge.llm.tokens import WordIds, public_vocabulary
 
 CAPACITY = 4096
@@ -99,6 +98,8 @@ def _pieces(tokenizer: str, capacity: int, end_id: int):
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types)],
                                   names=[f.split()[0] for f in _PIECES.split(", ")])
+        del words
+        release()
 
     return run
 
@@ -106,9 +107,9 @@ def _pieces(tokenizer: str, capacity: int, end_id: int):
 def _places(lines):
     """(length, rank) to (sequence_id, offset) by the plan."""
 
-    @F.pandas_udf("sequence_id long, offset long")
-    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        n, r = length.to_numpy(), rank.to_numpy()
+    @F.arrow_udf("sequence_id long, offset long")
+    def place(length: pa.Array, rank: pa.Array) -> pa.Array:
+        n, r = length.to_numpy(zero_copy_only=False), rank.to_numpy(zero_copy_only=False)
         sequence, offset = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
         order = np.argsort(n, kind="stable")
         for some in np.split(order, np.flatnonzero(np.diff(n[order])) + 1) if len(n) else []:
@@ -117,7 +118,7 @@ def _places(lines):
             k = np.searchsorted(lo, r[some], "right") - 1
             i = r[some] - lo[k]
             sequence[some], offset[some] = first[k] + i // per[k], at[k] + i % per[k] * size
-        return pd.DataFrame({"sequence_id": sequence, "offset": offset})
+        return pa.StructArray.from_arrays([pa.array(sequence), pa.array(offset)], names=["sequence_id", "offset"])
 
     return place
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 
 import numpy as np
@@ -42,6 +43,24 @@ def _chunks(texts: list[bytes]) -> list[list[bytes]]:
     return [out[s:e].split() for s, e in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
+@functools.lru_cache(maxsize=1)
+def _tokenizers(path: str, literal_specials: bool) -> tuple:
+    """The tokenizer, the same for words of a-z alone, and which ids end a word; a worker reads them once, not for each of its tasks."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import WhitespaceSplit
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = literal_specials
+    # words of a-z alone need neither normalising nor more splitting; the two share one vocabulary in memory
+    plain = Tokenizer(tokenizer.model)
+    plain.pre_tokenizer = WhitespaceSplit()
+    vocabulary = tokenizer.get_vocab()
+    ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+    ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+    return tokenizer, plain, ends
+
+
 class WordIds:
     """Ids of whole texts for a tokenizer with word ends that drops white space.
 
@@ -54,18 +73,7 @@ class WordIds:
     """
 
     def __init__(self, path: str, *, literal_specials: bool = False, limit: int = 300_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import WhitespaceSplit
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = literal_specials
-        # words of a-z alone need neither normalising nor more splitting
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer, self.plain.pre_tokenizer = None, WhitespaceSplit()
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.tokenizer, self.plain, self.ends = _tokenizers(path, literal_specials)
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.limit = limit

@@ -17,3 +17,12 @@ def test_ids_equal_the_tokenizers(literal):
         some = texts[at:at + 500]
         for t, got in zip(some, ids.encode([t.encode() for t in some])):
             assert np.frombuffer(got, "<u4").tolist() == ids.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
+def test_a_worker_reads_the_vocabulary_once():
+    first = WordIds(public_vocabulary())
+    some = first.encode([b"Words of one task."])
+    second = WordIds(public_vocabulary())
+    assert second.tokenizer is first.tokenizer and second.known is not first.known
+    assert WordIds(public_vocabulary(), literal_specials=True).tokenizer is not first.tokenizer
+    assert second.encode([b"Words of one task."]) == some
