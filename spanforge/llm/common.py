@@ -91,8 +91,9 @@ _MAP_WORDS = 1 << 13
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows that Spark hands to Python at once: texts are long, and a batch is held on both sides."""
+    """Rows that Spark reads and hands to Python at once: texts are long, and a batch is held on both sides."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(rows))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -351,8 +351,9 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     rare = own.select(F.explode("rare").alias("h"), "rep").repartition("h").sortWithinPartitions("h", "rep")
     lists = rare.mapInArrow(_lists(), "list long, rep long").distinct()
-    near = (lists.join(own.select("rep", "n", "vector"), "rep").select("list", "rep", "n", "vector").repartition("list")
-            .sortWithinPartitions("list", "rep").mapInArrow(_near(percent, groups), "a long, b long"))
+    # edges are written first, so that a task of the components has one Python worker and not two
+    near = cut_lineage(lists.join(own.select("rep", "n", "vector"), "rep").select("list", "rep", "n", "vector").repartition("list")
+                       .sortWithinPartitions("list", "rep").mapInArrow(_near(percent, groups), "a long, b long"))
     frequent = own.select(F.explode("frequent").alias("h"), "rep")
     star = salted_join(frequent, frequent.groupBy("h").agg(F.min("rep").alias("b")), ["h"]).select(F.col("rep").alias("a"), "b")
     parts = components(near.unionByName(star)).withColumnsRenamed({"node": "rep", "label": "part"})
@@ -385,8 +386,8 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         "part", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")).distinct()
     meets = tiles.unionByName(others.select("part", F.col("other").alias("tile"), F.col("other").alias("i"), F.col("other").alias("j"))).unionByName(
         tiles.select("part", F.when(F.col("tile") == F.col("i"), F.col("j")).otherwise(F.col("i")).alias("tile"), "i", "j")).distinct()
-    found = (state.select("part", "tile", "rep", "tied", "shingles").join(meets, ["part", "tile"])
-             .groupBy("part", "i", "j").applyInArrow(_tile_links(percent), "a long, b long"))
+    found = cut_lineage(state.select("part", "tile", "rep", "tied", "shingles").join(meets, ["part", "tile"])
+                        .groupBy("part", "i", "j").applyInArrow(_tile_links(percent), "a long, b long"))
     linked = components(tied.where("same").select("a", "b").unionByName(found))
 
     ids = points

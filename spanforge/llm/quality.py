@@ -23,7 +23,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -80,22 +79,23 @@ def _contexts(batches):
     release()
 
 
-def _add(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _add(key: tuple, rows: pa.Table) -> pa.Table:
     cells = ROWS // CHUNKS * (DIMS + 1)
     total = np.zeros(cells, dtype=np.int64)
-    for c in pdf["sums"]:
-        total += np.frombuffer(c, "<i4" if len(c) == 4 * cells else "<i8")
-    return pd.DataFrame({"chunk": [int(key[0])], "sums": [total.tobytes()]})
+    for c in rows.column("sums"):
+        c = c.as_buffer()
+        total += np.frombuffer(c, "<i4" if c.size == 4 * cells else "<i8")
+    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """Context vectors of unit length and, in the last column, the weight of the word."""
     summed = docs.select("text").mapInArrow(_contexts, "task int, chunk int, sums binary")
     fan = max(4, 2 * math.isqrt(partitions(docs.sparkSession)))
-    some = summed.groupBy("chunk", F.pmod("task", F.lit(fan)).alias("s")).applyInPandas(_add, "chunk int, sums binary")
+    some = summed.groupBy("chunk", F.pmod("task", F.lit(fan)).alias("s")).applyInArrow(_add, "chunk int, sums binary")
     out = np.zeros((ROWS, DIMS + 1), dtype=np.float32)
     size = ROWS // CHUNKS
-    for chunk, data in some.groupBy("chunk").applyInPandas(_add, "chunk int, sums binary").collect():
+    for chunk, data in some.groupBy("chunk").applyInArrow(_add, "chunk int, sums binary").collect():
         out[chunk * size:(chunk + 1) * size] = np.frombuffer(data, "<i8").reshape(size, DIMS + 1)
     vectors, counts = out[:, :DIMS], out[:, DIMS]
     length = np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -207,9 +207,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     x = np.array([np.frombuffer(r.features, np.float32) for r in learnt], dtype=np.float64).reshape(-1, FEATURES)
     network = Network(x, np.array([float(r.quality > 0) for r in learnt]))
 
-    @F.pandas_udf("double")
-    def score(features: pd.Series) -> pd.Series:
-        return pd.Series(network.predict(np.frombuffer(b"".join(features), np.float32).reshape(-1, FEATURES).astype(np.float64)))
+    @F.arrow_udf("double")
+    def score(features: pa.Array) -> pa.Array:
+        return pa.array(network.predict(np.frombuffer(b"".join(features.to_pylist()), np.float32).reshape(-1, FEATURES).astype(np.float64)))
 
     return pooled.select("row", "doc_id", held_out(F.col("doc_id")).alias("held_out"), score("features").alias("score")).withColumn(
         "predicted", (F.col("score") >= 0.5).cast("int"))

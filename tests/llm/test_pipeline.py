@@ -1,7 +1,12 @@
+import subprocess
+import sys
 from collections import defaultdict
+from pathlib import Path
 
 import corpus_pipeline
+from spanforge.llm import jaccard
 from spanforge.llm.common import numbered
+from spanforge.llm.components import components
 from spanforge.llm.quality import quality_scores
 
 from test_decontaminate import words
@@ -69,3 +74,21 @@ def test_numbers_stay_when_a_scan_is_split_otherwise(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert got[0] == got[1] and len({n for _, n in got[0]}) == 4000
+
+
+def test_a_worker_of_the_stages_holds_no_pandas():
+    names = "quality", "exact_dedup", "jaccard", "components", "decontaminate", "packing", "tokens", "hashing", "shingles"
+    code = "import sys, pyspark.worker, " + ", ".join(f"spanforge.llm.{n}" for n in names) + "; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2]).returncode == 0
+
+
+def test_a_task_of_the_components_has_one_python_worker(spark, monkeypatch):
+    plans = []
+
+    def seen(edges):
+        plans.append(edges._jdf.queryExecution().executedPlan().toString())
+        return components(edges)
+
+    monkeypatch.setattr(jaccard, "components", seen)
+    jaccard.similar_components(spark.read.parquet(f"{SF}/documents.parquet")).count()
+    assert len(plans) == 2 and not any("InArrow" in p for p in plans)
