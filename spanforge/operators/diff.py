@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from spanforge.functions.labels import op_kind
 from spanforge.functions.text import pct_change
+from spanforge.session_conf import cut_lineage
 
 
 def scope_map(tree: DataFrame) -> DataFrame:
@@ -41,6 +42,8 @@ def by_size(deltas: DataFrame, *, unit: str = "ns", tie: str = "qualname") -> Da
 
 def pair_sides(pairs: DataFrame, values: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of sessions A and B of each pair, keyed by pair_id."""
+    # each side reads the values, and they are short against what they are made of
+    values = cut_lineage(values)
     a = pairs.select("pair_id", F.col("session_a").alias("session_key")).join(values, "session_key").drop("session_key")
     b = pairs.select("pair_id", F.col("session_b").alias("session_key")).join(values, "session_key").drop("session_key")
     return a, b
@@ -81,7 +84,7 @@ def source_counts(events: DataFrame) -> DataFrame:
 
 def compare_sessions(pairs: DataFrame, stats: DataFrame, root_causes: DataFrame) -> DataFrame:
     """Per pair: both sessions' stats, their differences, and whether root causes agree."""
-    s = stats.join(root_causes, "session_key", "left")
+    s = cut_lineage(stats.join(root_causes, "session_key", "left"))
 
     def side(x):
         return pairs.select("pair_id", F.col(f"session_{x}").alias("session_key")).join(s, "session_key", "left").select(

@@ -244,7 +244,7 @@ def compare(pairs: DataFrame, events: DataFrame, *, breakdown: Breakdown | None
                                        root_cause(analyze(log, names=["metal_error"]))),
         "scope_deltas": scopes["deltas"], "only_in_a": scopes["only_in_a"], "only_in_b": scopes["only_in_b"],
         "op_deltas": diff.diff_ops(pairs, b.reachable_ops(nodes)),
-        "memory_deltas": diff.diff_memory(pairs, memory.scope_memory(log, cell=cell, grace_ns=grace_ns)),
-        "origin_deltas": diff.diff_origins(pairs, gpu.dispatch_origins(log, cell=cell, grace_ns=grace_ns, ops=b.ops_events)),
+        "memory_deltas": diff.diff_memory(pairs, memory.scope_memory(log, cell=cell, grace_ns=grace_ns, scopes=b.scopes)),
+        "origin_deltas": diff.diff_origins(pairs, gpu.dispatch_origins(log, cell=cell, grace_ns=grace_ns, ops=b.ops_events, evals=b.evals, scopes=b.scopes)),
         "banner": diff.degraded_banner(pairs, sampling_disable_episodes(log)),
     }

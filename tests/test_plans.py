@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanforge import session_conf
-from spanforge.operators import gpu, memory, pairing, sequences, stab, tree
+from spanforge.operators import diff, gpu, memory, pairing, sequences, stab, tree
 from spanforge.operators.scan import chunk_of
 from spanforge.plans import report, rules
 from spanforge.queries.catalogue import QUERIES
@@ -91,3 +91,11 @@ def test_tables_by_session_are_not_broadcast(spark, name):
     """A row or more per session grows with the log, so such a table is not sent through the driver."""
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
+def test_the_sides_of_a_pair_read_values_that_are_written_once(spark):
+    values = spark.range(8).select(F.concat(F.lit("u"), F.col("id") % 4).alias("session_key"), "id").groupBy("session_key").agg(F.sum("id").alias("n"))
+    pairs = spark.createDataFrame([(0, "u0", "u1"), (1, "u2", "u3")], "pair_id bigint, session_a string, session_b string")
+    a, b = diff.pair_sides(pairs, values)
+    assert "Aggregate" not in a.unionByName(b)._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, a.collect())) == [(0, 4), (1, 8)] and sorted(map(tuple, b.collect())) == [(0, 6), (1, 10)]
