@@ -184,3 +184,17 @@ def test_replayed_batches_change_nothing(spark, log, tmp_path):
     last = sink.read(spark, "totals").where("session_key = 'a' AND batch = 2").first()
     for c in ("cursor", "prev_cursor", "new_events", "elapsed_ns", "new_cbs", "gpu_ns_added", "current_bytes", "peak_bytes_session"):
         assert last[c] == whole[c], c
+
+
+@pytest.mark.parametrize("seconds", [1, 7, 3600])
+def test_incidents_meet_few_events_beyond_their_window(spark, monkeypatch, seconds):
+    """Against brute force, also at the edges of the window and of its cells and before 1970."""
+    at = sorted({b + d for b in (-10_000_003, 0, 1_700_000_000_123_457) for k in range(-2, 27) for d in (k * seconds * 1_000_000 // 12 + e for e in (-1, 0, 1))})
+    rows = [(f"s{i % 3}", i, t, i % 5 == 0) for i, t in enumerate(at)]
+    events = spark.createDataFrame(rows, "session_key string, event_ord bigint, us bigint, bad boolean").withColumn("event_time", F.timestamp_micros("us"))
+    monkeypatch.setattr(feeds.filters, "incident_label", lambda: F.when(F.col("bad"), "x"))
+    out = feeds.incident_slices(events, host=None, seconds=seconds)
+    want = sorted((f"{k}-{i}", j) for k, i, t, bad in rows if bad for _, j, u, _ in rows if t - seconds * 1_000_000 <= u <= t)
+    assert sorted(map(tuple, out.select("incident_key", "event_ord").collect())) == want
+    # an hour of cells is not one cell: an incident is not compared with a whole second window
+    assert feeds.CELLS >= 12
