@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from spanforge.queries.catalogue import QUERIES
 from spanforge.sinks import documents
 
 
@@ -63,3 +64,11 @@ def test_long_files_are_read_in_pieces(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(documents, "BLOCK", block)
         got = [v for out in documents._reader(str(tmp_path / "parts"))([batch]) for v in out.column(2).to_pylist()]
         assert sorted(got) == want
+
+
+@pytest.mark.parametrize("name", ["a8_json_documents", "a9_trace_documents"])
+def test_a_line_is_parsed_once(spark, name):
+    df = QUERIES[name](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object" not in plan and plan.count("try_parse_json") <= 1
+    assert df.where("broken <> 0").count() == 0
